@@ -9,33 +9,48 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from changelens.functions import fixed_values as V
-from changelens.functions.text import extension, last_segment, root_name
 
 POPULAR_EXTENSION_SET = sorted({ext for exts in V.POPULAR_EXTENSIONS.values() for ext in exts})
 
 _COMMENT_LINE = r"\A[ \t]*(?:#|\\\*|\*\*|//|/\*|\z)"
 
 
-def _contains_any(text: Column, parts: Iterable[str]) -> Column:
-    """One scan for all parts, which also keeps the generated code short."""
-    return F.rlike(text, F.lit("|".join(re.escape(part) for part in parts)))
+def _any_of(parts: Iterable[str]) -> str:
+    return "|".join(re.escape(part) for part in parts)
+
+
+def _ends_with_extension(extensions: Iterable[str]) -> str:
+    """Pattern for a base name with one of the extensions.
+
+    Something other than a dot has to precede the last dot.  An extension
+    with a dot inside is never the last dotted part, so it cannot match.
+    """
+    last_parts = [ext[1:] for ext in extensions if "." not in ext[1:]]
+    return rf"(?:\A|/)\.*[^./][^/]*\.(?:{_any_of(last_parts)})\z"
+
+
+_DOC = "|".join(
+    [
+        _any_of(V.MEDIA_PATHS + V.DOC_PATHS),
+        _ends_with_extension(V.DOC_EXTENSIONS),
+        rf"(?:\A|/)(?:{_any_of(V.DOC_NAMES)})(?:\.[^./]*)?\z",
+    ]
+)
 
 
 def file_label(path: Column, popular_extensions: list[str] | None = None) -> Column:
     """Role of a file, by the first rule that applies.
 
     Path rules look for a part of the path exactly as it is passed in, case
-    and leading slash included.
+    and leading slash included.  Each rule is one pattern, which keeps the
+    generated code short where several labels meet in one plan.
     """
-    base = last_segment(path)
-    ext = extension(base)
+    source = f"{_any_of(V.SOURCE_PATHS)}|{_ends_with_extension(popular_extensions or POPULAR_EXTENSION_SET)}"
     return (
         F.when(F.contains(path, F.lit("/.git/")), V.GIT_INTERNAL)
-        .when(_contains_any(path, V.MEDIA_PATHS + V.DOC_PATHS), V.DOC)
-        .when(ext.isin(V.DOC_EXTENSIONS) | root_name(base).isin(V.DOC_NAMES), V.DOC)
-        .when(_contains_any(path, V.TEST_PATHS), V.TEST)
-        .when(_contains_any(path, V.SOURCE_PATHS), V.SRC)
-        .when(ext.isin(popular_extensions or POPULAR_EXTENSION_SET), V.SRC)
+        .when(F.rlike(path, F.lit(_DOC)), V.DOC)
+        .when(F.rlike(path, F.lit(_any_of(V.TEST_PATHS))), V.TEST)
+        .when(F.rlike(path, F.lit(source)), V.SRC)
         .otherwise(V.CFG_BUILD_OTHER)
     )
 

@@ -29,6 +29,11 @@ def fresh_path(spark: SparkSession, label: str) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` reliably and cut its lineage."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as a Parquet table in the shared folder and go on from there.
+
+    Cuts lineage like a reliable checkpoint; lost executors cost no
+    recomputation, and later steps read only the columns they need.
+    """
+    path = fresh_path(df.sparkSession, "settled")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -345,7 +345,9 @@ STATEMENTS = {
     "issue_links": _LINK_ROWS,
     "native_roundtrip": _LINK_ROWS,
     "fixing_commits": "select slug, sha from o_fixes",
-    "pending_issues": "select slug, number from vw_issues except select slug, number from o_mentions",
+    "pending_issues": """
+        select slug, number from vw_issues
+        except select slug, issue_number from o_links where delta_open > 0 and delta_closed <= 0""",
     "commit_facts": "select * exclude (ts), strftime(ts, '%Y-%m-%d %H:%M:%S') as ts from o_facts",
     "commit_files": "select slug, sha, patch_pos, file as commit_file, loc_ins, loc_del, lang from o_files",
     "commit_file_lists": """
@@ -389,12 +391,12 @@ STATEMENTS = {
     "alias_validity": f"select cluster, members, real_members, real_emails, rep, {_ALL_RULES}, valid from o_groups",
     "alias_map": "select uid, rep from o_alias_map",
     "alias_members": f"""
-        select c.cluster, valid, rep, c.uid, name, coalesce(email, {_NONE}) as email
+        select c.cluster, valid, rep, c.uid, name, coalesce(i.email, {_NONE}) as email
         from o_clusters c join o_groups g on c.cluster = g.cluster join o_ids i on c.uid = i.uid""",
     "alias_shared_email": f"""
-        select c.cluster, coalesce(email, {_NONE}) as email, count(*) as members, min(c.uid) as rep
+        select c.cluster, coalesce(i.email, {_NONE}) as email, count(*) as members, min(c.uid) as rep
         from o_clusters c join o_groups g on c.cluster = g.cluster join o_ids i on c.uid = i.uid
-        where not valid and "EMAIL" > 0 group by c.cluster, email having count(*) > 1""",
+        where not valid and g."EMAIL" > 0 group by c.cluster, i.email having count(*) > 1""",
     "cross_references": f"""
         select slug, translate(token, '()[]', '') as ref, type from (
           select slug, 'commit' as type, unnest({_TOKENS.format('message')}) as token from vw_commits

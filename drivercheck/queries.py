@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,57 +30,60 @@ def _as_text(moment: str) -> Column:
 
 
 # Inputs shared by several queries -------------------------------------------------
+# What is kept between calls is the plan of an input, never its rows.
 
 
 def _commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "vw_commits")
 
 
+@lru_cache(maxsize=None)
 def _issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = links.latest_issues(view(spark, sf_dir, "vw_issues"), "version")
     return known.withColumn("labels", text.split_list(F.col("labels")))
 
 
+@lru_cache(maxsize=None)
 def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.issue_links(_commits(spark, sf_dir), _issues(spark, sf_dir))
 
 
+@lru_cache(maxsize=None)
 def _fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.fixing_commits(_links(spark, sf_dir), _issues(spark, sf_dir))
 
 
+@lru_cache(maxsize=None)
 def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "vw_file_changes").drop("ts", "l_orderkey", "l_partkey", "qty")
 
 
+@lru_cache(maxsize=None)
 def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.commit_facts(_commits(spark, sf_dir), _changes(spark, sf_dir))
 
 
-def _origins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return origins.plausible_origins(_facts(spark, sf_dir))
-
-
+@lru_cache(maxsize=None)
 def _removed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return origins.removed_lines(_fixes(spark, sf_dir), view(spark, sf_dir, "vw_diff_lines"))
 
 
+@lru_cache(maxsize=None)
 def _blamed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return origins.lines_with_origin(_removed(spark, sf_dir), view(spark, sf_dir, "vw_blame_hunks"))
 
 
-def _blames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return origins.bug_origins(_blamed_lines(spark, sf_dir), _origins(spark, sf_dir))
+def _blames(spark: SparkSession, sf_dir: str, facts: DataFrame) -> DataFrame:
+    return origins.bug_origins(_blamed_lines(spark, sf_dir), origins.plausible_origins(facts))
 
 
-def _induced(spark: SparkSession, sf_dir: str, alias_map: DataFrame | None = None) -> DataFrame:
-    commits = _commits(spark, sf_dir)
+def _induced(spark: SparkSession, sf_dir: str, facts: DataFrame, alias_map: DataFrame) -> DataFrame:
     return activity.induced_bugs(
-        _blames(spark, sf_dir),
-        commits,
+        _blames(spark, sf_dir, facts),
+        facts,
         _links(spark, sf_dir),
-        changes.contributors(commits),
-        alias_map if alias_map is not None else view(spark, sf_dir, "vw_aliases"),
+        changes.contributors(_commits(spark, sf_dir)),
+        alias_map,
     )
 
 
@@ -165,8 +169,8 @@ def fixing_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def pending_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = view(spark, sf_dir, "vw_issues").select("slug", "number")
-    mentioned = links.issue_mentions(_commits(spark, sf_dir)).select("slug", "number")
-    return links.pending_issues(wanted, mentioned)
+    worked_on = _links(spark, sf_dir).filter("delta_open > 0 and delta_closed <= 0")
+    return links.pending_issues(wanted, worked_on.select("slug", F.col("issue_number").alias("number")))
 
 
 # Commits, files, people -----------------------------------------------------------
@@ -207,13 +211,13 @@ def contributor_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def bug_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _blames(spark, sf_dir)
+    return _blames(spark, sf_dir, _facts(spark, sf_dir))
 
 
 @query
 def bug_origins_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
     times_ = _commits(spark, sf_dir).select("slug", "sha", F.col("ts").alias("committed_at"))
-    return origins.bug_origins_compat(_blamed_lines(spark, sf_dir), _origins(spark, sf_dir), times_)
+    return origins.bug_origins_compat(_blamed_lines(spark, sf_dir), origins.plausible_origins(_facts(spark, sf_dir)), times_)
 
 
 @query
@@ -224,7 +228,7 @@ def bug_origins_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
         _commits(spark, sf_dir).select("slug", "sha", "ts"),
         added.select("slug", F.col("new_path").alias("path"), "content", "sha", "ts"),
     )
-    return origins.bug_origins(lines, _origins(spark, sf_dir))
+    return origins.bug_origins(lines, origins.plausible_origins(_facts(spark, sf_dir)))
 
 
 # Identities -----------------------------------------------------------------------
@@ -297,19 +301,26 @@ def cross_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def induced_bugs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _induced(spark, sf_dir)
+    return _induced(spark, sf_dir, _facts(spark, sf_dir), view(spark, sf_dir, "vw_aliases"))
 
 
 @query
 def induced_bugs_per_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return activity.induced_bugs_per_commit(_induced(spark, sf_dir))
+    return activity.induced_bugs_per_commit(
+        _induced(spark, sf_dir, _facts(spark, sf_dir), view(spark, sf_dir, "vw_aliases"))
+    )
+
+
+def _report_inputs(spark: SparkSession, sf_dir: str, alias_map: DataFrame | None = None) -> tuple[DataFrame, ...]:
+    """Facts, changes, induced bugs, aliases; what the report reads repeatedly is settled first."""
+    facts = settle(_facts(spark, sf_dir))
+    alias_map = view(spark, sf_dir, "vw_aliases") if alias_map is None else alias_map
+    induced = settle(_induced(spark, sf_dir, facts, alias_map))
+    return facts, _changes(spark, sf_dir), induced, alias_map
 
 
 def _project_report(spark: SparkSession, sf_dir: str, period: str) -> DataFrame:
-    return activity.activity_by_project(
-        _facts(spark, sf_dir), _changes(spark, sf_dir), _induced(spark, sf_dir),
-        view(spark, sf_dir, "vw_aliases"), period,
-    )
+    return activity.activity_by_project(*_report_inputs(spark, sf_dir), period)
 
 
 def _day_as_text(report: DataFrame) -> DataFrame:
@@ -323,10 +334,7 @@ def activity_by_project(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def activity_by_project_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    report = activity.activity_by_project_compat(
-        _facts(spark, sf_dir), _changes(spark, sf_dir), _induced(spark, sf_dir), view(spark, sf_dir, "vw_aliases")
-    )
-    return _day_as_text(report)
+    return _day_as_text(activity.activity_by_project_compat(*_report_inputs(spark, sf_dir)))
 
 
 @query
@@ -359,10 +367,7 @@ def activity_by_language_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
 def activity_whole_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links, fixes, origins, identities and the daily report in one go."""
     resolved = settle(_resolution(spark, sf_dir).map())
-    report = activity.activity_by_project(
-        _facts(spark, sf_dir), _changes(spark, sf_dir), _induced(spark, sf_dir, resolved), resolved
-    )
-    return _day_as_text(report)
+    return _day_as_text(activity.activity_by_project(*_report_inputs(spark, sf_dir, resolved)))
 
 
 # Ingest and files -----------------------------------------------------------------

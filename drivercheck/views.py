@@ -11,6 +11,7 @@ address that a fixed share of all people use.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -168,8 +169,9 @@ def with_views(sql: str, views: dict[str, str], tables: dict[str, str] | None =
     return f"with {heads}\n{sql}"
 
 
+@lru_cache(maxsize=None)
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A view over the Parquet tables of a folder."""
+    """A view over the Parquet tables of a folder; only its plan is kept, never rows."""
     tables = {t: f"select * from parquet.`{sf_dir}/{t}.parquet`" for t in TABLES}
     return spark.sql(with_views(f"select * from {name}", SPARK_VIEWS, tables))
 
