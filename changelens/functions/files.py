@@ -15,42 +15,63 @@ POPULAR_EXTENSION_SET = sorted({ext for exts in V.POPULAR_EXTENSIONS.values() fo
 _COMMENT_LINE = r"\A[ \t]*(?:#|\\\*|\*\*|//|/\*|\z)"
 
 
-def _any_of(parts: Iterable[str]) -> str:
-    return "|".join(re.escape(part) for part in parts)
+def _shared_heads(parts: Iterable[str]) -> str:
+    """Pattern for any of the parts that branches character by character.
+
+    At most positions of a path it fails on the first character, whereas a
+    plain alternation tries every part.
+    """
+    tails: dict[str, list[str]] = {}
+    for part in parts:
+        tails.setdefault(part[0], []).append(part[1:])
+    branches = []
+    for head, rest in tails.items():
+        longer = [tail for tail in rest if tail]
+        branch = _shared_heads(longer) if longer else ""
+        ends_here = len(longer) < len(rest)
+        branches.append(re.escape(head) + (f"(?:{branch})?" if branch and ends_here else branch))
+    return branches[0] if len(branches) == 1 else f"(?:{'|'.join(branches)})"
+
+
+def _contains_any(text: Column, parts: list[str]) -> Column:
+    """Whether any part occurs; one scan, and short generated code where labels meet in one plan."""
+    first = "".join(sorted({re.escape(part[0]) for part in parts}))
+    return F.rlike(text, F.lit(f"(?=[{first}]){_shared_heads(parts)}"))
+
+
+def _last_name(inner: str) -> str:
+    """Pattern for a whole base name, tried only where a path segment starts."""
+    return rf"(?:\A|/)(?:{inner})\z"
 
 
-def _ends_with_extension(extensions: Iterable[str]) -> str:
-    """Pattern for a base name with one of the extensions.
+def _with_extension(extensions: Iterable[str]) -> str:
+    """Base names with one of the extensions.
 
     Something other than a dot has to precede the last dot.  An extension
     with a dot inside is never the last dotted part, so it cannot match.
     """
     last_parts = [ext[1:] for ext in extensions if "." not in ext[1:]]
-    return rf"(?:\A|/)\.*[^./][^/]*\.(?:{_any_of(last_parts)})\z"
+    return rf"\.*[^./][^/]*\.{_shared_heads(last_parts)}"
 
 
-_DOC = "|".join(
-    [
-        _any_of(V.MEDIA_PATHS + V.DOC_PATHS),
-        _ends_with_extension(V.DOC_EXTENSIONS),
-        rf"(?:\A|/)(?:{_any_of(V.DOC_NAMES)})(?:\.[^./]*)?\z",
-    ]
-)
+_DOC_NAME = _last_name(rf"{_with_extension(V.DOC_EXTENSIONS)}|{_shared_heads(V.DOC_NAMES)}(?:\.[^./]*)?")
 
 
 def file_label(path: Column, popular_extensions: list[str] | None = None) -> Column:
     """Role of a file, by the first rule that applies.
 
     Path rules look for a part of the path exactly as it is passed in, case
-    and leading slash included.  Each rule is one pattern, which keeps the
-    generated code short where several labels meet in one plan.
+    and leading slash included.  Every rule names ``path`` once, so that a
+    computed path stays cheap to plan.
     """
-    source = f"{_any_of(V.SOURCE_PATHS)}|{_ends_with_extension(popular_extensions or POPULAR_EXTENSION_SET)}"
+    popular = _last_name(_with_extension(popular_extensions or POPULAR_EXTENSION_SET))
     return (
         F.when(F.contains(path, F.lit("/.git/")), V.GIT_INTERNAL)
-        .when(F.rlike(path, F.lit(_DOC)), V.DOC)
-        .when(F.rlike(path, F.lit(_any_of(V.TEST_PATHS))), V.TEST)
-        .when(F.rlike(path, F.lit(source)), V.SRC)
+        .when(_contains_any(path, V.MEDIA_PATHS + V.DOC_PATHS), V.DOC)
+        .when(F.rlike(path, F.lit(_DOC_NAME)), V.DOC)
+        .when(_contains_any(path, V.TEST_PATHS), V.TEST)
+        .when(_contains_any(path, V.SOURCE_PATHS), V.SRC)
+        .when(F.rlike(path, F.lit(popular)), V.SRC)
         .otherwise(V.CFG_BUILD_OTHER)
     )
 

@@ -65,18 +65,21 @@ VIEWS = {
     "vw_line": """
         select l_orderkey, l_linenumber, max(l_partkey) as l_partkey, sum(cast(l_quantity as int)) as qty
         from lineitem group by l_orderkey, l_linenumber""",
+    # Grouping makes the path a value of its own; else every filter on it would spell it out again.
+    "vw_file": """
+        select p_partkey, max(concat(case p_partkey % 6 when 0 then 'src' when 1 then 'docs' when 2 then 'test' when 3 then 'lib'
+              when 4 then 'app/media' else 'app/src' end,
+            '/', replace(p_name, ' ', '_'), p_partkey % 3,
+            case p_partkey % 9 when 0 then '.py' when 1 then '.java' when 2 then '.md' when 3 then '.h' when 4 then '.rb'
+              when 5 then '.cfg' when 6 then '.c' when 7 then '.txt' else '' end)) as path
+        from part group by p_partkey""",
     "vw_file_changes": """
         select c.slug, c.sha, c.ts, l_linenumber as patch_pos, path as old_path, path as new_path, is_binary,
           cast(case when is_binary then 0 else qty end as bigint) as loc_ins,
           cast(case when is_binary then 0 else -l_linenumber end as bigint) as loc_del,
           l_orderkey, l_partkey, cast(qty as int) as qty
-        from (select l_orderkey, l_linenumber, l_partkey, qty, l_partkey % 23 = 0 as is_binary,
-            concat(case p_partkey % 6 when 0 then 'src' when 1 then 'docs' when 2 then 'test' when 3 then 'lib'
-                     when 4 then 'app/media' else 'app/src' end,
-              '/', replace(p_name, ' ', '_'), l_partkey % 3,
-              case l_partkey % 9 when 0 then '.py' when 1 then '.java' when 2 then '.md' when 3 then '.h' when 4 then '.rb'
-                when 5 then '.cfg' when 6 then '.c' when 7 then '.txt' else '' end) as path
-          from vw_line join part on l_partkey = p_partkey) l
+        from (select l_orderkey, l_linenumber, l_partkey, qty, l_partkey % 23 = 0 as is_binary, path
+          from vw_line join vw_file on l_partkey = p_partkey) l
         join vw_commits c on l_orderkey = c.o_orderkey""",
     "vw_issues": f"""
         select {_project('event_id')} as slug, {_group('event_id', 50)} as number, event_id as version,
