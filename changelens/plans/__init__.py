@@ -1,0 +1 @@
+"""Whole runs: from input tables to written result tables."""
