@@ -22,10 +22,11 @@ def mentioned_issues(line: Column) -> Column:
 
     ``#n`` needs a preceding character, so it does not count at the start of a line.
     """
-    digits = F.concat(
-        F.regexp_extract_all(line, F.lit(HASH_MENTION), F.lit(1)),
-        F.regexp_extract_all(line, F.lit(GH_MENTION), F.lit(1)),
-    )
+    def digits_after(mark: str, pattern: str) -> Column:
+        found = F.regexp_extract_all(line, F.lit(pattern), F.lit(1))
+        return F.when(F.contains(line, F.lit(mark)), found).otherwise(F.array().cast("array<string>"))
+
+    digits = F.concat(digits_after("#", HASH_MENTION), digits_after("GH-", GH_MENTION))
     numbers = F.transform(digits, lambda d: d.try_cast("bigint"))
     return F.array_sort(F.array_distinct(F.array_compact(numbers)))
 

@@ -22,7 +22,8 @@ def with_parents(commits: DataFrame) -> DataFrame:
 def issue_mentions(commits: DataFrame) -> DataFrame:
     """``(slug, sha, ts, line_num, number)``: issues named in each message line, lines counted from 1."""
     lines = commits.select("slug", "sha", "ts", F.posexplode(F.split("message", "\n")).alias("_at", "_line"))
-    return lines.select(
+    may_mention = F.contains("_line", F.lit("#")) | F.contains("_line", F.lit("GH-"))
+    return lines.filter(may_mention).select(
         "slug", "sha", "ts", (F.col("_at") + 1).alias("line_num"), F.explode(mentioned_issues(F.col("_line"))).alias("number")
     )
 

@@ -28,12 +28,17 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def settle_at(df: DataFrame) -> str:
+    """Write ``df`` as a Parquet table in the shared folder and tell where."""
+    path = fresh_path(df.sparkSession, "settled")
+    df.write.parquet(path)
+    return path
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and go on from there.
 
     Cuts lineage like a reliable checkpoint; lost executors cost no
     recomputation, and later steps read only the columns they need.
     """
-    path = fresh_path(df.sparkSession, "settled")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(settle_at(df))

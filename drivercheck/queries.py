@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import lru_cache
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +13,7 @@ from changelens.operators import activity, aliases, changes, ingest, links, orig
 from changelens.operators.classify import classify_files, guess_language, label_lines
 from changelens.scratch import fresh_path, settle
 from changelens.sources import csv_tables, diff_text, tables
-from drivercheck.views import view
+from drivercheck.views import WrittenHistory, view
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -30,61 +30,85 @@ def _as_text(moment: str) -> Column:
 
 
 # Inputs shared by several queries -------------------------------------------------
-# What is kept between calls is the plan of an input, never its rows.
 
 
-def _commits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, "vw_commits")
+class Steps:
+    """Lazily derived inputs of one query, from views that are named but not run here."""
 
+    def __init__(self, named: Callable[[str], DataFrame]):
+        self.named = named
 
-@lru_cache(maxsize=None)
-def _issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = links.latest_issues(view(spark, sf_dir, "vw_issues"), "version")
-    return known.withColumn("labels", text.split_list(F.col("labels")))
+    @cached_property
+    def commits(self) -> DataFrame:
+        return self.named("vw_commits")
 
+    @cached_property
+    def issues(self) -> DataFrame:
+        known = links.latest_issues(self.named("vw_issues"), "version")
+        return known.withColumn("labels", text.split_list(F.col("labels")))
 
-@lru_cache(maxsize=None)
-def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return links.issue_links(_commits(spark, sf_dir), _issues(spark, sf_dir))
+    @cached_property
+    def links(self) -> DataFrame:
+        return links.issue_links(self.commits, self.issues)
 
+    @cached_property
+    def fixes(self) -> DataFrame:
+        return links.fixing_commits(self.links, self.issues)
 
-@lru_cache(maxsize=None)
-def _fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return links.fixing_commits(_links(spark, sf_dir), _issues(spark, sf_dir))
+    @cached_property
+    def changes(self) -> DataFrame:
+        return self.named("vw_file_changes").drop("ts", "l_orderkey", "l_partkey", "qty")
 
+    @cached_property
+    def facts(self) -> DataFrame:
+        return changes.commit_facts(self.commits, self.changes)
 
-@lru_cache(maxsize=None)
-def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, "vw_file_changes").drop("ts", "l_orderkey", "l_partkey", "qty")
+    @cached_property
+    def diff_lines(self) -> DataFrame:
+        return self.named("vw_diff_lines")
 
+    @cached_property
+    def removed(self) -> DataFrame:
+        return origins.removed_lines(self.fixes, self.diff_lines)
 
-@lru_cache(maxsize=None)
-def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return changes.commit_facts(_commits(spark, sf_dir), _changes(spark, sf_dir))
+    @cached_property
+    def blamed_lines(self) -> DataFrame:
+        return origins.lines_with_origin(self.removed, self.named("vw_blame_hunks"))
 
+    @cached_property
+    def plausible(self) -> DataFrame:
+        return origins.plausible_origins(self.facts)
 
-@lru_cache(maxsize=None)
-def _removed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return origins.removed_lines(_fixes(spark, sf_dir), view(spark, sf_dir, "vw_diff_lines"))
+    @cached_property
+    def blames(self) -> DataFrame:
+        return origins.bug_origins(self.blamed_lines, self.plausible)
 
+    @cached_property
+    def aliases(self) -> DataFrame:
+        return self.named("vw_aliases")
 
-@lru_cache(maxsize=None)
-def _blamed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return origins.lines_with_origin(_removed(spark, sf_dir), view(spark, sf_dir, "vw_blame_hunks"))
+    @cached_property
+    def induced(self) -> DataFrame:
+        people_ = changes.contributors(self.commits)
+        return activity.induced_bugs(self.blames, self.facts, self.links, people_, self.aliases)
 
 
-def _blames(spark: SparkSession, sf_dir: str, facts: DataFrame) -> DataFrame:
-    return origins.bug_origins(_blamed_lines(spark, sf_dir), origins.plausible_origins(facts))
+def _given(spark: SparkSession, sf_dir: str) -> Steps:
+    """Straight from the given tables."""
+    return Steps(lambda name: view(spark, sf_dir, name))
 
 
-def _induced(spark: SparkSession, sf_dir: str, facts: DataFrame, alias_map: DataFrame) -> DataFrame:
-    return activity.induced_bugs(
-        _blames(spark, sf_dir, facts),
-        facts,
-        _links(spark, sf_dir),
-        changes.contributors(_commits(spark, sf_dir)),
-        alias_map,
-    )
+def _written(spark: SparkSession, sf_dir: str) -> Steps:
+    """With commits and file changes written once, for queries of many steps."""
+    return Steps(WrittenHistory(spark, sf_dir).view)
+
+
+def _report_inputs(steps: Steps) -> tuple[DataFrame, ...]:
+    """Facts, changes, induced bugs, aliases; what a report reads repeatedly is settled first."""
+    steps.facts = settle(steps.facts)
+    steps.aliases = settle(steps.aliases)
+    steps.induced = settle(steps.induced)
+    return steps.facts, steps.changes, steps.induced, steps.aliases
 
 
 def _resolution(spark: SparkSession, sf_dir: str) -> aliases.AliasResolution:
@@ -99,7 +123,7 @@ def slug_folder_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     slug = F.col("slug")
     folder = text.slug_to_folder(slug)
     return (
-        _commits(spark, sf_dir)
+        _given(spark, sf_dir).commits
         .groupBy(slug)
         .agg(F.count("*").alias("num_commits"))
         .select(
@@ -114,7 +138,7 @@ def slug_folder_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def file_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labelled = classify_files(_changes(spark, sf_dir), "new_path", "label")
+    labelled = classify_files(_given(spark, sf_dir).changes, "new_path", "label")
     base = text.last_segment(F.col("new_path"))
     return labelled.select(
         "sha", "patch_pos", "new_path", base.alias("base"), text.extension(base).alias("ext"),
@@ -124,7 +148,7 @@ def file_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def file_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = _changes(spark, sf_dir).select("sha", "patch_pos", text.last_segment(F.col("new_path")).alias("file"))
+    files = _given(spark, sf_dir).changes.select("sha", "patch_pos", text.last_segment(F.col("new_path")).alias("file"))
     return guess_language(files, "file", "language")
 
 
@@ -141,7 +165,7 @@ def line_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def period_indexes(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = times.commit_day(F.col("ts"))
-    return _commits(spark, sf_dir).select(
+    return _given(spark, sf_dir).commits.select(
         "sha", day.cast("string").alias("day"),
         times.period_index(day, "week").alias("week"), times.period_index(day, "month").alias("month"),
     )
@@ -152,24 +176,24 @@ def period_indexes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def issue_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return links.issue_mentions(links.with_parents(_commits(spark, sf_dir))).drop("ts")
+    return links.issue_mentions(links.with_parents(_given(spark, sf_dir).commits)).drop("ts")
 
 
 @query
 def issue_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     # An issue that was never closed has no second difference; -1 stands for that here.
-    return _links(spark, sf_dir).withColumn("delta_closed", F.coalesce("delta_closed", F.lit(-1.0)))
+    return _given(spark, sf_dir).links.withColumn("delta_closed", F.coalesce("delta_closed", F.lit(-1.0)))
 
 
 @query
 def fixing_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _fixes(spark, sf_dir)
+    return _given(spark, sf_dir).fixes
 
 
 @query
 def pending_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = view(spark, sf_dir, "vw_issues").select("slug", "number")
-    worked_on = _links(spark, sf_dir).filter("delta_open > 0 and delta_closed <= 0")
+    worked_on = _given(spark, sf_dir).links.filter("delta_open > 0 and delta_closed <= 0")
     return links.pending_issues(wanted, worked_on.select("slug", F.col("issue_number").alias("number")))
 
 
@@ -178,18 +202,18 @@ def pending_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def commit_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = _facts(spark, sf_dir)
+    facts = _given(spark, sf_dir).facts
     return facts.select(*[c for c in facts.columns if c != "ts"], _as_text("ts"))
 
 
 @query
 def commit_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return changes.commit_files(_changes(spark, sf_dir))
+    return changes.commit_files(_given(spark, sf_dir).changes)
 
 
 @query
 def commit_file_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lists = changes.commit_file_lists(_changes(spark, sf_dir))
+    lists = changes.commit_file_lists(_given(spark, sf_dir).changes)
     return lists.select(
         "slug", "sha", "part", text.join_list(F.col("files")).alias("files"),
         text.join_list(F.col("src_files")).alias("src_files"),
@@ -203,7 +227,7 @@ def file_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def contributor_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return changes.contributors(_commits(spark, sf_dir))
+    return changes.contributors(_given(spark, sf_dir).commits)
 
 
 # Origins --------------------------------------------------------------------------
@@ -211,24 +235,26 @@ def contributor_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def bug_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _blames(spark, sf_dir, _facts(spark, sf_dir))
+    return _written(spark, sf_dir).blames
 
 
 @query
 def bug_origins_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    times_ = _commits(spark, sf_dir).select("slug", "sha", F.col("ts").alias("committed_at"))
-    return origins.bug_origins_compat(_blamed_lines(spark, sf_dir), origins.plausible_origins(_facts(spark, sf_dir)), times_)
+    steps = _written(spark, sf_dir)
+    when = steps.commits.select("slug", "sha", F.col("ts").alias("committed_at"))
+    return origins.bug_origins_compat(steps.blamed_lines, steps.plausible, when)
 
 
 @query
 def bug_origins_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    added = view(spark, sf_dir, "vw_diff_lines").filter("origin = '+'")
+    steps = _written(spark, sf_dir)
+    added = steps.diff_lines.filter("origin = '+'")
     lines = origins.lines_with_latest_addition(
-        _removed(spark, sf_dir),
-        _commits(spark, sf_dir).select("slug", "sha", "ts"),
+        steps.removed,
+        steps.commits.select("slug", "sha", "ts"),
         added.select("slug", F.col("new_path").alias("path"), "content", "sha", "ts"),
     )
-    return origins.bug_origins(lines, origins.plausible_origins(_facts(spark, sf_dir)))
+    return origins.bug_origins(lines, steps.plausible)
 
 
 # Identities -----------------------------------------------------------------------
@@ -293,7 +319,7 @@ def alias_shared_email(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def cross_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return references.cross_references(_commits(spark, sf_dir), view(spark, sf_dir, "vw_comments"))
+    return references.cross_references(_given(spark, sf_dir).commits, view(spark, sf_dir, "vw_comments"))
 
 
 # Reports --------------------------------------------------------------------------
@@ -301,26 +327,16 @@ def cross_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def induced_bugs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _induced(spark, sf_dir, _facts(spark, sf_dir), view(spark, sf_dir, "vw_aliases"))
+    return _written(spark, sf_dir).induced
 
 
 @query
 def induced_bugs_per_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return activity.induced_bugs_per_commit(
-        _induced(spark, sf_dir, _facts(spark, sf_dir), view(spark, sf_dir, "vw_aliases"))
-    )
-
-
-def _report_inputs(spark: SparkSession, sf_dir: str, alias_map: DataFrame | None = None) -> tuple[DataFrame, ...]:
-    """Facts, changes, induced bugs, aliases; what the report reads repeatedly is settled first."""
-    facts = settle(_facts(spark, sf_dir))
-    alias_map = view(spark, sf_dir, "vw_aliases") if alias_map is None else alias_map
-    induced = settle(_induced(spark, sf_dir, facts, alias_map))
-    return facts, _changes(spark, sf_dir), induced, alias_map
+    return activity.induced_bugs_per_commit(_written(spark, sf_dir).induced)
 
 
 def _project_report(spark: SparkSession, sf_dir: str, period: str) -> DataFrame:
-    return activity.activity_by_project(*_report_inputs(spark, sf_dir), period)
+    return activity.activity_by_project(*_report_inputs(_written(spark, sf_dir)), period)
 
 
 def _day_as_text(report: DataFrame) -> DataFrame:
@@ -334,7 +350,7 @@ def activity_by_project(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def activity_by_project_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _day_as_text(activity.activity_by_project_compat(*_report_inputs(spark, sf_dir)))
+    return _day_as_text(activity.activity_by_project_compat(*_report_inputs(_written(spark, sf_dir))))
 
 
 @query
@@ -348,9 +364,8 @@ def activity_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _language_report(spark: SparkSession, sf_dir: str, period: str) -> DataFrame:
-    return activity.activity_by_language(
-        _facts(spark, sf_dir), _changes(spark, sf_dir), view(spark, sf_dir, "vw_aliases"), period
-    )
+    steps = _given(spark, sf_dir)
+    return activity.activity_by_language(steps.facts, steps.changes, steps.aliases, period)
 
 
 @query
@@ -366,8 +381,9 @@ def activity_by_language_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def activity_whole_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links, fixes, origins, identities and the daily report in one go."""
-    resolved = settle(_resolution(spark, sf_dir).map())
-    return _day_as_text(activity.activity_by_project(*_report_inputs(spark, sf_dir, resolved)))
+    steps = _written(spark, sf_dir)
+    steps.aliases = _resolution(spark, sf_dir).map()
+    return _day_as_text(activity.activity_by_project(*_report_inputs(steps)))
 
 
 # Ingest and files -----------------------------------------------------------------
@@ -488,6 +504,6 @@ def delimited_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def native_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Issue links through the native partitioned table and back."""
     folder = fresh_path(spark, "native")
-    tables.write_native(_links(spark, sf_dir), folder, "issue_links")
+    tables.write_native(_given(spark, sf_dir).links, folder, "issue_links")
     back = tables.read_native(spark, folder, "issue_links")
     return back.withColumn("delta_closed", F.coalesce("delta_closed", F.lit(-1.0)))
