@@ -44,6 +44,19 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str, limit: int = 4 << 20) -
                 yield batch.slice(start, end - start)
 
 
+def blocks(batches: Iterator[pa.RecordBatch], text: str, limit: int) -> Iterator[pa.RecordBatch]:
+    """Join neighbouring slices into blocks of about ``limit`` bytes of text."""
+    held, size = [], 0
+    for piece in pieces(batches, text, limit):
+        held.append(piece)
+        size += pc.sum(pc.binary_length(piece.column(text))).as_py() or 0
+        if size >= limit:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def starts_of(lengths: np.ndarray) -> np.ndarray:
     """Start of each run when runs of these lengths lie one after the other."""
     return np.cumsum(lengths) - lengths

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from changelens.llm import decontaminate, quality_rules, simhash
+from changelens.llm import decontaminate, lm_bloom, quality_rules, simhash
 from changelens.llm.common import table
 
 
@@ -23,8 +23,13 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_lm_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_bloom.score(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op5_quality_rules": op5_quality_rules,
     "op8_decontamination": op8_decontamination,
     "op9_simhash": op9_simhash,
+    "op10_lm_bloom": op10_lm_bloom,
 }
