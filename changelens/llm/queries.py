@@ -4,10 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from changelens.llm import decontaminate, lm_bloom, quality_rules, simhash
+from changelens.llm import decontaminate, lm_bloom, packing, quality_rules, simhash
 from changelens.llm.common import table
 
 
+def vocabulary() -> str:
+    """Place of the public byte-level BPE vocabulary; the same on every worker."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     contract = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
@@ -27,8 +34,13 @@ def op10_lm_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_bloom.score(table(spark, sf_dir, "documents"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary(), with_ids=False)
+
+
 QUERIES = {
     "op5_quality_rules": op5_quality_rules,
+    "op6_packing": op6_packing,
     "op8_decontamination": op8_decontamination,
     "op9_simhash": op9_simhash,
     "op10_lm_bloom": op10_lm_bloom,
