@@ -45,3 +45,12 @@ class Bitmap:
             return pd.Series(np.frombuffer(sent.value, np.uint8)[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1)
 
         return held(F.pmod(key, F.lit(BITS)))
+
+
+def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose doc_id is not in ``dropped`` (one column; null is an id like any other).  Only
+    rows that the bitmap cannot acquit are shuffled."""
+    gone = dropped.toDF("gone_id")
+    may_go = Bitmap(gone, F.xxhash64("gone_id")).may_hold(F.xxhash64(docs["doc_id"]))
+    decided = docs.filter(may_go).join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]), "left_anti")
+    return docs.filter(~may_go).unionByName(decided)

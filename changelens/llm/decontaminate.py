@@ -25,7 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from changelens.llm.bitmap import without
 from changelens.llm.common import pieces, raw_texts, starts_of
+from changelens.scratch import settle
 
 WINDOW = 13
 BLOCK_WORDS = 2_000_000
@@ -205,6 +207,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
-    """The rows of ``docs`` without the contaminated documents; all columns stay."""
-    bad = contamination(docs, benchmark, **settings).filter("contaminated").select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_id"]), "left_anti")
+    """The rows of ``docs`` without the documents of which a row is contaminated; all columns stay."""
+    return without(docs, settle(contamination(docs, benchmark, **settings).filter("contaminated").select("doc_id").distinct()))

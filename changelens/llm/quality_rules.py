@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from changelens.llm.bitmap import without
 from changelens.llm.common import bounded_sample, pieces, raw_texts, starts_of
 from changelens.scratch import settle
 
@@ -278,6 +279,5 @@ def judge(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
 
 
 def drop_rejected(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
-    """The rows of ``docs`` whose document is kept; all columns stay."""
-    bad = judge(docs, labels, **settings).filter("NOT kept").select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_id"]), "left_anti")
+    """The rows of ``docs`` without the documents of which a row is rejected; all columns stay."""
+    return without(docs, settle(judge(docs, labels, **settings).filter("NOT kept").select("doc_id").distinct()))

@@ -16,7 +16,7 @@ def vocabulary() -> str:
 
 
 def op1_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.cut_repeats(table(spark, sf_dir, "documents"))
+    return suffix_dedup.cut_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

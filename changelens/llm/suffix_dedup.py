@@ -230,15 +230,22 @@ def _cut(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.Recor
 
 
 def cut_repeats(docs: DataFrame, min_words: int = MIN_WORDS, anchor: int = ANCHOR) -> DataFrame:
-    """doc_id and text of every row after cutting, with ``cut_words`` (how many) and ``cut_spans`` (from
-    which word up to which)."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    """Every row with its text after cutting, with ``cut_words`` (how many) and ``cut_spans`` (from which
+    word up to which); input columns of these two names are replaced."""
+    docs = docs.drop("cut_words", "cut_spans")
+    order = docs.columns
+    inner = {c: c if c in ("doc_id", "text") else f"other_{i}" for i, c in enumerate(order)}
+    docs = docs.toDF(*inner.values())
     found = settle(repeated_windows(docs, min_words, anchor))
-    keyed = _keyed(docs)
+    keyed = docs.withColumn("text_key", F.xxhash64("text"))
     held = Bitmap(found, _document()).may_hold(_document())
     mine = found.select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), "starts", "whole")
-    touched = keyed.filter(held).join(mine, keyed["doc_id"].eqNullSafe(mine["d"]) & (keyed["text_key"] == mine["k"]), "left").select("doc_id", "text", "starts", "whole")
+    same = keyed["doc_id"].eqNullSafe(mine["d"]) & (keyed["text_key"] == mine["k"])
+    touched = keyed.filter(held).join(mine, same, "left").drop("d", "k", "text_key")
     spans = "array<struct<start:int,end:int>>"
-    changed = touched.mapInArrow(lambda b: _cut(b, min_words), f"doc_id {kind}, text string, cut_words long, cut_spans {spans}")
-    untouched = keyed.filter(~held).select("doc_id", "text", F.lit(0).cast("long").alias("cut_words"), F.array().cast(spans).alias("cut_spans"))
-    return changed.unionByName(untouched)
+    rest = [f for f in docs.schema.fields if f.name != "text"]
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rest), f"text string, cut_words long, cut_spans {spans}"])
+    changed = touched.mapInArrow(lambda b: _cut(b, min_words), schema)
+    untouched = keyed.filter(~held).drop("text_key").withColumns({"cut_words": F.lit(0).cast("long"), "cut_spans": F.array().cast(spans)})
+    outer = [F.col(inner[c]).alias(c) for c in order]
+    return changed.unionByName(untouched).select(*outer, "cut_words", "cut_spans")
