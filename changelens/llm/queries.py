@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from changelens.llm import decontaminate, lm_bloom, packing, quality_rules, simhash, suffix_dedup
+from changelens.llm import decontaminate, language_kernel, lm_bloom, packing, quality_rules, simhash, suffix_dedup
 from changelens.llm.common import table
 
 
+def op3_language_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_kernel.identify(table(spark, sf_dir, "documents"))
+
+
 def vocabulary() -> str:
     """Place of the public byte-level BPE vocabulary; the same on every worker."""
     import public_tokenizers
@@ -44,6 +48,7 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_suffix_array": op1_suffix_array,
+    "op3_language_kernel": op3_language_kernel,
     "op5_quality_rules": op5_quality_rules,
     "op6_packing": op6_packing,
     "op8_decontamination": op8_decontamination,
