@@ -22,6 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from changelens.llm.bitmap import without
 from changelens.llm.common import pieces, raw_texts
 from changelens.llm.components import roots
 from changelens.scratch import settle
@@ -78,7 +79,7 @@ def _keys(fps: DataFrame, segments: list[tuple[int, int, int]], ball: bool) -> D
     for number, (low, width, radius) in enumerate(segments):
         part = F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << width) - 1)).bitwiseOR(F.lit(number << 58))
         flips = [sum(1 << i for i in bits) for r in range(radius + 1 if ball else 1) for bits in combinations(range(width), r)]
-        made.append(F.transform(F.array(*[F.lit(x).cast("long") for x in flips]), lambda x, part=part: part.bitwiseXOR(x)))
+        made.append(F.array(*[part.bitwiseXOR(F.lit(x).cast("long")) for x in flips]))
     return fps.select("fp", F.explode(F.concat(*made)).alias("key"))
 
 
@@ -95,7 +96,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, segmen
     """``doc_id``, ``fingerprint`` (16 hex digits), ``component_id`` (least doc_id reachable) per row."""
     prints = settle(fingerprints(docs, shingle))
     entries = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
-    linked = roots(close_pairs(entries.select("fp"), distance, segments))
+    linked = roots(settle(close_pairs(entries.select("fp"), distance, segments)))
     named = entries.join(linked, entries.fp == linked.node, "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     named = settle(named)
     chosen = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
@@ -104,6 +105,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, segmen
 
 
 def drop_near_duplicates(docs: DataFrame, **settings) -> DataFrame:
-    """The rows of ``docs`` whose document names its component; all columns stay."""
-    kept = near_duplicates(docs, **settings).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    """The rows of ``docs`` without the documents that are not the least of their component; all columns
+    stay.  A null doc_id stays only where its component has no other."""
+    found = near_duplicates(docs, **settings)
+    return without(docs, settle(found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()))
