@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from changelens.llm import chat_windows, decontaminate, language_kernel, lm_bloom, packing, quality_rules, simhash, suffix_dedup
+from changelens.llm import chat_windows, decontaminate, language_kernel, lm_bloom, packing, quality_rules, simhash, suffix_dedup, url_templates
 from changelens.llm.common import table
 
 
@@ -36,6 +37,24 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(*contract, "rule")
 
 
+URL_RULES = [
+    url_templates.UrlRule(True, "org", "/"),
+    url_templates.UrlRule(False, "example.org", "/es/"),
+    url_templates.UrlRule(False, "example.org", "/en/1"),
+    url_templates.UrlRule(True, "com", "/fr/"),
+    url_templates.UrlRule(False, "com", "/de/"),
+]
+
+
+def op7_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page shows the document whose number stands in its path, so that document's label is the page's."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    shown = url_templates.with_parts(pages).select("page_id", F.expr("try_cast(nullif(regexp_extract(path, '/([0-9]+)', 1), '') AS bigint)").alias("shown_id"))
+    good = F.expr("coalesce(quality, 1) = 1 AND coalesce(toxic, 0) = 0").alias("good")
+    labels = shown.join(table(spark, sf_dir, "labels").select("doc_id", good), F.col("shown_id") == F.col("doc_id")).select("page_id", "good")
+    return url_templates.judge(pages, labels, URL_RULES)
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.drop("items")
@@ -59,6 +78,7 @@ QUERIES = {
     "op3_language_kernel": op3_language_kernel,
     "op5_quality_rules": op5_quality_rules,
     "op6_packing": op6_packing,
+    "op7_url_templates": op7_url_templates,
     "op8_decontamination": op8_decontamination,
     "op9_simhash": op9_simhash,
     "op10_lm_bloom": op10_lm_bloom,
