@@ -94,7 +94,7 @@ def _statistics(batches: Iterator[pa.RecordBatch], flagged: frozenset[bytes]) ->
             distinct.append(len(set(own)))
         flags = np.zeros(len(numbers) + 1, np.int64)
         if flagged:
-            flags[:-1] = [any(p in flagged for p in _parts(w)) for w in numbers]
+            flags[:-1] = [any(p in flagged for p in parts_of(w)) for w in numbers]
         owner = np.repeat(np.arange(len(words)), lengths)
         columns: dict[str, object] = {"n_words": lengths}
         text_points = [len(t) - _count(t, bytes(range(0x80, 0xC0))) for t in texts]
@@ -118,7 +118,7 @@ def statistics(docs: DataFrame, flagged: frozenset[bytes] = frozenset()) -> Data
     return docs.select("doc_id", "text").mapInArrow(lambda batches: _statistics(batches, sent.value), schema)
 
 
-def _parts(word: bytes) -> list[bytes]:
+def parts_of(word: bytes) -> list[bytes]:
     """A word without its marks, whole (ended by a dot) and as beginnings of a few lengths."""
     made = []
     for own in _LETTERS.findall(word.lower()):
@@ -148,7 +148,7 @@ def flag_words(sample: DataFrame, least: int = 5, odds: float = 50.0, limit: int
     def run(batches):
         for batch in batches:
             toxic = batch.column("toxic").to_pylist()
-            found = [sorted({p for w in set(t.split()) for p in _parts(w)}) for t in raw_texts(batch.column("text"))]
+            found = [sorted({p for w in set(t.split()) for p in parts_of(w)}) for t in raw_texts(batch.column("text"))]
             flat = [p for x in found for p in x]
             mark = [t for x, t in zip(found, toxic) for _ in x]
             for low in range(0, len(flat), 100_000):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changelens.llm import chat_windows, decontaminate, language_kernel, lm_bloom, packing, quality_rules, simhash, suffix_dedup, url_templates
+from changelens.llm import chat_windows, decontaminate, language_kernel, lm_bloom, packing, quality_rules, simhash, suffix_dedup, url_templates, weak_quality
 from changelens.llm.common import table
 
 
@@ -31,6 +31,10 @@ def op1_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.cut_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak_quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     contract = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
@@ -76,6 +80,7 @@ QUERIES = {
     "op1_suffix_array": op1_suffix_array,
     "op2_chat_windows": op2_chat_windows,
     "op3_language_kernel": op3_language_kernel,
+    "op4_weak_quality": op4_weak_quality,
     "op5_quality_rules": op5_quality_rules,
     "op6_packing": op6_packing,
     "op7_url_templates": op7_url_templates,
