@@ -1,22 +1,31 @@
-"""Token numbers of whole texts from a public byte-level BPE vocabulary, with a bounded cache of words.
+"""Token numbers of whole texts from a public byte-level BPE vocabulary in the ``tokenizers`` JSON format.
 
-The vocabulary's splitting rule never joins what stands before and behind a single space between two
-characters that are no white space, so a text may be cut at those spaces and equal parts encoded once.
-Parts not in the cache are encoded by ``tokenizers`` in one batch.
+The file's vocabulary is run by ``tiktoken``, which gives the same numbers in a fraction of the time.  Texts
+without a place to cut for very long are left to ``tokenizers`` itself.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
 import numpy as np
 
-CACHED_PARTS = 300_000
-CACHED_LENGTH = 48
+#: Longest run of characters given to ``tiktoken`` at once.
+LONGEST = 100_000
 
-_UNEVEN = re.compile(r"\A\s|\s\Z|\s | \s")
-_CUT = re.compile(r"(?<=\S) (?=\S)")
+# Fixed value: the public splitting rule of this kind of vocabulary.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The rule never joins what stands before and behind a single space between two characters that are no white space.
+_CUT = re.compile(r"(?<=\S)(?= \S)")
+
+
+def _byte_letters() -> dict[str, int]:
+    """Byte for each letter of the vocabulary file: visible Latin-1 as itself, the others from U+0100 on."""
+    visible = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b <= 0xFF]
+    hidden = [b for b in range(256) if b not in set(visible)]
+    return {chr(b): b for b in visible} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
 
 class Encoder:
@@ -25,11 +34,15 @@ class Encoder:
     _made: dict[str, Encoder] = {}
 
     def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        import tiktoken
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {}
+        self.path, self.exact = path, None
+        with open(path, encoding="utf-8") as file:
+            given = json.load(file)
+        letters = _byte_letters()
+        special = {x["content"]: x["id"] for x in given["added_tokens"]}
+        ranks = {bytes(letters[c] for c in token): rank for token, rank in given["model"]["vocab"].items() if token not in special}
+        self.fast = tiktoken.Encoding("vocabulary", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -38,22 +51,31 @@ class Encoder:
             cls._made[path] = cls(path)
         return cls._made[path]
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    def slowly(self, text: str) -> bytes:
+        if self.exact is None:
+            os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+            from tokenizers import Tokenizer
+
+            self.exact = Tokenizer.from_file(self.path)
+        return np.array(self.exact.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _one(self, text: str) -> bytes:
+        if len(text) > LONGEST:
+            return self.slowly(text)
+        return self.fast.encode_to_numpy(text, allowed_special="all").astype("<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        heads, tails = [], []
-        for text in texts:
-            head, *tail = _CUT.split(text) if _UNEVEN.search(text) else text.split(" ")
-            heads.append(head)
-            tails.append(tail)
-        cache = self.cache
-        new = list({part for tail in tails for part in tail if part not in cache})
-        made = dict(zip(new, self._whole([" " + part for part in new])))
         found = []
-        for head, tail in zip(self._whole(heads), tails):
-            found.append(b"".join([head, *[cache.get(part) or made[part] for part in tail]]))
-        if len(cache) + len(made) > CACHED_PARTS:
-            cache.clear()
-        cache.update((part, ids) for part, ids in made.items() if len(part) <= CACHED_LENGTH)
+        for text in texts:
+            if len(text) <= LONGEST:
+                found.append(self._one(text))
+                continue
+            parts, held, size = [], [], 0
+            for part in _CUT.split(text):
+                if held and size + len(part) > LONGEST:
+                    parts.append("".join(held))
+                    held, size = [], 0
+                held.append(part)
+                size += len(part)
+            found.append(b"".join(self._one(part) for part in [*parts, "".join(held)]))
         return found
