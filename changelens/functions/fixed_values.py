@@ -65,20 +65,46 @@ POPULAR_EXTENSIONS = {
 }
 
 # Languages outside the popular set that share an extension with
-# it and come first by name, and the most common plain formats.
+# it and come first by name, and the most common other formats.
 OTHER_EXTENSIONS = {
     "Assembly": [".inc"],
-    "Erlang": [".es"],
+    "Batchfile": [".bat"],
+    "CMake": [".cmake"],
+    "CSS": [".css"],
+    "CSV": [".csv"],
+    "Dart": [".dart"],
+    "Erlang": [".erl", ".es"],
     "GCC Machine Description": [".md"],
     "GLSL": [".frag"],
     "Genie": [".gs"],
+    "Gradle": [".gradle"],
+    "Groovy": [".groovy"],
+    "HTML": [".html", ".htm"],
     "Hack": [".hh", ".php"],
-    "INI": [".cfg", ".ini"],
+    "INI": [".cfg", ".ini", ".properties"],
+    "JSON": [".json"],
+    "JSX": [".jsx"],
+    "Julia": [".jl"],
+    "Kotlin": [".kt"],
+    "Less": [".less"],
     "Limbo": [".m"],
+    "Objective-C++": [".mm"],
+    "PLSQL": [".sql"],
+    "Protocol Buffer": [".proto"],
+    "RenderScript": [".rs"],
+    "SCSS": [".scss"],
+    "SVG": [".svg"],
+    "Sass": [".sass"],
+    "TOML": [".toml"],
+    "TeX": [".tex"],
     "Text": [".txt"],
+    "TypeScript": [".ts", ".tsx"],
+    "XML": [".xml"],
+    "YAML": [".yml", ".yaml"],
+    "reStructuredText": [".rst"],
 }
 
-# Common files that have no extension.
+# Common files that have no extension, or one of their own.
 FILE_NAMES = {
     "Dockerfile": ["Dockerfile"],
     "Makefile": ["Makefile"],

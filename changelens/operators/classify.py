@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from changelens.functions.files import file_label, line_label
 from changelens.functions.text import extension, root_name
-from changelens.sources.catalogs import EXTENSION, FILE_NAME, builtin_catalog
+from changelens.sources.catalogs import EXTENSION, FILE_NAME, builtin_catalog, first_listed
 
 AMBIGUOUS = "ambiguous"
 
@@ -29,15 +29,17 @@ def guess_language(
 
     A file with an extension belongs to the languages that list its extension
     or, as an extension, its root; one without belongs to those that list its
-    name.  The catalog is bounded (see ``sources.catalogs``), so it is sent to
-    every executor and the rows of ``df`` stay where they are.
+    name.  The built-in catalog has a fixed size, so it is sent to every executor
+    and the rows of ``df`` stay where they are; a catalog that is passed is of any
+    size, so adaptive execution decides by measuring it.
     """
-    catalog = builtin_catalog(df.sparkSession) if catalog is None else catalog
+    small = F.broadcast if catalog is None else (lambda side: side)
+    catalog = builtin_catalog(df.sparkSession) if catalog is None else first_listed(catalog)
     entry = F.struct("pos", "language")
-    by_extension = F.broadcast(
+    by_extension = small(
         catalog.filter(F.col("kind") == EXTENSION).select(F.col("value").alias("_ext"), entry.alias("_hit_ext"))
     )
-    by_root = F.broadcast(
+    by_root = small(
         catalog.select(F.col("kind").alias("_kind"), F.col("value").alias("_root"), entry.alias("_hit_root"))
     )
     name = F.col(file_col)

@@ -11,12 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, named by ``spark.checkpoint.dir``.
 
-    Only where the session names none (a laptop, the tests) is a fresh local
-    folder taken instead.
+    A session that names none gets a fresh local folder if all of it runs in one
+    process on one machine; elsewhere that is an error, since executors would
+    not see each other's files.
     """
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     in_use = context.getCheckpointDir()
+    if in_use is None and not configured and not context.master.startswith("local[") and context.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if in_use is None:
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="changelens-"))
         in_use = context.getCheckpointDir()

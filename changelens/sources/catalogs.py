@@ -15,13 +15,12 @@ from changelens.functions import fixed_values as V
 CATALOG_SCHEMA = "kind string, value string, pos int, language string"
 EXTENSION, FILE_NAME = "extension", "filename"
 
-# A catalog is configuration.  One larger than this is refused, since it is
-# broadcast to every executor.
-MAX_CATALOG_ROWS = 100_000
-
 
 def builtin_catalog(spark: SparkSession) -> DataFrame:
-    """Popular languages and a few more; everything else is ``ambiguous`` under it."""
+    """The popular languages and the most common other formats, some 200 entries kept as plain values.
+
+    Larger catalogs are a parameter: read one with :func:`read_catalog`.  What a catalog does not list
+    is ``ambiguous`` under it."""
     entries = [(lang, EXTENSION, ext) for table in (V.POPULAR_EXTENSIONS, V.OTHER_EXTENSIONS)
                for lang, exts in table.items() for ext in exts]
     entries += [(lang, FILE_NAME, name) for lang, names in V.FILE_NAMES.items() for name in names]
@@ -55,11 +54,7 @@ def read_catalog(spark: SparkSession, path: str) -> DataFrame:
         "pos",
         "language",
     )
-    catalog = first_listed(entries)
-    size = catalog.limit(MAX_CATALOG_ROWS + 1).count()
-    if size > MAX_CATALOG_ROWS:
-        raise ValueError(f"{path} lists more than {MAX_CATALOG_ROWS} entries; this is not a language catalog")
-    return catalog
+    return first_listed(entries)
 
 
 def first_listed(entries: DataFrame) -> DataFrame:
@@ -69,10 +64,3 @@ def first_listed(entries: DataFrame) -> DataFrame:
         .agg(F.min(F.struct("pos", "language")).alias("first"))
         .select("kind", "value", "first.pos", "first.language")
     )
-
-
-def popular_extensions(spark: SparkSession, catalog_entries: DataFrame, popular: list[str]) -> list[str]:
-    """Extensions of the named languages, for :func:`changelens.functions.files.file_label`."""
-    chosen = catalog_entries.filter((F.col("kind") == EXTENSION) & F.col("language").isin(popular))
-    rows = chosen.select("value").distinct().limit(MAX_CATALOG_ROWS).collect()
-    return sorted(row.value for row in rows)

@@ -76,8 +76,11 @@ VIEWS = {
             concat(case p_partkey % 6 when 0 then 'src' when 1 then 'docs' when 2 then 'test' when 3 then 'lib'
                      when 4 then 'app/media' else 'app/src' end,
               '/', replace(p_name, ' ', '_'), l_partkey % 3,
-              case l_partkey % 9 when 0 then '.py' when 1 then '.java' when 2 then '.md' when 3 then '.h' when 4 then '.rb'
-                when 5 then '.cfg' when 6 then '.c' when 7 then '.txt' else '' end) as path
+              case l_partkey % 27 when 0 then '.py' when 1 then '.java' when 2 then '.md' when 3 then '.h' when 4 then '.rb'
+                when 5 then '.cfg' when 6 then '.c' when 7 then '.txt' when 8 then '.css' when 9 then '.html' when 10 then '.json'
+                when 11 then '.xml' when 12 then '.yml' when 13 then '.ts' when 14 then '.sql' when 15 then '.rs' when 16 then '.kt'
+                when 17 then '.php' when 18 then '.inc' when 19 then '.unlisted' when 20 then '.tar.gz' when 21 then '/Dockerfile'
+                when 22 then '/Gemfile' when 23 then '/.vimrc' when 24 then '/NOTICE' when 25 then '.mm' else '' end) as path
           from vw_line join part on l_partkey = p_partkey) l
         join vw_commits c on l_orderkey = c.o_orderkey""",
     "vw_issues": f"""

@@ -43,3 +43,16 @@ def test_runs_one_after_another(spark, tmp_path):
     report.write_cross_references(spark, folder)
     assert tables.read_native(spark, folder, "cross_references").count() > 0
     assert {"blames_commit", "alias_groups", report.LANGUAGE_REPORT} <= set(os.listdir(folder))
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from changelens.scratch import shared_folder
+
+    nothing = SimpleNamespace(get=lambda *_: None)
+    context = SimpleNamespace(getConf=lambda: nothing, getCheckpointDir=lambda: None, master="spark://host:7077")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(SimpleNamespace(sparkContext=context, conf=nothing))
