@@ -102,9 +102,11 @@ def commit_facts(commits: DataFrame, changes: DataFrame) -> DataFrame:
 
     ``commits`` has ``slug, sha, ts, author_name, author_email,
     committer_name, committer_email, message, num_parents``; ``ts`` is the
-    author time.  Repeated commit rows are merged.
+    author time.  Of repeated rows of a commit the greatest stands for all, so
+    that results do not depend on the order in which they arrive.
     """
-    known = with_parents(commits).dropDuplicates(COMMIT)
+    read = ["ts", "author_name", "author_email", "committer_name", "committer_email", "message", "num_parents"]
+    known = with_parents(commits).groupBy(*COMMIT).agg(F.max(F.struct(*read)).alias("_c")).select(*COMMIT, "_c.*")
     return known.join(change_totals(changes), COMMIT, "left").select(
         *COMMIT,
         "ts",

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from changelens.functions.text import one_line, stripped
+from changelens.functions.times import issue_time
 
 ISSUE_PAYLOAD = """
     id bigint, number int, state string, created_at string, closed_at string,
@@ -18,6 +19,25 @@ COMMENT_PAYLOAD = """
 CLOSED = "closed"
 
 
+def rejected_payloads(payloads: DataFrame, schema: str, payload_col: str = "payload") -> DataFrame:
+    """Rows that the readers below cannot use, as they came, with the ``reason``.
+
+    A payload is rejected if it is missing, is no JSON of ``schema`` (one of the two above), has no ``id``,
+    or has a time that cannot be read; the readers make such a time null and lose the other rows.
+    """
+    parsed = F.from_json(payload_col, f"{schema.strip()}, _broken string", {"columnNameOfCorruptRecord": "_broken"})
+    times = [name for name in ("created_at", "closed_at", "updated_at") if f"{name} string" in schema]
+    given = [F.col(f"_p.{name}") for name in times]
+    unread = [F.coalesce(text != "", F.lit(False)) & issue_time(text).isNull() for text in given]
+    reason = (
+        F.when(F.col(payload_col).isNull(), "missing")
+        .when(F.col("_p").isNull() | F.col("_p._broken").isNotNull(), "malformed")
+        .when(F.col("_p.id").isNull(), "no id")
+        .when(F.array_contains(F.array(*unread), True), "unreadable time")
+    )
+    return payloads.withColumn("_p", parsed).withColumn("reason", reason).drop("_p").filter("reason IS NOT NULL")
+
+
 def normalise_issues(payloads: DataFrame, payload_col: str = "payload") -> DataFrame:
     """Closed issues from ``slug`` and one JSON object per row.
 
@@ -30,8 +50,8 @@ def normalise_issues(payloads: DataFrame, payload_col: str = "payload") -> DataF
         F.col("i.id").alias("id"),
         F.col("i.number").alias("number"),
         F.col("i.state").alias("state"),
-        F.col("i.created_at").cast("timestamp").alias("created_at"),
-        F.col("i.closed_at").cast("timestamp").alias("closed_at"),
+        issue_time(F.col("i.created_at")).alias("created_at"),
+        issue_time(F.col("i.closed_at")).alias("closed_at"),
         F.col("i.user.login").alias("created_by_login"),
         F.col("i.closed_by.login").alias("closed_by_login"),
         F.col("i.assignee.login").alias("assignee_login"),
@@ -51,8 +71,8 @@ def _comment_rows(payloads: DataFrame, payload_col: str) -> DataFrame:
         "issue_number",
         F.col("c.id").alias("comment_id"),
         body.alias("body"),
-        F.col("c.created_at").cast("timestamp").alias("created_at"),
-        F.col("c.updated_at").cast("timestamp").alias("updated_at"),
+        issue_time(F.col("c.created_at")).alias("created_at"),
+        issue_time(F.col("c.updated_at")).alias("updated_at"),
         F.col("c.user.login").alias("user_login"),
         F.col("c.user.id").alias("user_id"),
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -12,7 +12,7 @@ from changelens.operators import changes as C
 from changelens.operators import links as L
 from changelens.operators import origins as O
 from changelens.sources.csv_tables import write_table
-from changelens.sources.tables import write_native
+from changelens.sources.tables import read_native, write_native
 
 
 @dataclass
@@ -37,18 +37,27 @@ def analyse_history(
     max_files: int = O.MAX_FILES,
     max_new_lines: int = O.MAX_NEW_LINES,
     compat: bool = False,
+    issue_order: str | None = None,
+    file_changes: DataFrame | None = None,
+    keep: Callable[[DataFrame, str], DataFrame] = lambda table, name: table,
 ) -> History:
     """Derive all result tables.
 
+    ``issue_order`` names the column by which the last of several rows of one
+    issue is known; without it the greatest row stands.  ``file_changes`` are the
+    totals of each patch where they are known already.  Every result passes
+    through ``keep`` with its name before later ones are derived from it; as it
+    is, all results stay lazy (see :func:`run_history`).
+
     Without ``blame_hunks`` the origin of a line is found by its content.
     ``compat`` gives one blame row per origin commit, as historically written;
     it needs ``committed_at`` on ``commits``.  Give a written table as
     ``diff_lines``: it is read for file totals and for origins.
     """
-    issues = L.latest_issues(issues)
-    changes = C.file_changes(diff_lines)
-    facts = C.commit_facts(commits, changes)
-    linked = L.issue_links(commits, issues)
+    issues = L.latest_issues(issues, issue_order)
+    changes = keep(C.file_changes(diff_lines) if file_changes is None else file_changes, "file_changes")
+    facts = keep(C.commit_facts(commits, changes), "commits")
+    linked = keep(L.issue_links(commits, issues), "issue_links")
     removed = O.removed_lines(L.fixing_commits(linked, issues, valid_labels), diff_lines)
     if blame_hunks is not None:
         lines = O.lines_with_origin(removed, blame_hunks)
@@ -61,13 +70,32 @@ def analyse_history(
         blames = O.bug_origins_compat(lines, plausible, commits.select("slug", "sha", "committed_at"))
     else:
         blames = O.bug_origins(lines, plausible)
+    blames = keep(blames, "blames_commit")
     blamed = C.with_first_line_messages(commits).join(
         blames.select("slug", F.col("blamed_commit").alias("sha")).distinct(), ["slug", "sha"], "left_semi"
     )
     # Facts hold stripped messages; origin commits keep their first line as it is.
-    first_lines = blamed.select("slug", "sha", F.col("message").alias("first_line")).dropDuplicates(C.COMMIT)
+    first_lines = blamed.groupBy(*C.COMMIT).agg(F.max("message").alias("first_line"))
     blamed_facts = facts.join(first_lines, ["slug", "sha"]).withColumn("message", F.col("first_line")).drop("first_line")
-    return History(facts, changes, C.commit_files(changes), linked, blames, blamed_facts, C.contributors(commits))
+    files, people = keep(C.commit_files(changes), "commit_files"), keep(C.contributors(commits), "contributors")
+    return History(facts, changes, files, linked, blames, keep(blamed_facts, "blamed_commit"), people)
+
+
+def run_history(folder: str, commits: DataFrame, issues: DataFrame, diff_lines: DataFrame, *args, interchange: str | None = None, **settings) -> History:
+    """Derive and write all result tables, each computed once.
+
+    A table is written as soon as it is derived and what follows reads it back, so nothing is derived twice
+    and a lost executor costs at most one table.
+    """
+
+    def keep(table: DataFrame, name: str) -> DataFrame:
+        write_native(table, folder, name)
+        return read_native(table.sparkSession, folder, name).select(*table.columns)
+
+    history = analyse_history(commits, issues, diff_lines, *args, **settings, keep=keep)
+    if interchange:
+        write_interchange(history, interchange)
+    return history
 
 
 def with_file_cells(facts: DataFrame, changes: DataFrame) -> DataFrame:
@@ -87,13 +115,20 @@ def with_file_cells(facts: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def write_history(history: History, folder: str, interchange: str | None = None) -> None:
-    """Write native tables and, if a second folder is named, the CSV ones too."""
+    """Write the tables of a lazy history and, if a second folder is named, the CSV ones too.
+
+    Each table is derived from the inputs again; :func:`run_history` derives each once.
+    """
     for table, df in vars(history).items():
         write_native(df, folder, table)
     if interchange:
-        lists = history.file_changes
-        write_table(with_file_cells(history.commits, lists), interchange, "commits")
-        write_table(with_file_cells(history.blamed_commit, lists), interchange, "blamed_commit")
-        for table in ("commit_files", "issue_links", "blames_commit", "contributors"):
-            write_table(getattr(history, table), interchange, table)
+        write_interchange(history, interchange)
+
 
+def write_interchange(history: History, folder: str) -> None:
+    """The CSV tables of a history."""
+    lists = history.file_changes
+    write_table(with_file_cells(history.commits, lists), folder, "commits")
+    write_table(with_file_cells(history.blamed_commit, lists), folder, "blamed_commit")
+    for table in ("commit_files", "issue_links", "blames_commit", "contributors"):
+        write_table(getattr(history, table), folder, table)

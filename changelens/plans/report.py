@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from changelens.operators import activity as A
 from changelens.operators.references import cross_references
 from changelens.scratch import settle
+from changelens.sources.csv_tables import write_report, write_table
 from changelens.sources.tables import read_native, write_native
 
 PROJECT_REPORT = "user_project_date_totalcommits"
@@ -14,12 +15,14 @@ LANGUAGE_REPORT = "user_language_date_totalcommits"
 
 
 def write_reports(
-    spark: SparkSession, folder: str, period: str = "day", compat: bool = False, catalog: DataFrame | None = None
+    spark: SparkSession, folder: str, period: str = "day", compat: bool = False, catalog: DataFrame | None = None,
+    interchange: str | None = None,
 ) -> None:
     """Write both activity reports next to the history they come from.
 
     Weeks and months get their own tables.  ``compat`` concerns the daily
-    project report only.
+    project report only.  ``interchange`` names a folder for the CSV form, sorted
+    as the report files are.
     """
     facts, changes, aliases = (read_native(spark, folder, t) for t in ("commits", "file_changes", "alias_map"))
     induced = settle(
@@ -37,11 +40,15 @@ def write_reports(
         by_project = A.activity_by_project(facts, changes, induced, aliases, period)
     by_language = A.activity_by_language(facts, changes, aliases, period, catalog)
     suffix = "" if period == "day" else f"_{period}"
-    write_native(A.in_report_order(by_project), folder, PROJECT_REPORT + suffix)
-    write_native(A.in_report_order(by_language), folder, LANGUAGE_REPORT + suffix)
+    for report, name in ((by_project, PROJECT_REPORT + suffix), (by_language, LANGUAGE_REPORT + suffix)):
+        write_native(report, folder, name)
+        if interchange:
+            write_report(A.in_report_order(read_native(spark, folder, name).select(*report.columns)), f"{interchange}/{name}")
 
 
-def write_cross_references(spark: SparkSession, folder: str, messages: str = "commits") -> None:
-    """Write the references found in commit messages and in the ``comments`` table."""
+def write_cross_references(spark: SparkSession, folder: str, messages: str = "commits", interchange: str | None = None) -> None:
+    """Write the references found in commit messages and in the ``comments`` table, as CSV too if a folder is named."""
     texts = read_native(spark, folder, messages)
     write_native(cross_references(texts, read_native(spark, folder, "comments")), folder, "cross_references")
+    if interchange:
+        write_table(read_native(spark, folder, "cross_references"), interchange, "cross_references")

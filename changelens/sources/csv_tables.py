@@ -6,6 +6,7 @@ history should be read from CSV once and kept as Parquet (``tables``).
 
 from __future__ import annotations
 
+import csv
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +15,7 @@ from pyspark.sql import types as T
 
 from changelens.functions.text import join_list, slug_to_file_stem, slug_to_folder, split_list
 from changelens.functions.times import issue_time
+from changelens.scratch import settle
 from changelens.sources.schemas import TABLES
 
 _QUOTING = {"header": True, "multiLine": True, "quote": '"', "escape": '"', "encoding": "UTF-8"}
@@ -33,23 +35,40 @@ def read_folder(
 
     Files are expected to share one header, which is checked while they are
     read in a single scan.  With ``mixed_headers`` they are put together by
-    column name, blank where a file lacks a column; that costs a look at the
-    first line of every file beforehand.
+    column name, blank where a file lacks a column: one scan groups the files
+    by their first lines, and each different header (they alone reach the
+    driver) is one scan of its files.
     """
-    reader = spark.read.options(**_READ, sep=sep)
+    reader = spark.read.options(**_READ, sep=sep).option("pathGlobFilter", pattern)
     if mixed_headers:
-        listed = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path")
-        by_header: dict[tuple[str, ...], list[str]] = {}
-        for row in listed.orderBy("path").collect():
-            by_header.setdefault(tuple(reader.csv(row.path).columns), []).append(row.path)
-        parts = [reader.csv(paths) for paths in by_header.values()]
+        parts = _by_header(spark, folder, pattern, sep)
     else:
-        parts = [reader.option("pathGlobFilter", pattern).csv(folder)]
+        parts = [reader.csv(folder)]
     whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     kept = columns or whole.columns
     return whole.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in kept])
 
 
+def _by_header(spark: SparkSession, folder: str, pattern: str, sep: str) -> list[DataFrame]:
+    """One table for each different header among the files."""
+    lines = spark.read.option("pathGlobFilter", pattern).text(folder)
+    at_start = lines.filter("_metadata.file_block_start = 0")
+    headers = settle(
+        at_start.select(F.col("_metadata.file_path").alias("file"), "value", F.monotonically_increasing_id().alias("at"))
+        .groupBy("file")
+        .agg(F.min_by("value", "at").alias("header"))
+    )
+    parts = []
+    for row in headers.select("header").distinct().orderBy("header").toLocalIterator():
+        names = next(csv.reader([row.header.lstrip("\ufeff").rstrip("\r")], delimiter=sep))
+        schema = T.StructType([T.StructField(name, T.StringType()) for name in names])
+        reader = spark.read.options(**_READ, sep=sep).option("enforceSchema", True).option("pathGlobFilter", pattern)
+        found = reader.schema(schema).csv(folder).select("*", F.col("_metadata.file_path").alias("_file"))
+        mine = headers.filter(F.col("header") == row.header).select(F.col("file").alias("_file"))
+        parts.append(found.join(mine, "_file", "left_semi").drop("_file"))
+    return parts
+
+
 def _typed(column: Column, kind: str) -> Column:
     if kind == "string":
         return column
@@ -71,6 +90,18 @@ def read_table(spark: SparkSession, folder: str, table: str, pattern: str | None
     return text.select(*[_typed(F.col(name), kind).alias(native) for native, name, kind in fields])
 
 
+def read_rejected(spark: SparkSession, folder: str, table: str, pattern: str | None = None) -> DataFrame:
+    """Rows of a known table, as text, with ``rejected``: columns whose cell is neither blank nor of its type."""
+    fields = TABLES[table]
+    text = read_folder(spark, folder, pattern or f"*_{table}.csv", [name for _, name, _ in fields])
+    broken = [
+        F.when(~F.col(name).isin("", "None") & _typed(F.col(name), kind).isNull(), F.lit(name))
+        for _, name, kind in fields
+        if kind not in ("string", "array<string>")
+    ]
+    return text.withColumn("rejected", F.array_compact(F.array(*broken))).filter("size(rejected) > 0")
+
+
 def as_interchange(df: DataFrame, table: str) -> DataFrame:
     """Native rows as text columns under file names; arrays ``;``-joined, missing values blank."""
     columns = []
@@ -89,11 +120,13 @@ def as_interchange(df: DataFrame, table: str) -> DataFrame:
 def write_table(df: DataFrame, folder: str, table: str) -> None:
     """Write an interchange table as CSV, one folder level per project.
 
-    Partitioning by project happens in the writer, so rows are not shuffled
-    and a project may span many files.
+    Rows are rebalanced on the project first: a task then writes few projects,
+    and adaptive execution splits a project that is too large for one task.
+    :func:`read_written` and, with ``pattern="part-*.csv"``, :func:`read_table`
+    read the files back.
     """
     text = as_interchange(df, table).withColumn("project", slug_to_folder(F.col("SLUG")))
-    text.write.mode("overwrite").options(**_WRITE).partitionBy("project").csv(f"{folder}/{table}")
+    text.hint("rebalance", F.col("project")).write.mode("overwrite").options(**_WRITE).partitionBy("project").csv(f"{folder}/{table}")
 
 
 def read_written(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -106,6 +139,11 @@ def read_written(spark: SparkSession, folder: str, table: str) -> DataFrame:
     )
 
 
+def write_report(df: DataFrame, path: str) -> None:
+    """A report as CSV with a header, in the order of its rows."""
+    df.write.mode("overwrite").options(**_WRITE).csv(path)
+
+
 def write_delimited(df: DataFrame, path: str) -> None:
     """``;``-delimited audit file."""
     df.write.mode("overwrite").options(**_WRITE, sep=";").csv(path)

@@ -12,10 +12,14 @@ PROJECT = "project_folder"
 
 
 def write_native(df: DataFrame, folder: str, table: str) -> None:
-    """Write a table; readers that filter on ``project_folder`` skip other projects' files."""
+    """Write a table; readers that filter on ``project_folder`` skip other projects' files.
+
+    Rows are rebalanced on the project first, so that a task writes few projects and a
+    large project is split among tasks by size.
+    """
     if "slug" in df.columns:
         df = df.withColumn(PROJECT, slug_to_folder(F.col("slug")))
-        df.write.mode("overwrite").partitionBy(PROJECT).parquet(f"{folder}/{table}")
+        df.hint("rebalance", F.col(PROJECT)).write.mode("overwrite").partitionBy(PROJECT).parquet(f"{folder}/{table}")
     else:
         df.write.mode("overwrite").parquet(f"{folder}/{table}")
 

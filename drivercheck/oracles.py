@@ -415,6 +415,7 @@ STATEMENTS = {
     "activity_by_language": _language_report("day"),
     "activity_by_language_monthly": _language_report("month"),
     "activity_whole_chain": _project_report("day"),
+    "whole_history": _project_report("day"),
     "normalise_issues": f"""
         select concat('org', event_id % 5, '/proj', event_id % 25) as slug, event_id as id, cast(event_id % 1000 as int) as number,
           'closed' as state, strftime(ts, '%Y-%m-%d %H:%M:%S') as created_at, strftime(ts, '%Y-%m-%d %H:%M:%S') as closed_at,
@@ -427,13 +428,29 @@ STATEMENTS = {
     "normalise_comments": _COMMENT_ROWS,
     "csv_roundtrip": _COMMENT_ROWS,
     "delimited_roundtrip": "select slug, contributor_id, name, email from vw_contributors",
+    "typed_issues": """
+        select slug, number, version as id, concat('a, "b"', chr(10), 'c') as title, labels, is_pl,
+          strftime(created_at, '%Y-%m-%d %H:%M:%S') as created_at,
+          coalesce(strftime(closed_at, '%Y-%m-%d %H:%M:%S'), '(null)') as closed_at
+        from vw_issues qualify row_number() over (partition by slug, number order by version desc) = 1""",
+    "folder_scan": """
+        select slug, contributor_id, name, case when length(name) % 2 = 0 then email else '' end as email
+        from vw_contributors""",
+    "project_list": """
+        select distinct slug, replace(slug, '/', '_____') as folder, replace(slug, '/', '_') as file_stem from vw_commits""",
+    "author_times": "select sha, strftime(ts, '%Y-%m-%d %H:%M:%S') as ts from vw_commits",
+    "rejected_payloads": """
+        select concat('org', event_id % 5, '/proj', event_id % 25) as slug,
+          case event_id % 11 when 0 then 'malformed' when 1 then 'no id' when 2 then 'missing' else 'unreadable time' end as reason,
+          count(*) as n
+        from events where event_id % 11 < 4 group by 1, 2""",
     "comments_per_issue": "select slug, issue_number, count(*) as num_comments from vw_comments group by slug, issue_number",
     "diff_lines": _DIFF_ROWS,
 }
 
 
 def _statement(name: str) -> str:
-    aliases = "o_alias_map" if name == "activity_whole_chain" else "vw_aliases"
+    aliases = "o_alias_map" if name in ("activity_whole_chain", "whole_history") else "vw_aliases"
     steps = {step: sql.replace("{aliases}", aliases) for step, sql in STEPS.items()}
     statement = with_views(STATEMENTS[name], {**DUCKDB_VIEWS, **steps})
     return statement.replace("with ", "with recursive ", 1) if "o_climb" in statement else statement

@@ -507,3 +507,83 @@ def native_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables.write_native(_given(spark, sf_dir).links, folder, "issue_links")
     back = tables.read_native(spark, folder, "issue_links")
     return back.withColumn("delta_closed", F.coalesce("delta_closed", F.lit(-1.0)))
+
+
+@query
+def typed_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Issues through the interchange files, missing times as ``None``, and the last row of each issue."""
+    given = view(spark, sf_dir, "vw_issues")
+    none = F.lit(None).cast("string")
+    rows = given.select(
+        "slug", F.col("version").alias("id"), F.col("number").cast("int").alias("number"), F.lit("closed").alias("state"), "created_at", "closed_at",
+        none.alias("created_by_login"), none.alias("closed_by_login"), none.alias("assignee_login"), F.lit("a, \"b\"\nc").alias("title"),
+        F.lit(0).alias("num_comments"), text.split_list(F.col("labels")).alias("labels"), "is_pl",
+    )
+    folder = fresh_path(spark, "issues")
+    csv_tables.write_table(rows, folder, "issues")
+    back = links.latest_issues(csv_tables.read_table(spark, f"{folder}/issues", "issues", "part-*.csv"), "id")
+    never = F.lit("(null)")
+    return back.select(
+        "slug", "number", "id", "title", text.join_list(F.col("labels")).alias("labels"), "is_pl", _as_text("created_at"),
+        F.coalesce(F.date_format("closed_at", "yyyy-MM-dd HH:mm:ss"), never).alias("closed_at"),
+    )
+
+
+@query
+def folder_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contributors from files of which some lack a column and have the others in another order."""
+    folder = fresh_path(spark, "scan")
+    people_ = view(spark, sf_dir, "vw_contributors")
+    csv_tables.write_report(people_.filter("length(name) % 2 = 0").select("slug", "contributor_id", "name", "email"), f"{folder}/kind=a")
+    csv_tables.write_report(people_.filter("length(name) % 2 = 1").select("name", "slug", "contributor_id"), f"{folder}/kind=b")
+    return csv_tables.read_folder(spark, folder, "part-*.csv", ["slug", "contributor_id", "name", "email"], mixed_headers=True)
+
+
+@query
+def project_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Projects from a text file with blanks around names and lines without one."""
+    path = fresh_path(spark, "projects")
+    slugs = view(spark, sf_dir, "vw_commits").select("slug").distinct()
+    lines = slugs.select(F.explode(F.array(F.concat(F.lit("  "), "slug", F.lit(" ")), F.lit("   "))).alias("value"))
+    lines.write.text(path)
+    return csv_tables.read_project_list(spark, path)
+
+
+@query
+def author_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Author times from epoch seconds."""
+    commits = view(spark, sf_dir, "vw_commits").select("sha", times.seconds(F.col("ts")).alias("epoch"))
+    return commits.select("sha", F.date_format(times.utc_time(F.col("epoch")), "yyyy-MM-dd HH:mm:ss").alias("ts"))
+
+
+@query
+def rejected_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Issue payloads, some of them cut short, without id, missing, or with an impossible time."""
+    given = _issue_payloads(spark, sf_dir)
+    number = F.get_json_object("payload", "$.id").cast("bigint")
+    broken = (
+        F.when(number % 11 == 0, F.left("payload", F.length("payload") - 3))
+        .when(number % 11 == 1, F.replace("payload", F.lit('"id":'), F.lit('"key":')))
+        .when(number % 11 == 2, F.lit(None))
+        .when(number % 11 == 3, F.regexp_replace("payload", '"created_at":"[^"]*"', '"created_at":"2020-99-01T00:00:00Z"'))
+        .otherwise(F.col("payload"))
+    )
+    found = ingest.rejected_payloads(given.select("slug", broken.alias("payload")), ingest.ISSUE_PAYLOAD)
+    return found.groupBy("slug", "reason").agg(F.count("*").alias("n"))
+
+
+@query
+def whole_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole plan through written tables: history, identities and the daily project report."""
+    from changelens.plans import bug_history, people as people_plan, report
+
+    folder = fresh_path(spark, "history")
+    commits = view(spark, sf_dir, "vw_commits").withColumn("committed_at", F.col("ts"))
+    issues = view(spark, sf_dir, "vw_issues").withColumn("labels", text.split_list(F.col("labels")))
+    bug_history.run_history(
+        folder, commits, issues, view(spark, sf_dir, "vw_diff_lines"), view(spark, sf_dir, "vw_blame_hunks"),
+        issue_order="version", file_changes=view(spark, sf_dir, "vw_file_changes").drop("ts", "l_orderkey", "l_partkey", "qty"),
+    )
+    people_plan.resolve_identities(spark, folder)
+    report.write_reports(spark, folder)
+    return _day_as_text(tables.read_native(spark, folder, report.PROJECT_REPORT))

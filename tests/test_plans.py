@@ -23,10 +23,10 @@ def test_runs_one_after_another(spark, tmp_path):
     commits = view(spark, GIVEN, "vw_commits").withColumn("committed_at", F.col("ts"))
     issues = view(spark, GIVEN, "vw_issues").withColumn("labels", split_list(F.col("labels")))
     issues = issues.select("slug", "number", "version", "created_at", "closed_at", "labels", "is_pl")
-    history = bug_history.analyse_history(
-        commits, issues, view(spark, GIVEN, "vw_diff_lines"), view(spark, GIVEN, "vw_blame_hunks")
+    history = bug_history.run_history(
+        folder, commits, issues, view(spark, GIVEN, "vw_diff_lines"), view(spark, GIVEN, "vw_blame_hunks"),
+        issue_order="version", interchange=files,
     )
-    bug_history.write_history(history, folder, files)
     links = QUERIES["issue_links"](spark, GIVEN).count()
     assert tables.read_native(spark, folder, "issue_links").count() == links
     back = csv_tables.read_written(spark, files, "commits")
@@ -36,11 +36,15 @@ def test_runs_one_after_another(spark, tmp_path):
 
     aliases = people.resolve_identities(spark, folder, str(tmp_path / "audit"))
     assert aliases.count() == aliases.select("uid").distinct().count() > 0
-    report.write_reports(spark, folder)
+    report.write_reports(spark, folder, interchange=files)
     daily = tables.read_native(spark, folder, report.PROJECT_REPORT)
     assert daily.agg(F.sum("num_commits")).first()[0] == history.commits.count()
     view(spark, GIVEN, "vw_comments").write.parquet(f"{folder}/comments")
-    report.write_cross_references(spark, folder)
+    report.write_cross_references(spark, folder, interchange=files)
+    references = csv_tables.read_table(spark, f"{files}/cross_references", "cross_references", "part-*.csv")
+    assert rows(references) == rows(tables.read_native(spark, folder, "cross_references").select("slug", "ref", "type"))
+    listed = spark.read.option("header", True).csv(f"{files}/{report.PROJECT_REPORT}")
+    assert listed.columns == daily.select("user_id", *[c for c in daily.columns if c != "user_id"]).columns and listed.count() == daily.count()
     assert tables.read_native(spark, folder, "cross_references").count() > 0
     assert {"blames_commit", "alias_groups", report.LANGUAGE_REPORT} <= set(os.listdir(folder))
 
