@@ -12,10 +12,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from changelens.functions import fixed_values as V
+from changelens.functions.files import file_label
 from changelens.functions.people import is_platform
+from changelens.functions.text import last_segment
 from changelens.functions.times import activity_period
-from changelens.operators.changes import COMMIT, commit_file_entries, commit_files
+from changelens.operators.changes import COMMIT, commit_file_entries, is_source
 from changelens.operators.classify import guess_language
+from changelens.scratch import settle
 
 PROJECT_MEASURES = [
     "num_commits", "num_file_touches", "num_src_file_touches", "num_files_touched", "num_src_files_touched",
@@ -111,17 +114,17 @@ def activity_by_project(
     counted anew from the files and issues; they are not sums of days.
     """
     keys = ["user_id", "project", period]
-    commits = commits_by_user(facts, aliases, period)
+    # Narrow, and read by every measure: settled, so that identities are joined once.
+    totals = ["num_additions", "src_loc_added", "num_deletions", "src_loc_deleted"]
+    commits = settle(commits_by_user(facts, aliases, period).select(*COMMIT, *keys, *totals))
     spot = commits.select(*COMMIT, *keys)
 
-    # Touches of a file within one commit first, then within the period.
     touched = (
         commit_file_entries(changes)
-        .groupBy(*COMMIT, "file")
-        .agg(F.count("*").alias("touches"), F.count_if("is_src").alias("src_touches"))
+        .select(*COMMIT, "file", "is_src")
         .join(spot, COMMIT)
         .groupBy(*keys, "file")
-        .agg(F.sum("touches").alias("touches"), F.sum("src_touches").alias("src_touches"))
+        .agg(F.count("*").alias("touches"), F.count_if("is_src").alias("src_touches"))
         .groupBy(*keys)
         .agg(
             F.sum("touches").alias("num_file_touches"),
@@ -131,7 +134,7 @@ def activity_by_project(
         )
     )
     # A bug counts for a commit only under the developer that commit is filed under.
-    bugs = induced.select("user_id", "slug", "sha", "issue_number").distinct().join(spot, [*COMMIT, "user_id"])
+    bugs = settle(induced.select("user_id", *COMMIT, "issue_number").distinct().join(spot, [*COMMIT, "user_id"]))
     induced_issues = (
         bugs.select(*keys, "issue_number").distinct().groupBy(*keys).agg(F.count("*").alias("num_bugs_induced"))
     )
@@ -229,15 +232,15 @@ def source_file_rows(changes: DataFrame) -> DataFrame:
     A base name touched n times as a source file has ``rows`` = n.  Files whose
     first patch counts as documentation by base name are left out.
     """
-    first = (
-        commit_files(changes)
-        .groupBy(*COMMIT, F.col("commit_file").alias("file"))
-        .agg(F.min_by(F.struct("loc_ins", "loc_del", "lang"), "patch_pos").alias("first"))
+    base = last_segment(F.col("new_path"))
+    patches = changes.select(
+        *COMMIT, base.alias("file"), "patch_pos", is_source().alias("is_src"),
+        F.struct("loc_ins", "loc_del", file_label(base).alias("lang")).alias("counts"),
     )
-    listed = commit_file_entries(changes).filter("is_src").groupBy(*COMMIT, "file").agg(F.count("*").alias("rows"))
     return (
-        listed.join(first, [*COMMIT, "file"])
-        .filter(F.col("first.lang") != V.DOC)
+        patches.groupBy(*COMMIT, "file")
+        .agg(F.count_if("is_src").alias("rows"), F.min_by("counts", "patch_pos").alias("first"))
+        .filter((F.col("rows") > 0) & (F.col("first.lang") != V.DOC))
         .select(*COMMIT, "file", "rows", "first.loc_ins", "first.loc_del")
     )
 
@@ -257,13 +260,26 @@ def activity_by_language(
     keys = ["user_id", "language", period]
     spot = commits_by_user(facts, aliases, period).select(*COMMIT, "user_id", period)
     rows = guess_language(source_file_rows(changes).join(spot, COMMIT), "file", "language", catalog)
-    return rows.groupBy(*keys).agg(
-        F.sum("rows").alias("num_commits"),
-        F.sum("rows").alias("num_src_file_touches"),
-        F.count_distinct("file").alias("num_src_files_touched"),
-        F.sum(F.col("rows") * F.col("loc_ins")).alias("src_loc_added"),
-        F.sum(F.col("rows") * F.col("loc_del")).alias("src_loc_deleted"),
-        F.count_distinct("slug", "sha").alias("num_distinct_commits"),
+    # A commit counts once per language, through one of its rows; the join has brought its rows together.
+    leading = F.row_number().over(Window.partitionBy(*COMMIT, "language").orderBy("file")) == 1
+    return (
+        rows.withColumn("leads", leading)
+        .groupBy(*keys, "file")
+        .agg(
+            F.sum("rows").alias("rows"),
+            F.sum(F.col("rows") * F.col("loc_ins")).alias("loc_ins"),
+            F.sum(F.col("rows") * F.col("loc_del")).alias("loc_del"),
+            F.count_if("leads").alias("commits"),
+        )
+        .groupBy(*keys)
+        .agg(
+            F.sum("rows").alias("num_commits"),
+            F.sum("rows").alias("num_src_file_touches"),
+            F.count("*").alias("num_src_files_touched"),
+            F.sum("loc_ins").alias("src_loc_added"),
+            F.sum("loc_del").alias("src_loc_deleted"),
+            F.sum("commits").alias("num_distinct_commits"),
+        )
     )
 
 

@@ -44,7 +44,7 @@ def commit_files(changes: DataFrame) -> DataFrame:
     )
 
 
-def _is_source() -> Column:
+def is_source() -> Column:
     """Text patches whose full path is not documentation; tests and configuration count."""
     return ~F.col("is_binary") & (file_label(F.col("new_path")) != V.DOC)
 
@@ -52,7 +52,7 @@ def _is_source() -> Column:
 def commit_file_entries(changes: DataFrame) -> DataFrame:
     """The file list of each commit, one row per text patch, with a source flag."""
     return changes.filter(~F.col("is_binary")).select(
-        *COMMIT, "patch_pos", last_segment(F.col("new_path")).alias("file"), _is_source().alias("is_src")
+        *COMMIT, "patch_pos", last_segment(F.col("new_path")).alias("file"), is_source().alias("is_src")
     )
 
 
@@ -82,7 +82,7 @@ def commit_file_lists(changes: DataFrame, part_size: int = LIST_PART) -> DataFra
 def change_totals(changes: DataFrame) -> DataFrame:
     """Totals of each commit's patches; deleted lines are positive here."""
     source = F.col("is_src")
-    return changes.withColumn("is_src", _is_source()).groupBy(*COMMIT).agg(
+    return changes.withColumn("is_src", is_source()).groupBy(*COMMIT).agg(
         F.sum("loc_ins").alias("num_additions"),
         F.sum(-F.col("loc_del")).alias("num_deletions"),
         F.count("*").alias("num_files_changed"),
