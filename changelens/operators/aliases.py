@@ -142,13 +142,13 @@ def clues(keys: DataFrame) -> DataFrame:
 
     A pair may have one rule more than once, through different keys.
     """
-    sizes = bucket_sizes(keys)
-    own_size = F.coalesce(*[F.when(F.col("space") == s, F.col(f"n_{s}")) for s in BOUNDED])
+    keys = settle(keys)
+    # Only the names of oversized buckets meet the rows, so what is in them is never brought together.
+    bounded = keys.filter(F.col("space") != LOGIN)
+    oversized = bounded.groupBy("realm", "key", "space").count().filter(F.col("count") >= BUCKET_LIMIT)
     person = F.struct("uid", "email")
     buckets = (
-        keys.filter(F.col("space") != LOGIN)
-        .join(sizes, ["realm", "key"])
-        .filter(own_size < BUCKET_LIMIT)
+        bounded.join(oversized, ["realm", "key", "space"], "left_anti")
         .groupBy("realm", "key")
         .agg(
             *[

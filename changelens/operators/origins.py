@@ -9,6 +9,7 @@ from changelens.functions import fixed_values as V
 from changelens.functions.files import file_label, line_label
 from changelens.functions.text import last_segment
 from changelens.functions.times import micros, seconds
+from changelens.scratch import settle
 
 # An origin commit at or beyond these sizes says nothing about a bug.
 MAX_FILES, MAX_NEW_LINES = 50, 200
@@ -75,18 +76,22 @@ def lines_with_latest_addition(removed: DataFrame, fix_times: DataFrame, additio
     not the exact result of a blame, so prefer :func:`lines_with_origin`.
 
     ``fix_times`` is ``(slug, sha, ts)``; ``additions`` is ``(slug, path,
-    content, sha, ts)``.  Both sides are first cut to distinct seconds per
+    content, sha, ts)``.  Additions whose text no removed line asks for are left
+    out first; texts travel as digests.  Both sides are then cut to distinct seconds per
     text.  The latest addition is then looked up inside a day (at most 86,400
     seconds on each side) and, failing that, carried over from the last
     earlier day that has one.  So no group grows with the number of copies of
     a line.
     """
-    key = ["slug", "path", "content"]
-    timed = removed.join(
-        fix_times.select("slug", F.col("sha").alias("fix_sha"), seconds(F.col("ts")).alias("at")), ["slug", "fix_sha"]
-    )
+    key = ["slug", "path", "text"]
+    text = F.unhex(F.md5("content")).alias("text")
+    times = fix_times.select("slug", F.col("sha").alias("fix_sha"), seconds(F.col("ts")).alias("at"))
+    timed = settle(removed.join(times, ["slug", "fix_sha"]).select("*", text))
+    wanted = timed.select(*key).distinct()
     added = (
-        additions.groupBy(*key, seconds(F.col("ts")).alias("at"))
+        additions.select("slug", "path", text, "sha", "ts")
+        .join(wanted, key, "left_semi")
+        .groupBy(*key, seconds(F.col("ts")).alias("at"))
         .agg(F.max("sha").alias("added_sha"))
         .withColumn("asked", F.lit(False))
     )
@@ -115,7 +120,7 @@ def lines_with_latest_addition(removed: DataFrame, fix_times: DataFrame, additio
         .select(*key, "at", F.coalesce("same_day", "carried").alias("blamed_sha"))
         .filter("blamed_sha is not null")
     )
-    return timed.join(answers, [*key, "at"]).drop("at")
+    return timed.join(answers, [*key, "at"]).drop("at", "text")
 
 
 def plausible_origins(commit_sizes: DataFrame, max_files: int = MAX_FILES, max_new_lines: int = MAX_NEW_LINES) -> DataFrame:
