@@ -1,7 +1,32 @@
-"""SQL counterparts of those queries that SQL can express on whole tables."""
+"""SQL counterparts of those queries that SQL can express on whole tables.
+
+The others learn (3, 4, 5, 7), hash or follow links by rules that SQL lacks (1, 9, 10), run a tokenizer (6), or
+choose windows in turn (2); the tests hold them against brute force, round trips or held-out accuracy.
+"""
 
 from __future__ import annotations
 
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')"
+
+_CONTAMINATION = f"""
+    with items as (select item_id, {_WORDS} as ws from benchmark),
+    docs as (select doc_id, {_WORDS} as ws from documents),
+    needles as (
+      select distinct cast(item_id as varchar) as item, least(len(ws), 13) as width, array_to_string(ws[pos : pos + least(len(ws), 13) - 1], ' ') as win
+      from (select item_id, ws, unnest(range(1, len(ws) - least(len(ws), 13) + 2)) as pos from items where len(ws) > 0) i),
+    widths as (select distinct width from needles),
+    places as (
+      select doc_id, width, pos, array_to_string(ws[pos : pos + width - 1], ' ') as win
+      from (select doc_id, ws, width, unnest(range(1, len(ws) - width + 2)) as pos from docs, widths where len(ws) >= width) d),
+    hits as (select doc_id, p.width, pos, item from places p join needles n on p.win = n.win and p.width = n.width),
+    covered as (select doc_id, count(distinct word) as n_hit
+      from (select doc_id, unnest(range(pos, pos + width)) as word from (select distinct doc_id, width, pos from hits) h) c group by doc_id),
+    named as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items
+      from (select distinct doc_id, item from hits) h group by doc_id)
+    select d.doc_id, len(ws) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256,
+      coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(ws) as contaminated
+    from docs d left join covered c on d.doc_id = c.doc_id left join named n on d.doc_id = n.doc_id"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_decontamination": _CONTAMINATION}
