@@ -44,15 +44,15 @@ def _share(value: np.ndarray, of: np.ndarray) -> np.ndarray:
 
 #: name: (votes bad, votes good), each from the statistics.
 LABELLERS = {
-    "short": (lambda s: s["n_words"] < 3, lambda s: s["n_words"] < 0),
+    "short": (lambda s: s["n_words"] < 1, lambda s: s["n_words"] < 0),
     "symbols": (lambda s: _share(s["symbols"], s["chars"]) > 0.08, lambda s: s["n_words"] < 0),
     "capitals": (lambda s: _share(s["capitals"], s["chars"]) > 0.3, lambda s: s["n_words"] < 0),
     "marks": (lambda s: _share(s["marks"], s["n_words"]) > 0.3, lambda s: s["n_words"] < 0),
     "monotone": (lambda s: (s["n_words"] >= 10) & (_share(s["distinct"], s["n_words"]) < 0.25 * np.minimum(1, 200 / np.maximum(s["n_words"], 1)) ** 0.5), lambda s: s["n_words"] < 0),
     "lines": (lambda s: s["dup_lines"] >= 3, lambda s: s["n_words"] < 0),
-    "toxic": (lambda s: s["flagged"] > 0, lambda s: s["n_words"] < 0),
-    "plain": (lambda s: s["n_words"] < 0, lambda s: (s["n_words"] >= 3) & (_share(s["symbols"], s["chars"]) < 0.02) & (_share(s["capitals"], s["chars"]) < 0.1) & (s["flagged"] == 0)),
-    "varied": (lambda s: s["n_words"] < 0, lambda s: (s["n_words"] >= 3) & (_share(s["distinct"], s["n_words"]) > 0.35 * np.minimum(1, 200 / np.maximum(s["n_words"], 1)) ** 0.5)),
+    "toxic": (lambda s: (s["flagged"] >= 2) | ((s["flagged"] == 1) & (s["n_words"] < 60)), lambda s: s["n_words"] < 0),
+    "plain": (lambda s: s["n_words"] < 0, lambda s: (s["n_words"] >= 1) & (_share(s["symbols"], s["chars"]) < 0.02) & (_share(s["capitals"], s["chars"]) < 0.25) & (s["flagged"] <= 1)),
+    "varied": (lambda s: s["n_words"] < 0, lambda s: (s["n_words"] >= 1) & (_share(s["distinct"], s["n_words"]) > 0.35 * np.minimum(1, 200 / np.maximum(s["n_words"], 1)) ** 0.5)),
 }
 
 #: Statistics whose bins are features of the scorer, with the edges of the bins.
