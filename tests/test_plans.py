@@ -36,6 +36,9 @@ def test_runs_one_after_another(spark, tmp_path):
 
     aliases = people.resolve_identities(spark, folder, str(tmp_path / "audit"))
     assert aliases.count() == aliases.select("uid").distinct().count() > 0
+    shared = tables.read_native(spark, folder, "alias_shared_emails").agg(F.sum("members"), F.count("*")).first()
+    written = csv_tables.read_delimited(spark, f"{tmp_path}/audit/idm_map", "uid string, rep string").count()
+    assert written == aliases.filter("uid <> rep").count() + (shared[0] or 0) - shared[1]
     report.write_reports(spark, folder, interchange=files)
     daily = tables.read_native(spark, folder, report.PROJECT_REPORT)
     assert daily.agg(F.sum("num_commits")).first()[0] == history.commits.count()
