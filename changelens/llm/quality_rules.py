@@ -140,8 +140,9 @@ def sample_texts(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) ->
     return settle(docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).drop("label_id"))
 
 
-def flag_words(sample: DataFrame, least: int = 5, odds: float = 50.0, limit: int = FLAG_WORDS) -> frozenset[bytes]:
+def flag_words(sample: DataFrame, least: int = 5, odds: float = 50.0, shared: float = 1.0, limit: int = FLAG_WORDS) -> frozenset[bytes]:
     """Words and beginnings found in at least ``least`` toxic documents of the sample and hardly any others.
+    A whole word that others have too needs ``shared`` times the evidence.
 
     The report is a top list by document count; its length bounds what is sent to the tasks."""
 
@@ -159,7 +160,9 @@ def flag_words(sample: DataFrame, least: int = 5, odds: float = 50.0, limit: int
     counted = counted.agg(F.count_if("toxic").alias("ours"), F.count_if(~F.col("toxic")).alias("theirs"))
     sizes = sample.agg(F.count_if("toxic"), F.count_if(~F.col("toxic"))).first()
     weight = (sizes[1] + 1) / (sizes[0] + 1)
-    ranked = counted.filter((F.col("ours") >= least) & (F.col("ours") * weight >= odds * (F.col("theirs") + 0.5)))
+    whole = F.col("part").cast("string").endswith(".") & (F.col("theirs") > 0)
+    asked = F.when(whole, shared * odds).otherwise(odds) * (F.col("theirs") + 0.5)
+    ranked = counted.filter((F.col("ours") >= least) & (F.col("ours") * weight >= asked))
     return frozenset(bytes(r["part"]) for r in ranked.orderBy(F.desc("ours"), "part").limit(limit).collect())
 
 

@@ -61,7 +61,7 @@ _BINS = {
     "capitals": ("chars", [0.02, 0.05, 0.1, 0.2, 0.4]),
     "marks": ("n_words", [0.02, 0.1, 0.3, 0.6]),
     "distinct": ("n_words", [0.05, 0.1, 0.2, 0.3, 0.5, 0.8]),
-    "flagged": ("one", [0.5, 2.5]),
+    "flagged": ("one", [0.5, 1.5, 3.5]),
     "dup_lines": ("one", [0.5, 2.5]),
     "n_words": ("one", [9.5, 29.5, 99.5]),
 }
@@ -95,11 +95,12 @@ def _measure(texts: list[bytes], flagged: frozenset[bytes], with_features: bool)
     own_ids = []
     for own in words:
         own_ids.append(np.unique(np.array([numbers.setdefault(w, len(numbers)) for w in own], np.int64)))
-    flags = np.zeros(len(numbers) + 1, bool)
+    # A marked word weighs two, a word that only begins like marked ones weighs one.
+    flags = np.zeros(len(numbers) + 1, np.int64)
     hashed = np.zeros((len(numbers) + 1, 4), np.int64)
     for k, word in enumerate(numbers):
         found = parts_of(word)
-        flags[k] = any(p in flagged for p in found)
+        flags[k] = max((1 + p.endswith(b".") for p in found if p in flagged), default=0)
         if with_features:
             row = [zlib.crc32(p) % BUCKETS for p in found[:4]]
             hashed[k] = (row + row[:1] * 4)[:4] if row else zlib.crc32(word) % BUCKETS
@@ -196,7 +197,8 @@ def train(features: list[np.ndarray], bins: np.ndarray, good: np.ndarray, epochs
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, label_rows: int = LABEL_ROWS) -> tuple[HashedScorer, LabelModel, frozenset[bytes]]:
-    flagged = flag_words(sample_texts(docs, labels, label_rows))
+    # One marked whole word is a vote, so one that clean documents have too is hardly ever marked.
+    flagged = flag_words(sample_texts(docs, labels, label_rows), shared=20.0)
     patterns = settle(vote_patterns(docs, flagged))
     model = estimate({r["pattern"]: r["count"] for r in patterns.groupBy("pattern").count().collect()})
     chosen = bounded_sample(patterns.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("pattern").alias("pattern")), "doc_id", sample_rows)
