@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from changelens.scratch import settle
+
 BITS = 1 << 27
 _SECTION = 1 << 17
 
@@ -47,10 +49,29 @@ class Bitmap:
         return held(F.pmod(key, F.lit(BITS)))
 
 
-def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is not in ``dropped`` (one column; null is an id like any other).  Only
+def row_id() -> Column:
+    """Names a row by doc_id (null comes last) and text; only rows equal in both share it."""
+    return F.struct(F.col("doc_id").isNull().alias("nameless"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("text"))
+
+
+def without(docs: DataFrame, dropped: DataFrame, key: Column) -> DataFrame:
+    """Rows of ``docs`` whose ``key`` is not in ``dropped`` (one column; null is a key like any other).  Only
     rows that the bitmap cannot acquit are shuffled."""
-    gone = dropped.toDF("gone_id")
-    may_go = Bitmap(gone, F.xxhash64("gone_id")).may_hold(F.xxhash64(docs["doc_id"]))
-    decided = docs.filter(may_go).join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]), "left_anti")
+    gone = dropped.toDF("gone_key")
+    may_go = Bitmap(gone, F.xxhash64("gone_key")).may_hold(F.xxhash64(key))
+    decided = docs.filter(may_go).join(gone, key.eqNullSafe(gone["gone_key"]), "left_anti")
     return docs.filter(~may_go).unionByName(decided)
+
+
+def keep_one(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each component; ``found``: ``doc_id`` (the ``row_id`` of each row) and
+    ``component_id`` (the least one of its component).  Of rows equal in doc_id and text that with the least
+    hash of all columns stays."""
+    dropped = found.filter("doc_id <> component_id").select("doc_id").distinct()
+    doubled = settle(found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("times")).filter("times > 1").select("doc_id"))
+    left = without(docs, settle(dropped), row_id())
+    if doubled.isEmpty():
+        return left
+    copies = left.join(doubled.toDF("doubled_key"), row_id().eqNullSafe(F.col("doubled_key")), "left_semi")
+    single = copies.groupBy(row_id().alias("row_key")).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row"))
+    return without(left, doubled, row_id()).unionByName(single.select("row.*"))

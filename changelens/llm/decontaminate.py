@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from changelens.llm.bitmap import without
+from changelens.llm.bitmap import row_id, without
 from changelens.llm.common import pieces, raw_texts, starts_of
 from changelens.scratch import settle
 
@@ -207,5 +207,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
-    """The rows of ``docs`` without the documents of which a row is contaminated; all columns stay."""
-    return without(docs, settle(contamination(docs, benchmark, **settings).filter("contaminated").select("doc_id").distinct()))
+    """The rows of ``docs`` that are not contaminated, each judged by its own text; all columns stay."""
+    found = contamination(docs.select(row_id().alias("doc_id"), "text"), benchmark, **settings)
+    return without(docs, settle(found.filter("contaminated").select("doc_id").distinct()), row_id())

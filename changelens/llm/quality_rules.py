@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from changelens.llm.bitmap import without
+from changelens.llm.bitmap import row_id, without
 from changelens.llm.common import bounded_sample, pieces, raw_texts, starts_of
 from changelens.scratch import settle
 
@@ -273,14 +273,18 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> t
     return learn(values, np.array([r["bad"] for r in rows], bool)), flagged
 
 
-def judge(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """Per row: doc_id, the statistics, ``base_failed``, ``rule`` (0: none) and ``kept``."""
-    rules, flagged = fit(docs, labels, sample_rows)
+def _judged(docs: DataFrame, rules: list[Rule], flagged: frozenset[bytes]) -> DataFrame:
     measured = statistics(docs, flagged)
     judged = measured.withColumns({"base_failed": F.expr(BASE_FAILED), "rule": expression(rules)})
     return judged.withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
 
 
-def drop_rejected(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
-    """The rows of ``docs`` without the documents of which a row is rejected; all columns stay."""
-    return without(docs, settle(judge(docs, labels, **settings).filter("NOT kept").select("doc_id").distinct()))
+def judge(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """Per row: doc_id, the statistics, ``base_failed``, ``rule`` (0: none) and ``kept``."""
+    return _judged(docs, *fit(docs, labels, sample_rows))
+
+
+def drop_rejected(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The rows of ``docs`` that are kept, each judged by its own text; all columns stay."""
+    judged = _judged(docs.select(row_id().alias("doc_id"), "text"), *fit(docs, labels, sample_rows))
+    return without(docs, settle(judged.filter("NOT kept").select("doc_id").distinct()), row_id())

@@ -9,7 +9,8 @@ inside the join.  Equal fingerprints are one entry, so copies are never paired w
 Defined cases: a null or wordless text has fingerprint zero and is linked like any other; fewer words than
 a shingle make one shingle; repeated shingles count each time; rows of one doc_id are each judged and
 returned; a null doc_id never names a component unless the component has no other id (then null); other
-columns are ignored.  An empty table gives an empty result.
+columns are ignored.  ``drop_near_duplicates`` keeps exactly one row of a component, whatever ids its rows
+have.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from changelens.llm.bitmap import without
+from changelens.llm.bitmap import keep_one, row_id
 from changelens.llm.common import pieces, raw_texts
 from changelens.llm.components import roots
 from changelens.scratch import settle
@@ -105,7 +106,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, segmen
 
 
 def drop_near_duplicates(docs: DataFrame, **settings) -> DataFrame:
-    """The rows of ``docs`` without the documents that are not the least of their component; all columns
-    stay.  A null doc_id stays only where its component has no other."""
-    found = near_duplicates(docs, **settings)
-    return without(docs, settle(found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()))
+    """One row of ``docs`` for each component, with all columns: that of the least doc_id (null after all
+    others), then of the least hash of the text."""
+    return keep_one(docs, settle(near_duplicates(docs.select(row_id().alias("doc_id"), "text"), **settings)))

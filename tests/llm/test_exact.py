@@ -1,6 +1,7 @@
 """Operators with exactly defined results, against brute force over the awkward tables."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -259,3 +260,27 @@ def test_empty_tables(spark, docs):
     assert lm_bloom.score(none).count() == 0
     assert packing.pack(none, public_tokenizers.path("byte_bpe_50k.json")).count() == 0
     assert quality_rules.judge(none, fixtures.labels(spark)).count() == 0
+
+
+def _repeated_ids(spark):
+    """Null and repeated ids under different texts; a bad, a benchmark and two near copies among them."""
+    rng = random.Random(9)
+    x, y, z, clean, leaked = (fixtures.sentence(rng, 60) for _ in range(5))
+    rows = [(5, x), (8, x), (5, y), (3, y), (None, z), (None, z), (None, z + "\n"), (None, clean), (None, "bad"), (7, clean + " "), (7, "bad"), (9, leaked), (9, fixtures.sentence(rng, 60)), (None, leaked)]
+    return spark.createDataFrame([(d, t, k % 2) for k, (d, t) in enumerate(rows)], "doc_id long, text string, other int").repartition(3), (x, y, z, clean, leaked)
+
+
+def test_stages_decide_on_rows_not_ids(spark):
+    frame, (x, y, z, clean, leaked) = _repeated_ids(spark)
+    given = Counter((r.doc_id, r.text) for r in frame.collect())
+    none = fixtures.empty(fixtures.labels(spark))
+    kept = quality_rules.drop_rejected(frame, none)
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter({k: n for k, n in given.items() if k[1] != "bad"})
+    items = spark.createDataFrame([(1, leaked)], "item_id long, text string")
+    kept = decontaminate.drop_contaminated(frame, items)
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter({k: n for k, n in given.items() if k[1] != leaked})
+    kept = simhash.drop_near_duplicates(frame).select(frame.columns)
+    once = Counter(r.text.strip() for r in kept.collect())
+    assert once == Counter({t.strip(): 1 for _, t in given})
+    ids = {r.text.strip(): r.doc_id for r in kept.collect()}
+    assert (ids[x], ids[y], ids[z], ids[clean], ids[leaked], ids["bad"]) == (5, 3, None, 7, 9, 7)
