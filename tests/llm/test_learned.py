@@ -226,6 +226,24 @@ def test_bad_branches_are_kept_apart_and_rejected(spark):
     assert url_templates.judge(fixtures.empty(frame), labels, URL_RULES).count() == 0
 
 
+def test_sections_are_kept_apart_in_any_number_and_depth(spark):
+    rows, marks = [], []
+    for i in range(2400):
+        section = i % 30
+        rows.append((i, f"http://many.net/part{chr(97 + section % 26)}{chr(97 + section // 26)}/{'item' * (i % 3)}x{i}.html"))
+        marks.append((i, section != 4))
+    for i in range(2400, 3000):
+        rows.append((i, f"http://deep.net/a/b/c/d/e/{'bad' if i % 3 else 'good'}/{i}"))
+        marks.append((i, i % 3 == 0))
+    frame = spark.createDataFrame(rows, "page_id long, url string").repartition(3)
+    labels = spark.createDataFrame(marks, "page_id long, good boolean")
+    verdicts = defaultdict(set)
+    for r in url_templates.judge(frame, labels, []).collect():
+        verdicts[r.host, r.path.split("/")[1 if r.host == "many.net" else 6]].add(r.verdict)
+    blocked = {k for k, v in verdicts.items() if v == {"block"}}
+    assert all(len(v) == 1 for v in verdicts.values()) and blocked == {("many.net", "partea"), ("deep.net", "bad")}
+
+
 # Pipeline ---------------------------------------------------------------------------------------------------
 
 
