@@ -6,6 +6,9 @@ follows decides.  When the set outgrows the bitmap everything passes and the joi
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -26,7 +29,8 @@ def _section(group: pa.Table) -> pa.Table:
 
 
 class Bitmap:
-    """``BITS`` bits, whatever the number of keys; that is what is collected and broadcast."""
+    """``BITS`` bits, whatever the number of keys; that is what is collected; it is broadcast
+    compressed, as every executor keeps a copy on disk."""
 
     def __init__(self, keys: DataFrame, key: Column):
         spots = keys.select(F.pmod(key, F.lit(BITS)).alias("spot")).distinct()
@@ -35,16 +39,18 @@ class Bitmap:
         for row in dealt.groupBy("section").applyInArrow(_section, "section long, bits binary").toLocalIterator():
             at = row["section"] * _SECTION // 8
             bits[at : at + _SECTION // 8] = row["bits"]
-        self.sent = keys.sparkSession.sparkContext.broadcast(bytes(bits))
+        self.sent = keys.sparkSession.sparkContext.broadcast(zlib.compress(bytes(bits), 1))
 
     def may_hold(self, key: Column) -> Column:
         """Whether the key may be in the set."""
         sent = self.sent
 
         @F.pandas_udf("boolean")
-        def held(spot: pd.Series) -> pd.Series:
-            at = spot.to_numpy()
-            return pd.Series(np.frombuffer(sent.value, np.uint8)[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1)
+        def held(spots: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            bits = np.frombuffer(zlib.decompress(sent.value), np.uint8)
+            for spot in spots:
+                at = spot.to_numpy()
+                yield pd.Series(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1)
 
         return held(F.pmod(key, F.lit(BITS)))
 

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from changelens.llm import decontaminate, lm_bloom, packing, quality_rules, simhash, suffix_dedup
+from changelens.llm import decontaminate, lm_bloom, near_copies, packing, quality_rules, simhash, suffix_dedup
 from changelens.llm.common import prepared
 from tests.llm import fixtures
 
@@ -284,3 +284,42 @@ def test_stages_decide_on_rows_not_ids(spark):
     assert once == Counter({t.strip(): 1 for _, t in given})
     ids = {r.text.strip(): r.doc_id for r in kept.collect()}
     assert (ids[x], ids[y], ids[z], ids[clean], ids[leaked], ids["bad"]) == (5, 3, None, 7, 9, 7)
+
+
+@pytest.mark.parametrize("order_texts", [near_copies.ORDER_TEXTS, 1])
+def test_near_copies_against_brute_force(spark, docs, given, monkeypatch, order_texts):
+    monkeypatch.setattr(near_copies, "ORDER_TEXTS", order_texts)
+    rng = random.Random(3)
+    texts = [t for _, t in given]
+    common = fixtures.sentence(rng, 25)
+    for size in (12, 60, 200, 400):
+        words = fixtures.sentence(rng, size).split()
+        for changes in (1, 1, 2, 3, 4, 6, 8, 10):
+            own = list(words)
+            for _ in range(changes):
+                own[rng.randrange(size)] = fixtures.sentence(rng, 1)
+            texts.append(" ".join(own))
+    texts += [common + " " + fixtures.sentence(rng, rng.randint(3, 12)) for _ in range(30)]
+    sets = []
+    for text in texts:
+        words = WORD.findall(lowered(text))
+        sets.append({tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set())
+    alike = lambda x, y: x == y or 100 * len(x & y) >= 80 * len(x | y)
+    left, expected = set(range(len(texts))), set()
+    while left:
+        reached, todo = set(), [left.pop()]
+        while todo:
+            own = todo.pop()
+            reached.add(own)
+            near = {k for k in left if alike(sets[own], sets[k])}
+            left -= near
+            todo += near
+        expected.add(frozenset(reached))
+    assert any(len(x) > 4 for x in expected) and len(expected) > 60
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = defaultdict(set)
+    for row in near_copies.near_copies(frame).collect():
+        found[row.component_id].add(row.doc_id)
+    assert {frozenset(x) for x in found.values()} == expected and all(k == min(x) for k, x in found.items())
+    kept = near_copies.drop_near_copies(frame)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(min(x) for x in expected)
