@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows and bytes that one Arrow batch may hold, so that Python workers stay small with very long texts.
@@ -62,6 +62,20 @@ def starts_of(lengths: np.ndarray) -> np.ndarray:
     return np.cumsum(lengths) - lengths
 
 
+def one_list(values: pa.Array) -> pa.ListArray:
+    """A column of one row that holds ``values``."""
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+
 def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
     """At most ``rows`` rows, those with the lowest hash of ``key``: the same ones on every run."""
     return df.orderBy(F.xxhash64(F.lit("sample"), F.col(key)), key).limit(rows)
+
+
+def first_rows(df: DataFrame, keys: list[str], order: list[Column], count: int, salt: Column) -> DataFrame:
+    """The first ``count`` rows of each key with their ``rank`` from 1.  ``salt`` splits a key: the first rows of
+    every split (reduced before the shuffle as well) meet in the second step."""
+    split = Window.partitionBy(*keys, "_salt").orderBy(*order)
+    some = df.withColumn("_salt", salt).withColumn("rank", F.row_number().over(split)).filter(F.col("rank") <= count)
+    whole = Window.partitionBy(*keys).orderBy(*order)
+    return some.drop("_salt").withColumn("rank", F.row_number().over(whole)).filter(F.col("rank") <= count)

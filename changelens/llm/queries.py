@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changelens.llm import chat_windows, decontaminate, language_kernel, lm_bloom, packing, quality_rules, simhash, suffix_dedup, url_templates, weak_quality
-from changelens.llm.common import table
+from changelens.llm import chat_windows, decontaminate, hard_negatives, language_kernel, lexical_search, lm_bloom, packing, quality_rules, records, simhash
+from changelens.llm import suffix_dedup, url_templates, weak_quality
+from changelens.llm.common import prepared, table
+from changelens.scratch import fresh_path
 
 
 def op2_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,6 +78,28 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary(), with_ids=False)
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.expr("if(vec_id % 7 = 0, (label + 1) % 10, label)")
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", F.coalesce(moved, "label")), F.col("vec_id") % 50 == 0)
+
+
+def word_vocabulary() -> str:
+    """Place of the public word-level BPE vocabulary; the same on every worker."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op13_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = fresh_path(prepared(spark), "records")
+    records.write(table(spark, sf_dir, "documents"), folder, word_vocabulary(), end=2)
+    return records.read(spark, folder)
+
+
 QUERIES = {
     "op1_suffix_array": op1_suffix_array,
     "op2_chat_windows": op2_chat_windows,
@@ -87,4 +111,7 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_simhash": op9_simhash,
     "op10_lm_bloom": op10_lm_bloom,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_token_records": op13_token_records,
 }
