@@ -11,10 +11,10 @@ A folder holds data files, index files and a manifest.
 
 Checksums are CRC-32 of ``zlib``, masked so that a checksum stored inside checked data does no harm.
 
-Writing: texts are encoded once and settled as numbers; the numbers, not the texts, are dealt out by ranges of
-doc_id (text hash and row break ties, so one frequent id spreads over many files) and sorted inside a range.  A task
-streams its range into one file under a name of its own attempt and reports it only when it is closed; files of lost
-attempts are in no manifest, so nobody reads them.  Files are reached through ``pyarrow.fs``, which knows local and
+Writing: documents are dealt out by ranges of doc_id (text hash and row break ties, so one frequent id spreads over many
+files) and sorted inside a range.  A task encodes its range and streams it into one file under a name of its own attempt,
+which it reports only when it is closed; files of lost attempts are in no manifest, so nobody reads them.  Token numbers
+are as good as incompressible, so they are written once, in the files, and never shuffled.  Files are reached through ``pyarrow.fs``, which knows local and
 shared mounts, HDFS and object stores by their address.
 
 Defined cases: a null text is empty (only the end number); a null doc_id comes first; repeated ids are ordered by
@@ -39,10 +39,9 @@ from pyspark.sql import functions as F
 
 from changelens.llm.common import pieces, raw_texts
 from changelens.llm.word_pieces import WordEncoder
-from changelens.scratch import settle
 
-#: Bytes of token numbers in a data file, bytes read at once, records looked up in one go.
-FILE_BYTES, READ_BYTES, LOOKUPS = 32 << 20, 4 << 20, 4096
+#: Bytes of text in a data file, bytes read at once, records looked up in one go.
+FILE_BYTES, READ_BYTES, LOOKUPS = 64 << 20, 4 << 20, 4096
 
 # Fixed value: the public masking rule of this kind of record file.
 _MASK = 0xA282EAD8
@@ -50,7 +49,7 @@ _HEAD, _ENTRY, _HEAD_SIZE, _ENTRY_SIZE = "<QI", "<QQQ", 12, 24
 _NO_ID, _WIDE = 1, 2
 
 _MANIFEST = "part int, file string, records long, tokens long, size long"
-_RECORD = "doc_id long, part int, place long, before long, n_tokens long, ids_crc32 long"
+_RECORD = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
 def masked(data: bytes) -> int:
@@ -83,38 +82,26 @@ def _checked(length: bytes, payload: bytes, sums: tuple[int, int], where: str) -
     return payload
 
 
-def encoded(docs: DataFrame, vocabulary: str, end: int) -> DataFrame:
-    """``doc_id, tie, ids, width``: token numbers of every text and the end number, as bytes."""
-
+def _writer(folder: str, vocabulary: str, end: int):
     def run(batches):
         encoder = WordEncoder.of(vocabulary)
         last = np.array([end], f"<u{encoder.width}").tobytes()
-        for batch in pieces(batches, "text"):
-            ids = [encoder.encode(text) + last for text in raw_texts(batch.column("text"))]
-            width = pa.array(np.full(batch.num_rows, encoder.width), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tie"), pa.array(ids, pa.binary()), width], ["doc_id", "tie", "ids", "width"])
-
-    tied = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
-    return tied.mapInArrow(run, "doc_id long, tie long, ids binary, width int")
-
-
-def _writer(folder: str):
-    def run(batches):
         store, place = _opened(folder)
         part = TaskContext.get().partitionId()
         name = f"part-{part:06d}-{uuid.uuid4().hex}"
         records = tokens = size = 0
         data = index = None
-        for batch in batches:
+        for batch in pieces(batches, "text"):
             if data is None:
                 store.create_dir(place, recursive=True)
                 data, index = store.open_output_stream(f"{place}/{name}.rec"), store.open_output_stream(f"{place}/{name}.idx")
-            for doc_id, ids, width in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "ids", "width"))):
-                payload = _payload(doc_id, width, ids)
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), raw_texts(batch.column("text"))):
+                ids = encoder.encode(text) + last
+                payload = _payload(doc_id, encoder.width, ids)
                 data.write(frame(payload))
                 index.write(struct.pack(_ENTRY, size, len(payload), tokens))
                 size += len(payload) + _HEAD_SIZE + 4
-                tokens += len(ids) // width
+                tokens += len(ids) // encoder.width
                 records += 1
         if data is not None:
             data.close()
@@ -125,13 +112,14 @@ def _writer(folder: str):
 
 
 def write(docs: DataFrame, folder: str, vocabulary: str, end: int, file_bytes: int = FILE_BYTES) -> None:
-    """Encode ``docs`` (``doc_id, text``) and write them to ``folder`` in ascending doc_id order."""
-    numbers = settle(encoded(docs, vocabulary, end))
-    size = numbers.agg(F.sum(F.length("ids"))).first()[0] or 0
-    files = max(1, math.ceil(size / file_bytes))
+    """Encode ``docs`` (``doc_id, text``) and write them to ``folder`` in ascending doc_id order, in files of about
+    ``file_bytes`` of text."""
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
+    size = given.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     order = ["doc_id", "tie", F.monotonically_increasing_id()]
-    dealt = numbers.repartitionByRange(files, *order).sortWithinPartitions("doc_id", "tie")
-    dealt.select("doc_id", "ids", "width").mapInArrow(_writer(f"{folder}/data"), _MANIFEST).write.parquet(f"{folder}/manifest")
+    dealt = given.repartitionByRange(max(1, math.ceil(size / file_bytes)), *order).sortWithinPartitions("doc_id", "tie")
+    written = dealt.select("doc_id", "text").mapInArrow(_writer(f"{folder}/data", vocabulary, end), _MANIFEST)
+    written.write.parquet(f"{folder}/manifest")
 
 
 def manifest(spark: SparkSession, folder: str) -> DataFrame:
@@ -170,14 +158,13 @@ def _frames(stream, size: int, where: str) -> Iterator[bytes]:
         yield _checked(head[:8], payload, (sum_of_length, struct.unpack("<I", take(4))[0]), where)
 
 
-def _described(part: int, place: int, before: int, payload: bytes) -> tuple:
+def _described(start: int, payload: bytes) -> tuple:
     doc_id, ids = _parsed(payload)
-    return doc_id, part, place, before, len(ids), zlib.crc32(ids.astype("<u4").tobytes())
+    return doc_id, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())
 
 
 def _table(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int32(), *[pa.int64()] * 4]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["doc_id", "part", "place", "before", "n_tokens", "ids_crc32"])
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
 def _in_order(folder: str):
@@ -190,9 +177,9 @@ def _in_order(folder: str):
                     for payload in _frames(data, row["size"], row["file"]):
                         if struct.unpack(_ENTRY, index.read(_ENTRY_SIZE)) != (at, len(payload), before):
                             raise ValueError(f"{row['file']}: index and data differ at {at}")
-                        made.append(_described(row["part"], at, before, payload))
+                        made.append(_described(row["start"] + before, payload))
                         at += len(payload) + _HEAD_SIZE + 4
-                        before += made[-1][4]
+                        before += made[-1][2]
                         if len(made) == 10_000:
                             yield _table(made)
                             made = []
@@ -205,9 +192,8 @@ def _in_order(folder: str):
 def read(spark: SparkSession, folder: str) -> DataFrame:
     """Every record of the files, read from end to end and checked: ``doc_id, start, n_tokens, ids_crc32``."""
     files = manifest(spark, folder)
-    dealt = files.repartition(max(1, files.count()), "part")
-    found = dealt.mapInArrow(_in_order(f"{folder}/data"), _RECORD)
-    return found.join(with_starts(files), "part").select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
+    placed = files.join(with_starts(files), "part").repartition(max(1, files.count()), "part")
+    return placed.mapInArrow(_in_order(f"{folder}/data"), _RECORD)
 
 
 def index(spark: SparkSession, folder: str) -> DataFrame:

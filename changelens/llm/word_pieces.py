@@ -1,33 +1,72 @@
 """Token numbers from a word-level BPE vocabulary in the ``tokenizers`` JSON format, whose rules drop white space.
 
-Nothing in such a vocabulary reaches across white space, so a text's numbers are those of its words in turn.  Every
-different word is encoded once by ``tokenizers`` and remembered; texts are then put together from remembered words.
+Nothing in such a vocabulary reaches across white space, so a text's numbers are those of its words in turn.  A
+different word is encoded once by ``tokenizers`` and remembered.  A word of plain letters (ASCII and the common
+accented Latin ones), digits and ASCII signs is cut into pieces here by the vocabulary's own splitting rule, which
+is unambiguous for them, and the library's model encodes each different piece; all other words, and those that may hold
+a control string, go through the library whole.  Both ways give the same numbers (tested).
 """
 
 from __future__ import annotations
 
 import os
+import re
+import struct
 
-import numpy as np
+# Fixed value: the splitting rule of this kind of vocabulary, for lowered text of the plain characters.
+_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^ \t\n\x0b\x0c\ra-z0-9ß-öø-ſ]+")
+#: ASCII and accented Latin letters of one code point; U+0130 becomes two when lowered.
+_PLAIN = re.compile(r"[\x00-\x7fÀ-ÖØ-öø-įı-ſ]*")
 
 
-class _Known(dict):
-    """Numbers of each word as bytes, little-endian; those of words not met before come from ``tokenizers``."""
+def _letters() -> dict[int, str]:
+    """Letter of the vocabulary file for each byte: visible Latin-1 as itself, the others from U+0100 on."""
+    visible = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b <= 0xFF]
+    hidden = [b for b in range(256) if b not in set(visible)]
+    return {b: chr(256 + k) for k, b in enumerate(hidden)}
 
-    def __init__(self, tokenizer, kind: str):
-        self.tokenizer, self.kind = tokenizer, kind
 
-    def learn(self, words: list[bytes]) -> None:
-        found = self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)
-        self.update(zip(words, (np.array(x.ids, self.kind).tobytes() for x in found)))
+def numbers(ids: list[int], width: int) -> bytes:
+    """Little-endian, ``width`` bytes each."""
+    return struct.pack(f"<{len(ids)}{'H' if width == 2 else 'I'}", *ids)
+
+
+class _Pieces(dict):
+    """Numbers of each piece, as bytes."""
+
+    def __init__(self, model, width: int):
+        self.model, self.width, self.letters = model, width, _letters()
+
+    def __missing__(self, piece: str) -> bytes:
+        spelt = piece if piece.isascii() and piece.isalnum() else piece.encode().decode("latin-1").translate(self.letters)
+        found = self[piece] = numbers([token.id for token in self.model.tokenize(spelt)], self.width)
+        return found
+
+
+class _Words(dict):
+    """Numbers of each word, as bytes."""
+
+    def __init__(self, tokenizer, width: int):
+        self.tokenizer, self.width, self.pieces = tokenizer, width, _Pieces(tokenizer.model, width)
+
+    def __missing__(self, word: bytes) -> bytes:
+        text = word.decode()
+        if text.isascii() and text.isalpha():
+            found = self.pieces[text.lower()]
+        elif _PLAIN.fullmatch(text) and "<|" not in text:
+            found = b"".join(map(self.pieces.__getitem__, _PIECE.findall(text.lower())))
+        else:
+            found = numbers(self.tokenizer.encode(text, add_special_tokens=False).ids, self.width)
+        self[word] = found
+        return found
 
 
 class WordEncoder:
     """Encodes whole texts.  ``path``: a ``tokenizers`` JSON file.  Numbers have ``width`` bytes: two if the
     vocabulary fits into them, else four."""
 
-    #: Words remembered by a worker at most; then it starts anew.
-    REMEMBERED = 300_000
+    #: Words, and pieces, that a worker remembers before it starts anew.
+    REMEMBERED = 500_000
     _made: dict[str, WordEncoder] = {}
 
     def __init__(self, path: str):
@@ -36,7 +75,7 @@ class WordEncoder:
 
         tokenizer = Tokenizer.from_file(path)
         self.width = 2 if tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
-        self.known = _Known(tokenizer, f"<u{self.width}")
+        self.words = _Words(tokenizer, self.width)
 
     @classmethod
     def of(cls, path: str) -> WordEncoder:
@@ -46,12 +85,8 @@ class WordEncoder:
         return cls._made[path]
 
     def encode(self, text: bytes) -> bytes:
+        for known in (self.words, self.words.pieces):
+            if len(known) > self.REMEMBERED:
+                known.clear()
         # bytes.split() cuts at ASCII white space only, all of which the vocabulary's rules drop.
-        words = text.split()
-        new = list({w for w in words if w not in self.known})
-        if len(self.known) + len(new) > self.REMEMBERED:
-            self.known.clear()
-            new = list(set(words))
-        for low in range(0, len(new), 10_000):
-            self.known.learn(new[low : low + 10_000])
-        return b"".join(map(self.known.__getitem__, words))
+        return b"".join(map(self.words.__getitem__, text.split()))

@@ -146,7 +146,7 @@ def exact_ids(texts):
 
 def test_remembered_words_give_the_same_numbers(monkeypatch):
     texts = odd_texts() + [t for t in fixtures.texts() if t]
-    for remembered in (300_000, 50):
+    for remembered in (500_000, 50):
         monkeypatch.setattr(WordEncoder, "REMEMBERED", remembered)
         encoder = WordEncoder(word_vocabulary())
         assert [np.frombuffer(encoder.encode(t.encode()), f"<u{encoder.width}").tolist() for t in texts] == exact_ids(texts)
