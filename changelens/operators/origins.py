@@ -14,8 +14,10 @@ from changelens.scratch import settle
 # An origin commit at or beyond these sizes says nothing about a bug.
 MAX_FILES, MAX_NEW_LINES = 50, 200
 
-# Lines per step when a blame hunk is spread over its lines.
-HUNK_STEP = 4096
+# Lines in a bin at the finest level, and how much longer bins are from level to level; the last level
+# takes hunks of any length that a line number can have.
+FINEST_BIN, COARSER = 64, 8
+LEVELS = range(9)
 SECONDS_PER_DAY = 86_400
 
 
@@ -42,26 +44,55 @@ def removed_lines(fixes: DataFrame, diff_lines: DataFrame) -> DataFrame:
     )
 
 
-def blamed_line_numbers(blame_hunks: DataFrame) -> DataFrame:
-    """One row per line of each blame hunk, so that lines meet hunks on equal keys.
+def _bin_size(level: int) -> int:
+    return FINEST_BIN * COARSER**level
 
-    Spreading goes in two steps; no single row ever holds more than
-    ``HUNK_STEP`` numbers, whatever the size of the hunk.
+
+def _hunk_level() -> Column:
+    """Finest level at which a hunk is at most ``COARSER`` bins long."""
+    level = F.lit(len(LEVELS) - 1)
+    for k in reversed(LEVELS[:-1]):
+        level = F.when(F.col("num_lines") <= COARSER * _bin_size(k), F.lit(k)).otherwise(level)
+    return level
+
+
+def _bins(low: Column, high: Column, level: Column) -> Column:
+    """Bins that a span of lines touches at its level."""
+    size = F.lit(FINEST_BIN) * F.pow(F.lit(COARSER), level).cast("bigint")
+    return F.sequence(F.floor(low / size), F.floor(high / size))
+
+
+def binned_hunks(blame_hunks: DataFrame) -> DataFrame:
+    """Hunks under the bins of lines they touch: ``slug, fix_sha, path, level, bin, first, last, blamed_sha``.
+
+    Bins are ``FINEST_BIN`` lines long at level 0 and ``COARSER`` times longer from level to level.  A hunk
+    lies at the level that suits its length, so it is copied to at most ``COARSER`` + 1 bins however many
+    lines it has, and a bin of a coarse level holds few hunks.
     """
-    last = F.col("start_line") + F.col("num_lines") - 1
-    steps = blame_hunks.filter(F.col("num_lines") > 0).select(
-        "slug", "fix_sha", "path", "blamed_sha", last.alias("_last"),
-        F.explode(F.sequence("start_line", last, F.lit(HUNK_STEP))).alias("_from"),
-    )
-    return steps.select(
-        "slug", "fix_sha", "path", "blamed_sha",
-        F.explode(F.sequence("_from", F.least(F.col("_from") + (HUNK_STEP - 1), F.col("_last")))).alias("old_lineno"),
+    first = F.col("start_line").cast("bigint")
+    spans = blame_hunks.filter(F.col("num_lines") > 0).select(
+        "slug", "fix_sha", "path", "blamed_sha", first.alias("first"), (first + F.col("num_lines") - 1).alias("last"), _hunk_level().alias("level")
     )
+    return spans.withColumn("bin", F.explode(_bins(F.col("first"), F.col("last"), F.col("level"))))
+
+
+def levels_in_use(blame_hunks: DataFrame) -> list[int]:
+    """Levels at which hunks lie; ordinary histories have one or two."""
+    used = blame_hunks.filter(F.col("num_lines") > 0).agg(F.bit_or(F.call_function("shiftleft", F.lit(1), _hunk_level()))).first()[0] or 0
+    return [k for k in LEVELS if used >> k & 1]
 
 
 def lines_with_origin(removed: DataFrame, blame_hunks: DataFrame) -> DataFrame:
-    """Removed lines with the commit that last wrote them; lines without one fall out."""
-    return removed.join(blamed_line_numbers(blame_hunks), ["slug", "fix_sha", "path", "old_lineno"])
+    """Removed lines with the commit that last wrote them; lines without one fall out.
+
+    An interval join on equal keys: a line looks into one bin at each level in use, and whether it lies inside a
+    hunk is checked there.  Neither side is spread over the lines of a hunk.
+    """
+    line = F.col("old_lineno").cast("bigint")
+    places = [F.struct(F.lit(k).alias("level"), F.floor(line / _bin_size(k)).alias("bin")) for k in levels_in_use(blame_hunks) or [0]]
+    looking = removed.withColumn("_at", F.explode(F.array(*places))).select(*removed.columns, "_at.level", "_at.bin")
+    met = looking.join(binned_hunks(blame_hunks), ["slug", "fix_sha", "path", "level", "bin"])
+    return met.filter(line.between(F.col("first"), F.col("last"))).select(*removed.columns, "blamed_sha")
 
 
 def _day_of(at: Column) -> Column:

@@ -1,26 +1,23 @@
 """Interchange files: CSV tables with blanks for missing values.
 
-CSV with line breaks inside fields cannot be split among tasks, so a large
-history should be read from CSV once and kept as Parquet (``tables``).
+Files are read in splits whatever their cells hold (``csv_records``).
 """
 
 from __future__ import annotations
 
-import csv
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from changelens.functions.text import join_list, slug_to_file_stem, slug_to_folder, split_list
 from changelens.functions.times import issue_time
-from changelens.scratch import settle
+from changelens.sources.csv_records import read_rows
 from changelens.sources.schemas import TABLES
 
-_QUOTING = {"header": True, "multiLine": True, "quote": '"', "escape": '"', "encoding": "UTF-8"}
-_READ = {**_QUOTING, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "nullValue": "", "enforceSchema": False}
-_WRITE = {**_QUOTING, "nullValue": "", "emptyValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+_WRITE = {
+    "header": True, "quote": '"', "escape": '"', "encoding": "UTF-8", "nullValue": "", "emptyValue": "",
+    "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
+}
 
 
 def read_folder(
@@ -33,40 +30,10 @@ def read_folder(
 ) -> DataFrame:
     """All CSV files of a folder that match ``pattern``, as text columns with blanks as ``''``.
 
-    Files are expected to share one header, which is checked while they are
-    read in a single scan.  With ``mixed_headers`` they are put together by
-    column name, blank where a file lacks a column: one scan groups the files
-    by their first lines, and each different header (they alone reach the
-    driver) is one scan of its files.
+    Files are expected to share one header, else that is an error.  With ``mixed_headers`` they are put together by
+    column name, blank where a file lacks a column; any number of different headers is one scan.
     """
-    reader = spark.read.options(**_READ, sep=sep).option("pathGlobFilter", pattern)
-    if mixed_headers:
-        parts = _by_header(spark, folder, pattern, sep)
-    else:
-        parts = [reader.csv(folder)]
-    whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    kept = columns or whole.columns
-    return whole.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in kept])
-
-
-def _by_header(spark: SparkSession, folder: str, pattern: str, sep: str) -> list[DataFrame]:
-    """One table for each different header among the files."""
-    lines = spark.read.option("pathGlobFilter", pattern).text(folder)
-    at_start = lines.filter("_metadata.file_block_start = 0")
-    headers = settle(
-        at_start.select(F.col("_metadata.file_path").alias("file"), "value", F.monotonically_increasing_id().alias("at"))
-        .groupBy("file")
-        .agg(F.min_by("value", "at").alias("header"))
-    )
-    parts = []
-    for row in headers.select("header").distinct().orderBy("header").toLocalIterator():
-        names = next(csv.reader([row.header.lstrip("\ufeff").rstrip("\r")], delimiter=sep))
-        schema = T.StructType([T.StructField(name, T.StringType()) for name in names])
-        reader = spark.read.options(**_READ, sep=sep).option("enforceSchema", True).option("pathGlobFilter", pattern)
-        found = reader.schema(schema).csv(folder).select("*", F.col("_metadata.file_path").alias("_file"))
-        mine = headers.filter(F.col("header") == row.header).select(F.col("file").alias("_file"))
-        parts.append(found.join(mine, "_file", "left_semi").drop("_file"))
-    return parts
+    return read_rows(spark, folder, pattern, columns, sep, mixed_headers)
 
 
 def _typed(column: Column, kind: str) -> Column:
@@ -122,8 +89,7 @@ def write_table(df: DataFrame, folder: str, table: str) -> None:
 
     Rows are rebalanced on the project first: a task then writes few projects,
     and adaptive execution splits a project that is too large for one task.
-    :func:`read_written` and, with ``pattern="part-*.csv"``, :func:`read_table`
-    read the files back.
+    :func:`read_written` reads the files back.
     """
     text = as_interchange(df, table).withColumn("project", slug_to_folder(F.col("SLUG")))
     text.hint("rebalance", F.col("project")).write.mode("overwrite").options(**_WRITE).partitionBy("project").csv(f"{folder}/{table}")
@@ -131,12 +97,7 @@ def write_table(df: DataFrame, folder: str, table: str) -> None:
 
 def read_written(spark: SparkSession, folder: str, table: str) -> DataFrame:
     """Read back what :func:`write_table` wrote."""
-    fields = TABLES[table]
-    schema = T.StructType([T.StructField(name, T.StringType()) for _, name, _ in fields])
-    text = spark.read.options(**_READ).schema(schema).csv(f"{folder}/{table}/project=*")
-    return text.select(
-        *[_typed(F.coalesce(F.col(name), F.lit("")), kind).alias(native) for native, name, kind in fields]
-    )
+    return read_table(spark, f"{folder}/{table}", table, "part-*.csv")
 
 
 def write_report(df: DataFrame, path: str) -> None:
@@ -150,8 +111,10 @@ def write_delimited(df: DataFrame, path: str) -> None:
 
 
 def read_delimited(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """``;``-delimited file with a known schema."""
-    return spark.read.options(**_READ, sep=";").schema(schema).csv(path)
+    """``;``-delimited file with a known schema; blanks are null."""
+    fields = T.StructType.fromDDL(schema).fields
+    text = read_rows(spark, path, "part-*.csv", [f.name for f in fields], ";")
+    return text.select(*[F.nullif(F.col(f"`{f.name}`"), F.lit("")).try_cast(f.dataType).alias(f.name) for f in fields])
 
 
 def read_project_list(spark: SparkSession, path: str) -> DataFrame:

@@ -358,6 +358,11 @@ STATEMENTS = {
     "file_changes_from_diffs": _PATCH_TOTALS,
     "contributor_ids": "select slug, contributor_id, name, email from o_contributors",
     "bug_origins": "select * from o_blames",
+    "line_origins": """
+        select r.slug, r.fix_sha, r.path, h.blamed_sha, count(*) as lines, min(old_lineno) as first_line, max(old_lineno) as last_line
+        from o_removed r join vw_wide_hunks h on r.slug = h.slug and r.fix_sha = h.fix_sha and r.path = h.path
+          and r.old_lineno between h.start_line and h.start_line + h.num_lines - 1
+        group by r.slug, r.fix_sha, r.path, h.blamed_sha""",
     "bug_origins_compat": """
         select t.slug, t.fix_sha as bug_fixing_commit, t.path, t.type, t.blamed_sha as blamed_commit, n.num_blamed_lines
         from (select *, row_number() over (partition by slug, blamed_sha order by ts desc, fix_sha, patch_pos, hunk_pos) as rn

@@ -238,6 +238,17 @@ def bug_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _written(spark, sf_dir).blames
 
 
+@query
+def line_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Removed lines inside blame hunks of a few to ten million lines."""
+    steps = _written(spark, sf_dir)
+    found = origins.lines_with_origin(steps.removed, steps.named("vw_wide_hunks"))
+    spans = found.groupBy("slug", "fix_sha", "path", "blamed_sha").agg(
+        F.count("*").alias("lines"), F.min("old_lineno").alias("first_line"), F.max("old_lineno").alias("last_line")
+    )
+    return spans
+
+
 @query
 def bug_origins_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
     steps = _written(spark, sf_dir)

@@ -1,5 +1,6 @@
 """Links, changes, origins, reports and files on small histories."""
 
+import csv
 import datetime as dt
 import random
 from collections import Counter
@@ -106,7 +107,23 @@ def test_origins_and_compat(table):
     when = table([("o/p", "f1", day(1)), ("o/p", "f2", day(3)), ("o/p", "f3", day(2))],
                  "slug string, sha string, committed_at timestamp")
     assert rows(origins.bug_origins_compat(found, kept, when)) == [("o/p", "f2", "b.py", 0, "b1", 2)]
-    assert origins.blamed_line_numbers(hunks).filter("fix_sha = 'f2'").count() == 9000
+
+
+def test_lines_in_hunks_of_any_length(table):
+    draw = random.Random(4)
+    lengths = [1, 1, 2, 63, 64, 65, 511, 512, 513, 4096, 40_000, 300_000, 10_000_000, 0, -3, 2_000_000_000]
+    hunks = [("o/p", f"f{draw.randrange(2)}", draw.choice("ab"), draw.choice([1, 5, 64, 500, 70_000, 9_000_000]), n, f"b{k}")
+             for k, n in enumerate(lengths * 4)]
+    ends = [edge for _, _, _, start, n, _ in hunks for edge in (start - 1, start, start + n - 1, start + n) if 0 < edge < 2**31]
+    lines = [("o/p", f"f{draw.randrange(3)}", draw.choice("abc"), draw.choice(ends)) for _ in range(400)]
+    given = table(hunks, "slug string, fix_sha string, path string, start_line int, num_lines int, blamed_sha string")
+    removed = table(lines, "slug string, fix_sha string, path string, old_lineno int")
+    expected = [(*line, h[5]) for line in lines for h in hunks if line[:3] == h[:3] and h[3] <= line[3] < h[3] + h[4]]
+    assert rows(origins.lines_with_origin(removed, given)) == sorted(expected, key=repr) and len(expected) > 300
+    assert origins.binned_hunks(given).count() <= (origins.COARSER + 1) * len(hunks)
+    ordinary = table([("o/p", "f", "a", k * 3, 3, f"b{k}") for k in range(1, 200)], ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in given.schema))
+    assert origins.levels_in_use(ordinary) == [0] and origins.levels_in_use(ordinary.limit(0)) == []
+    assert rows(origins.lines_with_origin(removed, ordinary.limit(0))) == []
 
 
 def test_latest_addition_equals_brute_force(table):
@@ -264,3 +281,43 @@ def test_reading_folders(spark, tmp_path):
     (tmp_path / "projects.txt").write_text("o/p \n\n o/q\n")
     assert rows(csv_tables.read_project_list(spark, str(tmp_path / "projects.txt"))) == [
         ("o/p", "o_____p", "o_p"), ("o/q", "o_____q", "o_q")]
+
+
+@pytest.mark.parametrize("split", [150, 1 << 20])
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_a_file_is_read_in_splits(spark, tmp_path, split, end):
+    draw = random.Random(split)
+    cells = ["", "plain", 'a "word"', '"', '""', "x,y", "two\nlines", "\n", "\n\n\n", "r\r\nn", ' sp ', "é" * 5, 'long "\n' * 60, ",", '"\n"']
+    for name, header in (("a", ["k", "one", "two"]), ("b", ["two", "k"]), ("c", ["k", 'odd "\nname', "two", "three"])):
+        with open(tmp_path / f"{name}.csv", "w", newline="", encoding="utf-8-sig" if name == "b" else "utf-8") as file:
+            writer = csv.writer(file, lineterminator=end)
+            writer.writerow(header)
+            for k in range(70):
+                writer.writerow([f"{name}{k}" if h == "k" else draw.choice(cells) for h in header])
+                if k % 40 == 0:
+                    file.write(end)
+            writer.writerow([f"{name}-short"] if name != "b" else ["", "b-short"])
+    (tmp_path / "none.csv").write_text("")
+    (tmp_path / "head.csv").write_text("k,four")
+    expected = []
+    for name in "abc":
+        with open(tmp_path / f"{name}.csv", newline="", encoding="utf-8-sig") as file:
+            for row in csv.DictReader(file):
+                expected.append((row["k"], row.get("one") or "", row.get("two") or "", row.get("three") or "", row.get('odd "\nname') or ""))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+    try:
+        names = ["k", "one", "two", "three", 'odd "\nname']
+        found = csv_tables.read_folder(spark, str(tmp_path), columns=names, mixed_headers=True)
+        assert rows(found) == sorted(expected, key=repr)
+        if split == 150:
+            assert spark.read.option("lineSep", "\n").text(str(tmp_path)).rdd.getNumPartitions() > 30
+        whole = csv_tables.read_folder(spark, str(tmp_path), mixed_headers=True)
+        assert set(whole.columns) == {*names, "four"} and whole.count() == len(expected)
+        one = spark.read.options(header=True, multiLine=True, quote='"', escape='"', nullValue="").csv(str(tmp_path / "a.csv"))
+        breaks = lambda table: [tuple(c.replace("\r\n", "\n") for c in row) for row in rows(table)]
+        assert sorted(breaks(csv_tables.read_folder(spark, str(tmp_path), "a.csv"))) == sorted(breaks(one.na.fill("")))
+        with pytest.raises(ValueError, match="different headers"):
+            csv_tables.read_folder(spark, str(tmp_path))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
