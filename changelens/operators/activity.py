@@ -25,6 +25,10 @@ PROJECT_MEASURES = [
     "loc_added", "src_loc_added", "loc_deleted", "src_loc_deleted", "num_bugs_induced", "num_bug_inducing_commits",
 ]
 
+LANGUAGE_MEASURES = [
+    "num_commits", "num_src_file_touches", "num_src_files_touched", "src_loc_added", "src_loc_deleted", "num_distinct_commits",
+]
+
 # Patch positions per step when a commit's files are numbered.
 NUMBERING_STEP = 1000
 
@@ -83,7 +87,7 @@ def commits_by_user(facts: DataFrame, aliases: DataFrame, period: str) -> DataFr
     return with_representative(dated, aliases, "author_id")
 
 
-def _add_up(parts: list[DataFrame], keys: list[str], measures: list[str]) -> DataFrame:
+def add_up(parts: list[DataFrame], keys: list[str], measures: list[str]) -> DataFrame:
     """Sum partial reports over ``keys``; a measure missing from a part counts as 0 there."""
     whole = None
     for part in parts:
@@ -94,7 +98,7 @@ def _add_up(parts: list[DataFrame], keys: list[str], measures: list[str]) -> Dat
     return whole.groupBy(*keys).agg(*[F.sum(m).alias(m) for m in measures])
 
 
-def _commit_measures(commits: DataFrame, keys: list[str]) -> DataFrame:
+def commit_measures(commits: DataFrame, keys: list[str]) -> DataFrame:
     return commits.groupBy(*keys).agg(
         F.count("*").alias("num_commits"),
         F.sum("num_additions").alias("loc_added"),
@@ -141,8 +145,8 @@ def activity_by_project(
     inducing_commits = (
         bugs.select(*keys, *COMMIT).distinct().groupBy(*keys).agg(F.count("*").alias("num_bug_inducing_commits"))
     )
-    return _add_up(
-        [_commit_measures(commits, keys), touched, induced_issues, inducing_commits], keys, PROJECT_MEASURES
+    return add_up(
+        [commit_measures(commits, keys), touched, induced_issues, inducing_commits], keys, PROJECT_MEASURES
     )
 
 
@@ -214,9 +218,9 @@ def activity_by_project_compat(
     src_files = lists(files.filter("is_src"), F.col("src_rank"), F.col("file"))
     bugs = induced.select("user_id", *COMMIT, "issue_number").distinct().join(spot, [*COMMIT, "user_id"])
     issue_lists = lists(bugs, F.col("issue_number"))
-    return _add_up(
+    return add_up(
         [
-            _commit_measures(commits, keys),
+            commit_measures(commits, keys),
             touches(all_files, "num_file_touches", "num_files_touched"),
             touches(src_files, "num_src_file_touches", "num_src_files_touched"),
             touches(issue_lists, "num_bug_inducing_commits", "num_bugs_induced"),
@@ -259,30 +263,26 @@ def activity_by_language(
     """
     keys = ["user_id", "language", period]
     spot = commits_by_user(facts, aliases, period).select(*COMMIT, "user_id", period)
-    rows = guess_language(source_file_rows(changes).join(spot, COMMIT), "file", "language", catalog)
-    # A commit counts once per language, through one of its rows; the join has brought its rows together.
-    leading = F.row_number().over(Window.partitionBy(*COMMIT, "language").orderBy("file")) == 1
-    return (
-        rows.withColumn("leads", leading)
-        .groupBy(*keys, "file")
-        .agg(
-            F.sum("rows").alias("rows"),
-            F.sum(F.col("rows") * F.col("loc_ins")).alias("loc_ins"),
-            F.sum(F.col("rows") * F.col("loc_del")).alias("loc_del"),
-            F.count_if("leads").alias("commits"),
-        )
-        .groupBy(*keys)
-        .agg(
-            F.sum("rows").alias("num_commits"),
-            F.sum("rows").alias("num_src_file_touches"),
-            F.count("*").alias("num_src_files_touched"),
-            F.sum("loc_ins").alias("src_loc_added"),
-            F.sum("loc_del").alias("src_loc_deleted"),
-            F.sum("commits").alias("num_distinct_commits"),
-        )
+    rows = settle(guess_language(source_file_rows(changes).join(spot, COMMIT), "file", "language", catalog))
+    files = rows.select(*keys, "file").distinct().groupBy(*keys).agg(F.count("*").alias("num_src_files_touched"))
+    return add_up([language_sums(rows, keys), files, language_commits(rows, keys)], keys, LANGUAGE_MEASURES)
+
+
+def language_sums(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """What adds up over the file rows of a report by language."""
+    return rows.groupBy(*keys).agg(
+        F.sum("rows").alias("num_commits"),
+        F.sum("rows").alias("num_src_file_touches"),
+        F.sum(F.col("rows") * F.col("loc_ins")).alias("src_loc_added"),
+        F.sum(F.col("rows") * F.col("loc_del")).alias("src_loc_deleted"),
     )
 
 
+def language_commits(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Commits per report row; the files of a commit fall together before they are shuffled."""
+    return rows.select(*keys, *COMMIT).distinct().groupBy(*keys).agg(F.count("*").alias("num_distinct_commits"))
+
+
 def in_report_order(report: DataFrame) -> DataFrame:
     """Rows as the report files list them: by time, then developer, then project or language."""
     by, period = report.columns[1], report.columns[2]

@@ -99,59 +99,117 @@ def _day_of(at: Column) -> Column:
     return F.floor(at / SECONDS_PER_DAY)
 
 
-def lines_with_latest_addition(removed: DataFrame, fix_times: DataFrame, additions: DataFrame) -> DataFrame:
+def last_before(asked: DataFrame, known: DataFrame, key: list[str], same: bool = False) -> DataFrame:
+    """``key, at, value``: for each asked second the value of the last known second before it, if there is one.
+
+    ``asked`` is ``key, at`` and ``known`` is ``key, at, value``, both distinct by ``key, at``.  With ``same`` a value at
+    the asked second counts too.  The value is looked up inside a day (at most 86,400 seconds on each side) and,
+    failing that, carried over from the last earlier day that has one, so no window grows with a key's history.
+    """
+    questions = asked.select(*key, "at", F.lit(None).cast(known.schema["value"].dataType).alias("value"), F.lit(True).alias("asked"))
+    points = known.select(*key, "at", "value", F.lit(False).alias("asked")).unionByName(questions).withColumn("day", _day_of(F.col("at")))
+    in_day = (
+        Window.partitionBy(*key, "day")
+        .orderBy("at", F.asc("asked") if same else F.desc("asked"))
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    same_day = points.withColumn("same_day", F.last("value", ignorenulls=True).over(in_day)).filter("asked")
+    before_day = Window.partitionBy(*key).orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    days = (
+        points.groupBy(*key, "day")
+        .agg(F.max_by("value", F.when(~F.col("asked"), F.col("at"))).alias("last_of_day"))
+        .withColumn("carried", F.last("last_of_day", ignorenulls=True).over(before_day))
+        .drop("last_of_day")
+    )
+    found = same_day.join(days, [*key, "day"]).select(*key, "at", F.coalesce("same_day", "carried").alias("value"))
+    return found.filter("value IS NOT NULL")
+
+
+def lines_with_latest_addition(removed: DataFrame, fix_times: DataFrame, additions: DataFrame, renames: DataFrame | None = None) -> DataFrame:
     """Origins by content, for histories without blame hunks.
 
     The origin of a removed line is the last earlier commit that added the
-    same text to the same path.  This is a published variant of the search,
+    same text to the same file.  This is a published variant of the search,
     not the exact result of a blame, so prefer :func:`lines_with_origin`.
 
     ``fix_times`` is ``(slug, sha, ts)``; ``additions`` is ``(slug, path,
-    content, sha, ts)``.  Additions whose text no removed line asks for are left
-    out first; texts travel as digests.  Both sides are then cut to distinct seconds per
-    text.  The latest addition is then looked up inside a day (at most 86,400
-    seconds on each side) and, failing that, carried over from the last
-    earlier day that has one.  So no group grows with the number of copies of
-    a line.
+    content, sha, ts)``.  A file is a path, or with ``renames`` (see
+    :func:`file_lineage`) whatever has been that file under its earlier names.
+    Additions whose text no removed line asks for are left out first; texts
+    travel as digests, and both sides are cut to distinct seconds per text, so
+    no group grows with the number of copies of a line (:func:`last_before`).
     """
-    key = ["slug", "path", "text"]
     text = F.unhex(F.md5("content")).alias("text")
     times = fix_times.select("slug", F.col("sha").alias("fix_sha"), seconds(F.col("ts")).alias("at"))
-    timed = settle(removed.join(times, ["slug", "fix_sha"]).select("*", text))
+    timed = removed.join(times, ["slug", "fix_sha"]).select("*", text)
+    added = additions.select("slug", "path", text, "sha", seconds(F.col("ts")).alias("at"))
+    file = ["path"]
+    if renames is not None:
+        file = ["file", "since"]
+        lineage = settle(file_lineage(renames))
+        timed, added = with_file(timed, lineage, same=False), with_file(added, lineage, same=True)
+    key = ["slug", *file, "text"]
+    timed = settle(timed)
     wanted = timed.select(*key).distinct()
-    added = (
-        additions.select("slug", "path", text, "sha", "ts")
-        .join(wanted, key, "left_semi")
-        .groupBy(*key, seconds(F.col("ts")).alias("at"))
-        .agg(F.max("sha").alias("added_sha"))
-        .withColumn("asked", F.lit(False))
-    )
-    # At one second, a question sorts before an addition: only earlier ones count.
-    asked = timed.select(*key, "at").distinct().select(
-        *key, "at", F.lit(None).cast("string").alias("added_sha"), F.lit(True).alias("asked")
-    )
-    points = added.unionByName(asked).withColumn("day", _day_of(F.col("at")))
+    known = added.join(wanted, key, "left_semi").groupBy(*key, "at").agg(F.max("sha").alias("value"))
+    answers = last_before(timed.select(*key, "at").distinct(), known, key).withColumnRenamed("value", "blamed_sha")
+    return timed.join(answers, [*key, "at"]).select(*removed.columns, "blamed_sha")
 
-    in_day = (
-        Window.partitionBy(*key, "day")
-        .orderBy("at", F.desc("asked"))
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    same_day = points.withColumn("same_day", F.last("added_sha", ignorenulls=True).over(in_day)).filter("asked")
 
-    before_day = Window.partitionBy(*key).orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    days = (
-        points.groupBy(*key, "day")
-        .agg(F.max_by("added_sha", F.when(~F.col("asked"), F.col("at"))).alias("last_of_day"))
-        .withColumn("carried", F.last("last_of_day", ignorenulls=True).over(before_day))
-        .drop("last_of_day")
+#: ``since`` of a file that was there before any rename.
+ALWAYS = -(1 << 62)
+
+
+def file_lineage(renames: DataFrame) -> DataFrame:
+    """``slug, path, at, file, since``: from second ``at`` on (to the path's next row) what lies at ``path`` is the file
+    that began as path ``file`` at second ``since``.
+
+    ``renames`` is ``(slug, old_path, new_path, ts)``.  A rename ends the file at its old path, where a new one may
+    begin, and goes on with it at the new path; commits are taken in the order of their times.  If a path is renamed to
+    several at one second, the least continues the file; if several come to one path, the least old path does.
+    Earlier names are found by following pointers, which double their length in every round.
+    """
+    named = renames.filter("old_path <> new_path").select("slug", "old_path", "new_path", seconds(F.col("ts")).alias("at"))
+    moves = settle(named.groupBy("slug", "old_path", "at").agg(F.min("new_path").alias("new_path")))
+    began = moves.select("slug", F.col("new_path").alias("path"), "at", F.col("old_path").alias("before"))
+    ended = moves.select("slug", F.col("old_path").alias("path"), "at", F.lit(None).cast("string").alias("before"))
+    # A path that something else was moved to at the same second has begun anew as that, else as an empty file.
+    starts = settle(began.unionByName(ended).groupBy("slug", "path", "at").agg(F.min("before").alias("before")))
+    known = starts.select("slug", "path", "at", F.col("at").alias("value"))
+    asked = starts.filter("before IS NOT NULL").select("slug", F.col("before").alias("path"), "at").distinct()
+    earlier = last_before(asked, known, ["slug", "path"]).select("slug", F.col("path").alias("before"), "at", F.col("value").alias("before_at"))
+    state = starts.join(earlier, ["slug", "before", "at"], "left").select(
+        "slug", "path", "at",
+        F.when(F.col("before").isNull(), F.col("path")).otherwise(F.col("before")).alias("file"),
+        F.when(F.col("before").isNull(), F.col("at")).otherwise(F.coalesce("before_at", F.lit(ALWAYS))).alias("since"),
     )
-    answers = (
-        same_day.join(days, [*key, "day"])
-        .select(*key, "at", F.coalesce("same_day", "carried").alias("blamed_sha"))
-        .filter("blamed_sha is not null")
+    state = settle(state)
+    moved = 1
+    while moved:
+        step = state.select("slug", F.col("path").alias("file"), F.col("at").alias("since"), F.col("file").alias("next_file"), F.col("since").alias("next_since"))
+        joined = state.join(step, ["slug", "file", "since"], "left").select(
+            "slug", "path", "at", F.coalesce("next_file", "file").alias("file"), F.coalesce("next_since", "since").alias("since"),
+            (F.col("next_since") < F.col("since")).alias("moved"),
+        )
+        state = settle(joined)
+        moved = state.filter("moved").count()
+        state = state.drop("moved")
+    return state
+
+
+def with_file(rows: DataFrame, lineage: DataFrame, same: bool) -> DataFrame:
+    """``rows`` (``slug, path, at``) with the ``file, since`` that lies at the path just before ``at`` (``same``: at it).
+
+    Only paths that take part in renames are looked up.
+    """
+    key = ["slug", "path"]
+    known = lineage.select(*key, "at", F.struct("file", "since").alias("value"))
+    moved = lineage.select(*key).distinct()
+    asked = rows.select(*key, "at").distinct().join(moved, key, "left_semi")
+    found = last_before(asked, known, key, same)
+    return rows.join(found, [*key, "at"], "left").select(
+        *rows.columns, F.coalesce("value.file", "path").alias("file"), F.coalesce("value.since", F.lit(ALWAYS)).alias("since")
     )
-    return timed.join(answers, [*key, "at"]).drop("at", "text")
 
 
 def plausible_origins(commit_sizes: DataFrame, max_files: int = MAX_FILES, max_new_lines: int = MAX_NEW_LINES) -> DataFrame:

@@ -12,7 +12,7 @@ from changelens.operators import changes as C
 from changelens.operators import links as L
 from changelens.operators import origins as O
 from changelens.sources.csv_tables import write_table
-from changelens.sources.tables import read_native, write_native
+from changelens.sources.tables import Draft
 
 
 @dataclass
@@ -82,22 +82,29 @@ def analyse_history(
 
 
 def run_history(folder: str, commits: DataFrame, issues: DataFrame, diff_lines: DataFrame, *args, interchange: str | None = None, **settings) -> History:
-    """Derive and write all result tables, each computed once.
+    """Derive and write all result tables, each computed once, and publish them together.
 
     A table is written as soon as it is derived and what follows reads it back, so nothing is derived twice
     and a lost executor costs at most one table.
     """
-
-    def keep(table: DataFrame, name: str) -> DataFrame:
-        write_native(table, folder, name)
-        return read_native(table.sparkSession, folder, name).select(*table.columns)
-
-    history = analyse_history(commits, issues, diff_lines, *args, **settings, keep=keep)
+    draft = Draft(commits.sparkSession, folder)
+    history = analyse_history(commits, issues, diff_lines, *args, **settings, keep=keeper(draft))
+    draft.publish()
     if interchange:
         write_interchange(history, interchange)
     return history
 
 
+def keeper(draft: Draft, units: DataFrame | None = None) -> Callable[[DataFrame, str], DataFrame]:
+    """Writes each result to ``draft`` (of some ``units`` only, if they are given) and goes on from what is written."""
+
+    def keep(table: DataFrame, name: str) -> DataFrame:
+        draft.write(table, name, units)
+        return draft.written(name).select(*table.columns)
+
+    return keep
+
+
 def with_file_cells(facts: DataFrame, changes: DataFrame) -> DataFrame:
     """Commits with their file lists in one cell each, as the CSV format wants them.
 
@@ -115,12 +122,14 @@ def with_file_cells(facts: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def write_history(history: History, folder: str, interchange: str | None = None) -> None:
-    """Write the tables of a lazy history and, if a second folder is named, the CSV ones too.
+    """Write and publish the tables of a lazy history and, if a second folder is named, write the CSV ones too.
 
     Each table is derived from the inputs again; :func:`run_history` derives each once.
     """
+    draft = Draft(history.commits.sparkSession, folder)
     for table, df in vars(history).items():
-        write_native(df, folder, table)
+        draft.write(df, table)
+    draft.publish()
     if interchange:
         write_interchange(history, interchange)
 

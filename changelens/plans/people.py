@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from changelens.functions.text import join_list
 from changelens.operators.aliases import RULES, AliasResolution
 from changelens.sources.csv_tables import write_delimited
-from changelens.sources.tables import read_native, write_aliases
+from changelens.sources.tables import Draft, read_native, write_aliases
 
 
 def resolve_identities(spark: SparkSession, folder: str, audit: str | None = None) -> DataFrame:
@@ -20,7 +20,9 @@ def resolve_identities(spark: SparkSession, folder: str, audit: str | None = Non
     the map as a group of their own too.
     """
     resolution = AliasResolution(read_native(spark, folder, "contributors"))
-    write_aliases(resolution, folder)
+    draft = Draft(spark, folder)
+    write_aliases(resolution, draft)
+    draft.publish()
     if audit:
         aliases = read_native(spark, folder, "alias_map")
         members = read_native(spark, folder, "alias_members")

@@ -5,15 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from changelens.operators import activity as A
+from changelens.operators import activity_state as S
 from changelens.operators.references import cross_references
 from changelens.scratch import settle
 from changelens.sources.csv_tables import write_report, write_table
-from changelens.sources.tables import read_native, write_native
+from changelens.functions.times import PERIODS
+from changelens.sources.tables import Draft, read_native, write_native
 
 PROJECT_REPORT = "user_project_date_totalcommits"
 LANGUAGE_REPORT = "user_language_date_totalcommits"
 
 
+def induced_bugs(spark: SparkSession, folder: str, aliases: DataFrame, units: DataFrame | None = None) -> DataFrame:
+    """Who induced which bug, from the published history (of some ``units`` only, if they are given)."""
+    tables = ("blames_commit", "blamed_commit", "issue_links", "contributors")
+    return A.induced_bugs(*(read_native(spark, folder, t, units=units) for t in tables), aliases)
+
+
 def write_reports(
     spark: SparkSession, folder: str, period: str = "day", compat: bool = False, catalog: DataFrame | None = None,
     interchange: str | None = None,
@@ -25,25 +33,42 @@ def write_reports(
     as the report files are.
     """
     facts, changes, aliases = (read_native(spark, folder, t) for t in ("commits", "file_changes", "alias_map"))
-    induced = settle(
-        A.induced_bugs(
-            read_native(spark, folder, "blames_commit"),
-            read_native(spark, folder, "blamed_commit"),
-            read_native(spark, folder, "issue_links"),
-            read_native(spark, folder, "contributors"),
-            aliases,
-        )
-    )
+    induced = settle(induced_bugs(spark, folder, aliases))
     if compat:
         by_project = A.activity_by_project_compat(facts, changes, induced, aliases)
     else:
         by_project = A.activity_by_project(facts, changes, induced, aliases, period)
     by_language = A.activity_by_language(facts, changes, aliases, period, catalog)
-    suffix = "" if period == "day" else f"_{period}"
-    for report, name in ((by_project, PROJECT_REPORT + suffix), (by_language, LANGUAGE_REPORT + suffix)):
-        write_native(report, folder, name)
-        if interchange:
-            write_report(A.in_report_order(read_native(spark, folder, name).select(*report.columns)), f"{interchange}/{name}")
+    draft = Draft(spark, folder)
+    names = [_name(PROJECT_REPORT, period), _name(LANGUAGE_REPORT, period)]
+    for report, name in zip((by_project, by_language), names):
+        draft.write(report, name)
+    draft.publish()
+    if interchange:
+        for name in names:
+            write_report(A.in_report_order(read_native(spark, folder, name)), f"{interchange}/{name}")
+
+
+def _name(report: str, period: str) -> str:
+    return report if period == "day" else f"{report}_{period}"
+
+
+def write_every_period(spark: SparkSession, folder: str, catalog: DataFrame | None = None) -> None:
+    """Write both reports for days, weeks and months, and the daily state that they are merged from, in one version.
+
+    Commits and files are read once for each report; every period comes from the written state.
+    """
+    facts, changes, aliases = (read_native(spark, folder, t) for t in ("commits", "file_changes", "alias_map"))
+    induced = settle(induced_bugs(spark, folder, aliases))
+    draft = Draft(spark, folder)
+    states = {PROJECT_REPORT: S.project_state(facts, changes, induced, aliases), LANGUAGE_REPORT: S.language_state(facts, changes, aliases, catalog)}
+    for name, state in states.items():
+        draft.write(state.sums, f"{name}_sums")
+        draft.write(state.sets, f"{name}_sets")
+        state.sums, state.sets = draft.written(f"{name}_sums"), draft.written(f"{name}_sets")
+        for period in PERIODS:
+            draft.write(S.roll_up(state, period), _name(name, period))
+    draft.publish()
 
 
 def write_cross_references(spark: SparkSession, folder: str, messages: str = "commits", interchange: str | None = None) -> None:

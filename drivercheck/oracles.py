@@ -135,6 +135,26 @@ STEPS = {
     "o_user_commits": f"""
         select coalesce(a.rep, f.author_id) as user_id, f.slug as project, f.*, {_DAY} as day, {_WEEK} as week, {_MONTH} as month
         from o_facts f left join {{aliases}} a on f.author_id = a.uid""",
+    # Files that change their names: what lies at a path, from one second to another, and what it was before.
+    "o_timed_moves": "select *, cast(epoch(ts) as bigint) as at from vw_moves",
+    "o_renames": """
+        select slug, old_path, at, min(new_path) as new_path from o_timed_moves where old_path <> new_path group by slug, old_path, at""",
+    "o_starts": """
+        select slug, path, at, min(before) as before from (select slug, new_path as path, at, old_path as before from o_renames
+          union all select slug, old_path, at, null from o_renames) s group by slug, path, at""",
+    "o_spans": """
+        select slug, path, at as since, coalesce(lead(at) over (partition by slug, path order by at), 1000000000000) as until, before from o_starts
+        union all
+        select p.slug, p.path, -1000000000000, coalesce(min(s.at), 1000000000000), null
+        from (select slug, old_path as path from vw_moves union select slug, new_path from vw_moves) p
+        left join o_starts s on p.slug = s.slug and p.path = s.path group by p.slug, p.path""",
+    "o_trace": """
+        select a.slug, a.old_path as asked_path, a.at as asked_at, s.path, s.since, s.until, s.before
+        from (select distinct slug, old_path, at from o_timed_moves) a
+        join o_spans s on a.slug = s.slug and a.old_path = s.path and s.since < a.at and a.at <= s.until
+        union all
+        select t.slug, t.asked_path, t.asked_at, s.path, s.since, s.until, s.before
+        from o_trace t join o_spans s on t.slug = s.slug and t.before = s.path and s.since < t.since and t.since <= s.until""",
     # Identities.
     "o_ids": rf"""
         select uid, login, login as name, is_real, email,
@@ -303,6 +323,11 @@ def _language_report(period: str) -> str:
         group by user_id, language, {period}"""
 
 
+def _every_period(report) -> str:
+    parts = [f"select * exclude ({p}), cast({p} as varchar) as value, '{p}' as period from ({report(p)}) r_{p}" for p in ("day", "week", "month")]
+    return " union all by name ".join(parts)
+
+
 _TOKENS = r"regexp_extract_all({}, '\S+/\S+(?:#\d+|@\d+)')"
 _NONE = "'(null)'"
 _COMMENT_ROWS = f"""
@@ -378,6 +403,13 @@ STATEMENTS = {
           where r.line_label = 0 group by r.slug, r.fix_sha, r.path, r.type, r.patch_pos, r.old_lineno) l
         join o_origins o on l.slug = o.slug and l.blamed_sha = o.blamed_sha
         group by l.slug, l.fix_sha, l.path, l.type, l.blamed_sha""",
+    "line_origins_renamed": """
+        select m.slug, m.sha as fix_sha, m.old_path as path, m.patch_pos, m.removed as content, o.blamed_sha
+        from o_timed_moves m join (
+          select t.slug, t.asked_path, t.asked_at, a.added, max({'at': a.at, 'sha': a.sha}).sha as blamed_sha
+          from o_trace t join o_timed_moves a on t.slug = a.slug and t.path = a.new_path and a.at >= t.since and a.at < t.until and a.at < t.asked_at
+          group by t.slug, t.asked_path, t.asked_at, a.added) o
+          on m.slug = o.slug and m.old_path = o.asked_path and m.at = o.asked_at and m.removed = o.added""",
     "email_parts": f"""
         select uid, name, is_real, coalesce(email, {_NONE}) as email, coalesce(prefix, {_NONE}) as prefix,
           coalesce(domain, {_NONE}) as domain, coalesce(contains(prefix, '.') or contains(prefix, '_'), false) as is_composite
@@ -419,8 +451,11 @@ STATEMENTS = {
     "activity_by_project_compat": _COMPAT_REPORT,
     "activity_by_language": _language_report("day"),
     "activity_by_language_monthly": _language_report("month"),
+    "activity_every_period": _every_period(_project_report),
+    "activity_by_language_every_period": _every_period(_language_report),
     "activity_whole_chain": _project_report("day"),
     "whole_history": _project_report("day"),
+    "history_in_two_halves": _project_report("day"),
     "normalise_issues": f"""
         select concat('org', event_id % 5, '/proj', event_id % 25) as slug, event_id as id, cast(event_id % 1000 as int) as number,
           'closed' as state, strftime(ts, '%Y-%m-%d %H:%M:%S') as created_at, strftime(ts, '%Y-%m-%d %H:%M:%S') as closed_at,
@@ -455,10 +490,10 @@ STATEMENTS = {
 
 
 def _statement(name: str) -> str:
-    aliases = "o_alias_map" if name in ("activity_whole_chain", "whole_history") else "vw_aliases"
+    aliases = "o_alias_map" if name in ("activity_whole_chain", "whole_history", "history_in_two_halves") else "vw_aliases"
     steps = {step: sql.replace("{aliases}", aliases) for step, sql in STEPS.items()}
     statement = with_views(STATEMENTS[name], {**DUCKDB_VIEWS, **steps})
-    return statement.replace("with ", "with recursive ", 1) if "o_climb" in statement else statement
+    return statement.replace("with ", "with recursive ", 1) if "o_climb" in statement or "o_trace" in statement else statement
 
 
 def oracle_sql() -> dict[str, str]:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from changelens.functions import people, text, times
-from changelens.operators import activity, aliases, changes, ingest, links, origins, references
+from changelens.operators import activity, activity_state, aliases, changes, ingest, links, origins, references
 from changelens.operators.classify import classify_files, guess_language, label_lines
 from changelens.scratch import fresh_path, settle
 from changelens.sources import csv_tables, diff_text, tables
@@ -268,6 +268,17 @@ def bug_origins_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return origins.bug_origins(lines, steps.plausible)
 
 
+@query
+def line_origins_renamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Origins by content of files that change their names again and again."""
+    steps = _written(spark, sf_dir)
+    moves = settle(steps.named("vw_moves"))
+    removed = moves.select("slug", F.col("sha").alias("fix_sha"), F.col("old_path").alias("path"), "patch_pos", F.col("removed").alias("content"))
+    added = moves.select("slug", F.col("new_path").alias("path"), F.col("added").alias("content"), "sha", "ts")
+    found = origins.lines_with_latest_addition(removed, steps.commits.select("slug", "sha", "ts"), added, moves.select("slug", "old_path", "new_path", "ts"))
+    return found.select("slug", "fix_sha", "path", "patch_pos", "content", "blamed_sha")
+
+
 # Identities -----------------------------------------------------------------------
 
 
@@ -389,6 +400,27 @@ def activity_by_language_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _language_report(spark, sf_dir, "month")
 
 
+def _every_period(state: activity_state.ActivityState) -> DataFrame:
+    """Day, week and month reports of one state, with the period's value as text."""
+    state.sums, state.sets = settle(state.sums), settle(state.sets)
+    reports = [
+        activity_state.roll_up(state, period).withColumn("value", F.col(period).cast("string")).drop(period).withColumn("period", F.lit(period))
+        for period in times.PERIODS
+    ]
+    return reports[0].unionByName(reports[1]).unionByName(reports[2])
+
+
+@query
+def activity_every_period(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _every_period(activity_state.project_state(*_report_inputs(_written(spark, sf_dir))))
+
+
+@query
+def activity_by_language_every_period(spark: SparkSession, sf_dir: str) -> DataFrame:
+    steps = _written(spark, sf_dir)
+    return _every_period(activity_state.language_state(steps.facts, steps.changes, steps.aliases))
+
+
 @query
 def activity_whole_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links, fixes, origins, identities and the daily report in one go."""
@@ -598,3 +630,31 @@ def whole_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     people_plan.resolve_identities(spark, folder)
     report.write_reports(spark, folder)
     return _day_as_text(tables.read_native(spark, folder, report.PROJECT_REPORT))
+
+
+@query
+def history_in_two_halves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The daily project report after two change sets: the even projects with all their issues but without some commits,
+    then the rest; the second reads and rewrites only the projects it touches."""
+    from changelens.plans import report, upkeep
+
+    folder = fresh_path(spark, "upkeep")
+    steps = _written(spark, sf_dir)
+    given = {
+        "commits": steps.commits.withColumn("committed_at", F.col("ts")),
+        "issues": steps.named("vw_issues").withColumn("labels", text.split_list(F.col("labels"))),
+        "diff_lines": steps.diff_lines, "blame_hunks": steps.named("vw_blame_hunks"), "file_changes": steps.changes,
+    }
+    # Of projects 0 to 11 the first set lacks a third of the commits, of the later ones it has none.
+    early = F.substring_index("slug", "proj", -1).cast("int") < 12
+    third = F.pmod(F.xxhash64("sha"), F.lit(3)) == 0
+    shas = steps.commits.select("slug", "sha", (early & ~third).alias("first"))
+    parts = {True: {}, False: {}}
+    for name, rows in given.items():
+        key = "fix_sha" if name == "blame_hunks" else "sha"
+        dealt = rows.withColumn("first", early) if name == "issues" else rows.join(shas.withColumnRenamed("sha", key), ["slug", key])
+        for half in parts:
+            parts[half][name] = dealt.filter(F.col("first") == half).drop("first")
+    for half in (True, False):
+        upkeep.update(spark, folder, parts[half], issue_order="version")
+    return _day_as_text(tables.read_native(spark, folder, report.PROJECT_REPORT).drop("year"))

@@ -107,6 +107,11 @@ VIEWS = {
         select slug, sha as fix_sha, old_path as path, patch_pos, cast(patch_pos * 10 as int) as start_line,
           cast(1 + qty % 4 as int) as num_lines, md5(cast(l_orderkey - 25 * (1 + l_partkey % 50) as string)) as blamed_sha
         from vw_file_changes""",
+    "vw_moves": """
+        select slug, sha, ts, patch_pos, concat('f', l_partkey % 12, '.', l_partkey % 3) as old_path,
+          concat('f', l_partkey % 12, '.', (l_partkey + case when l_orderkey % 4 = 0 then 1 else 0 end) % 3) as new_path,
+          concat('x = ', qty % 7) as removed, concat('x = ', l_partkey % 7) as added
+        from vw_file_changes""",
     "vw_wide_hunks": """
         select slug, fix_sha, path, patch_pos, blamed_sha, cast(case when start_line % 4 = 0 then 1 else start_line end as int) as start_line,
           cast(case num_lines when 1 then 10000000 when 2 then 40000 when 3 then 600 else num_lines end as int) as num_lines

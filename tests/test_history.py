@@ -145,6 +145,27 @@ def test_latest_addition_equals_brute_force(table):
     assert Counter(tuple(r) for r in found.select("fix_sha", "path", "old_lineno", "blamed_sha").collect()) == expected
 
 
+def test_origins_follow_renames(table):
+    def at(n):
+        return T0 + dt.timedelta(hours=n)
+
+    # a -> b at 10 -> c at 20 -> d at 30; another a begins at 12, d is swapped with e at 40.
+    moves = [("a", "b", 10), ("b", "c", 20), ("c", "d", 30), ("d", "e", 40), ("e", "d", 40), ("z", "y", 50), ("z", "x", 50), ("q", "q", 60)]
+    renames = table([("o/p", old, new, at(n)) for old, new, n in moves], "slug string, old_path string, new_path string, ts timestamp")
+    added = [("a", "one", 1), ("a", "other", 12), ("b", "two", 10), ("c", "three", 25), ("e", "five", 5), ("z", "six", 45), ("q", "seven", 55)]
+    asked = [("d", "one", 35), ("d", "two", 35), ("d", "three", 40), ("d", "other", 35), ("a", "one", 35), ("a", "other", 35), ("a", "one", 10),
+             ("e", "one", 41), ("d", "five", 41), ("e", "five", 41), ("b", "two", 10), ("b", "two", 11), ("x", "six", 60), ("y", "six", 60), ("q", "seven", 70)]
+    answers = [1, 10, 25, None, None, 12, 1, 1, 5, None, None, 10, 45, None, 55]
+    additions = table([("o/p", p, c, f"s{n}", at(n)) for p, c, n in added], "slug string, path string, content string, sha string, ts timestamp")
+    removed = table([("o/p", f"f{n}", p, c) for p, c, n in asked], "slug string, fix_sha string, path string, content string")
+    times = table(sorted({("o/p", f"f{n}", at(n)) for _, _, n in asked}), "slug string, sha string, ts timestamp")
+    found = origins.lines_with_latest_addition(removed, times, additions, renames)
+    expected = sorted((f"f{n}", p, c, f"s{s}") for (p, c, n), s in zip(asked, answers) if s is not None)
+    assert rows(found, "fix_sha", "path", "content", "blamed_sha") == expected
+    nothing = origins.lines_with_latest_addition(removed, times, additions, renames.limit(0))
+    assert rows(nothing) == rows(origins.lines_with_latest_addition(removed, times, additions))
+
+
 @pytest.fixture
 def history(table):
     """Two people, three commits on two days, one bug induced twice."""

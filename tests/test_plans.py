@@ -42,14 +42,22 @@ def test_runs_one_after_another(spark, tmp_path):
     report.write_reports(spark, folder, interchange=files)
     daily = tables.read_native(spark, folder, report.PROJECT_REPORT)
     assert daily.agg(F.sum("num_commits")).first()[0] == history.commits.count()
-    view(spark, GIVEN, "vw_comments").write.parquet(f"{folder}/comments")
+    tables.write_native(view(spark, GIVEN, "vw_comments"), folder, "comments")
     report.write_cross_references(spark, folder, interchange=files)
     references = csv_tables.read_table(spark, f"{files}/cross_references", "cross_references", "part-*.csv")
     assert rows(references) == rows(tables.read_native(spark, folder, "cross_references").select("slug", "ref", "type"))
     listed = spark.read.option("header", True).csv(f"{files}/{report.PROJECT_REPORT}")
     assert listed.columns == daily.select("user_id", *[c for c in daily.columns if c != "user_id"]).columns and listed.count() == daily.count()
     assert tables.read_native(spark, folder, "cross_references").count() > 0
-    assert {"blames_commit", "alias_groups", report.LANGUAGE_REPORT} <= set(os.listdir(folder))
+    assert {"blames_commit", "alias_groups", report.LANGUAGE_REPORT} <= {row.table for row in tables.published(spark, folder)}
+    by_language = rows(tables.read_native(spark, folder, report.LANGUAGE_REPORT).select("user_id", "language", "day", "num_src_files_touched", "num_distinct_commits"))
+    report.write_reports(spark, folder, "week")
+    weekly = rows(tables.read_native(spark, folder, f"{report.PROJECT_REPORT}_week").select("user_id", "project", "week", "num_files_touched", "num_bugs_induced"))
+    report.write_every_period(spark, folder)
+    again = tables.read_native(spark, folder, report.PROJECT_REPORT).select(*daily.columns)
+    assert rows(again) == rows(daily)
+    assert rows(tables.read_native(spark, folder, report.LANGUAGE_REPORT).select("user_id", "language", "day", "num_src_files_touched", "num_distinct_commits")) == by_language
+    assert rows(tables.read_native(spark, folder, f"{report.PROJECT_REPORT}_week").select("user_id", "project", "week", "num_files_touched", "num_bugs_induced")) == weekly
 
 
 def test_a_cluster_must_name_its_shared_folder():
