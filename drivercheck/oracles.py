@@ -136,22 +136,22 @@ STEPS = {
         select coalesce(a.rep, f.author_id) as user_id, f.slug as project, f.*, {_DAY} as day, {_WEEK} as week, {_MONTH} as month
         from o_facts f left join {{aliases}} a on f.author_id = a.uid""",
     # Files that change their names: what lies at a path, from one second to another, and what it was before.
-    "o_timed_moves": "select *, cast(epoch(ts) as bigint) as at from vw_moves",
+    "o_timed_moves": "select *, cast(epoch(ts) as bigint) as sec from vw_moves",
     "o_renames": """
-        select slug, old_path, at, min(new_path) as new_path from o_timed_moves where old_path <> new_path group by slug, old_path, at""",
+        select slug, old_path, sec, min(new_path) as new_path from o_timed_moves where old_path <> new_path group by slug, old_path, sec""",
     "o_starts": """
-        select slug, path, at, min(before) as before from (select slug, new_path as path, at, old_path as before from o_renames
-          union all select slug, old_path, at, null from o_renames) s group by slug, path, at""",
+        select slug, path, sec, min(before) as before from (select slug, new_path as path, sec, old_path as before from o_renames
+          union all select slug, old_path, sec, null from o_renames) s group by slug, path, sec""",
     "o_spans": """
-        select slug, path, at as since, coalesce(lead(at) over (partition by slug, path order by at), 1000000000000) as until, before from o_starts
+        select slug, path, sec as since, coalesce(lead(sec) over (partition by slug, path order by sec), 1000000000000) as until, before from o_starts
         union all
-        select p.slug, p.path, -1000000000000, coalesce(min(s.at), 1000000000000), null
+        select p.slug, p.path, -1000000000000, coalesce(min(s.sec), 1000000000000), null
         from (select slug, old_path as path from vw_moves union select slug, new_path from vw_moves) p
         left join o_starts s on p.slug = s.slug and p.path = s.path group by p.slug, p.path""",
     "o_trace": """
-        select a.slug, a.old_path as asked_path, a.at as asked_at, s.path, s.since, s.until, s.before
-        from (select distinct slug, old_path, at from o_timed_moves) a
-        join o_spans s on a.slug = s.slug and a.old_path = s.path and s.since < a.at and a.at <= s.until
+        select a.slug, a.old_path as asked_path, a.sec as asked_at, s.path, s.since, s.until, s.before
+        from (select distinct slug, old_path, sec from o_timed_moves) a
+        join o_spans s on a.slug = s.slug and a.old_path = s.path and s.since < a.sec and a.sec <= s.until
         union all
         select t.slug, t.asked_path, t.asked_at, s.path, s.since, s.until, s.before
         from o_trace t join o_spans s on t.slug = s.slug and t.before = s.path and s.since < t.since and t.since <= s.until""",
@@ -406,10 +406,10 @@ STATEMENTS = {
     "line_origins_renamed": """
         select m.slug, m.sha as fix_sha, m.old_path as path, m.patch_pos, m.removed as content, o.blamed_sha
         from o_timed_moves m join (
-          select t.slug, t.asked_path, t.asked_at, a.added, max({'at': a.at, 'sha': a.sha}).sha as blamed_sha
-          from o_trace t join o_timed_moves a on t.slug = a.slug and t.path = a.new_path and a.at >= t.since and a.at < t.until and a.at < t.asked_at
+          select t.slug, t.asked_path, t.asked_at, a.added, max({'sec': a.sec, 'sha': a.sha}).sha as blamed_sha
+          from o_trace t join o_timed_moves a on t.slug = a.slug and t.path = a.new_path and a.sec >= t.since and a.sec < t.until and a.sec < t.asked_at
           group by t.slug, t.asked_path, t.asked_at, a.added) o
-          on m.slug = o.slug and m.old_path = o.asked_path and m.at = o.asked_at and m.removed = o.added""",
+          on m.slug = o.slug and m.old_path = o.asked_path and m.sec = o.asked_at and m.removed = o.added""",
     "email_parts": f"""
         select uid, name, is_real, coalesce(email, {_NONE}) as email, coalesce(prefix, {_NONE}) as prefix,
           coalesce(domain, {_NONE}) as domain, coalesce(contains(prefix, '.') or contains(prefix, '_'), false) as is_composite
