@@ -8,34 +8,57 @@ from pyspark.sql import functions as F
 from changelens.functions.text import one_line, stripped
 from changelens.functions.times import issue_time
 
-ISSUE_PAYLOAD = """
-    id bigint, number int, state string, created_at string, closed_at string,
-    user struct<login: string, id: bigint>, closed_by struct<login: string>, assignee struct<login: string>,
-    title string, comments int, labels array<struct<name: string>>, pull_request struct<url: string>
-"""
-COMMENT_PAYLOAD = """
-    id bigint, body string, created_at string, updated_at string, user struct<login: string, id: bigint>
-"""
+# Fields that are read from a payload: path and type.
+_ISSUE = {
+    "id": ("id", "bigint"), "number": ("number", "int"), "state": ("state", "string"), "created_at": ("created_at", "string"),
+    "closed_at": ("closed_at", "string"), "created_by_login": ("user.login", "string"), "closed_by_login": ("closed_by.login", "string"),
+    "assignee_login": ("assignee.login", "string"), "title": ("title", "string"), "num_comments": ("comments", "int"),
+}
+_COMMENT = {
+    "id": ("id", "bigint"), "body": ("body", "string"), "created_at": ("created_at", "string"), "updated_at": ("updated_at", "string"),
+    "user_login": ("user.login", "string"), "user_id": ("user.id", "bigint"),
+}
+ISSUE_PAYLOAD, COMMENT_PAYLOAD = "issue", "comment"
+_KINDS = {ISSUE_PAYLOAD: _ISSUE, COMMENT_PAYLOAD: _COMMENT}
+_TIMES = ("created_at", "closed_at", "updated_at")
 CLOSED = "closed"
 
 
-def rejected_payloads(payloads: DataFrame, schema: str, payload_col: str = "payload") -> DataFrame:
-    """Rows that the readers below cannot use, as they came, with the ``reason``.
+def read_payloads(payloads: DataFrame, kind: str, payload_col: str = "payload") -> DataFrame:
+    """Every row of ``payloads`` with ``fields`` (those read from the object), ``object`` (all of it, a VARIANT with
+    the fields that are not read too) and ``reason``, why it cannot be used (null if it can).
 
-    A payload is rejected if it is missing, is no JSON of ``schema`` (one of the two above), has no ``id``,
-    or has a time that cannot be read; the readers make such a time null and lose the other rows.
+    The JSON text is parsed once, whatever is made of the rows then.  A payload is rejected if it is missing, is no
+    JSON object, has no ``id``, or has a time that cannot be read.
     """
-    parsed = F.from_json(payload_col, f"{schema.strip()}, _broken string", {"columnNameOfCorruptRecord": "_broken"})
-    times = [name for name in ("created_at", "closed_at", "updated_at") if f"{name} string" in schema]
-    given = [F.col(f"_p.{name}") for name in times]
+    # One-element arrays keep the optimizer from copying the parsing into every place that uses its result.
+    parsed = payloads.select("*", F.explode(F.array(F.try_parse_json(payload_col))).alias("object"))
+    fields = [F.try_variant_get("object", f"$.{path}", type_).alias(name) for name, (path, type_) in _KINDS[kind].items()]
+    if kind == ISSUE_PAYLOAD:
+        request = F.try_variant_get("object", "$.pull_request", "variant")
+        fields.append(_label_names().alias("labels"))
+        fields.append((request.isNotNull() & ~F.is_variant_null(request)).alias("is_pl"))
+    read = parsed.select("*", F.explode(F.array(F.struct(*fields))).alias("fields"))
+    given = [F.col(f"fields.{name}") for name in _TIMES if name in _KINDS[kind]]
     unread = [F.coalesce(text != "", F.lit(False)) & issue_time(text).isNull() for text in given]
+    is_object = F.startswith(F.schema_of_variant("object"), F.lit("OBJECT"))
     reason = (
         F.when(F.col(payload_col).isNull(), "missing")
-        .when(F.col("_p").isNull() | F.col("_p._broken").isNotNull(), "malformed")
-        .when(F.col("_p.id").isNull(), "no id")
+        .when(~F.coalesce(is_object, F.lit(False)), "malformed")
+        .when(F.col("fields.id").isNull(), "no id")
         .when(F.array_contains(F.array(*unread), True), "unreadable time")
     )
-    return payloads.withColumn("_p", parsed).withColumn("reason", reason).drop("_p").filter("reason IS NOT NULL")
+    return read.withColumn("reason", reason)
+
+
+def _label_names() -> Column:
+    labels = F.try_variant_get("object", "$.labels", "array<variant>")
+    return F.transform(labels, lambda label: F.try_variant_get(label, "$.name", "string"))
+
+
+def rejected_payloads(payloads: DataFrame, kind: str, payload_col: str = "payload") -> DataFrame:
+    """Rows that cannot be used, as they came, with the ``reason``; the readers below make an unreadable time null and lose the others."""
+    return read_payloads(payloads, kind, payload_col).filter("reason IS NOT NULL").select(*payloads.columns, "reason")
 
 
 def normalise_issues(payloads: DataFrame, payload_col: str = "payload") -> DataFrame:
@@ -44,37 +67,31 @@ def normalise_issues(payloads: DataFrame, payload_col: str = "payload") -> DataF
     Missing people become null logins, labels a list, and the presence of a
     ``pull_request`` object a flag.
     """
-    parsed = payloads.select("slug", F.from_json(payload_col, ISSUE_PAYLOAD).alias("i"))
-    return parsed.filter(F.col("i.state") == CLOSED).select(
+    return issue_rows(read_payloads(payloads, ISSUE_PAYLOAD, payload_col))
+
+
+def issue_rows(read: DataFrame) -> DataFrame:
+    """Closed issues of what :func:`read_payloads` gives."""
+    return read.filter(F.col("fields.state") == CLOSED).select(
         "slug",
-        F.col("i.id").alias("id"),
-        F.col("i.number").alias("number"),
-        F.col("i.state").alias("state"),
-        issue_time(F.col("i.created_at")).alias("created_at"),
-        issue_time(F.col("i.closed_at")).alias("closed_at"),
-        F.col("i.user.login").alias("created_by_login"),
-        F.col("i.closed_by.login").alias("closed_by_login"),
-        F.col("i.assignee.login").alias("assignee_login"),
-        one_line(F.col("i.title")).alias("title"),
-        F.col("i.comments").alias("num_comments"),
-        F.transform("i.labels", lambda label: label["name"]).alias("labels"),
-        F.col("i.pull_request").isNotNull().alias("is_pl"),
+        *[F.col(f"fields.{name}") for name in ("id", "number", "state")],
+        *[issue_time(F.col(f"fields.{name}")).alias(name) for name in ("created_at", "closed_at")],
+        *[F.col(f"fields.{name}") for name in ("created_by_login", "closed_by_login", "assignee_login")],
+        one_line(F.col("fields.title")).alias("title"),
+        *[F.col(f"fields.{name}") for name in ("num_comments", "labels", "is_pl")],
     )
 
 
 def _comment_rows(payloads: DataFrame, payload_col: str) -> DataFrame:
-    c = F.from_json(payload_col, COMMENT_PAYLOAD)
-    body: Column = stripped(F.col("c.body"))
-    return payloads.select("slug", "issue_id", "issue_number", c.alias("c")).select(
+    return read_payloads(payloads, COMMENT_PAYLOAD, payload_col).select(
         "slug",
         "issue_id",
         "issue_number",
-        F.col("c.id").alias("comment_id"),
-        body.alias("body"),
-        issue_time(F.col("c.created_at")).alias("created_at"),
-        issue_time(F.col("c.updated_at")).alias("updated_at"),
-        F.col("c.user.login").alias("user_login"),
-        F.col("c.user.id").alias("user_id"),
+        F.col("fields.id").alias("comment_id"),
+        stripped(F.col("fields.body")).alias("body"),
+        *[issue_time(F.col(f"fields.{name}")).alias(name) for name in ("created_at", "updated_at")],
+        "fields.user_login",
+        "fields.user_id",
     )
 
 

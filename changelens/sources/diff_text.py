@@ -3,24 +3,61 @@
 A diff is taken apart inside its own row with array functions: patches, then
 hunks, then lines, whose numbers follow from the hunk header and the line's
 place on its side.  Nothing is shuffled and no header has to be carried from
-row to row.
+row to row.  :func:`read_patches` gives such rows, one for each patch, from files
+of any number of commits and patches, which any number of tasks share.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from changelens.functions.text import folder_to_slug
+from changelens.scratch import settle
+
+_PATCH_HEAD = "diff --git "
+# Inside a patch every line starts with a sign, so a line that starts like this is between patches.
+_COMMIT_LINE = r"(?s)\A(?:.*\n)?commit ([0-9a-f]{7,64})(?![0-9a-f])"
+_FROM_COMMIT_LINE = r"(?s)(?:\A|\n)commit [0-9a-f]{7,64}(?![0-9a-f]).*"
+
 _HUNK_HEADER = r"\A@@ -(\d+)(?:,\d+)? \+(\d+)(?:,\d+)? @@"
 
 
+# A path in double quotes, with escapes, as diffs give names that hold unusual characters.
+_QUOTED = r'"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"'
+_ESCAPES = {"a": "07", "b": "08", "t": "09", "n": "0A", "v": "0B", "f": "0C", "r": "0D"}
+
+
+def unquoted(path: Column) -> Column:
+    """A path without its quotes; octal escapes are bytes of UTF-8, others as in C.  Plain paths stay."""
+    body = F.substring(path, F.lit(2), F.length(path) - 2)
+    tokens = F.regexp_extract_all(body, F.lit(r"(?s)\\[0-3][0-7]{2}|\\.|[^\\]+"), F.lit(0))
+
+    def as_hex(token: Column) -> Column:
+        mark = F.substring(token, 2, 1)
+        named = F.hex(mark.cast("binary"))
+        for letter, code in _ESCAPES.items():
+            named = F.when(mark == letter, F.lit(code)).otherwise(named)
+        octal = F.lpad(F.conv(F.substring(token, 2, 3), 8, 16), 2, "0")
+        escaped = F.when(F.length(token) == 4, octal).otherwise(named)
+        return F.when(F.startswith(token, F.lit("\\")), escaped).otherwise(F.hex(token.cast("binary")))
+
+    decoded = F.make_valid_utf8(F.unhex(F.array_join(F.transform(tokens, as_hex), "")).cast("string"))
+    return F.when(F.startswith(path, F.lit('"')), decoded).otherwise(path)
+
+
 def _path(head: Column, side_mark: str, rename_mark: str, side: int) -> Column:
     """Path on one side: rename line, side line, or the patch's first line, whichever is there."""
     prefix = "ab"[side]
-    renamed = F.nullif(F.regexp_extract(head, rf"\nrename {rename_mark} ([^\n]+)", 1), F.lit(""))
-    marked = F.nullif(F.regexp_extract(head, rf'\n{side_mark} "?{prefix}/([^\n\t"]+)', 1), F.lit(""))
-    same = F.nullif(F.regexp_extract(head, r'\Adiff --git "?a/(.+?)"? "?b/\1"?(?:\n|\z)', 1), F.lit(""))
-    return F.coalesce(renamed, marked, same)
+
+    def found(pattern: str) -> Column:
+        return unquoted(F.nullif(F.regexp_extract(head, pattern, 1), F.lit("")))
+
+    renamed = found(rf"\nrename {rename_mark} ({_QUOTED}|[^\n]+)")
+    marked = F.substring(found(rf'\n{side_mark} ({_QUOTED}|{prefix}/[^\n\t"]+)'), 3, 2147483647)
+    same = found(r"\Adiff --git a/([^\n]+?) b/\1(?:\n|\z)")
+    quoted = found(rf"\Adiff --git (?={_QUOTED} {_QUOTED}(?:\n|\z))({_QUOTED})")
+    return F.coalesce(renamed, marked, same, F.substring(quoted, 3, 2147483647))
 
 
 def patches(diffs: DataFrame, text_col: str = "diff") -> DataFrame:
@@ -55,6 +92,45 @@ def patches(diffs: DataFrame, text_col: str = "diff") -> DataFrame:
     )
 
 
+def read_patches(spark: SparkSession, folder: str, pattern: str = "*.diff") -> DataFrame:
+    """``slug, sha, first_patch, diff``: one row per patch of the log files below ``folder``.
+
+    A file is a log with patches (``commit <sha>``, author, message, then the commit's patches, and so on) and lies
+    in the folder of its project (``owner_____name``).  Files are read as records that end before a line ``diff --git``, so
+    any number of tasks share a file.  The commit line stands at the end of the record before a commit's first patch; from record
+    to record it is carried inside each block that a task reads, and from block to block by a table of one row for each block.
+    """
+    given = spark.read.option("lineSep", "\n" + _PATCH_HEAD).option("pathGlobFilter", pattern).text(f"{folder}/*")
+    block = ["file", "block"]
+    records = given.select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"),
+        "value", F.nullif(F.regexp_extract("value", _COMMIT_LINE, 1), F.lit("")).alias("next_sha"),
+    )
+    in_block = Window.partitionBy(*block).orderBy("at")
+    so_far, before = in_block.rowsBetween(Window.unboundedPreceding, Window.currentRow), in_block.rowsBetween(Window.unboundedPreceding, -1)
+
+    def placed(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("nth", F.count("*").over(so_far))
+
+    commit = F.when(F.col("next_sha").isNotNull(), F.struct(F.col("next_sha").alias("sha"), F.col("nth")))
+    summed = placed(records).groupBy(*block).agg(F.count("*").alias("n"), F.max_by(commit, F.when(F.col("next_sha").isNotNull(), F.col("nth"))).alias("commit"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = summed.withColumn("ahead", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    carried = F.when(F.col("commit").isNotNull(), F.struct(F.col("commit.sha").alias("sha"), (F.col("ahead") + F.col("commit.nth")).alias("nth")))
+    blocks = settle(ahead.select(*block, "ahead", F.last(carried, ignorenulls=True).over(earlier).alias("open")))
+
+    mine = placed(records).withColumn("inside", F.last(commit, ignorenulls=True).over(before)).join(blocks, block)
+    place = F.col("ahead") + F.col("nth")
+    start = F.coalesce(F.col("ahead") + F.col("inside.nth"), F.col("open.nth"))
+    first = (F.col("block") == 0) & (F.col("nth") == 1)
+    text = F.regexp_replace("value", _FROM_COMMIT_LINE, "")
+    found = mine.select(
+        folder_to_slug(F.regexp_replace("file", "/[^/]*$", "")).alias("slug"), F.coalesce("inside.sha", "open.sha").alias("sha"),
+        (place - start - 1).cast("int").alias("first_patch"), F.concat(F.lit(_PATCH_HEAD), text, F.lit("\n")).alias("diff"), first.alias("_first"),
+    )
+    return found.filter("NOT _first AND sha IS NOT NULL").drop("_first")
+
+
 def _side(lines: Column, start: Column, origin: str) -> Column:
     """Lines of one side of a hunk with their numbers, those of ``origin`` only."""
     other = "+" if origin == "-" else "-"

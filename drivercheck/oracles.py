@@ -271,6 +271,9 @@ _ALL_RULES = ", ".join(f'cast("{r}" as bigint) as "{r}"' for r in _RULES)
 _PAIR_RULES = ", ".join(f'cast("{r}" as bigint) as "{r}"' for r in _RULES[1:])
 
 
+_FIRED = "array_to_string(list_filter([" + ", ".join(f"""case when "{r}" > 0 then concat('{r}=', cast("{r}" as bigint)) end""" for r in _RULES) + "], lambda x: x is not null), ';')"
+
+
 def _project_report(period: str) -> str:
     key = f"user_id, project, {period}"
     on = " and ".join(f"b.{k} = x.{k}" for k in ("user_id", "project", period))
@@ -350,6 +353,12 @@ _PATCH_TOTALS = """
       -count(*) filter (where origin = '-') as loc_del
     from vw_diff_lines group by slug, sha, patch_pos"""
 
+_REFERENCES = f"""
+        select slug, translate(token, '()[]', '') as ref, type from (
+          select slug, 'commit' as type, unnest({_TOKENS.format('message')}) as token from vw_commits
+          union all select slug, 'issue/pr', unnest({_TOKENS.format('body')}) from vw_comments) t
+        where not contains(token, slug)"""
+
 STATEMENTS = {
     "slug_folder_roundtrip": """
         select slug, replace(slug, '/', '_____') as folder, replace(slug, '/', '_') as file_stem, slug as back,
@@ -434,11 +443,8 @@ STATEMENTS = {
         select c.cluster, coalesce(i.email, {_NONE}) as email, count(*) as members, min(c.uid) as rep
         from o_clusters c join o_groups g on c.cluster = g.cluster join o_ids i on c.uid = i.uid
         where not valid and g."EMAIL" > 0 group by c.cluster, i.email having count(*) > 1""",
-    "cross_references": f"""
-        select slug, translate(token, '()[]', '') as ref, type from (
-          select slug, 'commit' as type, unnest({_TOKENS.format('message')}) as token from vw_commits
-          union all select slug, 'issue/pr', unnest({_TOKENS.format('body')}) from vw_comments) t
-        where not contains(token, slug)""",
+    "cross_references": _REFERENCES,
+    "cross_reference_file": _REFERENCES,
     "induced_bugs": """
         select user_id, slug, sha, issue_number, fixing_sha, count(*) as times from o_induced_rows
         group by user_id, slug, sha, issue_number, fixing_sha""",
@@ -486,6 +492,21 @@ STATEMENTS = {
         from events where event_id % 11 < 4 group by 1, 2""",
     "comments_per_issue": "select slug, issue_number, count(*) as num_comments from vw_comments group by slug, issue_number",
     "diff_lines": _DIFF_ROWS,
+    # Patches are numbered from 1 without gaps in the given history.
+    "diff_files": _DIFF_ROWS.replace("patch_pos,", "dense_rank() over (partition by slug, sha order by patch_pos) as patch_pos,", 1),
+    "alias_audit_files": f"""
+        with fired as (
+          select cluster, {_FIRED} as rules from o_groups),
+        listed as (select c.cluster, g.valid, g.rep, c.uid, i.email, f.rules, g."EMAIL" as by_email
+          from o_clusters c join o_groups g on c.cluster = g.cluster join o_ids i on c.uid = i.uid join fired f on c.cluster = f.cluster),
+        parts as (select cluster, email, min(uid) as rep from listed where not valid and by_email > 0 group by cluster, email having count(*) > 1),
+        shared as (select l.cluster, p.rep, l.uid, l.rules, coalesce(l.email, '') as email
+          from listed l join parts p on l.cluster = p.cluster and l.email is not distinct from p.email)
+        select 'map' as file, '' as cluster, rep, uid, '' as rules, '' as email from o_alias_map where uid <> rep
+        union all select 'map', '', rep, uid, '', '' from shared where uid <> rep
+        union all select 'log', cluster, rep, uid, rules, coalesce(email, '') from listed where valid
+        union all select 'log', cluster, rep, uid, rules, email from shared
+        union all select 'maybe', cluster, rep, uid, rules, coalesce(email, '') from listed where not valid""",
 }
 
 

@@ -519,6 +519,27 @@ def diff_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def diff_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Diff lines from log files of many commits and patches."""
+    folder = fresh_path(spark, "logs")
+    patches = view(spark, sf_dir, "vw_diff_text").groupBy("slug", "sha").agg(F.array_sort(F.collect_list(F.struct("first_patch", "diff"))).alias("p"))
+    whole = F.array_join(F.transform("p", lambda patch: patch["diff"]), "")
+    log = F.concat(F.lit("commit "), "sha", F.lit("\nAuthor: A <a@x.org>\n\n    commit message\n    diff --git\n\n"), whole)
+    rows = patches.select(text.slug_to_folder(F.col("slug")).alias("folder"), F.concat(F.lit("folder="), "folder").alias("_"), log.alias("value"))
+    rows.select("folder", "value").write.partitionBy("folder").text(folder)
+    found = diff_text.diff_lines(diff_text.read_patches(spark, folder, "part-*"))
+    named = found.withColumn("slug", F.replace("slug", F.lit("folder="), F.lit("")))
+    none = F.lit("(null)")
+    numbered = named.withColumn("patch_pos", F.col("patch_pos") + 1)
+    return numbered.select(
+        "slug", "sha", "patch_pos", "old_path", "new_path", "is_binary",
+        F.coalesce("hunk_pos", F.lit(-1)).alias("hunk_pos"), F.coalesce("origin", none).alias("origin"),
+        F.coalesce("old_lineno", F.lit(-1)).alias("old_lineno"), F.coalesce("new_lineno", F.lit(-1)).alias("new_lineno"),
+        F.coalesce("content", none).alias("content"),
+    )
+
+
 @query
 def file_changes_from_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diff_text.file_changes_from_diffs(view(spark, sf_dir, "vw_diff_text"))
@@ -592,6 +613,36 @@ def project_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return csv_tables.read_project_list(spark, path)
 
 
+@query
+def cross_reference_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cross references through their written table and its interchange file."""
+    from changelens.plans import report
+
+    folder = fresh_path(spark, "references")
+    draft = tables.Draft(spark, folder)
+    draft.write(view(spark, sf_dir, "vw_commits").select("slug", "sha", "message"), "commits")
+    draft.write(view(spark, sf_dir, "vw_comments"), "comments")
+    draft.publish()
+    report.write_cross_references(spark, folder, interchange=f"{folder}/files")
+    return csv_tables.read_written(spark, f"{folder}/files", "cross_references")
+
+
+@query
+def alias_audit_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three audit files of an identity run, read back and told apart."""
+    from changelens.plans import people as people_plan
+
+    folder = fresh_path(spark, "audit")
+    tables.write_native(view(spark, sf_dir, "vw_contributors"), folder, "contributors")
+    people_plan.resolve_identities(spark, folder, f"{folder}/audit")
+    mapped = csv_tables.read_delimited(spark, f"{folder}/audit/idm_map", "uid string, rep string")
+    found = mapped.select(F.lit("map").alias("file"), F.lit("").alias("cluster"), "rep", "uid", F.lit("").alias("rules"), F.lit("").alias("email"))
+    for name in ("log", "maybe"):
+        listed = csv_tables.read_delimited(spark, f"{folder}/audit/idm_{name}", "cluster string, rules string, rep string, uid string, name string, email string")
+        found = found.unionByName(listed.select(F.lit(name).alias("file"), "cluster", "rep", "uid", "rules", F.coalesce("email", F.lit("")).alias("email")))
+    return found
+
+
 @query
 def author_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Author times from epoch seconds."""

@@ -26,6 +26,12 @@ def test_issue_mentions(spark):
     assert apply(spark, mentions.mentioned_issues, list(cases)) == list(cases.values())
 
 
+def test_digits_of_other_scripts_are_numbers(spark):
+    lines = {"x #१२": [12], "GH-٣٤ #5": [5, 34], "a #𝟗9": [99], "a #²": []}
+    found = spark.createDataFrame([(k,) for k in lines], "line string").select("line", mentions.mentioned_issues(F.col("line")).alias("n"))
+    assert {r.line: r.n for r in found.collect()} == lines
+
+
 def test_reference_tokens_equal_the_greedy_pattern(spark):
     # Fixed value: the reference pattern that must match.
     pattern = re.compile(r"(\S+\/\S+)(#\d+|@\d+)", re.MULTILINE)

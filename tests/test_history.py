@@ -260,6 +260,61 @@ def test_diff_text(table):
     assert rows(changes.file_changes(found), "patch_pos", "loc_ins", "loc_del") == totals
 
 
+def test_quoted_paths(spark, table):
+    from changelens.operators.classify import classify_files
+
+    names = {'"a/\\303\\261.py"': "a/ñ.py", "plain.py": "plain.py", '"t\\ta\\"b\\\\c\\nd"': 't\ta"b\\c\nd', '"é\\001"': "é\x01", '""': "", '"\\377x"': "\ufffdx"}
+    given = table(list(names.items()), "path string, expected string")
+    assert [r.expected for r in given.collect()] == [r.found for r in given.select(diff_text.unquoted(given.path).alias("found")).collect()]
+    diff = ('diff --git "a/src/\\303\\261.py" "b/src/\\303\\261.py"\nindex 1..2 100644\n--- "a/src/\\303\\261.py"\n+++ "b/src/\\303\\261.py"\n@@ -1 +1 @@\n-x\n+y\n'
+            'diff --git a/old.txt "b/n\\303\\251w.txt"\nsimilarity index 100%\nrename from old.txt\nrename to "n\\303\\251w.txt"\n'
+            'diff --git "a/\\303\\251.bin" "b/\\303\\251.bin"\nindex 1..2\nBinary files "a/\\303\\251.bin" and "b/\\303\\251.bin" differ\n'
+            'diff --git a/new.py b/new.py\nnew file mode 100644\n--- /dev/null\n+++ b/new.py\n@@ -0,0 +1 @@\n+z\n')
+    patches = diff_text.patches(table([("o/p", "c", diff)], "slug string, sha string, diff string"))
+    assert rows(patches, "patch_pos", "old_path", "new_path", "is_binary") == [
+        (0, "src/ñ.py", "src/ñ.py", False), (1, "old.txt", "néw.txt", False), (2, "é.bin", "é.bin", True), (3, "new.py", "new.py", False)]
+    assert classify_files(patches, "new_path", "label").filter("patch_pos = 0").first().label == 0
+
+
+@pytest.mark.parametrize("split", [90, 1 << 20])
+def test_log_files_are_read_in_splits(spark, tmp_path, split):
+    draw, expected = random.Random(split), []
+    for project in ("o_____p", "o_____q"):
+        (tmp_path / project).mkdir()
+        text = ""
+        for c in range(30):
+            sha = f"{draw.randrange(16**12):012x}" + "0" * 28
+            text += f"commit {sha}\nAuthor: A\n\n    message\n    commit 1234567\n\n"
+            for n in range(draw.choice([0, 1, 1, 4])):
+                body = "".join(f"{draw.choice('+- ')}commit abcdef0{k} diff --git\n" for k in range(draw.choice([1, 2, 20])))
+                patch = f"diff --git a/f{n} b/f{n}\n--- a/f{n}\n+++ b/f{n}\n@@ -1,9 +1,9 @@\n{body}"
+                expected.append((project.replace("_____", "/"), sha, n, patch))
+                text += patch
+            text += "\n" if draw.random() < 0.5 else ""
+        (tmp_path / project / "all.diff").write_text(text)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+    try:
+        found = [(s, c, n, d.rstrip("\n") + "\n") for s, c, n, d in diff_text.read_patches(spark, str(tmp_path)).collect()]
+        assert sorted(found) == sorted(expected)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_payloads_are_parsed_once(table):
+    given = table(
+        [(1, '{"id":1,"state":"closed","more":{"x":[1]},"created_at":"2020-99-01T00:00:00Z"}'), (2, "[1]"), (3, '{"id":'), (4, None), (5, '{"id":null}'),
+         (6, '{"id":7,"state":"closed","labels":null,"pull_request":null,"user":{"login":null}}'), (7, '"text"')], "slug int, payload string")
+    read = ingest.read_payloads(given, ingest.ISSUE_PAYLOAD)
+    assert rows(read, "slug", "reason") == [(1, "unreadable time"), (2, "malformed"), (3, "malformed"), (4, "missing"), (5, "no id"), (6, None), (7, "malformed")]
+    assert read.filter("slug = 1").selectExpr("try_variant_get(object, '$.more.x[0]', 'int') AS x").first().x == 1
+    kept, lost = ingest.issue_rows(read), read.filter("reason IS NOT NULL")
+    assert rows(kept, "id", "created_at", "labels", "is_pl", "created_by_login") == [(1, None, None, False, None), (7, None, None, False, None)]
+    for part in (kept, lost):
+        plan = part._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("parse_json") + plan.count("parsejson") + plan.count("parseJson") == 1, plan
+
+
 def test_payloads(table):
     issues = table(
         [("o/p", '{"id":1,"number":2,"state":"closed","created_at":"2020-01-02T03:04:05Z","closed_at":null,"user":null,'
