@@ -11,11 +11,13 @@ takes each unit from the last version that replaced it.
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from changelens.functions.text import slug_to_folder
 from changelens.operators.aliases import AliasResolution
@@ -24,7 +26,8 @@ PROJECT = "project_folder"
 #: Units that a reader names in a partition filter; more of them are looked up by a join.
 NAMED_UNITS = 1000
 
-_MANIFEST = "version bigint, table string, place string, parts string, some boolean"
+_ROW = "table string, place string, parts string, some boolean, columns string"
+_MANIFEST = f"version bigint, {_ROW}"
 
 
 def published(spark: SparkSession, folder: str) -> list[Row]:
@@ -63,23 +66,31 @@ class Draft:
             df.write.parquet(path)
         if units is not None:
             units.select(*parts).distinct().write.parquet(f"{path}.units")
-        self.rows.append((table, self.place, ",".join(parts), units is not None))
+        self.rows.append((table, self.place, ",".join(parts), units is not None, df.schema.json()))
 
     def written(self, table: str) -> DataFrame:
         """What this draft holds of a table."""
-        return self.spark.read.parquet(f"{self.folder}/{self.place}/{table}")
+        return _version(self.spark, self.folder, next(row for row in self._mine() if row.table == table))
 
     def read(self, table: str, units: DataFrame | None = None, drop: bool = True) -> DataFrame:
         """A table (of some ``units`` only, if they are given) as it will be once this draft is published."""
-        mine = [Row(version=self.version, table=t, place=p, parts=k, some=s) for t, p, k, s in self.rows]
-        found = _read(self.spark, self.folder, table, published(self.spark, self.folder) + mine, units)
+        found = _read(self.spark, self.folder, table, published(self.spark, self.folder) + self._mine(), units)
         return found.drop(PROJECT) if drop else found
 
+    def _mine(self) -> list[Row]:
+        return [Row(version=self.version, table=t, place=p, parts=k, some=s, columns=c) for t, p, k, s, c in self.rows]
+
     def publish(self) -> None:
-        manifest = self.spark.createDataFrame(self.rows, "table string, place string, parts string, some boolean")
+        manifest = self.spark.createDataFrame(self.rows, _ROW)
         manifest.coalesce(1).write.json(f"{self.folder}/published/version={self.version}")
 
 
+def _version(spark: SparkSession, folder: str, row: Row) -> DataFrame:
+    """A table as one version wrote it; the manifest knows its columns, so a table without rows can be read too."""
+    schema = T.StructType.fromJson(json.loads(row.columns))
+    return spark.read.schema(schema).parquet(f"{folder}/{row.place}/{row.table}")
+
+
 def _read(spark: SparkSession, folder: str, table: str, manifest: list[Row], units: DataFrame | None = None) -> DataFrame:
     rows = [row for row in manifest if row.table == table]
     whole = max((k for k, row in enumerate(rows) if not row.some), default=0)
@@ -87,7 +98,7 @@ def _read(spark: SparkSession, folder: str, table: str, manifest: list[Row], uni
     if not rows:
         raise ValueError(f"no table {table} has been published in {folder}")
     parts = [p for p in rows[0].parts.split(",") if p]
-    versions = [spark.read.parquet(f"{folder}/{row.place}/{table}") for row in rows]
+    versions = [_version(spark, folder, row) for row in rows]
     if units is not None and parts:
         wanted = units.select(*[p for p in parts if p in units.columns]).distinct()
         versions = [_of_units(version, wanted) for version in versions]

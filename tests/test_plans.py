@@ -60,6 +60,57 @@ def test_runs_one_after_another(spark, tmp_path):
     assert rows(tables.read_native(spark, folder, f"{report.PROJECT_REPORT}_week").select("user_id", "project", "week", "num_files_touched", "num_bugs_induced")) == weekly
 
 
+def test_upkeep_touches_only_what_changes(spark, table, tmp_path):
+    import datetime as dt
+
+    from changelens.plans import upkeep
+
+    folder, day = str(tmp_path / "kept"), lambda n: dt.datetime(2020, 1, 1) + dt.timedelta(days=n)
+    commit = ("slug string, sha string, ts timestamp, author_name string, author_email string, committer_name string, committer_email string, "
+              "message string, num_parents int")
+    line = ("slug string, sha string, patch_pos int, hunk_pos int, old_path string, new_path string, is_binary boolean, origin string, old_lineno int, "
+            "new_lineno int, content string")
+    issue = "slug string, number bigint, version int, created_at timestamp, closed_at timestamp, labels array<string>, is_pl boolean"
+
+    def commits(*given):
+        return table([(p, s, day(n), who, f"{who}@x.org", who, f"{who}@x.org", m, 1) for p, s, n, who, m in given], commit)
+
+    def lines(*given):
+        return table([(p, s, 0, 0, path, path, False, o, 1 if o == "-" else None, 1 if o == "+" else None, c) for p, s, path, o, c in given], line)
+
+    def issues(*given):
+        return table([(p, n, v, day(0), day(c), ["fix"], False) for p, n, v, c in given], issue)
+
+    def published_report():
+        return rows(tables.read_native(spark, folder, report.PROJECT_REPORT).select("project", "day", "num_commits", "loc_added", "num_bugs_induced"))
+
+    first = {
+        "commits": commits(("o/p", "a1", 1, "Ann", "x"), ("o/p", "a2", 400, "Ann", "fix #1"), ("o/q", "b1", 1, "Bob", "x"), ("o/r", "c1", 1, "Cy", "x")),
+        "issues": issues(("o/p", 1, 1, 100)),
+        "diff_lines": lines(("o/p", "a1", "f.py", "+", "x = 1"), ("o/p", "a2", "f.py", "-", "x = 1"), ("o/q", "b1", "g.py", "+", "y"), ("o/r", "c1", "h.py", "+", "z")),
+    }
+    touched = upkeep.update(spark, folder, first, issue_order="version")
+    assert touched.count() == 3
+    before = published_report()
+    assert [r[-1] for r in before if r[0] == "o/p"] == [0, 0]
+    versions = len(tables.published(spark, folder))
+    assert upkeep.update(spark, folder, first, issue_order="version").count() == 0 and len(tables.published(spark, folder)) == versions
+
+    # A later record of the issue makes a2 a fix; an older one that comes late changes nothing.
+    later = {"issues": issues(("o/p", 1, 2, 500)), "commits": commits(("o/q", "b2", 2, "Bob", "y")), "diff_lines": lines(("o/q", "b2", "g.py", "+", "y2"))}
+    assert rows(upkeep.update(spark, folder, later, issue_order="version")) == [("o_____p",), ("o_____q",)]
+    after = published_report()
+    assert [r[-1] for r in after if r[0] == "o/p"] == [1, 0] and len([r for r in after if r[0] == "o/q"]) == 2
+    assert [r for r in after if r[0] == "o/r"] == [r for r in before if r[0] == "o/r"]
+    newest = max(row.version for row in tables.published(spark, folder))
+    place = {row.table: row for row in tables.published(spark, folder) if row.version == newest}
+    assert place["commits"].some and not place["alias_map"].some
+    written = spark.read.parquet(f"{folder}/{place[report.PROJECT_REPORT].place}/{report.PROJECT_REPORT}")
+    assert rows(written.select(tables.PROJECT, "year").distinct()) == [("o_____p", 2020), ("o_____q", 2020)]
+    upkeep.update(spark, folder, {"issues": issues(("o/p", 1, 1, 100))}, issue_order="version")
+    assert published_report() == after
+
+
 def test_a_cluster_must_name_its_shared_folder():
     from types import SimpleNamespace
 
