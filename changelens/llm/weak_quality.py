@@ -88,6 +88,21 @@ class Slice:
         return np.array(made)
 
 
+class _Runs:
+    """Runs of values, one after the other; ``ends`` tells where each stops."""
+
+    def __init__(self, values: np.ndarray, ends: np.ndarray):
+        self.values, self.starts = values, np.concatenate([[0], ends[:-1]]) if len(ends) else ends
+        self.lengths = ends - self.starts
+
+    def of(self, numbers: np.ndarray) -> np.ndarray:
+        """The values of some runs."""
+        lengths = self.lengths[numbers]
+        behind = np.cumsum(lengths)
+        inside = np.arange(behind[-1] if len(behind) else 0) - np.repeat(behind - lengths, lengths)
+        return self.values[np.repeat(self.starts[numbers], lengths) + inside]
+
+
 def _measure(texts: list[bytes], flagged: frozenset[bytes], with_features: bool) -> Slice:
     words = [text.split() for text in texts]
     lengths = np.fromiter(map(len, words), np.int64, len(words))
@@ -97,13 +112,15 @@ def _measure(texts: list[bytes], flagged: frozenset[bytes], with_features: bool)
         own_ids.append(np.unique(np.array([numbers.setdefault(w, len(numbers)) for w in own], np.int64)))
     # A marked word weighs two, a word that only begins like marked ones weighs one.
     flags = np.zeros(len(numbers) + 1, np.int64)
-    hashed = np.zeros((len(numbers) + 1, 4), np.int64)
+    hashed: list[int] = []
+    ends = np.zeros(len(numbers) + 1, np.int64)
     for k, word in enumerate(numbers):
         found = parts_of(word)
         flags[k] = max((1 + p.endswith(b".") for p in found if p in flagged), default=0)
         if with_features:
-            row = [zlib.crc32(p) % BUCKETS for p in found[:4]]
-            hashed[k] = (row + row[:1] * 4)[:4] if row else zlib.crc32(word) % BUCKETS
+            hashed += [zlib.crc32(p) % BUCKETS for p in found or [word]]
+            ends[k] = len(hashed)
+    runs = _Runs(np.array(hashed, np.int64), ends[:-1])
     lines = [[x for x in t.split(b"\n") if x.strip()] for t in texts]
     count = lambda wanted: np.array([len(t) - len(t.translate(None, wanted)) for t in texts], np.int64)
     statistics = {
@@ -116,7 +133,7 @@ def _measure(texts: list[bytes], flagged: frozenset[bytes], with_features: bool)
         "dup_lines": np.array([len(x) - len(set(x)) for x in lines], np.int64),
         "flagged": np.array([int(flags[x].sum()) for x in own_ids], np.int64),
     }
-    return Slice(statistics, [np.unique(hashed[x]) for x in own_ids] if with_features else None)
+    return Slice(statistics, [np.unique(runs.of(x)) for x in own_ids] if with_features else None)
 
 
 def vote_patterns(docs: DataFrame, flagged: frozenset[bytes]) -> DataFrame:
