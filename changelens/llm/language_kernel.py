@@ -1,15 +1,16 @@
 """Language identification with string kernels.
 
 The kernel of two texts is the share of byte n-grams (lengths 1 to ``LONGEST``, a blended spectrum, presence
-only) that they have in common.  ``LANDMARKS`` training texts stand for the kernel space (Nyström): every text
+only) that they have in common, over the ``FEATURES`` n-grams that most texts of the sample hold.  ``LANDMARKS`` training texts stand for the kernel space (Nyström): every text
 is described by its kernel with each landmark, whitened by the landmarks' own kernel matrix, and one-versus-rest
 ridge regression on those features gives a value for each language.  Whole texts are scored in batches by two
 matrix products, presence x landmarks and features x languages.
 
-The classifier is fitted on a bounded sample of labelled rows, ``SAMPLE_ROWS``; only text and label enter it.
+The classifier is fitted on a bounded sample of labelled rows, ``SAMPLE_ROWS``, the same number for each language and
+one at least, however many languages there are; only text and label enter it.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; a label that is null teaches
-nothing; without labelled rows every text is ``und``; equal texts get equal answers; of equal values the first
+nothing; without labelled rows every text is ``und``; equal texts get equal answers (scores up to rounding); of equal values the first
 label in order wins; other columns are ignored; an empty table gives an empty result.
 """
 
@@ -23,7 +24,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from changelens.llm.common import pieces, raw_texts
+from changelens.llm.common import first_rows, pieces, raw_texts
 from changelens.scratch import settle
 
 SAMPLE_ROWS = 2_000
@@ -137,22 +138,18 @@ def remainder(doc_id: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, landmarks: int = LANDMARKS) -> StringKernelClassifier | None:
-    """A classifier from at most ``sample_rows`` rows with text and lang, an equal bound for each language."""
-    labelled = docs.filter("lang IS NOT NULL AND text IS NOT NULL")
-    languages = [r[0] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(200).collect()]
+def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, landmarks: int = LANDMARKS, features: int = FEATURES) -> StringKernelClassifier | None:
+    """A classifier from rows with text and lang: an equal number for each language, one at least, so at most
+    ``sample_rows`` or as many as there are languages."""
+    labelled = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select("lang", "doc_id", "text", F.xxhash64("doc_id", "text").alias("row_key"))
+    languages = labelled.select("lang").distinct().count()
     if not languages:
         return None
-    share = -(-sample_rows // len(languages))
-    narrow = labelled.select("lang", "doc_id", F.xxhash64("doc_id", "text").alias("row_key"))
-    chosen = None
-    for language in languages:
-        own = narrow.filter(F.col("lang") == language).orderBy(F.xxhash64("row_key"), "doc_id").limit(share)
-        chosen = own if chosen is None else chosen.unionByName(own)
-    keys = settle(chosen.select("row_key").distinct())
-    rows = labelled.select("lang", "text", F.xxhash64("doc_id", "text").alias("row_key")).join(F.broadcast(keys), "row_key")
-    rows = settle(rows.dropDuplicates(["row_key", "lang"])).orderBy("row_key", "lang").collect()
-    return StringKernelClassifier([r["text"].encode() for r in rows], [r["lang"] for r in rows], landmarks)
+    share = max(1, sample_rows // languages)
+    narrow = labelled.select("lang", "row_key", F.xxhash64("row_key").alias("turn"))
+    chosen = settle(first_rows(narrow, ["lang"], [F.asc("turn"), F.asc("row_key")], share, F.pmod("turn", F.lit(64))).select("lang", "row_key").distinct())
+    rows = settle(labelled.join(chosen, ["lang", "row_key"], "left_semi").dropDuplicates(["row_key", "lang"])).orderBy("row_key", "lang").collect()
+    return StringKernelClassifier([r["text"].encode() for r in rows], [r["lang"] for r in rows], landmarks, features=features)
 
 
 def predict(docs: DataFrame, model: StringKernelClassifier | None) -> DataFrame:
