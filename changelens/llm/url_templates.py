@@ -3,12 +3,11 @@
 Pages are first reduced to distinct (host, path) with counts, so no step handles one url twice and a host with
 most pages is spread by path.  Then the tree is built level by level.  At a node (host and template so far) the
 next segment, digits written as ``#``, becomes a branch of its own or the wildcard ``*``: a branch whose share of
-good labels does not differ from the rest of its node by more than ``Z`` standard errors is merged with the
-others.  In a node with more than ``MAX_BRANCHES`` different segments so is a branch of fewer than
-``ENOUGH_LABELS`` labels; one with more stands alone however many segments there are.  Below ``DEPTH`` segments
-the tree goes on, to any depth, where a node still has good and bad labels below it; what lies below the others
-is one wildcard ``**``.  A template is rejected if its share of good labels, smoothed towards the
-overall share by ``PRIOR_WEIGHT`` labels, is below ``LEAST_PURITY``.
+good labels does not differ from the rest of its node by more than ``Z`` standard errors, after a continuity
+correction that asks for enough labels, is merged with the others.  This is the only rule, at every node and
+depth, so how many other branches there are changes nothing.  The tree goes on, to any depth, where a node has
+good and bad labels below it; what lies below the others is one wildcard ``**``.  A template is rejected if its
+share of good labels, smoothed towards the overall share by ``PRIOR_WEIGHT`` labels, is below ``LEAST_PURITY``.
 
 Fixed rules (host, path, verdict) come first: a rule fits its host and all subdomains if the path begins with
 its path; of several the longest wins, of equal length the one listed first.
@@ -28,9 +27,6 @@ from pyspark.sql import functions as F
 
 from changelens.scratch import settle
 
-DEPTH = 4
-MAX_BRANCHES = 24
-ENOUGH_LABELS = 10
 Z = 2.0
 PRIOR_WEIGHT = 10.0
 LEAST_PURITY = 0.5
@@ -70,7 +66,7 @@ def first_rule(rules: list[UrlRule]) -> Column:
     return made
 
 
-def templates(paths: DataFrame, depth: int = DEPTH, max_branches: int = MAX_BRANCHES, z: float = Z, enough_labels: int = ENOUGH_LABELS) -> DataFrame:
+def templates(paths: DataFrame, z: float = Z) -> DataFrame:
     """``paths``: host, path, n, labelled, good.  Adds ``template``."""
     # The first part is what stands before the first slash: nothing, in a path that has one.
     parts = F.split(F.regexp_replace("path", "[0-9]+", "#"), "/")
@@ -81,27 +77,26 @@ def templates(paths: DataFrame, depth: int = DEPTH, max_branches: int = MAX_BRAN
         level += 1
         current = current.withColumn("segment", F.try_element_at("parts", F.lit(level + 1)))
         key = ["host", "template", "segment"]
-        if level > depth:
-            # Only nodes with good and bad labels below them can be told apart further.
-            below = current.filter("segment IS NOT NULL").groupBy("host", "template").agg(F.sum("labelled").alias("all"), F.sum("good").alias("all_good"))
-            open_nodes = below.filter("all_good > 0 AND all_good < all").select(F.col("host").alias("open_host"), F.col("template").alias("open_template"))
-            ahead = current.join(open_nodes, (F.col("host") == F.col("open_host")) & (F.col("template") == F.col("open_template")), "left")
-            goes_on = F.col("segment").isNotNull() & F.col("open_host").isNotNull()
-            ahead = settle(ahead.select(*columns, "parts", "template", "segment", goes_on.alias("goes_on")))
-            deeper = F.when(F.col("segment").isNotNull(), F.lit("/**")).otherwise(F.lit(""))
-            done.append(ahead.filter("NOT goes_on").select(*columns, F.concat("template", deeper).alias("template")))
-            current = ahead.filter("goes_on").drop("goes_on")
-            if current.isEmpty():
-                break
+        # Only nodes with good and bad labels below them can be told apart further.
+        below = current.filter("segment IS NOT NULL").groupBy("host", "template").agg(F.sum("labelled").alias("all"), F.sum("good").alias("all_good"))
+        open_nodes = below.filter("all_good > 0 AND all_good < all").select(F.col("host").alias("open_host"), F.col("template").alias("open_template"))
+        ahead = current.join(open_nodes, (F.col("host") == F.col("open_host")) & (F.col("template") == F.col("open_template")), "left")
+        goes_on = F.col("segment").isNotNull() & F.col("open_host").isNotNull()
+        ahead = settle(ahead.select(*columns, "parts", "template", "segment", goes_on.alias("goes_on")))
+        deeper = F.when(F.col("segment").isNotNull(), F.lit("/**")).otherwise(F.lit(""))
+        done.append(ahead.filter("NOT goes_on").select(*columns, F.concat("template", deeper).alias("template")))
+        current = ahead.filter("goes_on").drop("goes_on")
+        if current.isEmpty():
+            break
         branches = current.filter("segment IS NOT NULL").groupBy(*key).agg(F.sum("labelled").alias("ours"), F.sum("good").alias("our_good"))
-        nodes = branches.groupBy("host", "template").agg(F.count("*").alias("branches"), F.sum("ours").alias("all"), F.sum("our_good").alias("all_good"))
+        nodes = branches.groupBy("host", "template").agg(F.sum("ours").alias("all"), F.sum("our_good").alias("all_good"))
         both = branches.join(nodes, ["host", "template"])
         others, other_good = F.col("all") - F.col("ours"), F.col("all_good") - F.col("our_good")
         share = F.col("all_good") / F.greatest(F.col("all"), F.lit(1))
         apart = F.abs(F.col("our_good") / F.greatest("ours", F.lit(1)) - other_good / F.greatest(others, F.lit(1)))
         error = F.sqrt(share * (1 - share) * (1 / F.greatest("ours", F.lit(1)) + 1 / F.greatest(others, F.lit(1))))
-        known = (F.col("branches") <= max_branches) | (F.col("ours") >= enough_labels)
-        own = known & (F.col("ours") > 0) & (others > 0) & (apart > z * error)
+        half_step = 0.5 * (1 / F.greatest("ours", F.lit(1)) + 1 / F.greatest(others, F.lit(1)))
+        own = (F.col("ours") > 0) & (others > 0) & (apart - half_step > z * error)
         kept = both.filter(own).select(*[F.col(c).alias(f"kept_{c}") for c in key])
         same = (current["host"] == kept["kept_host"]) & (current["template"] == kept["kept_template"]) & (current["segment"] == kept["kept_segment"])
         joined = current.join(kept, same, "left")
