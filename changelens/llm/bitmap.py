@@ -78,6 +78,10 @@ def keep_one(docs: DataFrame, found: DataFrame) -> DataFrame:
     left = without(docs, settle(dropped), row_id())
     if doubled.isEmpty():
         return left
-    copies = left.join(doubled.toDF("doubled_key"), row_id().eqNullSafe(F.col("doubled_key")), "left_semi")
-    single = copies.groupBy(row_id().alias("row_key")).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row"))
+    again = doubled.toDF("key")
+    copies = left.join(again, row_id().eqNullSafe(again["key"]), "left_semi")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    # As text, since columns of some types have no hash.
+    whole = F.xxhash64(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}))
+    single = copies.groupBy(row_id()).agg(F.min_by(F.struct(*columns), whole)).toDF("key", "row")
     return without(left, doubled, row_id()).unionByName(single.select("row.*"))
