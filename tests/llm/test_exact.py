@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from changelens.llm import decontaminate, lm_bloom, packing, quality_rules, simhash, suffix_dedup
 from changelens.llm.common import prepared
@@ -284,3 +285,11 @@ def test_stages_decide_on_rows_not_ids(spark):
     assert once == Counter({t.strip(): 1 for _, t in given})
     ids = {r.text.strip(): r.doc_id for r in kept.collect()}
     assert (ids[x], ids[y], ids[z], ids[clean], ids[leaked], ids["bad"]) == (5, 3, None, 7, 9, 7)
+
+
+def test_one_row_stays_whatever_its_columns(spark):
+    rows = [(1, "a b c d e", 7, {"x": k % 2}, k) for k in range(4)] + [(2, "a b c d e", 8, None, 9), (3, "other words of its own", 1, {}, 0)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, doubled_key int, key map<string,int>, gone_key int").withColumn("row", F.struct("gone_key"))
+    kept = simhash.drop_near_duplicates(frame)
+    assert kept.columns == frame.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3]
+    assert simhash.drop_near_duplicates(fixtures.empty(frame)).count() == 0

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import zlib
 from collections import defaultdict
 
 import numpy as np
@@ -103,6 +104,51 @@ def test_language_on_held_out_texts(spark):
     assert all(0 <= r.score <= 1 for r in found.values())
 
 
+def test_every_language_is_learned(spark):
+    rng = random.Random(12)
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 300)]
+    rows = [(n * 3 + k, " ".join(rng.choice([letter, letter * 2]) for _ in range(30)), f"l{n:03d}") for n, letter in enumerate(letters) for k in range(3)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    model = language_kernel.fit(frame, sample_rows=600, landmarks=600)
+    assert len(model.labels) == 300
+    right = language_kernel.predict(frame, model).join(frame.select("doc_id", "lang"), "doc_id").filter("lang = lang_pred").count()
+    assert right > 0.95 * len(rows)
+    # With fewer sample rows than languages each still has one.
+    assert len(language_kernel.fit(frame, sample_rows=100).labels) == 300
+
+
+def test_kernel_ridge_equals_the_plain_solution():
+    """With every training text a landmark the features span the whole kernel space, so ridge regression in it is kernel ridge."""
+    rng = random.Random(6)
+    labels = [rng.choice(sorted(LANGUAGES)) for _ in range(24)]
+    texts = [invented(rng, label, 12).encode() for label in labels]
+    model = language_kernel.StringKernelClassifier(texts, labels, landmarks=24, longest=2, features=10_000)
+    grams = [{(n, bytes(f[i : i + n])) for n in (1, 2) for i in range(len(f) - n + 1)} for f in (language_kernel._folded(t).tobytes() for t in texts)]
+    times = defaultdict(int)
+    for own in grams:
+        for gram in own:
+            times[gram] += 1
+    grams = [{g for g in own if times[g] > 1} for own in grams]
+    kernel = np.array([[len(a & b) / np.sqrt(len(a) * len(b)) for b in grams] for a in grams])
+    target = np.array([[1.0 if own == label else -1.0 for label in model.labels] for own in labels])
+    weight = np.array([len(labels) / labels.count(x) for x in labels])
+    # The kernel's feature vectors, by eigenvectors, and a column for the offset (which is penalised too).
+    values, vectors = np.linalg.eigh(kernel)
+    features = np.hstack([vectors * np.sqrt(np.maximum(values, 0)), np.ones((24, 1))])
+    ridge = language_kernel.RIDGE * 24 * np.eye(features.shape[1])
+    plain = features @ np.linalg.solve(features.T @ (weight[:, None] * features) + ridge, features.T @ (weight[:, None] * target))
+    assert np.allclose(model.values(texts, model.lookup()), plain, atol=2e-2)
+
+
+def test_language_ties_and_repeated_rows(spark, docs):
+    found = defaultdict(set)
+    frame = docs.unionByName(docs)
+    model = language_kernel.fit(frame.withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "b").otherwise("a")))
+    for r in language_kernel.predict(frame, model).join(docs.select("doc_id", "text").distinct(), "doc_id").collect():
+        found[r.doc_id].add((r.lang_pred, round(r.score, 4)))
+    assert all(len(v) == 1 for v in found.values()) and language_kernel.predict(frame, model).count() == frame.count()
+
+
 def test_language_without_labels(docs):
     unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
     assert {r.lang_pred for r in language_kernel.identify(unlabelled).collect()} == {"und"}
@@ -177,6 +223,40 @@ def test_label_model_ranks_labellers():
     assert ((posterior > 0.5) == truth).mean() > 0.95
 
 
+def test_all_parts_of_a_word_are_features():
+    word = b"alpha-beta/gamma-delta/epsilon-zeta/eta-theta/iota-kappa"
+    parts = weak_quality.parts_of(word)
+    assert len(parts) >= 10
+    own = weak_quality._measure([word, b"", b"plain " + word, b"12 34"], frozenset(), True).features
+    assert set(own[0]) == {zlib.crc32(p) % weak_quality.BUCKETS for p in parts}
+    assert set(own[2]) == set(own[0]) | {zlib.crc32(p) % weak_quality.BUCKETS for p in weak_quality.parts_of(b"plain")}
+    assert len(own[1]) == 0 and len(own[3]) > 0
+
+
+def test_label_model_equals_enumeration():
+    """Posteriors after the last round against Bayes' rule written out vote by vote, and one more round of counting."""
+    rng = random.Random(3)
+    count = len(weak_quality.LABELLERS)
+    patterns = {sum(rng.choice([0, 1, 1, 2]) * 3**k for k in range(count)): rng.randrange(1, 40) for _ in range(60)}
+    model = weak_quality.estimate(patterns, rounds=200)
+    total = sum(patterns.values())
+    good = sum(n * model.posterior[p] for p, n in patterns.items())
+    prior = {0: (total - good + 1) / (total + 2), 1: (good + 1) / (total + 2)}
+    for pattern, posterior in model.posterior.items():
+        odds = {}
+        for kind in (0, 1):
+            odds[kind] = prior[kind]
+            for labeller in range(count):
+                odds[kind] *= model.votes[labeller][kind][pattern // 3**labeller % 3]
+        assert abs(odds[1] / (odds[0] + odds[1]) - posterior) < 1e-3
+    for labeller in range(count):
+        for kind in (0, 1):
+            counted = [0.5, 0.5, 0.5]
+            for pattern, n in patterns.items():
+                counted[pattern // 3**labeller % 3] += n * (model.posterior[pattern] if kind else 1 - model.posterior[pattern])
+            assert np.allclose(np.array(counted) / sum(counted), model.votes[labeller][kind], atol=1e-3)
+
+
 def test_quality_scores_take_awkward_rows(spark, docs):
     scored = weak_quality.score(docs, fixtures.labels(spark)).collect()
     assert len(scored) == docs.count() and all(0 <= r.score <= 1 and r.kept is not None for r in scored)
@@ -244,6 +324,17 @@ def test_sections_are_kept_apart_in_any_number_and_depth(spark):
     assert all(len(v) == 1 for v in verdicts.values()) and blocked == {("many.net", "partea"), ("deep.net", "bad")}
 
 
+@pytest.mark.parametrize("sections", [2, 24, 25, 200])
+def test_small_sections_keep_their_verdicts_among_any_number(spark, sections):
+    rows = [(s * 8 + i, f"http://one.net/sec{chr(97 + s % 26)}{chr(97 + s // 26)}/page{chr(97 + i)}") for s in range(sections) for i in range(8)]
+    frame = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(i, i // 8 % 2 == 0) for i, _ in rows], "page_id long, good boolean")
+    verdicts = defaultdict(set)
+    for r in url_templates.judge(frame, labels, []).collect():
+        verdicts[r.page_id // 8 % 2].add(r.verdict)
+    assert verdicts == {0: {"allow"}, 1: {"block"}}
+
+
 # Pipeline ---------------------------------------------------------------------------------------------------
 
 
