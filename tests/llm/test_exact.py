@@ -242,10 +242,41 @@ def test_language_model_baseline(docs, given, max_bits):
     assert sum(r.score for r in seen) > sum(r.base_score for r in seen)
 
 
+def test_language_model_equals_a_plain_bigram_model(docs, given):
+    """With so many bits that no probe hits by chance, the score is that of quantised counts kept in dictionaries."""
+    def quantised(n):
+        level = np.frexp(float(n))[1] if n else 0
+        return 0.0 if not n else 1.0 if level == 1 else 1.5 * 2.0 ** (level - 1) - 0.5
+
+    tokens = [(d, (t or "").encode().lower().split() + [None], lm_bloom.is_held_out(d)) for d, t in given]
+    train = [own for _, own, held in tokens if not held]
+    words, pairs = Counter(w for own in train for w in own), Counter(p for own in train for p in zip(["start", *own], own))
+    total, seen = sum(words.values()), len(words)
+    words["start"] = len(train)
+    expected = []
+    for doc, own, _ in tokens:
+        score = 0.0
+        for before, word in zip(["start", *own], own):
+            context = quantised(words[before])
+            plain = (quantised(words[word]) + 1) / (total + seen + 1)
+            score += np.log10((min(quantised(pairs[before, word]), context) + lm_bloom.STRENGTH * plain) / (context + lm_bloom.STRENGTH))
+        expected.append((str(doc), round(score, 5)))
+    for max_bits in (1 << 30, 1000):
+        found = lm_bloom.score(docs, max_bits=max_bits, bits_per_entry=600)
+        assert sorted((str(r.doc_id), round(r.score, 5)) for r in found.collect()) == sorted(expected)
+
+
+def test_a_filter_in_sections_scores_like_a_broadcast_one(docs, monkeypatch):
+    monkeypatch.setattr(lm_bloom, "_GRAMS_PER_SECTION", 300)
+    monkeypatch.setattr(lm_bloom, "BLOCK_BYTES", 3000)
+    whole, dealt = (sorted((str(r.doc_id), r.n_tokens, r.score) for r in lm_bloom.score(docs, max_bits=bits).collect()) for bits in (lm_bloom.MAX_BITS, 1000))
+    assert whole == dealt
+
+
 def test_filter_reads_back_quantised_counts(spark):
     text = " ".join(["a b"] * 37 + ["c d"] * 5 + ["e f"])
     code = lm_bloom.coded(spark.createDataFrame([(2, text)], "doc_id long, text string"))
-    (_, table), = lm_bloom.build_filter(code, 1 << 16, 8, 1)
+    table = lm_bloom.build_filter(code, 8, 1 << 13)
     key = lambda a, b: lm_bloom._pair_keys(*(np.array([xxhash.xxh64_intdigest(x)], np.uint64) for x in (a, b)))
     assert [table.counts(key(a, b))[0] for a, b in ((b"a", b"b"), (b"c", b"d"), (b"e", b"f"))] == [47.5, 5.5, 1.0]
     assert sum(table.counts(key(b"a", b"x%d" % k))[0] > 0 for k in range(500)) < 25
