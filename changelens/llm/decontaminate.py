@@ -6,7 +6,7 @@ benchmark get numbers; a suffix that cannot agree with any benchmark window, bec
 words are benchmark words, can never be found and is left out of the array before sorting.  Ranges found in
 the array are the verbatim occurrences; runs of them along one item give the longest matches.
 
-The benchmark is the stated query set.  It is sent to the tasks in blocks of at most ``BLOCK_WORDS`` words,
+The benchmark is the stated query set.  It is sent to the tasks in blocks of at most ``BLOCK_BYTES`` bytes,
 one pass over the documents for each block, so what is broadcast has a fixed bound.
 
 Defined cases: words are ASCII letters, digits and all characters beyond ASCII, A-Z lower-cased; a null text
@@ -30,7 +30,10 @@ from changelens.llm.common import pieces, raw_texts, starts_of
 from changelens.scratch import settle
 
 WINDOW = 13
-BLOCK_WORDS = 2_000_000
+#: Bytes that the windows and words of a block of items take at most (an item alone may take more), and what a word
+#: takes as a window and as an entry of the word list.
+BLOCK_BYTES = 96 << 20
+_WINDOW_BYTES, _ENTRY_BYTES = 65, 140
 
 _TO_WORDS = bytes(
     c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256)
@@ -42,33 +45,55 @@ def split_words(text: bytes) -> list[bytes]:
 
 
 class Needles:
-    """The sorted windows of some benchmark items, with the items and offsets they come from."""
+    """The sorted windows of some benchmark items, and where each comes from: items and places as flat arrays."""
 
     def __init__(self, items: list[tuple[object, bytes]], window: int):
         self.window = window
         self.numbers: dict[bytes, int] = {}
-        places: dict[tuple[int, ...], list[tuple[int, int]]] = {}
         self.names: list[str] = []
+        held = [np.zeros(0, np.uint32)]
         for item, text in items:
             words = [self.numbers.setdefault(w, len(self.numbers) + 1) for w in split_words(text)]
-            if not words:
-                continue
-            width = min(window, len(words))
-            self.names.append("" if item is None else str(item))
-            for at in range(len(words) - width + 1):
-                places.setdefault(tuple(words[at : at + width]), []).append((len(self.names) - 1, at))
-        keys = list(places)
-        self.width = np.array([len(k) for k in keys], np.int64)
-        self.low = self._padded(keys, 0)
-        self.high = self._padded(keys, 0xFFFFFFFF)
-        self.uses = [places[k] for k in keys]
-        self.shortest = int(self.width.min()) if keys else 0
-
-    def _padded(self, keys: list[tuple[int, ...]], fill: int) -> np.ndarray:
-        made = np.full((len(keys), self.window), fill, ">u4")
-        for row, key in zip(made, keys):
-            row[: len(key)] = key
-        return made.view(f"S{4 * self.window}").reshape(-1)
+            if words:
+                held.append(np.array(words, np.uint32))
+                self.names.append("" if item is None else str(item))
+        lengths = np.array([len(x) for x in held[1:]], np.int64)
+        words = np.concatenate([*held, np.zeros(window, np.uint32)])
+        widths = np.minimum(lengths, window)
+        counts = lengths - widths + 1
+        item = np.repeat(np.arange(len(lengths), dtype=np.int32), counts)
+        at = (np.arange(len(item)) - np.repeat(starts_of(counts), counts)).astype(np.int32)
+        keys = words[(starts_of(lengths)[item] + at)[:, None] + np.arange(window, dtype=np.int32)]
+        short = np.flatnonzero(widths[item] < window)
+        keys[short] *= np.arange(window) < widths[item[short]][:, None]
+        keys = self._as_keys(keys)
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        new = np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, bool)
+        self.low = keys[new]
+        self.starts = np.append(np.flatnonzero(new), len(keys))
+        self.item, self.at = item[order], at[order]
+        self.width = widths[self.item[self.starts[:-1]]]
+        self.shortest = int(self.width.min()) if len(self.width) else 0
+        # Windows of short items stand for all suffixes that begin like them.
+        self.open = np.flatnonzero(self.width < window)
+        ends = self.low[self.open].view(">u4").reshape(-1, window).copy()
+        ends[np.arange(window) >= self.width[self.open][:, None]] = 0xFFFFFFFF
+        self.open_high = self._as_keys(ends)
+
+    def _as_keys(self, rows: np.ndarray) -> np.ndarray:
+        return np.ascontiguousarray(rows.astype(">u4")).view(f"S{4 * self.window}").reshape(-1)
+
+    def uses(self, needle: int) -> Iterator[tuple[int, int]]:
+        """Items and places of a window."""
+        here = slice(self.starts[needle], self.starts[needle + 1])
+        return zip(self.item[here].tolist(), self.at[here].tolist())
+
+    def ends(self, keys: np.ndarray) -> np.ndarray:
+        """Where the keys that begin with each window end in sorted ``keys``."""
+        high = np.searchsorted(keys, self.low, "right")
+        high[self.open] = np.searchsorted(keys, self.open_high, "right")
+        return high
 
 
 def _suffix_array(ids: np.ndarray, window: int, shortest: int) -> tuple[np.ndarray, np.ndarray]:
@@ -87,7 +112,7 @@ def _search(ids: np.ndarray, needles: Needles) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (place in the shard, number of the window found there)."""
     places, keys = _suffix_array(ids, needles.window, needles.shortest)
     low = np.searchsorted(keys, needles.low, "left")
-    high = np.searchsorted(keys, needles.high, "right")
+    high = needles.ends(keys)
     count = np.maximum(high - low, 0)
     needle = np.repeat(np.arange(len(count)), count)
     at = np.arange(len(needle)) - np.repeat(starts_of(count), count) + np.repeat(low, count)
@@ -99,7 +124,7 @@ def _longest(place: list[int], needle: list[int], needles: Needles) -> tuple[int
     ahead: dict[tuple[int, int], tuple[int, int]] = {}
     best = (0, 0, "")
     for p, k in sorted(zip(place, needle)):
-        for item, at in needles.uses[k]:
+        for item, at in needles.uses(k):
             begun = ahead.get((item, p - at), (-2, 0))
             start = begun[1] if begun[0] == p - 1 else p
             ahead[(item, p - at)] = (p, start)
@@ -123,7 +148,7 @@ def _scan(batches: Iterator[pa.RecordBatch], needles: Needles) -> Iterator[pa.Re
         for start, own in zip(starts.tolist(), words):
             ids[start : start + len(own)] = [number(w, 0) for w in own]
         rows: list[list] = [[], [], [], [], []]
-        place, needle = _search(ids, needles) if needles.uses else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        place, needle = _search(ids, needles) if len(needles.width) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
         doc = np.searchsorted(starts, place, "right") - 1
         order = np.argsort(doc, kind="stable")
         edges = np.searchsorted(doc[order], np.arange(len(words) + 1))
@@ -137,7 +162,7 @@ def _scan(batches: Iterator[pa.RecordBatch], needles: Needles) -> Iterator[pa.Re
             depth = np.zeros(int(lengths[d]) + 1, np.int64)
             np.add.at(depth, at, 1)
             np.subtract.at(depth, at + needles.width[needle[own]], 1)
-            names = {needles.names[i] for k in np.unique(needle[own]).tolist() for i, _ in needles.uses[k]}
+            names = {needles.names[i] for k in np.unique(needle[own]).tolist() for i, _ in needles.uses(k)}
             longest = _longest(at.tolist(), needle[own].tolist(), needles)
             hit = np.flatnonzero(np.cumsum(depth)[:-1] > 0).astype("<u4").tobytes()
             for column, value in zip(rows, (hit, sorted(names), longest[0], int(longest[1]), longest[2])):
@@ -153,12 +178,13 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[object, bytes]]]:
     block, size = [], 0
     for row in benchmark.select("item_id", "text").toLocalIterator():
         text = (row["text"] or "").encode()
-        words = len(split_words(text))
-        if block and size + words > BLOCK_WORDS:
+        words = split_words(text)
+        own = len(words) * _WINDOW_BYTES + sum(len(w) + _ENTRY_BYTES for w in set(words))
+        if block and size + own > BLOCK_BYTES:
             yield block
             block, size = [], 0
         block.append((row["item_id"], text))
-        size += words
+        size += own
     yield block
 
 

@@ -104,9 +104,9 @@ def test_statistics(docs, given):
         assert (row.n_words, row.word_chars, row.n_symbols, row.n_dup_lines, row.n_repeat_words) == expected, doc_id
 
 
-@pytest.mark.parametrize("block_words", [decontaminate.BLOCK_WORDS, 30])
-def test_contamination(spark, docs, given, monkeypatch, block_words):
-    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", block_words)
+@pytest.mark.parametrize("block_bytes", [decontaminate.BLOCK_BYTES, 6000])
+def test_contamination(spark, docs, given, monkeypatch, block_bytes):
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block_bytes)
     pattern = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     windows = defaultdict(set)
     items = fixtures.benchmark(spark)
