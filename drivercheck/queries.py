@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from changelens.functions import people, text, times
@@ -523,10 +523,13 @@ def diff_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def diff_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Diff lines from log files of many commits and patches."""
     folder = fresh_path(spark, "logs")
-    patches = view(spark, sf_dir, "vw_diff_text").groupBy("slug", "sha").agg(F.array_sort(F.collect_list(F.struct("first_patch", "diff"))).alias("p"))
-    whole = F.array_join(F.transform("p", lambda patch: patch["diff"]), "")
-    log = F.concat(F.lit("commit "), "sha", F.lit("\nAuthor: A <a@x.org>\n\n    commit message\n    diff --git\n\n"), whole)
-    rows = patches.select(text.slug_to_folder(F.col("slug")).alias("folder"), F.concat(F.lit("folder="), "folder").alias("_"), log.alias("value"))
+    first = F.lag("sha").over(Window.partitionBy("slug", "sha").orderBy("first_patch")).isNull()
+    head = F.when(first, F.concat(F.lit("commit "), "sha", F.lit("\nAuthor: A <a@x.org>\n\n    commit message\n    diff --git\n\n"))).otherwise("")
+    patches = view(spark, sf_dir, "vw_diff_text").select(
+        text.slug_to_folder(F.col("slug")).alias("folder"), "sha", "first_patch", F.concat(head, F.rtrim("diff", F.lit("\n"))).alias("value")
+    )
+    # A row is a patch; the rows of a commit follow each other in one file.
+    rows = patches.repartition("folder", "sha").sortWithinPartitions("folder", "sha", "first_patch")
     rows.select("folder", "value").write.partitionBy("folder").text(folder)
     found = diff_text.diff_lines(diff_text.read_patches(spark, folder, "part-*"))
     named = found.withColumn("slug", F.replace("slug", F.lit("folder="), F.lit("")))
