@@ -534,7 +534,7 @@ def diff_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = diff_text.diff_lines(diff_text.read_patches(spark, folder, "part-*"))
     named = found.withColumn("slug", F.replace("slug", F.lit("folder="), F.lit("")))
     none = F.lit("(null)")
-    numbered = named.withColumn("patch_pos", F.col("patch_pos") + 1)
+    numbered = named.withColumn("patch_pos", (F.col("patch_pos") + 1).cast("bigint"))
     return numbered.select(
         "slug", "sha", "patch_pos", "old_path", "new_path", "is_binary",
         F.coalesce("hunk_pos", F.lit(-1)).alias("hunk_pos"), F.coalesce("origin", none).alias("origin"),
