@@ -263,9 +263,17 @@ def activity_by_language(
     """
     keys = ["user_id", "language", period]
     spot = commits_by_user(facts, aliases, period).select(*COMMIT, "user_id", period)
-    rows = settle(guess_language(source_file_rows(changes).join(spot, COMMIT), "file", "language", catalog))
-    files = rows.select(*keys, "file").distinct().groupBy(*keys).agg(F.count("*").alias("num_src_files_touched"))
-    return add_up([language_sums(rows, keys), files, language_commits(rows, keys)], keys, LANGUAGE_MEASURES)
+    rows = guess_language(source_file_rows(changes).join(spot, COMMIT), "file", "language", catalog)
+    summed = ["rows", "loc_ins", "loc_del"]
+    by_file = rows.select(*keys, "file", "rows", *[(F.col("rows") * F.col(c)).alias(c) for c in summed[1:]]).groupBy(*keys, "file")
+    files = by_file.agg(*[F.sum(c).alias(c) for c in summed]).groupBy(*keys).agg(
+        F.sum("rows").alias("num_commits"),
+        F.sum("rows").alias("num_src_file_touches"),
+        F.count("*").alias("num_src_files_touched"),
+        F.sum("loc_ins").alias("src_loc_added"),
+        F.sum("loc_del").alias("src_loc_deleted"),
+    )
+    return add_up([files, language_commits(rows, keys)], keys, LANGUAGE_MEASURES)
 
 
 def language_sums(rows: DataFrame, keys: list[str]) -> DataFrame:

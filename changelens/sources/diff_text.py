@@ -51,13 +51,18 @@ def _path(head: Column, side_mark: str, rename_mark: str, side: int) -> Column:
     prefix = "ab"[side]
 
     def found(pattern: str) -> Column:
-        return unquoted(F.nullif(F.regexp_extract(head, pattern, 1), F.lit("")))
+        return F.nullif(F.regexp_extract(head, pattern, 1), F.lit(""))
+
+    def after_prefix(path: Column) -> Column:
+        return F.substring(path, 3, 2147483647)
 
-    renamed = found(rf"\nrename {rename_mark} ({_QUOTED}|[^\n]+)")
-    marked = F.substring(found(rf'\n{side_mark} ({_QUOTED}|{prefix}/[^\n\t"]+)'), 3, 2147483647)
     same = found(r"\Adiff --git a/([^\n]+?) b/\1(?:\n|\z)")
-    quoted = found(rf"\Adiff --git (?={_QUOTED} {_QUOTED}(?:\n|\z))({_QUOTED})")
-    return F.coalesce(renamed, marked, same, F.substring(quoted, 3, 2147483647))
+    plain = F.coalesce(found(rf"\nrename {rename_mark} ([^\n]+)"), found(rf"\n{side_mark} {prefix}/([^\n\t]+)"), same)
+    renamed = unquoted(found(rf"\nrename {rename_mark} ({_QUOTED}|[^\n]+)"))
+    marked = after_prefix(unquoted(found(rf'\n{side_mark} ({_QUOTED}|{prefix}/[^\n\t"]+)')))
+    quoted = after_prefix(unquoted(found(rf"\Adiff --git (?={_QUOTED} {_QUOTED}(?:\n|\z))({_QUOTED})")))
+    # Hardly any patch has quotes in its head.
+    return F.when(F.contains(head, F.lit('"')), F.coalesce(renamed, marked, same, quoted)).otherwise(plain)
 
 
 def patches(diffs: DataFrame, text_col: str = "diff") -> DataFrame:
