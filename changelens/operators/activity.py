@@ -263,7 +263,8 @@ def activity_by_language(
     """
     keys = ["user_id", "language", period]
     spot = commits_by_user(facts, aliases, period).select(*COMMIT, "user_id", period)
-    rows = guess_language(source_file_rows(changes).join(spot, COMMIT), "file", "language", catalog)
+    # Read by both measures below: settled, so that files and identities are joined once.
+    rows = settle(guess_language(source_file_rows(changes).join(spot, COMMIT), "file", "language", catalog))
     summed = ["rows", "loc_ins", "loc_del"]
     by_file = rows.select(*keys, "file", "rows", *[(F.col("rows") * F.col(c)).alias(c) for c in summed[1:]]).groupBy(*keys, "file")
     files = by_file.agg(*[F.sum(c).alias(c) for c in summed]).groupBy(*keys).agg(
