@@ -13,8 +13,9 @@ written.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from changelens.functions.text import slug_to_folder
 from changelens.operators import activity as A
@@ -35,20 +36,34 @@ def _input(name: str) -> str:
     return f"given_{name}"
 
 
-def _hashed(df: DataFrame) -> DataFrame:
-    return df.select("*", F.xxhash64(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"})).alias("_row"))
+#: Types whose values are hashed as they are; others are hashed as JSON.
+_PLAIN = (T.IntegralType, T.StringType, T.BooleanType, T.DateType, T.TimestampType, T.BinaryType)
+
+
+def _row_hash(df: DataFrame) -> Column:
+    """Hash of a row's values that tells nulls apart; whole numbers of any width are alike."""
+    parts = []
+    for field in sorted(df.schema.fields, key=lambda f: f.name):
+        value = F.col(field.name)
+        if isinstance(field.dataType, T.IntegralType):
+            value = value.cast("bigint")
+        elif not isinstance(field.dataType, _PLAIN):
+            value = F.to_json(F.struct(value), {"ignoreNullFields": "false"})
+        parts += [value, F.isnull(field.name)]
+    return F.xxhash64(*parts)
 
 
 def _sums(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Number and hash sum of the rows of each key."""
-    return _hashed(df).groupBy(*keys).agg(F.count("*").alias("_n"), F.sum(F.col("_row").cast("decimal(20,0)")).alias("_sum"))
+    """Number and hash sum of the rows of each key, the sum in halves of 32 bits that cannot overflow."""
+    high, low = F.shiftright("_row", 32), F.col("_row").bitwiseAND(F.lit(0xFFFFFFFF))
+    hashed = df.select(*keys, _row_hash(df).alias("_row"))
+    return hashed.groupBy(*keys).agg(F.struct(F.count("*").alias("n"), F.sum(high).alias("high"), F.sum(low).alias("low")).alias("_sum"))
 
 
 def differing(new: DataFrame, old: DataFrame, keys: list[str], only_new: bool) -> DataFrame:
     """Keys whose rows are not the same in both tables; with ``only_new``, of keys that ``new`` has."""
-    both = _sums(new, keys).withColumnsRenamed({"_n": "_new_n", "_sum": "_new_sum"}).join(_sums(old, keys), keys, "left" if only_new else "full")
-    same = F.col("_new_n").eqNullSafe(F.col("_n")) & F.col("_new_sum").eqNullSafe(F.col("_sum"))
-    return both.filter(~same).select(*keys)
+    both = _sums(new, keys).withColumnRenamed("_sum", "_new_sum").join(_sums(old, keys), keys, "left" if only_new else "full")
+    return both.filter(~F.col("_new_sum").eqNullSafe(F.col("_sum"))).select(*keys)
 
 
 def _put_over(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -65,10 +80,17 @@ def update(
     the other two then or never.  ``issue_order`` tells the later of two records of an issue.  Returns the touched projects (``project_folder``).
     """
     known = {row.table for row in published(spark, folder)}
-    inputs = {name: settle(df) for name, df in changes.items()}
+    inputs = dict(changes)
     if "issues" in inputs:
-        inputs["issues"] = settle(L.latest_issues(inputs["issues"], issue_order))
+        inputs["issues"] = L.latest_issues(inputs["issues"], issue_order)
     first = _input("commits") not in known
+    draft = Draft(spark, folder)
+    merged = {}
+    if first:
+        # All is new: what the draft holds of an input is what it is read from.
+        inputs = merged = {name: keeper(draft)(inputs[name], _input(name)) for name in INPUTS if name in inputs}
+    else:
+        inputs = {name: settle(df) for name, df in inputs.items()}
     projects = None
     for name, df in inputs.items():
         found = df.select("slug").distinct()
@@ -82,13 +104,9 @@ def update(
     if touched.isEmpty():
         return touched.select(PROJECT)
 
-    draft = Draft(spark, folder)
     keep = keeper(draft, units)
-    merged = {}
     for name in INPUTS:
-        if first and name in inputs:
-            merged[name] = keep(inputs[name], _input(name))
-        elif _input(name) in known:
+        if not first and _input(name) in known:
             old = read_native(spark, folder, _input(name), units=units)
             new = inputs.get(name)
             if new is not None and name == "issues":

@@ -693,22 +693,17 @@ def history_in_two_halves(spark: SparkSession, sf_dir: str) -> DataFrame:
     from changelens.plans import report, upkeep
 
     folder = fresh_path(spark, "upkeep")
-    steps = _written(spark, sf_dir)
-    given = {
-        "commits": steps.commits.withColumn("committed_at", F.col("ts")),
-        "issues": steps.named("vw_issues").withColumn("labels", text.split_list(F.col("labels"))),
-        "diff_lines": steps.diff_lines, "blame_hunks": steps.named("vw_blame_hunks"), "file_changes": steps.changes,
-    }
+    whole = WrittenHistory(spark, sf_dir)
+    commits = whole.view("vw_commits")
+    issues = whole.view("vw_issues").withColumn("labels", text.split_list(F.col("labels")))
     # Of projects 0 to 11 the first set lacks a third of the commits, of the later ones it has none.
     early = F.substring_index("slug", "proj", -1).cast("int") < 12
     third = F.pmod(F.xxhash64("sha"), F.lit(3)) == 0
-    shas = steps.commits.select("slug", "sha", (early & ~third).alias("first"))
-    parts = {True: {}, False: {}}
-    for name, rows in given.items():
-        key = "fix_sha" if name == "blame_hunks" else "sha"
-        dealt = rows.withColumn("first", early) if name == "issues" else rows.join(shas.withColumnRenamed("sha", key), ["slug", key])
-        for half in parts:
-            parts[half][name] = dealt.filter(F.col("first") == half).drop("first")
-    for half in (True, False):
-        upkeep.update(spark, folder, parts[half], issue_order="version")
+    shas = settle(commits.select("slug", "sha", (early & ~third).alias("first")))
+    for half, named in whole.parts(shas, "first").items():
+        steps = Steps(named)
+        upkeep.update(spark, folder, {
+            "commits": steps.commits.withColumn("committed_at", F.col("ts")), "issues": issues.filter(early == half),
+            "diff_lines": steps.diff_lines, "blame_hunks": steps.named("vw_blame_hunks"), "file_changes": steps.changes,
+        }, issue_order="version")
     return _day_as_text(tables.read_native(spark, folder, report.PROJECT_REPORT).drop("year"))

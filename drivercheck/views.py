@@ -11,6 +11,7 @@ address that a fixed share of all people use.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -190,8 +191,8 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _view(spark: SparkSession, sf_dir: str, name: str, written: dict[str, str]) -> DataFrame:
-    places = {t: f"{sf_dir}/{t}.parquet" for t in TABLES} | written
-    tables = {t: f"select * from parquet.`{place}`" for t, place in places.items()}
+    sources = {t: f"parquet.`{sf_dir}/{t}.parquet`" for t in TABLES} | written
+    tables = {t: f"select * from {source}" for t, source in sources.items()}
     views = {v: sql for v, sql in SPARK_VIEWS.items() if v not in written}
     return spark.sql(with_views(f"select * from {name}", views, tables))
 
@@ -207,11 +208,24 @@ class WrittenHistory:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir, self.written = spark, sf_dir, {}
         for name in ("vw_commits", "vw_file_changes"):
-            self.written[name] = settle_at(self.view(name))
+            self.written[name] = f"parquet.`{settle_at(self.view(name))}`"
 
     def view(self, name: str) -> DataFrame:
         return _view(self.spark, self.sf_dir, name, self.written)
 
+    def parts(self, of: DataFrame, part: str) -> dict[bool, Callable[[str], DataFrame]]:
+        """The views over two parts of the commits: ``of`` has ``slug, sha`` and a boolean column ``part``.
+
+        Lines and hunks are derived from a part's file changes, so only commits and file changes are dealt out.
+        """
+        dealt = {name: settle_at(self.view(name).join(of, ["slug", "sha"])) for name in self.written}
+
+        def views(which: bool) -> Callable[[str], DataFrame]:
+            written = {n: f"(select * except ({part}) from parquet.`{at}` where {part} = {which})" for n, at in dealt.items()}
+            return lambda name: _view(self.spark, self.sf_dir, name, written)
+
+        return {which: views(which) for which in (True, False)}
+
 
 def oracle(sql: str) -> str:
     return with_views(sql, DUCKDB_VIEWS)

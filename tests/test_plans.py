@@ -122,3 +122,19 @@ def test_a_cluster_must_name_its_shared_folder():
     context = SimpleNamespace(getConf=lambda: nothing, getCheckpointDir=lambda: None, master="spark://host:7077")
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_folder(SimpleNamespace(sparkContext=context, conf=nothing))
+
+
+def test_rows_that_differ_are_told_apart(spark, table):
+    from changelens.plans.upkeep import differing
+
+    known = table(
+        [(1, "2020-01-01 00:00:00.000001", "x", None, ["a"]), (2, "2020-01-01 00:00:00.000001", "x", None, ["a"]),
+         (3, None, "x", None, ["a", None]), (4, None, "x", None, None), (5, None, None, None, [])],
+        "k int, at string, left string, right string, list array<string>",
+    ).selectExpr("k", "cast(at as timestamp) as at", "left", "right", "list")
+    later = known.selectExpr(
+        "cast(k as bigint) as k", "if(k = 1, at + interval 1 microsecond, at) as at", "if(k = 4, null, left) as left",
+        "if(k = 4, left, right) as right", "if(k = 3, array('a'), list) as list",
+    )
+    assert rows(differing(later, known, ["k"], only_new=False)) == [(1,), (3,), (4,)]
+    assert rows(differing(known, known, ["k"], only_new=True)) == []
