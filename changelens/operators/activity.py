@@ -18,7 +18,7 @@ from changelens.functions.text import last_segment
 from changelens.functions.times import activity_period
 from changelens.operators.changes import COMMIT, commit_file_entries, is_source
 from changelens.operators.classify import guess_language
-from changelens.scratch import settle
+from changelens.scratch import settle, settle_by
 
 PROJECT_MEASURES = [
     "num_commits", "num_file_touches", "num_src_file_touches", "num_files_touched", "num_src_files_touched",
@@ -51,22 +51,22 @@ def induced_bugs(
     known = contributors.groupBy("slug", F.col("contributor_id").alias("author_id")).agg(
         F.min(F.struct("name", "email")).alias("who")
     )
-    authored = (
+    # Identities are resolved for people, who are fewer than commits.
+    people = with_representative(known.filter(~is_platform(F.col("who.name"), F.col("who.email"))), aliases, "author_id")
+    users = (
         origin_commits.select("slug", "sha", "author_id").dropDuplicates(COMMIT)
-        .join(known, ["slug", "author_id"])
-        .filter(~is_platform(F.col("who.name"), F.col("who.email")))
-        .select("slug", F.col("sha").alias("blamed_commit"), "author_id")
+        .join(people.select("slug", "author_id", "user_id"), ["slug", "author_id"])
+        .select("slug", F.col("sha").alias("blamed_commit"), "user_id")
     )
-    users = with_representative(authored, aliases, "author_id").select("slug", "blamed_commit", "user_id")
     blamed = (
         blames.filter(F.col("type") != V.DOC)
         .groupBy("slug", "bug_fixing_commit", "blamed_commit")
         .agg(F.count("*").alias("blame_rows"))
         .join(users, ["slug", "blamed_commit"])
     )
-    linked = links.groupBy("slug", F.col("commit_sha").alias("bug_fixing_commit"), "issue_number").agg(
-        F.count("*").alias("link_rows")
-    )
+    # Dealt out once, by what they are counted by and met by.
+    linked = links.select("slug", F.col("commit_sha").alias("bug_fixing_commit"), "issue_number").repartition("slug", "bug_fixing_commit")
+    linked = linked.groupBy("slug", "bug_fixing_commit", "issue_number").agg(F.count("*").alias("link_rows"))
     return blamed.join(linked, ["slug", "bug_fixing_commit"]).select(
         "user_id", "slug", F.col("blamed_commit").alias("sha"), "issue_number",
         F.col("bug_fixing_commit").alias("fixing_sha"), (F.col("blame_rows") * F.col("link_rows")).alias("times"),
@@ -87,6 +87,11 @@ def commits_by_user(facts: DataFrame, aliases: DataFrame, period: str) -> DataFr
     return with_representative(dated, aliases, "author_id")
 
 
+def distinct_bugs(induced: DataFrame) -> DataFrame:
+    """Developer, commit and issue, dealt out by commit."""
+    return induced.select("user_id", *COMMIT, "issue_number").repartition(*COMMIT).distinct()
+
+
 def add_up(parts: list[DataFrame], keys: list[str], measures: list[str]) -> DataFrame:
     """Sum partial reports over ``keys``; a measure missing from a part counts as 0 there."""
     whole = None
@@ -118,37 +123,49 @@ def activity_by_project(
     counted anew from the files and issues; they are not sums of days.
     """
     keys = ["user_id", "project", period]
+    totals = {"loc_added": "num_additions", "src_loc_added": "src_loc_added", "loc_deleted": "num_deletions", "src_loc_deleted": "src_loc_deleted"}
     # Narrow, and read by every measure: settled, so that identities are joined once.
-    totals = ["num_additions", "src_loc_added", "num_deletions", "src_loc_deleted"]
-    commits = settle(commits_by_user(facts, aliases, period).select(*COMMIT, *keys, *totals))
+    commits = commits_by_user(facts, aliases, period).select(*COMMIT, *keys, *totals.values())
+    commits = facts.sparkSession.table(settle_by(commits, *COMMIT))
     spot = commits.select(*COMMIT, *keys)
 
-    touched = (
-        commit_file_entries(changes)
-        .select(*COMMIT, "file", "is_src")
-        .join(spot, COMMIT)
-        .groupBy(*keys, "file")
-        .agg(F.count("*").alias("touches"), F.count_if("is_src").alias("src_touches"))
-        .groupBy(*keys)
-        .agg(
-            F.sum("touches").alias("num_file_touches"),
-            F.sum("src_touches").alias("num_src_file_touches"),
-            F.count("*").alias("num_files_touched"),
-            F.count_if(F.col("src_touches") > 0).alias("num_src_files_touched"),
-        )
-    )
+    def counted(rows: DataFrame, kind: str, value: Column, flag: Column) -> DataFrame:
+        """Rows of one kind: ``value`` is what is counted once, ``flag`` what is added up."""
+        sums = [(F.col(c) if c in rows.columns else F.lit(0)).cast("bigint").alias(m) for m, c in totals.items()]
+        return rows.select(*keys, F.lit(kind).alias("kind"), value.cast("string").alias("value"), flag.cast("bigint").alias("flag"), *sums)
+
+    files = commit_file_entries(changes).select(*COMMIT, "file", "is_src").join(spot, COMMIT)
     # A bug counts for a commit only under the developer that commit is filed under.
-    bugs = settle(induced.select("user_id", *COMMIT, "issue_number").distinct().join(spot, [*COMMIT, "user_id"]))
-    induced_issues = (
-        bugs.select(*keys, "issue_number").distinct().groupBy(*keys).agg(F.count("*").alias("num_bugs_induced"))
+    bugs = distinct_bugs(induced).join(spot, [*COMMIT, "user_id"])
+    in_commit = Window.partitionBy(*COMMIT, *keys).orderBy("issue_number")
+    bugs = bugs.withColumn("first", F.row_number().over(in_commit) == 1)
+    rows = (
+        counted(commits, "commit", F.lit(None), F.lit(0))
+        .unionByName(counted(files, "file", F.col("file"), F.col("is_src").cast("int")))
+        .unionByName(counted(bugs, "issue", F.col("issue_number"), F.col("first").cast("int")))
     )
-    inducing_commits = (
-        bugs.select(*keys, *COMMIT).distinct().groupBy(*keys).agg(F.count("*").alias("num_bug_inducing_commits"))
-    )
-    return add_up(
-        [commit_measures(commits, keys), touched, induced_issues, inducing_commits], keys, PROJECT_MEASURES
+    # Every measure is taken where its row of the report is: one shuffle for all of them.
+    once = rows.repartition(*keys).groupBy(*keys, "kind", "value").agg(
+        F.count("*").alias("n"), F.sum("flag").alias("flag"), *[F.sum(m).alias(m) for m in totals]
     )
 
+    def of(kind: str) -> Column:
+        return F.col("kind") == kind
+
+    def total(kind: str, column: str) -> Column:
+        return F.sum(F.when(of(kind), F.col(column)).otherwise(0))
+
+    return once.groupBy(*keys).agg(
+        total("commit", "n").alias("num_commits"),
+        total("file", "n").alias("num_file_touches"),
+        total("file", "flag").alias("num_src_file_touches"),
+        F.count_if(of("file")).alias("num_files_touched"),
+        F.count_if(of("file") & (F.col("flag") > 0)).alias("num_src_files_touched"),
+        *[F.sum(m).alias(m) for m in totals],
+        F.count_if(of("issue")).alias("num_bugs_induced"),
+        total("issue", "flag").alias("num_bug_inducing_commits"),
+    ).select(*keys, *PROJECT_MEASURES)
+
 
 def _numbered_files(changes: DataFrame) -> DataFrame:
     """File entries with their rank among the commit's text patches, 1 for the first.
@@ -216,7 +233,7 @@ def activity_by_project_compat(
     files = _numbered_files(changes)
     all_files = lists(files, F.col("rank"), F.col("file"))
     src_files = lists(files.filter("is_src"), F.col("src_rank"), F.col("file"))
-    bugs = induced.select("user_id", *COMMIT, "issue_number").distinct().join(spot, [*COMMIT, "user_id"])
+    bugs = distinct_bugs(induced).join(spot, [*COMMIT, "user_id"])
     issue_lists = lists(bugs, F.col("issue_number"))
     return add_up(
         [

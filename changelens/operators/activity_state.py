@@ -79,7 +79,7 @@ def project_state(facts: DataFrame, changes: DataFrame, induced: DataFrame, alia
         .groupBy(*keys, "file").agg(F.count("*").alias("touches"), F.count_if("is_src").alias("src_touches"))
     )
     touches = touched.groupBy(*keys).agg(F.sum("touches").alias("num_file_touches"), F.sum("src_touches").alias("num_src_file_touches"))
-    bugs = settle(induced.select("user_id", *COMMIT, "issue_number").distinct().join(spot, [*COMMIT, "user_id"]))
+    bugs = settle(A.distinct_bugs(induced).join(spot, [*COMMIT, "user_id"]))
     # A commit has one day, so counts of commits add up.
     inducing = bugs.select(*keys, *COMMIT).distinct().groupBy(*keys).agg(F.count("*").alias("num_bug_inducing_commits"))
     measures = [m for m in A.PROJECT_MEASURES if m not in PROJECT_SETS.values()]

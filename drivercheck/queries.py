@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from changelens.functions import people, text, times
 from changelens.operators import activity, activity_state, aliases, changes, ingest, links, origins, references
 from changelens.operators.classify import classify_files, guess_language, label_lines
-from changelens.scratch import fresh_path, settle
+from changelens.scratch import fresh_path, settle, settle_by
 from changelens.sources import csv_tables, diff_text, tables
 from drivercheck.views import WrittenHistory, view
 
@@ -63,6 +63,11 @@ class Steps:
     def facts(self) -> DataFrame:
         return changes.commit_facts(self.commits, self.changes)
 
+    def facts_by_commit(self) -> DataFrame:
+        """What reports and origins need of the facts, written once and bucketed by commit."""
+        facts = self.facts.drop("message", "committer_id")
+        return facts.sparkSession.table(settle_by(facts, *changes.COMMIT))
+
     @cached_property
     def diff_lines(self) -> DataFrame:
         return self.named("vw_diff_lines")
@@ -105,7 +110,7 @@ def _written(spark: SparkSession, sf_dir: str) -> Steps:
 
 def _report_inputs(steps: Steps) -> tuple[DataFrame, ...]:
     """Facts, changes, induced bugs, aliases; what a report reads repeatedly is settled first."""
-    steps.facts = settle(steps.facts)
+    steps.facts, steps.links = steps.facts_by_commit(), settle(steps.links)
     steps.aliases = settle(steps.aliases)
     steps.induced = settle(steps.induced)
     return steps.facts, steps.changes, steps.induced, steps.aliases
@@ -349,12 +354,18 @@ def cross_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def induced_bugs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _written(spark, sf_dir).induced
+    return _induced(spark, sf_dir)
+
+
+def _induced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    steps = _written(spark, sf_dir)
+    steps.facts, steps.links = steps.facts_by_commit(), settle(steps.links)
+    return steps.induced
 
 
 @query
 def induced_bugs_per_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return activity.induced_bugs_per_commit(_written(spark, sf_dir).induced)
+    return activity.induced_bugs_per_commit(_induced(spark, sf_dir))
 
 
 def _project_report(spark: SparkSession, sf_dir: str, period: str) -> DataFrame:

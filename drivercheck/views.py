@@ -16,7 +16,9 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
-from changelens.scratch import settle_at
+from changelens.operators.changes import COMMIT
+from changelens.scratch import settle_at, settle_by
+from changelens.session import CO_PARTITIONED
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
@@ -157,6 +159,33 @@ SPARK_VIEWS["vw_diff_text"] = f"""
           chr(10)) end) as diff
     from vw_file_changes"""
 
+def _by_commit(order: str) -> str:
+    """Deals rows of an order out by its ``slug, sha`` before the columns of ``vw_commits`` are derived."""
+    return f"distribute by {_project(order)}, md5(cast({order} as string))"
+
+
+def _replaced(name: str, *pairs: tuple[str, str]) -> str:
+    text = VIEWS[name]
+    for old, new in pairs:
+        if old not in text:
+            raise ValueError(f"{name} has no {old!r}")
+        text = text.replace(old, new)
+    return text
+
+
+# The same rows for :class:`WrittenHistory`: dealt out by commit while they are narrow, and joined where the commits lie.
+DEALT_VIEWS = {
+    "vw_commits": _replaced("vw_commits", ("from orders join vw_person p on o_custkey = p.c_custkey", f"""from (
+          select o_orderkey, o_orderdate, o_custkey, o_orderpriority, name, email, contributor_id
+          from orders join vw_person on o_custkey = c_custkey {_by_commit('o_orderkey')}) p""")),
+    "vw_file_changes": _replaced(
+        "vw_file_changes",
+        ("from (select l_orderkey,", f"from (select *, {_project('l_orderkey')} as at_slug, md5(cast(l_orderkey as string)) as at_sha from (select l_orderkey,"),
+        ("on l_partkey = p_partkey) l", f"on l_partkey = p_partkey {_by_commit('l_orderkey')}) p) l"),
+        ("on l_orderkey = c.o_orderkey", "on at_slug = c.slug and at_sha = c.sha and l_orderkey = c.o_orderkey"),
+    ),
+}
+
 
 def with_views(sql: str, views: dict[str, str], tables: dict[str, str] | None = None) -> str:
     """Head a statement with the views it needs, in dependency order.
@@ -190,25 +219,26 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return _view(spark, sf_dir, name, {})
 
 
-def _view(spark: SparkSession, sf_dir: str, name: str, written: dict[str, str]) -> DataFrame:
+def _view(spark: SparkSession, sf_dir: str, name: str, written: dict[str, str], instead: dict[str, str] | None = None) -> DataFrame:
     sources = {t: f"parquet.`{sf_dir}/{t}.parquet`" for t in TABLES} | written
     tables = {t: f"select * from {source}" for t, source in sources.items()}
-    views = {v: sql for v, sql in SPARK_VIEWS.items() if v not in written}
+    views = {v: sql for v, sql in (SPARK_VIEWS | (instead or {})).items() if v not in written}
     return spark.sql(with_views(f"select * from {name}", views, tables))
 
 
 class WrittenHistory:
-    """Views of one query, with commits and file changes written out once.
+    """Views of one query, with commits and file changes written out once, bucketed by commit.
 
     Nearly every step of the longer queries reads these two, as it would read
     given tables in real use; deriving them again each time would be most of
-    the work.
+    the work.  What is counted or looked up by commit needs no shuffle then.
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir, self.written = spark, sf_dir, {}
+        spark.conf.set(CO_PARTITIONED, "false")
         for name in ("vw_commits", "vw_file_changes"):
-            self.written[name] = f"parquet.`{settle_at(self.view(name))}`"
+            self.written[name] = settle_by(_view(spark, sf_dir, name, self.written, DEALT_VIEWS), *COMMIT)
 
     def view(self, name: str) -> DataFrame:
         return _view(self.spark, self.sf_dir, name, self.written)
