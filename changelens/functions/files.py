@@ -76,6 +76,18 @@ def file_label(path: Column, popular_extensions: list[str] | None = None) -> Col
     )
 
 
+def is_doc(path: Column) -> Column:
+    """Whether :func:`file_label` says DOC; the rules after that one are not tried."""
+    named = _contains_any(path, V.MEDIA_PATHS + V.DOC_PATHS) | F.rlike(path, F.lit(_DOC_NAME))
+    return F.coalesce(~F.contains(path, F.lit("/.git/")) & named, F.lit(False))
+
+
+def is_test(path: Column) -> Column:
+    """Whether :func:`file_label` says TEST; most paths fail the first rule tried here."""
+    found = _contains_any(path, V.TEST_PATHS) & ~F.contains(path, F.lit("/.git/"))
+    return F.coalesce(found, F.lit(False)) & ~is_doc(path)
+
+
 def line_label(line: Column) -> Column:
     """COMMENT for blank lines and lines opening with a comment mark, else CODE."""
     return F.when(F.rlike(F.translate(line, "\r\n", ""), F.lit(_COMMENT_LINE)), V.COMMENT).otherwise(V.CODE)

@@ -12,13 +12,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from changelens.functions import fixed_values as V
-from changelens.functions.files import file_label
+from changelens.functions.files import is_doc
 from changelens.functions.people import is_platform
 from changelens.functions.text import last_segment
 from changelens.functions.times import activity_period
 from changelens.operators.changes import COMMIT, commit_file_entries, is_source
 from changelens.operators.classify import guess_language
-from changelens.scratch import settle, settle_by
+from changelens.scratch import settle_by
 
 PROJECT_MEASURES = [
     "num_commits", "num_file_touches", "num_src_file_touches", "num_files_touched", "num_src_files_touched",
@@ -51,18 +51,15 @@ def induced_bugs(
     known = contributors.groupBy("slug", F.col("contributor_id").alias("author_id")).agg(
         F.min(F.struct("name", "email")).alias("who")
     )
-    # Identities are resolved for people, who are fewer than commits.
+    # Identities are resolved for people, who are fewer than commits, and looked up for commits that are blamed.
     people = with_representative(known.filter(~is_platform(F.col("who.name"), F.col("who.email"))), aliases, "author_id")
-    users = (
-        origin_commits.select("slug", "sha", "author_id").dropDuplicates(COMMIT)
-        .join(people.select("slug", "author_id", "user_id"), ["slug", "author_id"])
-        .select("slug", F.col("sha").alias("blamed_commit"), "user_id")
-    )
+    authors = origin_commits.select("slug", F.col("sha").alias("blamed_commit"), "author_id").dropDuplicates(["slug", "blamed_commit"])
     blamed = (
         blames.filter(F.col("type") != V.DOC)
         .groupBy("slug", "bug_fixing_commit", "blamed_commit")
         .agg(F.count("*").alias("blame_rows"))
-        .join(users, ["slug", "blamed_commit"])
+        .join(authors, ["slug", "blamed_commit"])
+        .join(people.select("slug", "author_id", "user_id"), ["slug", "author_id"])
     )
     # Dealt out once, by what they are counted by and met by.
     linked = links.select("slug", F.col("commit_sha").alias("bug_fixing_commit"), "issue_number").repartition("slug", "bug_fixing_commit")
@@ -256,12 +253,12 @@ def source_file_rows(changes: DataFrame) -> DataFrame:
     base = last_segment(F.col("new_path"))
     patches = changes.select(
         *COMMIT, base.alias("file"), "patch_pos", is_source().alias("is_src"),
-        F.struct("loc_ins", "loc_del", file_label(base).alias("lang")).alias("counts"),
+        F.struct("loc_ins", "loc_del", is_doc(base).alias("is_doc")).alias("counts"),
     )
     return (
         patches.groupBy(*COMMIT, "file")
         .agg(F.count_if("is_src").alias("rows"), F.min_by("counts", "patch_pos").alias("first"))
-        .filter((F.col("rows") > 0) & (F.col("first.lang") != V.DOC))
+        .filter((F.col("rows") > 0) & ~F.col("first.is_doc"))
         .select(*COMMIT, "file", "rows", "first.loc_ins", "first.loc_del")
     )
 
@@ -280,18 +277,25 @@ def activity_by_language(
     """
     keys = ["user_id", "language", period]
     spot = commits_by_user(facts, aliases, period).select(*COMMIT, "user_id", period)
-    # Read by both measures below: settled, so that files and identities are joined once.
-    rows = settle(guess_language(source_file_rows(changes).join(spot, COMMIT), "file", "language", catalog))
-    summed = ["rows", "loc_ins", "loc_del"]
-    by_file = rows.select(*keys, "file", "rows", *[(F.col("rows") * F.col(c)).alias(c) for c in summed[1:]]).groupBy(*keys, "file")
-    files = by_file.agg(*[F.sum(c).alias(c) for c in summed]).groupBy(*keys).agg(
-        F.sum("rows").alias("num_commits"),
-        F.sum("rows").alias("num_src_file_touches"),
-        F.count("*").alias("num_src_files_touched"),
-        F.sum("loc_ins").alias("src_loc_added"),
-        F.sum("loc_del").alias("src_loc_deleted"),
+    rows = guess_language(source_file_rows(changes).join(spot, COMMIT), "file", "language", catalog)
+    # A commit counts once for its files in a row of the report; so every measure comes from one shuffle.
+    in_commit = Window.partitionBy(*COMMIT, *keys).orderBy("file")
+    rows = rows.withColumn("first", (F.row_number().over(in_commit) == 1).cast("bigint"))
+    summed = ["rows", "loc_ins", "loc_del", "first"]
+    by_file = rows.select(*keys, "file", "rows", *[(F.col("rows") * F.col(c)).alias(c) for c in summed[1:3]], "first")
+    return (
+        by_file.repartition(*keys).groupBy(*keys, "file").agg(*[F.sum(c).alias(c) for c in summed])
+        .groupBy(*keys)
+        .agg(
+            F.sum("rows").alias("num_commits"),
+            F.sum("rows").alias("num_src_file_touches"),
+            F.count("*").alias("num_src_files_touched"),
+            F.coalesce(F.sum("loc_ins"), F.lit(0)).alias("src_loc_added"),
+            F.coalesce(F.sum("loc_del"), F.lit(0)).alias("src_loc_deleted"),
+            F.sum("first").alias("num_distinct_commits"),
+        )
+        .select(*keys, *LANGUAGE_MEASURES)
     )
-    return add_up([files, language_commits(rows, keys)], keys, LANGUAGE_MEASURES)
 
 
 def language_sums(rows: DataFrame, keys: list[str]) -> DataFrame:

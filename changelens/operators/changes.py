@@ -9,8 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from changelens.functions import fixed_values as V
-from changelens.functions.files import file_label
+from changelens.functions.files import file_label, is_doc
 from changelens.functions.people import contributor_id
 from changelens.functions.text import first_line, last_segment, stripped
 from changelens.operators.links import with_parents
@@ -46,7 +45,7 @@ def commit_files(changes: DataFrame) -> DataFrame:
 
 def is_source() -> Column:
     """Text patches whose full path is not documentation; tests and configuration count."""
-    return ~F.col("is_binary") & (file_label(F.col("new_path")) != V.DOC)
+    return ~F.col("is_binary") & ~is_doc(F.col("new_path"))
 
 
 def commit_file_entries(changes: DataFrame) -> DataFrame:

@@ -44,13 +44,13 @@ def latest_issues(issues: DataFrame, order_col: str | None = None) -> DataFrame:
     )
 
 
-def issue_links(commits: DataFrame, issues: DataFrame) -> DataFrame:
+def issue_links(commits: DataFrame, issues: DataFrame, *more: str) -> DataFrame:
     """Each mention of a known issue, with the seconds since it was opened and closed.
 
     ``issues`` holds one row per ``(slug, number)`` (see :func:`latest_issues`).
-    ``delta_closed`` is null for an issue that was never closed.
+    ``delta_closed`` is null for an issue that was never closed.  ``more`` names columns of the issue to be kept.
     """
-    known = issues.select("slug", "number", "created_at", "closed_at", "is_pl")
+    known = issues.select("slug", "number", "created_at", "closed_at", "is_pl", *more)
     return (
         issue_mentions(with_parents(commits))
         .join(known, ["slug", "number"])
@@ -62,10 +62,17 @@ def issue_links(commits: DataFrame, issues: DataFrame) -> DataFrame:
             F.col("is_pl").alias("issue_is_pl"),
             seconds_between(F.col("ts"), F.col("created_at")).alias("delta_open"),
             seconds_between(F.col("ts"), F.col("closed_at")).alias("delta_closed"),
+            *more,
         )
     )
 
 
+def judged_links(commits: DataFrame, issues: DataFrame, valid_labels: Sequence[str] = VALID_LABELS) -> DataFrame:
+    """Links with ``is_fix``: what :func:`fixing_commits` asks, without meeting the issues again."""
+    found = issue_links(commits, issues, "labels")
+    return found.withColumn("is_fix", is_bug_fix(F.col("labels"), valid_labels)).drop("labels")
+
+
 def is_bug_fix(labels: Column, valid_labels: Sequence[str] = VALID_LABELS) -> Column:
     """Whether a link closes a bug: made while the issue was open, not a pull request, labels fit.
 
@@ -79,6 +86,8 @@ def is_bug_fix(labels: Column, valid_labels: Sequence[str] = VALID_LABELS) -> Co
 
 def fixing_commits(links: DataFrame, issues: DataFrame, valid_labels: Sequence[str] = VALID_LABELS) -> DataFrame:
     """``(slug, sha)`` of commits with at least one bug-fixing link; ``issues.labels`` is an array."""
+    if "is_fix" in links.columns:
+        return links.filter("is_fix").select("slug", F.col("commit_sha").alias("sha")).distinct()
     labelled = issues.select("slug", F.col("number").alias("issue_number"), "labels")
     return (
         links.join(labelled, ["slug", "issue_number"])

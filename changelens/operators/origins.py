@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from changelens.functions import fixed_values as V
-from changelens.functions.files import file_label, line_label
+from changelens.functions.files import file_label, is_doc, is_test, line_label
 from changelens.functions.text import last_segment
 from changelens.functions.times import micros, seconds
 from changelens.scratch import settle
@@ -28,8 +28,8 @@ def removed_lines(fixes: DataFrame, diff_lines: DataFrame) -> DataFrame:
     rule at the full old path.  Gives ``slug, fix_sha, path, type, patch_pos,
     hunk_pos, old_lineno, content, is_code``.
     """
-    not_test = file_label(last_segment(F.col("new_path"))) != V.TEST
-    not_doc = file_label(F.col("old_path")) != V.DOC
+    not_test = ~is_test(last_segment(F.col("new_path")))
+    not_doc = ~is_doc(F.col("old_path"))
     removed = diff_lines.filter((F.col("origin") == "-") & ~F.col("is_binary") & not_test & not_doc)
     return removed.join(fixes.select("slug", "sha"), ["slug", "sha"], "left_semi").select(
         "slug",

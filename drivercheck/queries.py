@@ -51,6 +51,10 @@ class Steps:
     def links(self) -> DataFrame:
         return links.issue_links(self.commits, self.issues)
 
+    def judged_links(self) -> DataFrame:
+        """Links that tell fixes, written once: fixes and induced bugs both start from them."""
+        return settle(links.judged_links(self.commits, self.issues).select("slug", "commit_sha", "issue_number", "is_fix"))
+
     @cached_property
     def fixes(self) -> DataFrame:
         return links.fixing_commits(self.links, self.issues)
@@ -110,7 +114,7 @@ def _written(spark: SparkSession, sf_dir: str) -> Steps:
 
 def _report_inputs(steps: Steps) -> tuple[DataFrame, ...]:
     """Facts, changes, induced bugs, aliases; what a report reads repeatedly is settled first."""
-    steps.facts, steps.links = steps.facts_by_commit(), settle(steps.links)
+    steps.facts, steps.links = steps.facts_by_commit(), steps.judged_links()
     steps.aliases = settle(steps.aliases)
     steps.induced = settle(steps.induced)
     return steps.facts, steps.changes, steps.induced, steps.aliases
@@ -359,7 +363,7 @@ def induced_bugs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _induced(spark: SparkSession, sf_dir: str) -> DataFrame:
     steps = _written(spark, sf_dir)
-    steps.facts, steps.links = steps.facts_by_commit(), settle(steps.links)
+    steps.facts, steps.links = steps.facts_by_commit(), steps.judged_links()
     return steps.induced
 
 

@@ -8,6 +8,7 @@ import re
 from pyspark.sql import functions as F
 
 from changelens.functions import files, mentions, people, text, times
+from changelens.functions import fixed_values as V
 from changelens.operators.classify import guess_language
 from changelens.sources.catalogs import read_catalog
 
@@ -168,3 +169,13 @@ def test_emails(spark):
     assert apply(spark, people.email_domain, ["a@b@c", "@c", "plain", "a@"]) == ["c", "c", None, None]
     assert apply(spark, people.is_fake_login, ["ABCDEFGH", "ABCDEFG", "abcdefgh", "ABCDEFGHI", "ABCDEFGH\n"]) == [
         True, False, False, False, True]
+
+
+def test_doc_and_test_paths_are_told_as_by_the_label(spark):
+    paths = [
+        "docs/a.py", "src/a.md", "/.git/docs/x", "a/.git/README", "test/a.py", "test/README", "docs/test/a", "src/test_a.py", "README", "LICENSE.txt",
+        "a/media/x.png", "", "NOTICE", "lib/x.c", "tests/docs/a.py", "x/.gittest/test/a", None,
+    ]
+    labels = apply(spark, files.file_label, paths)
+    assert apply(spark, files.is_doc, paths) == [label == V.DOC for label in labels]
+    assert apply(spark, files.is_test, paths) == [label == V.TEST for label in labels]

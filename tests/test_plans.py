@@ -4,9 +4,12 @@ import os
 
 import pytest
 
+from changelens.operators import activity, links
 from changelens.plans import bug_history, people, report
+from changelens.session import apply_settings
 from changelens.sources import csv_tables, tables
-from drivercheck.views import view
+from drivercheck.queries import Steps
+from drivercheck.views import WrittenHistory, view
 from tests.conftest import rows
 
 GIVEN = "/root/testdata/sf0.001"
@@ -138,3 +141,63 @@ def test_rows_that_differ_are_told_apart(spark, table):
     )
     assert rows(differing(later, known, ["k"], only_new=False)) == [(1,), (3,), (4,)]
     assert rows(differing(known, known, ["k"], only_new=True)) == []
+
+
+@pytest.fixture
+def small_history(spark, tmp_path):
+    """Own rows: an order and a part that come twice, keys that are null, lines without order or part."""
+    tables_ = {
+        "customer": ([(1, 2, "AUTO"), (2, 3, "BUILDING"), (3, 2, "AUTO")], "c_custkey bigint, c_nationkey int, c_mktsegment string"),
+        "orders": (
+            [(k, 1 + k % 3, f"2020-01-0{1 + k % 5}", "1-URGENT") for k in range(1, 30)] + [(4, 1, "2020-02-01", "2-HIGH"), (None, 1, "2020-02-02", None)],
+            "o_orderkey bigint, o_custkey bigint, day string, o_orderpriority string",
+        ),
+        "lineitem": (
+            [(k, line, 1 + (k + line) % 4, 3.0 + line) for k in range(1, 35) for line in (1, 2, 2)] + [(None, 1, 1, 2.0), (5, None, 2, 2.0), (6, 7, None, 2.0)],
+            "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_quantity double",
+        ),
+        "part": ([(1, "red ink"), (2, "blue pen"), (2, "blue pen"), (3, "cap"), (None, "none")], "p_partkey bigint, p_name string"),
+    }
+    for name, (given, schema) in tables_.items():
+        made = spark.createDataFrame(given, schema)
+        if name == "orders":
+            made = made.selectExpr("* except (day)", "cast(day as timestamp) as o_orderdate")
+        made.write.parquet(f"{tmp_path}/{name}.parquet")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield str(tmp_path)
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    apply_settings(spark)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_written_history_lies_by_commit(spark, small_history):
+    whole = WrittenHistory(spark, small_history)
+    for name in ("vw_commits", "vw_file_changes"):
+        assert rows(whole.view(name)) == rows(view(spark, small_history, name))
+    commits, changes_ = whole.view("vw_commits"), whole.view("vw_file_changes")
+    assert "Exchange" not in _plan(changes_.join(commits.select("slug", "sha", "message"), ["slug", "sha"]))
+    assert "Exchange" not in _plan(changes_.groupBy("slug", "sha").count())
+
+
+def test_report_by_language_shuffles_its_rows_once(spark, small_history):
+    steps = Steps(lambda name: view(spark, small_history, name))
+    report_ = activity.activity_by_language(steps.facts, steps.changes, steps.aliases, "month")
+    assert _plan(report_).count("hashpartitioning(user_id") == 1
+    assert report_.selectExpr("sum(num_commits)").first()[0] > 0
+
+
+def test_judged_links_tell_the_fixes(table):
+    commits = table(
+        [("a/b", "x", 10, "see #1 #2", 1), ("a/b", "y", 10, "see #2\n to #1", 1), ("a/b", "z", 10, "to #3", 1), ("a/b", "r", 10, "to #1", 0)],
+        "slug string, sha string, at long, message string, num_parents int",
+    ).selectExpr("* except (at)", "timestamp_seconds(at) as ts")
+    issues = table(
+        [("a/b", 1, 5, 20, ["fix"], False), ("a/b", 2, 5, 20, ["ui"], False), ("a/b", 3, 5, None, [], False)],
+        "slug string, number long, o long, c long, labels array<string>, is_pl boolean",
+    ).selectExpr("* except (o, c)", "timestamp_seconds(o) as created_at", "timestamp_seconds(c) as closed_at")
+    plain, judged = links.issue_links(commits, issues), links.judged_links(commits, issues)
+    assert rows(judged.drop("is_fix")) == rows(plain)
+    assert rows(links.fixing_commits(judged, issues)) == rows(links.fixing_commits(plain, issues)) == [("a/b", "x"), ("a/b", "y")]
