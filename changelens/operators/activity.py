@@ -1,9 +1,10 @@
 """Reports: bugs induced per developer, and activity per developer, project, language and period.
 
-Measures of different grain (commits, files, bugs) are each reduced to the
-report's grain on their own and then added up in one last aggregate.  Distinct
-counts come from grouping by the counted value first, so no list of files or
-issues is ever gathered, however busy a developer, project or day is.
+Commits, files and bugs are dealt out by the report's keys in one shuffle, and
+every measure is taken there; the historic report adds up one part for each
+measure.  Distinct counts come from grouping by the counted value first, so no
+list of files or issues is ever gathered, however busy a developer, project or
+day is.  The rows of one row of a report are counted in one task, which spills.
 """
 
 from __future__ import annotations
