@@ -1,19 +1,21 @@
 """Reports: bugs induced per developer, and activity per developer, project, language and period.
 
 Commits, files and bugs are dealt out by the report's keys in one shuffle, and
-every measure is taken there; the historic report adds up one part for each
-measure.  Distinct counts come from grouping by the counted value first, so no
+every measure is taken there.  Distinct counts come from grouping by the counted value first, so no
 list of files or issues is ever gathered, however busy a developer, project or
 day is.  The rows of one row of a report are counted in one task, which spills.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from changelens.functions import fixed_values as V
 from changelens.functions.files import is_doc
+from changelens.functions.ids import packed, unpacked
 from changelens.functions.people import is_platform
 from changelens.functions.text import last_segment
 from changelens.functions.times import activity_period
@@ -30,6 +32,9 @@ LANGUAGE_MEASURES = [
     "num_commits", "num_src_file_touches", "num_src_files_touched", "src_loc_added", "src_loc_deleted", "num_distinct_commits",
 ]
 
+# Measures that add up, and the facts they are sums of.
+TOTALS_OF = {"loc_added": "num_additions", "src_loc_added": "src_loc_added", "loc_deleted": "num_deletions", "src_loc_deleted": "src_loc_deleted"}
+
 # Patch positions per step when a commit's files are numbered.
 NUMBERING_STEP = 1000
 
@@ -37,9 +42,19 @@ NUMBERING_STEP = 1000
 def with_representative(df: DataFrame, aliases: DataFrame, id_col: str, out_col: str = "user_id") -> DataFrame:
     """Replace an identity by its representative; an unknown one stands for itself."""
     reps = aliases.select(F.col("uid").alias(id_col), F.col("rep").alias("_rep"))
+    return _represented(df, reps, id_col, out_col)
+
+
+def _represented(df: DataFrame, reps: DataFrame, id_col: str, out_col: str) -> DataFrame:
     return df.join(reps, id_col, "left").withColumn(out_col, F.coalesce("_rep", id_col)).drop("_rep")
 
 
+def with_packed_representative(df: DataFrame, aliases: DataFrame, id_col: str, out_col: str = "user_id") -> DataFrame:
+    """The same with packed identities (``functions.ids``), as they are shuffled."""
+    reps = aliases.select(packed(F.col("uid")).alias(id_col), packed(F.col("rep")).alias("_rep"))
+    return _represented(df.withColumn(id_col, packed(F.col(id_col))), reps, id_col, out_col)
+
+
 def induced_bugs(
     blames: DataFrame, origin_commits: DataFrame, links: DataFrame, contributors: DataFrame, aliases: DataFrame
 ) -> DataFrame:
@@ -53,8 +68,9 @@ def induced_bugs(
         F.min(F.struct("name", "email")).alias("who")
     )
     # Identities are resolved for people, who are fewer than commits, and looked up for commits that are blamed.
-    people = with_representative(known.filter(~is_platform(F.col("who.name"), F.col("who.email"))), aliases, "author_id")
-    authors = origin_commits.select("slug", F.col("sha").alias("blamed_commit"), "author_id").dropDuplicates(["slug", "blamed_commit"])
+    people = with_packed_representative(known.filter(~is_platform(F.col("who.name"), F.col("who.email"))), aliases, "author_id")
+    authors = origin_commits.select("slug", F.col("sha").alias("blamed_commit"), packed(F.col("author_id")).alias("author_id"))
+    authors = authors.dropDuplicates(["slug", "blamed_commit"])
     blamed = (
         blames.filter(F.col("type") != V.DOC)
         .groupBy("slug", "bug_fixing_commit", "blamed_commit")
@@ -66,7 +82,7 @@ def induced_bugs(
     linked = links.select("slug", F.col("commit_sha").alias("bug_fixing_commit"), "issue_number").repartition("slug", "bug_fixing_commit")
     linked = linked.groupBy("slug", "bug_fixing_commit", "issue_number").agg(F.count("*").alias("link_rows"))
     return blamed.join(linked, ["slug", "bug_fixing_commit"]).select(
-        "user_id", "slug", F.col("blamed_commit").alias("sha"), "issue_number",
+        unpacked(F.col("user_id")).alias("user_id"), "slug", F.col("blamed_commit").alias("sha"), "issue_number",
         F.col("bug_fixing_commit").alias("fixing_sha"), (F.col("blame_rows") * F.col("link_rows")).alias("times"),
     )
 
@@ -85,9 +101,19 @@ def commits_by_user(facts: DataFrame, aliases: DataFrame, period: str) -> DataFr
     return with_representative(dated, aliases, "author_id")
 
 
-def distinct_bugs(induced: DataFrame) -> DataFrame:
+def packed_commits(facts: DataFrame, aliases: DataFrame, period: str, columns: list[str]) -> DataFrame:
+    """Commits with ``user_id`` (packed), project, report period and ``columns``, written once and bucketed by commit.
+
+    Narrow, and read by every measure; identities are joined once.
+    """
+    dated = facts.select(*COMMIT, "author_id", activity_period(F.col("ts"), period).alias(period), *columns)
+    found = with_packed_representative(dated, aliases, "author_id").drop("author_id")
+    return facts.sparkSession.table(settle_by(found, *COMMIT)).withColumn("project", F.col("slug"))
+
+
+def distinct_bugs(induced: DataFrame, user_id: Column) -> DataFrame:
     """Developer, commit and issue, dealt out by commit."""
-    return induced.select("user_id", *COMMIT, "issue_number").repartition(*COMMIT).distinct()
+    return induced.select(user_id.alias("user_id"), *COMMIT, "issue_number").repartition(*COMMIT).distinct()
 
 
 def add_up(parts: list[DataFrame], keys: list[str], measures: list[str]) -> DataFrame:
@@ -121,10 +147,21 @@ def activity_by_project(
     counted anew from the files and issues; they are not sums of days.
     """
     keys = ["user_id", "project", period]
-    totals = {"loc_added": "num_additions", "src_loc_added": "src_loc_added", "loc_deleted": "num_deletions", "src_loc_deleted": "src_loc_deleted"}
-    # Narrow, and read by every measure: settled, so that identities are joined once.
-    commits = commits_by_user(facts, aliases, period).select(*COMMIT, *keys, *totals.values())
-    commits = facts.sparkSession.table(settle_by(commits, *COMMIT))
+    once = project_rows(facts, changes, induced, aliases, period, lambda rows: rows.repartition(*keys))
+    return count_project_rows(once, keys, PROJECT_MEASURES).withColumn("user_id", unpacked(F.col("user_id")))
+
+
+def project_rows(
+    facts: DataFrame, changes: DataFrame, induced: DataFrame, aliases: DataFrame, period: str, deal: Callable[[DataFrame], DataFrame]
+) -> DataFrame:
+    """What the report by project counts, a row for each different ``value`` of a ``kind`` (commit, file, issue) in each of its rows.
+
+    ``n`` is the number of commits, touches or bugs behind a row and ``flag`` that of source files or of bug-inducing
+    commits; ``user_id`` is packed.  ``deal`` brings together what is counted together: one shuffle for all measures.
+    """
+    keys = ["user_id", "project", period]
+    totals = TOTALS_OF
+    commits = packed_commits(facts, aliases, period, list(totals.values()))
     spot = commits.select(*COMMIT, *keys)
 
     def counted(rows: DataFrame, kind: str, value: Column, flag: Column) -> DataFrame:
@@ -134,7 +171,7 @@ def activity_by_project(
 
     files = commit_file_entries(changes).select(*COMMIT, "file", "is_src").join(spot, COMMIT)
     # A bug counts for a commit only under the developer that commit is filed under.
-    bugs = distinct_bugs(induced).join(spot, [*COMMIT, "user_id"])
+    bugs = distinct_bugs(induced, packed(F.col("user_id"))).join(spot, [*COMMIT, "user_id"])
     in_commit = Window.partitionBy(*COMMIT, *keys).orderBy("issue_number")
     bugs = bugs.withColumn("first", F.row_number().over(in_commit) == 1)
     rows = (
@@ -142,27 +179,31 @@ def activity_by_project(
         .unionByName(counted(files, "file", F.col("file"), F.col("is_src").cast("int")))
         .unionByName(counted(bugs, "issue", F.col("issue_number"), F.col("first").cast("int")))
     )
-    # Every measure is taken where its row of the report is: one shuffle for all of them.
-    once = rows.repartition(*keys).groupBy(*keys, "kind", "value").agg(
+    return deal(rows).groupBy(*keys, "kind", "value").agg(
         F.count("*").alias("n"), F.sum("flag").alias("flag"), *[F.sum(m).alias(m) for m in totals]
     )
 
+
+def count_project_rows(once: DataFrame, keys: list[str], measures: list[str]) -> DataFrame:
+    """``measures`` of the report from its :func:`project_rows`."""
+
     def of(kind: str) -> Column:
         return F.col("kind") == kind
 
     def total(kind: str, column: str) -> Column:
         return F.sum(F.when(of(kind), F.col(column)).otherwise(0))
 
-    return once.groupBy(*keys).agg(
+    found = [
         total("commit", "n").alias("num_commits"),
         total("file", "n").alias("num_file_touches"),
         total("file", "flag").alias("num_src_file_touches"),
         F.count_if(of("file")).alias("num_files_touched"),
         F.count_if(of("file") & (F.col("flag") > 0)).alias("num_src_files_touched"),
-        *[F.sum(m).alias(m) for m in totals],
+        *[F.sum(m).alias(m) for m in TOTALS_OF],
         F.count_if(of("issue")).alias("num_bugs_induced"),
         total("issue", "flag").alias("num_bug_inducing_commits"),
-    ).select(*keys, *PROJECT_MEASURES)
+    ]
+    return once.groupBy(*keys).agg(*found).select(*keys, *measures)
 
 
 def _numbered_files(changes: DataFrame) -> DataFrame:
@@ -195,10 +236,10 @@ def _numbered_files(changes: DataFrame) -> DataFrame:
     )
 
 
-def _fingerprint(*parts: Column) -> list[Column]:
-    """Two sums of independent 64-bit hashes: equal for equal collections of rows."""
+def _fingerprint(member: Column, *parts: Column) -> list[Column]:
+    """Number of members, and two sums of independent 64-bit hashes: equal for equal collections of rows."""
     wide = "decimal(20,0)"
-    return [F.sum(F.xxhash64(F.lit(seed), *parts).cast(wide)) for seed in ("left", "right")]
+    return [F.count_if(member), *[F.sum(F.when(member, F.xxhash64(F.lit(seed), *parts)).cast(wide)) for seed in ("left", "right")]]
 
 
 def activity_by_project_compat(
@@ -212,37 +253,45 @@ def activity_by_project_compat(
     hashes over rank and file (issues: the issue), so it need not be gathered.
     """
     keys = ["user_id", "project", "day"]
-    commits = commits_by_user(facts, aliases, "day")
-    spot = commits.select(*COMMIT, *keys)
+    totals = TOTALS_OF
+    commits = packed_commits(facts, aliases, "day", list(totals.values()))
 
-    def lists(members: DataFrame, *value: Column) -> DataFrame:
-        left, right = _fingerprint(*value)
-        return members.groupBy(*COMMIT).agg(F.count("*").alias("length"), left.alias("left"), right.alias("right"))
-
-    def touches(found: DataFrame, touches_name: str, distinct_name: str) -> DataFrame:
-        return (
-            found.join(spot, COMMIT)
-            .groupBy(*keys, "length", "left", "right")
-            .agg(F.count("*").alias("n"))
-            .groupBy(*keys)
-            .agg(F.sum("n").alias(touches_name), F.count("*").alias(distinct_name))
-        )
+    def digest(member: Column, *value: Column) -> Column:
+        """One value for each list; null for an empty one."""
+        length, left, right = _fingerprint(member, *value)
+        return F.when(length > 0, F.unhex(F.md5(F.concat_ws(" ", length, left, right))))
 
-    files = _numbered_files(changes)
-    all_files = lists(files, F.col("rank"), F.col("file"))
-    src_files = lists(files.filter("is_src"), F.col("src_rank"), F.col("file"))
-    bugs = distinct_bugs(induced).join(spot, [*COMMIT, "user_id"])
-    issue_lists = lists(bugs, F.col("issue_number"))
-    return add_up(
-        [
-            commit_measures(commits, keys),
-            touches(all_files, "num_file_touches", "num_files_touched"),
-            touches(src_files, "num_src_file_touches", "num_src_files_touched"),
-            touches(issue_lists, "num_bug_inducing_commits", "num_bugs_induced"),
-        ],
-        keys,
-        PROJECT_MEASURES,
+    files = _numbered_files(changes).groupBy(*COMMIT).agg(
+        digest(F.lit(True), F.col("rank"), F.col("file")).alias("file"),
+        digest(F.col("is_src"), F.col("src_rank"), F.col("file")).alias("src_file"),
     )
+    bugs = distinct_bugs(induced, packed(F.col("user_id"))).join(commits.select(*COMMIT, "user_id"), [*COMMIT, "user_id"])
+    issues = bugs.groupBy(*COMMIT).agg(digest(F.lit(True), F.col("issue_number")).alias("issue"))
+    kinds = ["file", "src_file", "issue"]
+    rows = commits.join(files, COMMIT, "left").join(issues, COMMIT, "left")
+    # Every measure is taken where its row of the report is: one shuffle for all of them.
+    whole = [F.struct(F.lit("commit").alias("kind"), F.lit(None).cast("binary").alias("value"), *[F.col(c).alias(m) for m, c in totals.items()])]
+    nothing = [F.lit(0).cast("bigint").alias(m) for m in totals]
+    lists = [F.when(F.col(k).isNotNull(), F.struct(F.lit(k).alias("kind"), F.col(k).alias("value"), *nothing)) for k in kinds]
+    once = (
+        rows.select(*keys, *totals.values(), *kinds).repartition(*keys)
+        .select(*keys, F.explode(F.array_compact(F.array(*whole, *lists))).alias("row")).select(*keys, "row.*")
+        .groupBy(*keys, "kind", "value").agg(F.count("*").alias("n"), *[F.sum(m).alias(m) for m in totals])
+    )
+
+    def touches(kind: str) -> Column:
+        return F.sum(F.when(F.col("kind") == kind, F.col("n")).otherwise(0))
+
+    def different(kind: str) -> Column:
+        return F.count_if(F.col("kind") == kind)
+
+    return once.groupBy(*keys).agg(
+        touches("commit").alias("num_commits"),
+        touches("file").alias("num_file_touches"), touches("src_file").alias("num_src_file_touches"),
+        different("file").alias("num_files_touched"), different("src_file").alias("num_src_files_touched"),
+        *[F.sum(m).alias(m) for m in totals],
+        different("issue").alias("num_bugs_induced"), touches("issue").alias("num_bug_inducing_commits"),
+    ).select(unpacked(F.col("user_id")).alias("user_id"), *keys[1:], *PROJECT_MEASURES)
 
 
 def source_file_rows(changes: DataFrame) -> DataFrame:

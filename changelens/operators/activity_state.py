@@ -7,7 +7,8 @@ aggregates with partial results.  Values are numbered in the order of the day th
 share few words; a set of any size is rows, never one cell.  (Spark's own ``bitmap_*`` aggregates do the same in units
 of 4 KB each, a thousand times what a developer's day needs.)
 
-The state is derived once from commits and files; reports of every period are then merges of it.
+The state is derived once from commits and files; reports of every period are then merges of it.  What a group counts is
+written bucketed by the group, so its numbers, sets and reports need no further shuffle.
 """
 
 from __future__ import annotations
@@ -17,11 +18,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from changelens.functions.ids import ids_as_text
 from changelens.functions.times import activity_period
 from changelens.operators import activity as A
-from changelens.operators.changes import COMMIT, commit_file_entries
+from changelens.operators.changes import COMMIT
 from changelens.operators.classify import guess_language
-from changelens.scratch import settle
+from changelens.scratch import deal, settle_by
 
 #: Splits of the values that occur first on one day, so that a day with very many is not numbered in one task.
 SPLITS = 16
@@ -32,7 +34,10 @@ LANGUAGE_SETS = {"src_file": "num_src_files_touched"}
 
 @dataclass
 class ActivityState:
-    """``sums``: a row per group and day; ``sets``: ``kind, word, bits`` per group and day."""
+    """``sums``: a row per group and day; ``sets``: ``kind, word, bits`` per group and day.
+
+    The developer's id may be packed (``functions.ids``), as it is in a state that was just derived.
+    """
 
     sums: DataFrame
     sets: DataFrame
@@ -71,21 +76,11 @@ def project_state(facts: DataFrame, changes: DataFrame, induced: DataFrame, alia
     """State of the report per developer and project."""
     group = ["user_id", "project"]
     keys = [*group, "day"]
-    totals = ["num_additions", "src_loc_added", "num_deletions", "src_loc_deleted"]
-    commits = settle(A.commits_by_user(facts, aliases, "day").select(*COMMIT, *keys, *totals))
-    spot = commits.select(*COMMIT, *keys)
-    touched = settle(
-        commit_file_entries(changes).select(*COMMIT, "file", "is_src").join(spot, COMMIT)
-        .groupBy(*keys, "file").agg(F.count("*").alias("touches"), F.count_if("is_src").alias("src_touches"))
-    )
-    touches = touched.groupBy(*keys).agg(F.sum("touches").alias("num_file_touches"), F.sum("src_touches").alias("num_src_file_touches"))
-    bugs = settle(A.distinct_bugs(induced).join(spot, [*COMMIT, "user_id"]))
-    # A commit has one day, so counts of commits add up.
-    inducing = bugs.select(*keys, *COMMIT).distinct().groupBy(*keys).agg(F.count("*").alias("num_bug_inducing_commits"))
-    measures = [m for m in A.PROJECT_MEASURES if m not in PROJECT_SETS.values()]
-    sums = A.add_up([A.commit_measures(commits, keys), touches, inducing], keys, measures)
-    files = touched.select(*keys, F.col("file").alias("value"), _kinds(F.col("src_touches") > 0).alias("kinds"))
-    issues = bugs.select(*keys, F.col("issue_number").cast("string").alias("value")).distinct().withColumn("kinds", F.array(F.lit("issue")))
+    rows = A.project_rows(facts, changes, induced, aliases, "day", lambda found: deal(found, *group))
+    once = facts.sparkSession.table(settle_by(rows, *group))
+    sums = A.count_project_rows(once, keys, [m for m in A.PROJECT_MEASURES if m not in PROJECT_SETS.values()])
+    files = once.filter("kind = 'file'").select(*keys, "value", _kinds(F.col("flag") > 0).alias("kinds"))
+    issues = once.filter("kind = 'issue'").select(*keys, "value", F.array(F.lit("issue")).alias("kinds"))
     return ActivityState(sums, _sets(files, group).unionByName(_sets(issues, group)), group, PROJECT_SETS, A.PROJECT_MEASURES)
 
 
@@ -93,8 +88,9 @@ def language_state(facts: DataFrame, changes: DataFrame, aliases: DataFrame, cat
     """State of the report per developer and language."""
     group = ["user_id", "language"]
     keys = [*group, "day"]
-    spot = A.commits_by_user(facts, aliases, "day").select(*COMMIT, "user_id", "day")
-    rows = settle(guess_language(A.source_file_rows(changes).join(spot, COMMIT), "file", "language", catalog))
+    spot = A.packed_commits(facts, aliases, "day", []).select(*COMMIT, "user_id", "day")
+    found = guess_language(A.source_file_rows(changes).join(spot, COMMIT), "file", "language", catalog)
+    rows = facts.sparkSession.table(settle_by(found, *group))
     sums = A.add_up([A.language_sums(rows, keys), A.language_commits(rows, keys)], keys, [m for m in A.LANGUAGE_MEASURES if m not in LANGUAGE_SETS.values()])
     files = rows.select(*keys, F.col("file").alias("value")).distinct().withColumn("kinds", F.array(F.lit("src_file")))
     return ActivityState(sums, _sets(files, group), group, LANGUAGE_SETS, A.LANGUAGE_MEASURES)
@@ -106,4 +102,4 @@ def roll_up(state: ActivityState, period: str) -> DataFrame:
     at = activity_period(F.col("day"), period)
     merged = state.sets.withColumn(period, at).groupBy(*keys, "kind", "word").agg(F.bit_or("bits").alias("bits"))
     sizes = merged.groupBy(*keys).agg(*[F.sum(F.when(F.col("kind") == kind, F.bit_count("bits")).otherwise(0)).alias(m) for kind, m in state.set_names.items()])
-    return A.add_up([state.sums.withColumn(period, at), sizes], keys, state.measures)
+    return ids_as_text(A.add_up([state.sums.withColumn(period, at), sizes], keys, state.measures))

@@ -126,15 +126,13 @@ def contributors(*commit_tables: DataFrame) -> DataFrame:
     """Distinct authors and committers per project over any number of commit tables."""
     people = None
     for commits in commit_tables:
-        for role in ("author", "committer"):
-            name, email = F.col(f"{role}_name"), F.col(f"{role}_email")
-            side = with_parents(commits).select(
-                "slug",
-                contributor_id(name, email).alias("contributor_id"),
-                F.lower(name).alias("name"),
-                F.lower(email).alias("email"),
-            )
-            people = side if people is None else people.unionByName(side)
+        # Both people of a commit in one row, so that they fall together before they are shuffled if they are the same.
+        both = [
+            F.struct(contributor_id(name, email).alias("contributor_id"), F.lower(name).alias("name"), F.lower(email).alias("email"))
+            for name, email in ((F.col(f"{role}_name"), F.col(f"{role}_email")) for role in ("author", "committer"))
+        ]
+        side = with_parents(commits).select("slug", F.explode(F.array_distinct(F.array(*both))).alias("_p")).select("slug", "_p.*")
+        people = side if people is None else people.unionByName(side)
     return one_record_per_contributor(people)
 
 

@@ -9,6 +9,7 @@ from changelens.operators import activity_state as S
 from changelens.operators.references import cross_references
 from changelens.scratch import settle
 from changelens.sources.csv_tables import write_report, write_table
+from changelens.functions.ids import ids_as_text
 from changelens.functions.times import PERIODS
 from changelens.sources.tables import Draft, read_native, write_native
 
@@ -63,8 +64,8 @@ def write_every_period(spark: SparkSession, folder: str, catalog: DataFrame | No
     draft = Draft(spark, folder)
     states = {PROJECT_REPORT: S.project_state(facts, changes, induced, aliases), LANGUAGE_REPORT: S.language_state(facts, changes, aliases, catalog)}
     for name, state in states.items():
-        draft.write(state.sums, f"{name}_sums")
-        draft.write(state.sets, f"{name}_sets")
+        draft.write(ids_as_text(state.sums), f"{name}_sums")
+        draft.write(ids_as_text(state.sets), f"{name}_sets")
         state.sums, state.sets = draft.written(f"{name}_sums"), draft.written(f"{name}_sets")
         for period in PERIODS:
             draft.write(S.roll_up(state, period), _name(name, period))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from changelens.functions import people, text, times
+from changelens.functions.ids import ids_as_text
 from changelens.operators import activity, activity_state, aliases, changes, ingest, links, origins, references
 from changelens.operators.classify import classify_files, guess_language, label_lines
 from changelens.scratch import fresh_path, settle, settle_by
@@ -52,8 +53,9 @@ class Steps:
         return links.issue_links(self.commits, self.issues)
 
     def judged_links(self) -> DataFrame:
-        """Links that tell fixes, written once: fixes and induced bugs both start from them."""
-        return settle(links.judged_links(self.commits, self.issues).select("slug", "commit_sha", "issue_number", "is_fix"))
+        """Links that tell fixes, written once and bucketed by commit: fixes and induced bugs both start from them."""
+        found = links.judged_links(self.commits, self.issues).select("slug", "commit_sha", "issue_number", "is_fix")
+        return found.sparkSession.table(settle_by(found, "slug", "commit_sha"))
 
     @cached_property
     def fixes(self) -> DataFrame:
@@ -108,8 +110,8 @@ def _given(spark: SparkSession, sf_dir: str) -> Steps:
 
 
 def _written(spark: SparkSession, sf_dir: str) -> Steps:
-    """With commits and file changes written once, for queries of many steps."""
-    return Steps(WrittenHistory(spark, sf_dir).view)
+    """With commits and file changes written once and ids of commits packed, for queries of many steps."""
+    return Steps(WrittenHistory(spark, sf_dir, packed=True).view)
 
 
 def _report_inputs(steps: Steps) -> tuple[DataFrame, ...]:
@@ -244,7 +246,7 @@ def contributor_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def bug_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _written(spark, sf_dir).blames
+    return ids_as_text(_written(spark, sf_dir).blames)
 
 
 @query
@@ -255,14 +257,14 @@ def line_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = found.groupBy("slug", "fix_sha", "path", "blamed_sha").agg(
         F.count("*").alias("lines"), F.min("old_lineno").alias("first_line"), F.max("old_lineno").alias("last_line")
     )
-    return spans
+    return ids_as_text(spans)
 
 
 @query
 def bug_origins_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
     steps = _written(spark, sf_dir)
     when = steps.commits.select("slug", "sha", F.col("ts").alias("committed_at"))
-    return origins.bug_origins_compat(steps.blamed_lines, steps.plausible, when)
+    return ids_as_text(origins.bug_origins_compat(steps.blamed_lines, steps.plausible, when))
 
 
 @query
@@ -274,7 +276,7 @@ def bug_origins_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
         steps.commits.select("slug", "sha", "ts"),
         added.select("slug", F.col("new_path").alias("path"), "content", "sha", "ts"),
     )
-    return origins.bug_origins(lines, steps.plausible)
+    return ids_as_text(origins.bug_origins(lines, steps.plausible))
 
 
 @query
@@ -285,7 +287,7 @@ def line_origins_renamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     removed = moves.select("slug", F.col("sha").alias("fix_sha"), F.col("old_path").alias("path"), "patch_pos", F.col("removed").alias("content"))
     added = moves.select("slug", F.col("new_path").alias("path"), F.col("added").alias("content"), "sha", "ts")
     found = origins.lines_with_latest_addition(removed, steps.commits.select("slug", "sha", "ts"), added, moves.select("slug", "old_path", "new_path", "ts"))
-    return found.select("slug", "fix_sha", "path", "patch_pos", "content", "blamed_sha")
+    return ids_as_text(found.select("slug", "fix_sha", "path", "patch_pos", "content", "blamed_sha"))
 
 
 # Identities -----------------------------------------------------------------------
@@ -358,7 +360,7 @@ def cross_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def induced_bugs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _induced(spark, sf_dir)
+    return ids_as_text(_induced(spark, sf_dir))
 
 
 def _induced(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -369,7 +371,7 @@ def _induced(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def induced_bugs_per_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return activity.induced_bugs_per_commit(_induced(spark, sf_dir))
+    return ids_as_text(activity.induced_bugs_per_commit(_induced(spark, sf_dir)))
 
 
 def _project_report(spark: SparkSession, sf_dir: str, period: str) -> DataFrame:
@@ -417,7 +419,7 @@ def activity_by_language_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _every_period(state: activity_state.ActivityState) -> DataFrame:
     """Day, week and month reports of one state, with the period's value as text."""
-    state.sums, state.sets = settle(state.sums), settle(state.sets)
+    state.sums, state.sets = (part.sparkSession.table(settle_by(part, *state.group)) for part in (state.sums, state.sets))
     reports = [
         activity_state.roll_up(state, period).withColumn("value", F.col(period).cast("string")).drop(period).withColumn("period", F.lit(period))
         for period in times.PERIODS

@@ -159,32 +159,51 @@ SPARK_VIEWS["vw_diff_text"] = f"""
           chr(10)) end) as diff
     from vw_file_changes"""
 
-def _by_commit(order: str) -> str:
-    """Deals rows of an order out by its ``slug, sha`` before the columns of ``vw_commits`` are derived."""
-    return f"distribute by {_project(order)}, md5(cast({order} as string))"
+def _sha(order: str) -> str:
+    return f"md5(cast({order} as string))"
 
 
-def _replaced(name: str, *pairs: tuple[str, str]) -> str:
-    text = VIEWS[name]
+def _packed_sha(order: str) -> str:
+    """What ``functions.ids.packed`` makes of the ``sha``, which always is a hexadecimal number."""
+    return f"concat(X'01', unhex({_sha(order)}))"
+
+
+def _replaced(text: str, *pairs: tuple[str, str]) -> str:
     for old, new in pairs:
         if old not in text:
-            raise ValueError(f"{name} has no {old!r}")
+            raise ValueError(f"no {old!r} in {text}")
         text = text.replace(old, new)
     return text
 
 
-# The same rows for :class:`WrittenHistory`: dealt out by commit while they are narrow, and joined where the commits lie.
-DEALT_VIEWS = {
-    "vw_commits": _replaced("vw_commits", ("from orders join vw_person p on o_custkey = p.c_custkey", f"""from (
-          select o_orderkey, o_orderdate, o_custkey, o_orderpriority, name, email, contributor_id
-          from orders join vw_person on o_custkey = c_custkey {_by_commit('o_orderkey')}) p""")),
-    "vw_file_changes": _replaced(
-        "vw_file_changes",
-        ("from (select l_orderkey,", f"from (select *, {_project('l_orderkey')} as at_slug, md5(cast(l_orderkey as string)) as at_sha from (select l_orderkey,"),
-        ("on l_partkey = p_partkey) l", f"on l_partkey = p_partkey {_by_commit('l_orderkey')}) p) l"),
-        ("on l_orderkey = c.o_orderkey", "on at_slug = c.slug and at_sha = c.sha and l_orderkey = c.o_orderkey"),
-    ),
-}
+def _dealt_views(sha: Callable[[str], str]) -> dict[str, str]:
+    """The same rows for :class:`WrittenHistory`: dealt out by ``slug, sha`` while they are narrow, and joined where the commits lie."""
+    orders, lines = sha("o_orderkey"), sha("l_orderkey")
+    return {
+        "vw_commits": _replaced(
+            VIEWS["vw_commits"],
+            ("md5(cast(o_orderkey as string)) as sha", f"{orders} as sha"),
+            ("p.contributor_id as author_id", "md5(concat(lower(p.name), lower(p.email))) as author_id"),
+            ("from orders join vw_person p on o_custkey = p.c_custkey", f"""from (
+          select o_orderkey, o_orderdate, o_custkey, o_orderpriority, name, email
+          from orders join vw_person on o_custkey = c_custkey distribute by {_project('o_orderkey')}, {orders}) p"""),
+        ),
+        "vw_file_changes": _replaced(
+            VIEWS["vw_file_changes"],
+            ("from (select l_orderkey,", f"from (select *, {_project('l_orderkey')} as at_slug, {lines} as at_sha from (select l_orderkey,"),
+            ("on l_partkey = p_partkey) l", f"on l_partkey = p_partkey distribute by {_project('l_orderkey')}, {lines}) p) l"),
+            ("on l_orderkey = c.o_orderkey", "on at_slug = c.slug and at_sha = c.sha and l_orderkey = c.o_orderkey"),
+        ),
+    }
+
+
+DEALT_VIEWS = _dealt_views(_sha)
+
+# With commits' ids packed.  The author is known by name and address, so the id need not be written.
+PACKED_VIEWS = _dealt_views(_packed_sha)
+PACKED_VIEWS["vw_commits"] = _replaced(PACKED_VIEWS["vw_commits"], ("md5(concat(lower(p.name), lower(p.email))) as author_id,", ""))
+_BLAMED = "md5(cast(l_orderkey - 25 * (1 + l_partkey % 50) as string))"
+PACKED_VIEWS["vw_blame_hunks"] = _replaced(VIEWS["vw_blame_hunks"], (_BLAMED, f"concat(X'01', unhex({_BLAMED}))"))
 
 
 def with_views(sql: str, views: dict[str, str], tables: dict[str, str] | None = None) -> str:
@@ -232,16 +251,19 @@ class WrittenHistory:
     Nearly every step of the longer queries reads these two, as it would read
     given tables in real use; deriving them again each time would be most of
     the work.  What is counted or looked up by commit needs no shuffle then.
+    With ``packed`` the ids of commits are bytes (``functions.ids``) in every
+    view.
     """
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, packed: bool = False):
         self.spark, self.sf_dir, self.written = spark, sf_dir, {}
+        self.instead = PACKED_VIEWS if packed else DEALT_VIEWS
         spark.conf.set(CO_PARTITIONED, "false")
         for name in ("vw_commits", "vw_file_changes"):
-            self.written[name] = settle_by(_view(spark, sf_dir, name, self.written, DEALT_VIEWS), *COMMIT)
+            self.written[name] = settle_by(_view(spark, sf_dir, name, self.written, self.instead), *COMMIT)
 
     def view(self, name: str) -> DataFrame:
-        return _view(self.spark, self.sf_dir, name, self.written)
+        return _view(self.spark, self.sf_dir, name, self.written, self.instead)
 
     def parts(self, of: DataFrame, part: str) -> dict[bool, Callable[[str], DataFrame]]:
         """The views over two parts of the commits: ``of`` has ``slug, sha`` and a boolean column ``part``.
