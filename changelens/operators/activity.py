@@ -328,9 +328,7 @@ def activity_by_language(
     keys = ["user_id", "language", period]
     spot = commits_by_user(facts, aliases, period).select(*COMMIT, "user_id", period)
     rows = guess_language(source_file_rows(changes).join(spot, COMMIT), "file", "language", catalog)
-    # A commit counts once for its files in a row of the report; so every measure comes from one shuffle.
-    in_commit = Window.partitionBy(*COMMIT, *keys).orderBy("file")
-    rows = rows.withColumn("first", (F.row_number().over(in_commit) == 1).cast("bigint"))
+    rows = first_in_commit(rows, keys)
     summed = ["rows", "loc_ins", "loc_del", "first"]
     by_file = rows.select(*keys, "file", "rows", *[(F.col("rows") * F.col(c)).alias(c) for c in summed[1:3]], "first")
     return (
@@ -348,21 +346,23 @@ def activity_by_language(
     )
 
 
+def first_in_commit(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``first``: 1 for one file row of each commit in a row of the report, so that commits are counted beside files."""
+    in_commit = Window.partitionBy(*COMMIT, *keys).orderBy("file")
+    return rows.withColumn("first", (F.row_number().over(in_commit) == 1).cast("bigint"))
+
+
 def language_sums(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """What adds up over the file rows of a report by language."""
+    """What adds up over the file rows (:func:`first_in_commit`) of a report by language."""
     return rows.groupBy(*keys).agg(
         F.sum("rows").alias("num_commits"),
         F.sum("rows").alias("num_src_file_touches"),
-        F.sum(F.col("rows") * F.col("loc_ins")).alias("src_loc_added"),
-        F.sum(F.col("rows") * F.col("loc_del")).alias("src_loc_deleted"),
+        F.coalesce(F.sum(F.col("rows") * F.col("loc_ins")), F.lit(0)).alias("src_loc_added"),
+        F.coalesce(F.sum(F.col("rows") * F.col("loc_del")), F.lit(0)).alias("src_loc_deleted"),
+        F.sum("first").alias("num_distinct_commits"),
     )
 
 
-def language_commits(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Commits per report row; the files of a commit fall together before they are shuffled."""
-    return rows.select(*keys, *COMMIT).distinct().groupBy(*keys).agg(F.count("*").alias("num_distinct_commits"))
-
-
 def in_report_order(report: DataFrame) -> DataFrame:
     """Rows as the report files list them: by time, then developer, then project or language."""
     by, period = report.columns[1], report.columns[2]

@@ -79,9 +79,10 @@ def project_state(facts: DataFrame, changes: DataFrame, induced: DataFrame, alia
     rows = A.project_rows(facts, changes, induced, aliases, "day", lambda found: deal(found, *group))
     once = facts.sparkSession.table(settle_by(rows, *group))
     sums = A.count_project_rows(once, keys, [m for m in A.PROJECT_MEASURES if m not in PROJECT_SETS.values()])
-    files = once.filter("kind = 'file'").select(*keys, "value", _kinds(F.col("flag") > 0).alias("kinds"))
-    issues = once.filter("kind = 'issue'").select(*keys, "value", F.array(F.lit("issue")).alias("kinds"))
-    return ActivityState(sums, _sets(files, group).unionByName(_sets(issues, group)), group, PROJECT_SETS, A.PROJECT_MEASURES)
+    kinds = F.when(F.col("kind") == "file", _kinds(F.col("flag") > 0)).otherwise(F.array(F.lit("issue")))
+    # Files and issues are numbered each for themselves.
+    values = once.filter("kind <> 'commit'").select(*group, F.col("kind").alias("of"), "day", "value", kinds.alias("kinds"))
+    return ActivityState(sums, _sets(values, [*group, "of"]).drop("of"), group, PROJECT_SETS, A.PROJECT_MEASURES)
 
 
 def language_state(facts: DataFrame, changes: DataFrame, aliases: DataFrame, catalog: DataFrame | None = None) -> ActivityState:
@@ -91,7 +92,7 @@ def language_state(facts: DataFrame, changes: DataFrame, aliases: DataFrame, cat
     spot = A.packed_commits(facts, aliases, "day", []).select(*COMMIT, "user_id", "day")
     found = guess_language(A.source_file_rows(changes).join(spot, COMMIT), "file", "language", catalog)
     rows = facts.sparkSession.table(settle_by(found, *group))
-    sums = A.add_up([A.language_sums(rows, keys), A.language_commits(rows, keys)], keys, [m for m in A.LANGUAGE_MEASURES if m not in LANGUAGE_SETS.values()])
+    sums = A.language_sums(A.first_in_commit(rows, keys), keys)
     files = rows.select(*keys, F.col("file").alias("value")).distinct().withColumn("kinds", F.array(F.lit("src_file")))
     return ActivityState(sums, _sets(files, group), group, LANGUAGE_SETS, A.LANGUAGE_MEASURES)
 
@@ -102,4 +103,12 @@ def roll_up(state: ActivityState, period: str) -> DataFrame:
     at = activity_period(F.col("day"), period)
     merged = state.sets.withColumn(period, at).groupBy(*keys, "kind", "word").agg(F.bit_or("bits").alias("bits"))
     sizes = merged.groupBy(*keys).agg(*[F.sum(F.when(F.col("kind") == kind, F.bit_count("bits")).otherwise(0)).alias(m) for kind, m in state.set_names.items()])
-    return ids_as_text(A.add_up([state.sums.withColumn(period, at), sizes], keys, state.measures))
+    added = [m for m in state.measures if m not in state.set_names.values()]
+    sums = state.sums.withColumn(period, at).groupBy(*keys).agg(*[F.sum(m).alias(m) for m in added])
+    # Whatever has a set has sums.  Both lie by group, so they meet there; a day may be unknown.
+    same = F.col(f"s.{period}").eqNullSafe(F.col(f"n.{period}"))
+    for column in state.group:
+        same = same & (F.col(f"s.{column}") == F.col(f"n.{column}"))
+    found = sums.alias("s").join(sizes.alias("n"), same, "left")
+    counts = [F.coalesce(F.col(f"n.{m}") if m in state.set_names.values() else F.col(f"s.{m}"), F.lit(0)).cast("bigint").alias(m) for m in state.measures]
+    return ids_as_text(found.select(*[F.col(f"s.{k}") for k in keys], *counts))
