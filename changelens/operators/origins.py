@@ -9,7 +9,7 @@ from changelens.functions import fixed_values as V
 from changelens.functions.files import file_label, is_doc, is_test, line_label
 from changelens.functions.text import last_segment
 from changelens.functions.times import micros, seconds
-from changelens.scratch import settle
+from changelens.scratch import deal, settle, settle_by
 
 # An origin commit at or beyond these sizes says nothing about a bug.
 MAX_FILES, MAX_NEW_LINES = 50, 200
@@ -135,25 +135,28 @@ def lines_with_latest_addition(removed: DataFrame, fix_times: DataFrame, additio
     ``fix_times`` is ``(slug, sha, ts)``; ``additions`` is ``(slug, path,
     content, sha, ts)``.  A file is a path, or with ``renames`` (see
     :func:`file_lineage`) whatever has been that file under its earlier names.
-    Additions whose text no removed line asks for are left out first; texts
-    travel as digests, and both sides are cut to distinct seconds per text, so
-    no group grows with the number of copies of a line (:func:`last_before`).
+    File and text travel as one digest.  Both sides are dealt out by it once, as
+    one row for each second, and the last addition before a line is looked up
+    there; seconds of one text in one file are sorted in one task, which spills.
     """
-    text = F.unhex(F.md5("content")).alias("text")
     times = fix_times.select("slug", F.col("sha").alias("fix_sha"), seconds(F.col("ts")).alias("at"))
-    timed = removed.join(times, ["slug", "fix_sha"]).select("*", text)
-    added = additions.select("slug", "path", text, "sha", seconds(F.col("ts")).alias("at"))
+    timed = removed.join(times, ["slug", "fix_sha"])
+    added = additions.select("slug", "path", "content", "sha", seconds(F.col("ts")).alias("at"))
     file = ["path"]
     if renames is not None:
         file = ["file", "since"]
         lineage = settle(file_lineage(renames))
         timed, added = with_file(timed, lineage, same=False), with_file(added, lineage, same=True)
-    key = ["slug", *file, "text"]
-    timed = settle(timed)
-    wanted = timed.select(*key).distinct()
-    known = added.join(wanted, key, "left_semi").groupBy(*key, "at").agg(F.max("sha").alias("value"))
-    answers = last_before(timed.select(*key, "at").distinct(), known, key).withColumnRenamed("value", "blamed_sha")
-    return timed.join(answers, [*key, "at"]).select(*removed.columns, "blamed_sha")
+    # Null if the file or the text is.
+    text = F.unhex(F.md5(F.concat(F.md5("content"), *[F.md5(F.col(c).cast("string")) for c in file]))).alias("text")
+    key = ["slug", "text"]
+    timed = timed.sparkSession.table(settle_by(timed.select(*removed.columns, "at", text), *key))
+    asked = timed.select(*key, "at", F.lit(None).cast(added.schema["sha"].dataType).alias("value"), F.lit(True).alias("asked"))
+    points = added.select("slug", text, "at", F.col("sha").alias("value"), F.lit(False).alias("asked")).unionByName(asked)
+    at_second = deal(points, *key).groupBy(*key, "at").agg(F.max("value").alias("value"), F.bool_or("asked").alias("asked"))
+    before = Window.partitionBy(*key).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    answers = at_second.withColumn("blamed_sha", F.last("value", ignorenulls=True).over(before)).filter("asked AND blamed_sha IS NOT NULL")
+    return timed.join(answers.select(*key, "at", "blamed_sha"), [*key, "at"]).select(*removed.columns, "blamed_sha")
 
 
 #: ``since`` of a file that was there before any rename.
