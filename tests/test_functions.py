@@ -7,7 +7,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from changelens.functions import files, mentions, people, text, times
+from changelens.functions import files, ids, mentions, people, text, times
 from changelens.functions import fixed_values as V
 from changelens.operators.classify import guess_language
 from changelens.sources.catalogs import read_catalog
@@ -27,6 +27,14 @@ def test_issue_mentions(spark):
     assert apply(spark, mentions.mentioned_issues, list(cases)) == list(cases.values())
 
 
+def test_packed_ids_come_back(spark):
+    given = ["", "00", "0a1f" * 10, "abc", "ABCD", "Ab", "zz", "\x01", "\x00ab", "é", "0x1f", " 12", None]
+    assert apply(spark, lambda x: ids.unpacked(ids.packed(x)), given) == given
+    sizes = apply(spark, lambda x: F.length(ids.packed(x)), given)
+    assert sizes[2] == 21 and sizes[3] == 4
+    assert len(set(apply(spark, lambda x: F.hex(ids.packed(x)), given))) == len(given)
+
+
 def test_digits_of_other_scripts_are_numbers(spark):
     lines = {"x #१२": [12], "GH-٣٤ #5": [5, 34], "a #𝟗9": [99], "a #²": []}
     found = spark.createDataFrame([(k,) for k in lines], "line string").select("line", mentions.mentioned_issues(F.col("line")).alias("n"))

@@ -4,9 +4,11 @@ import os
 
 import pytest
 
-from changelens.operators import activity, links
+from changelens.functions.ids import ids_as_text
+from changelens.operators import activity, activity_state, changes, links, origins
+from changelens.scratch import settle_by
 from changelens.plans import bug_history, people, report
-from changelens.session import apply_settings
+from changelens.session import CO_PARTITIONED, apply_settings
 from changelens.sources import csv_tables, tables
 from drivercheck.queries import Steps
 from drivercheck.views import WrittenHistory, view
@@ -201,3 +203,59 @@ def test_judged_links_tell_the_fixes(table):
     plain, judged = links.issue_links(commits, issues), links.judged_links(commits, issues)
     assert rows(judged.drop("is_fix")) == rows(plain)
     assert rows(links.fixing_commits(judged, issues)) == rows(links.fixing_commits(plain, issues)) == [("a/b", "x"), ("a/b", "y")]
+
+
+def _report_inputs(spark, folder):
+    steps = Steps(WrittenHistory(spark, folder, packed=True).view)
+    induced = spark.createDataFrame([], "user_id string, slug string, sha binary, issue_number bigint, fixing_sha binary, times bigint")
+    return steps, (steps.facts, steps.changes, induced, steps.aliases)
+
+
+def test_packed_history_has_the_same_rows(spark, small_history):
+    packed_ = WrittenHistory(spark, small_history, packed=True)
+    for name in ("vw_commits", "vw_file_changes", "vw_blame_hunks", "vw_diff_lines"):
+        given = view(spark, small_history, name).drop("author_id")
+        assert rows(ids_as_text(packed_.view(name)).select(*given.columns)) == rows(given)
+
+
+def test_reports_of_a_written_history(spark, small_history):
+    steps, inputs = _report_inputs(spark, small_history)
+    plain = Steps(lambda name: view(spark, small_history, name))
+    induced = inputs[2].selectExpr("* except (sha, fixing_sha)", "string(sha) as sha", "string(fixing_sha) as fixing_sha")
+    for report_ in (activity.activity_by_project, activity.activity_by_project_compat):
+        found = report_(*inputs)
+        assert _plan(found).count("hashpartitioning(user_id") == 1
+        assert rows(found) == rows(report_(plain.facts, plain.changes, induced, plain.aliases))
+
+
+def test_periods_are_merged_where_the_state_lies(spark, small_history):
+    steps, inputs = _report_inputs(spark, small_history)
+    daily = {"project": activity.activity_by_project(*inputs), "language": activity.activity_by_language(steps.facts, steps.changes, steps.aliases)}
+    states = {"project": activity_state.project_state(*inputs), "language": activity_state.language_state(steps.facts, steps.changes, steps.aliases)}
+    for name, state in states.items():
+        state.sums, state.sets = (spark.table(settle_by(part, *state.group)) for part in (state.sums, state.sets))
+        found = activity_state.roll_up(state, "day")
+        assert "Exchange" not in _plan(found)
+        assert rows(found) == rows(daily[name]) != []
+
+
+def test_people_of_a_commit_are_read_once(spark, small_history):
+    steps, _ = _report_inputs(spark, small_history)
+    assert "Union" not in _plan(changes.contributors(steps.commits))
+
+
+def test_latest_additions_are_dealt_out_once(spark, table):
+    removed = table([("a/b", "f", "p", "x"), ("a/b", "f", "p", "y"), ("a/b", "f", None, "x"), ("a/b", "f", "px", "")], "slug string, fix_sha string, path string, content string")
+    fixed = table([("a/b", "f", 100)], "slug string, sha string, at long").selectExpr("slug", "sha", "timestamp_seconds(at) as ts")
+    added = table(
+        [("a/b", "p", "x", "c1", 10), ("a/b", "p", "x", "c2", 90_000), ("a/b", "p", "x", "c0", 50), ("a/b", "p", "x", "c3", 50), ("a/b", "p", "x", "c4", 100),
+         ("a/b", "p", "y", "c5", 100), (None, "p", "y", "c6", 5), ("a/b", None, "x", "c7", 5), ("a/b", "p", "x", "c8", 200), ("a/b", "p", "y", None, 5)],
+        "slug string, path string, content string, sha string, at long",
+    ).selectExpr("* except (at)", "timestamp_seconds(at) as ts")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set(CO_PARTITIONED, "false")
+    found = origins.lines_with_latest_addition(removed, fixed, added)
+    assert _plan(found).count("Exchange hashpartitioning") == 1
+    assert rows(found) == [("a/b", "f", "p", "x", "c3")]
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    apply_settings(spark)
