@@ -138,6 +138,7 @@ def lines_with_latest_addition(removed: DataFrame, fix_times: DataFrame, additio
     File and text travel as one digest.  Both sides are dealt out by it once, as
     one row for each second, and the last addition before a line is looked up
     there; seconds of one text in one file are sorted in one task, which spills.
+    Lines and additions without a time have no origin and are none.
     """
     times = fix_times.select("slug", F.col("sha").alias("fix_sha"), seconds(F.col("ts")).alias("at"))
     timed = removed.join(times, ["slug", "fix_sha"])
@@ -153,7 +154,7 @@ def lines_with_latest_addition(removed: DataFrame, fix_times: DataFrame, additio
     timed = timed.sparkSession.table(settle_by(timed.select(*removed.columns, "at", text), *key))
     asked = timed.select(*key, "at", F.lit(None).cast(added.schema["sha"].dataType).alias("value"), F.lit(True).alias("asked"))
     points = added.select("slug", text, "at", F.col("sha").alias("value"), F.lit(False).alias("asked")).unionByName(asked)
-    at_second = deal(points, *key).groupBy(*key, "at").agg(F.max("value").alias("value"), F.bool_or("asked").alias("asked"))
+    at_second = deal(points.filter("at IS NOT NULL"), *key).groupBy(*key, "at").agg(F.max("value").alias("value"), F.bool_or("asked").alias("asked"))
     before = Window.partitionBy(*key).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     answers = at_second.withColumn("blamed_sha", F.last("value", ignorenulls=True).over(before)).filter("asked AND blamed_sha IS NOT NULL")
     return timed.join(answers.select(*key, "at", "blamed_sha"), [*key, "at"]).select(*removed.columns, "blamed_sha")

@@ -249,7 +249,7 @@ def test_latest_additions_are_dealt_out_once(spark, table):
     fixed = table([("a/b", "f", 100)], "slug string, sha string, at long").selectExpr("slug", "sha", "timestamp_seconds(at) as ts")
     added = table(
         [("a/b", "p", "x", "c1", 10), ("a/b", "p", "x", "c2", 90_000), ("a/b", "p", "x", "c0", 50), ("a/b", "p", "x", "c3", 50), ("a/b", "p", "x", "c4", 100),
-         ("a/b", "p", "y", "c5", 100), (None, "p", "y", "c6", 5), ("a/b", None, "x", "c7", 5), ("a/b", "p", "x", "c8", 200), ("a/b", "p", "y", None, 5)],
+         ("a/b", "p", "y", "c5", 100), (None, "p", "y", "c6", 5), ("a/b", None, "x", "c7", 5), ("a/b", "p", "x", "c8", 200), ("a/b", "p", "y", None, 5), ("a/b", "p", "y", "c9", None)],
         "slug string, path string, content string, sha string, at long",
     ).selectExpr("* except (at)", "timestamp_seconds(at) as ts")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
