@@ -25,6 +25,8 @@ _HUNK_HEADER = r"\A@@ -(\d+)(?:,\d+)? \+(\d+)(?:,\d+)? @@"
 
 # A path in double quotes, with escapes, as diffs give names that hold unusual characters.
 _QUOTED = r'"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"'
+# The path that both sides of a patch's first line name.
+_SAME_PATH = r"\Adiff --git a/([^\n]+?) b/\1(?:\n|\z)"
 _ESCAPES = {"a": "07", "b": "08", "t": "09", "n": "0A", "v": "0B", "f": "0C", "r": "0D"}
 
 
@@ -46,9 +48,14 @@ def unquoted(path: Column) -> Column:
     return F.when(F.startswith(path, F.lit('"')), decoded).otherwise(path)
 
 
-def _path(head: Column, side_mark: str, rename_mark: str, side: int) -> Column:
-    """Path on one side: rename line, side line, or the patch's first line, whichever is there."""
-    prefix = "ab"[side]
+def _extracted(text: Column, pattern: str, mark: str | None = None) -> Column:
+    """First group of the pattern, empty if it is not found; only texts with ``mark`` are searched, if it is given."""
+    group = F.regexp_extract(text, pattern, 1)
+    return group if mark is None else F.when(F.contains(text, F.lit(mark)), group).otherwise("")
+
+
+def _quoted_path(head: Column, side_mark: str, rename_mark: str, prefix: str) -> Column:
+    """Path on one side of a head that holds quotes; hardly any does."""
 
     def found(pattern: str) -> Column:
         return F.nullif(F.regexp_extract(head, pattern, 1), F.lit(""))
@@ -56,13 +63,31 @@ def _path(head: Column, side_mark: str, rename_mark: str, side: int) -> Column:
     def after_prefix(path: Column) -> Column:
         return F.substring(path, 3, 2147483647)
 
-    same = found(r"\Adiff --git a/([^\n]+?) b/\1(?:\n|\z)")
-    plain = F.coalesce(found(rf"\nrename {rename_mark} ([^\n]+)"), found(rf"\n{side_mark} {prefix}/([^\n\t]+)"), same)
     renamed = unquoted(found(rf"\nrename {rename_mark} ({_QUOTED}|[^\n]+)"))
     marked = after_prefix(unquoted(found(rf'\n{side_mark} ({_QUOTED}|{prefix}/[^\n\t"]+)')))
     quoted = after_prefix(unquoted(found(rf"\Adiff --git (?={_QUOTED} {_QUOTED}(?:\n|\z))({_QUOTED})")))
-    # Hardly any patch has quotes in its head.
-    return F.when(F.contains(head, F.lit('"')), F.coalesce(renamed, marked, same, quoted)).otherwise(plain)
+    return F.coalesce(renamed, marked, found(_SAME_PATH), quoted)
+
+
+def _with_paths(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``old_path, new_path`` of their ``head``: rename line, side line, or the patch's first line, whichever is there.
+
+    Each step is a projection of its own, so that no pattern is searched twice, and none that an earlier one makes needless.
+    """
+    head = F.col("head")
+    sides = {"old": ("---", "from", "a"), "new": (r"\+\+\+", "to", "b")}
+    for side, (side_mark, rename_mark, prefix) in sides.items():
+        renamed = _extracted(head, rf"\nrename {rename_mark} ([^\n]+)", "\nrename ")
+        marked = _extracted(head, rf"\n{side_mark} {prefix}/([^\n\t]+)")
+        rows = rows.withColumn(f"_{side}_renamed", renamed).withColumn(f"_{side}_marked", marked)
+    neither = [(F.col(f"_{side}_renamed") == "") & (F.col(f"_{side}_marked") == "") for side in sides]
+    rows = rows.withColumn("_same", F.when(neither[0] | neither[1], _extracted(head, _SAME_PATH)).otherwise(""))
+    for side, (side_mark, rename_mark, prefix) in sides.items():
+        plain = F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in (f"_{side}_renamed", f"_{side}_marked", "_same")])
+        quoted = _quoted_path(head, side_mark, rename_mark, prefix)
+        rows = rows.withColumn(f"_{side}", F.when(F.contains(head, F.lit('"')), quoted).otherwise(plain))
+    old, new = F.col("_old"), F.col("_new")
+    return rows.withColumn("old_path", F.coalesce(old, new)).withColumn("new_path", F.coalesce(new, old))
 
 
 def patches(diffs: DataFrame, text_col: str = "diff") -> DataFrame:
@@ -74,27 +99,18 @@ def patches(diffs: DataFrame, text_col: str = "diff") -> DataFrame:
     """
     first = F.col("first_patch") if "first_patch" in diffs.columns else F.lit(0)
     texts = diffs.select("slug", "sha", first.alias("first"), F.col(text_col).alias("text"))
-    split = texts.select("slug", "sha", "first", F.posexplode(F.split("text", r"\n(?=diff --git )")).alias("at", "patch"))
-    split = split.filter(F.startswith("patch", F.lit("diff --git ")))
+    several = F.contains("text", F.lit(f"\n{_PATCH_HEAD}"))
+    found = F.when(several, F.split("text", rf"\n(?={_PATCH_HEAD})")).otherwise(F.array("text"))
+    split = texts.select("slug", "sha", "first", F.posexplode(found).alias("at", "patch"))
+    split = split.filter(F.startswith("patch", F.lit(_PATCH_HEAD)))
     parts = F.split("patch", r"\n(?=@@ -\d)")
-    head = F.col("head")
-    return (
-        split.select("slug", "sha", (F.col("first") + F.col("at")).alias("patch_pos"), parts.alias("parts"))
-        .select(
-            "slug", "sha", "patch_pos",
-            F.element_at("parts", 1).alias("head"),
-            F.slice("parts", F.lit(2), F.size("parts")).alias("hunks"),
-        )
-        .select(
-            "slug", "sha", "patch_pos",
-            _path(head, "---", "from", 0).alias("old_path"),
-            _path(head, r"\+\+\+", "to", 1).alias("new_path"),
-            F.rlike(head, F.lit(r"\n(?:Binary files |GIT binary patch)")).alias("is_binary"),
-            "hunks",
-        )
-        .withColumn("old_path", F.coalesce("old_path", "new_path"))
-        .withColumn("new_path", F.coalesce("new_path", "old_path"))
+    cut = split.select("slug", "sha", (F.col("first") + F.col("at")).alias("patch_pos"), parts.alias("parts")).select(
+        "slug", "sha", "patch_pos",
+        F.element_at("parts", 1).alias("head"),
+        F.slice("parts", F.lit(2), F.size("parts")).alias("hunks"),
     )
+    is_binary = F.contains("head", F.lit("\nBinary files ")) | F.contains("head", F.lit("\nGIT binary patch"))
+    return _with_paths(cut).select("slug", "sha", "patch_pos", "old_path", "new_path", is_binary.alias("is_binary"), "hunks")
 
 
 def read_patches(spark: SparkSession, folder: str, pattern: str = "*.diff") -> DataFrame:
@@ -136,36 +152,41 @@ def read_patches(spark: SparkSession, folder: str, pattern: str = "*.diff") -> D
     return found.filter("NOT _first AND sha IS NOT NULL").drop("_first")
 
 
-def _side(lines: Column, start: Column, origin: str) -> Column:
-    """Lines of one side of a hunk with their numbers, those of ``origin`` only."""
+def _side(hunk: Column, origin: str) -> Column:
+    """A hunk's header and its lines on the side of ``origin``: neither empty ones nor those of the other side, nor remarks."""
     other = "+" if origin == "-" else "-"
-    on_side = F.filter(lines, lambda line: ~F.left(line, F.lit(1)).isin(other, "\\", ""))
-    nothing = F.lit(None).cast("int")
-    numbered = F.transform(
-        on_side,
-        lambda line, at: F.struct(
-            F.left(line, F.lit(1)).alias("origin"),
-            (start + at if origin == "-" else nothing).alias("old_lineno"),
-            (start + at if origin == "+" else nothing).alias("new_lineno"),
-            F.substring(line, 2, 2147483647).alias("content"),
-        ),
-    )
-    return F.filter(numbered, lambda line: line["origin"] == origin)
+    return F.regexp_replace(hunk, rf"\n(?:[{other}\\][^\n]*+)?+(?=\n|\z)", "")
 
 
 def diff_lines(diffs: DataFrame, text_col: str = "diff") -> DataFrame:
-    """Added and removed lines with their numbers; one row with a null origin for a patch without lines."""
-    hunks = patches(diffs, text_col).select(
-        "slug", "sha", "patch_pos", "old_path", "new_path", "is_binary", F.posexplode_outer("hunks").alias("hunk_pos", "hunk")
-    )
-    lines = F.slice(F.split("hunk", "\n"), F.lit(2), F.greatest(F.size(F.split("hunk", "\n")), F.lit(1)))
-    old_start = F.nullif(F.regexp_extract("hunk", _HUNK_HEADER, 1), F.lit("")).cast("int")
-    new_start = F.nullif(F.regexp_extract("hunk", _HUNK_HEADER, 2), F.lit("")).cast("int")
-    both = hunks.select(
-        "slug", "sha", "patch_pos", "hunk_pos", "old_path", "new_path", "is_binary",
-        F.explode_outer(F.concat(_side(lines, old_start, "-"), _side(lines, new_start, "+"))).alias("line"),
-    )
-    return both.select("slug", "sha", "patch_pos", "hunk_pos", "old_path", "new_path", "is_binary", "line.*")
+    """Added and removed lines with their numbers; one row with a null origin for a patch without lines.
+
+    A line's number follows from its place among the lines of its side, which are split from a text without the other
+    side's lines.  A hunk that has no lines on a side is not split for it.
+    """
+    kept = ["slug", "sha", "patch_pos", "hunk_pos", "old_path", "new_path", "is_binary"]
+    hunks = patches(diffs, text_col).select("*", F.posexplode_outer("hunks").alias("hunk_pos", "hunk")).drop("hunks")
+    starts = [F.regexp_extract("hunk", _HUNK_HEADER, group).alias(name) for group, name in ((1, "old"), (2, "new"))]
+    placed = hunks.select(*kept, "hunk", *starts)
+    origins = {"-": "old", "+": "new"}
+    has = {origin: F.coalesce(F.contains("hunk", F.lit(f"\n{origin}")), F.lit(False)) for origin in origins}
+
+    def side(origin: str) -> Column:
+        start = F.nullif(F.col(origins[origin]), F.lit("")).cast("int")
+        return F.struct(F.lit(origin).alias("origin"), start.alias("start"), _side(F.col("hunk"), origin).alias("text"))
+
+    nothing = F.struct(F.lit(None).cast("string").alias("origin"), F.lit(None).cast("int").alias("start"), F.lit("").alias("text"))
+    sides = [F.when(has[origin], side(origin)) for origin in origins]
+    empty = F.when(~has["-"] & ~has["+"], nothing)
+    by_side = placed.select(*kept, F.explode(F.array(*sides, empty)).alias("side")).filter("side IS NOT NULL").select(*kept, "side.*")
+    lines = by_side.select(*kept, "origin", "start", F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    on_side = lines.filter(F.col("origin").isNull() | F.startswith("line", "origin"))
+
+    def number(origin: str) -> Column:
+        return F.when(F.col("origin") == origin, F.col("start") + F.col("at") - 1)
+
+    content = F.when(F.col("origin").isNotNull(), F.substring("line", 2, 2147483647))
+    return on_side.select(*kept, "origin", number("-").alias("old_lineno"), number("+").alias("new_lineno"), content.alias("content"))
 
 
 def file_changes_from_diffs(diffs: DataFrame, text_col: str = "diff") -> DataFrame:

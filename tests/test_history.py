@@ -260,6 +260,22 @@ def test_diff_text(table):
     assert rows(changes.file_changes(found), "patch_pos", "loc_ins", "loc_del") == totals
 
 
+def test_lines_of_odd_hunks_are_split_without_lambdas(spark, table):
+    head = "diff --git a/f b/f\n--- a/f\n+++ b/f\n"
+    texts = [
+        head + "@@ -5,9 +7,9 @@ where\n ctx\n-a\n\n\\ No newline\n--\n++\n+b\n ctx\n-c\n", head + "@@ -1 +1 @@\n ctx\n@@ -x\n-z\n+", head + "@@ -3\n+only\n\n",
+        "diff --git a/x b/y\nrename from x\nrename to y\n@@ -2 +2 @@\n-\n", None, "", "junk",
+    ]
+    found = diff_text.diff_lines(table([("o/p", str(n), t) for n, t in enumerate(texts)], "slug string, sha string, diff string"))
+    # Paths aside, whose quotes are taken off by one.
+    assert "lambda" not in found.select("origin", "old_lineno", "new_lineno", "content")._jdf.queryExecution().optimizedPlan().toString()
+    assert rows(found, "sha", "hunk_pos", "old_path", "new_path", "origin", "old_lineno", "new_lineno", "content") == sorted([
+        ("0", 0, "f", "f", "-", 6, None, "a"), ("0", 0, "f", "f", "-", 7, None, "-"), ("0", 0, "f", "f", "-", 9, None, "c"),
+        ("0", 0, "f", "f", "+", None, 8, "+"), ("0", 0, "f", "f", "+", None, 9, "b"),
+        ("1", 0, "f", "f", None, None, None, None), ("1", 1, "f", "f", "-", None, None, "z"), ("1", 1, "f", "f", "+", None, None, ""),
+        ("2", 0, "f", "f", "+", None, None, "only"), ("3", 0, "x", "y", "-", 2, None, "")], key=repr)
+
+
 def test_quoted_paths(spark, table):
     from changelens.operators.classify import classify_files
 
