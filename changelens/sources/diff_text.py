@@ -123,28 +123,31 @@ def read_patches(spark: SparkSession, folder: str, pattern: str = "*.diff") -> D
     """
     given = spark.read.option("lineSep", "\n" + _PATCH_HEAD).option("pathGlobFilter", pattern).text(f"{folder}/*")
     block = ["file", "block"]
+    # Most records end where the next patch of the same commit begins.
+    may_end = F.contains("value", F.lit("commit "))
     records = given.select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"),
-        "value", F.nullif(F.regexp_extract("value", _COMMIT_LINE, 1), F.lit("")).alias("next_sha"),
-    )
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value",
+        F.when(may_end, F.regexp_extract("value", _COMMIT_LINE, 1)).otherwise("").alias("next_sha"),
+    ).withColumn("next_sha", F.nullif("next_sha", F.lit("")))
     in_block = Window.partitionBy(*block).orderBy("at")
     so_far, before = in_block.rowsBetween(Window.unboundedPreceding, Window.currentRow), in_block.rowsBetween(Window.unboundedPreceding, -1)
 
-    def placed(rows: DataFrame) -> DataFrame:
-        return rows.withColumn("nth", F.count("*").over(so_far))
-
-    commit = F.when(F.col("next_sha").isNotNull(), F.struct(F.col("next_sha").alias("sha"), F.col("nth")))
-    summed = placed(records).groupBy(*block).agg(F.count("*").alias("n"), F.max_by(commit, F.when(F.col("next_sha").isNotNull(), F.col("nth"))).alias("commit"))
+    # A task reads a block from end to end, so its records have consecutive numbers and need not be put in order to be counted.
+    last = F.max_by("next_sha", F.when(F.col("next_sha").isNotNull(), F.col("at")))
+    last_at = F.max(F.when(F.col("next_sha").isNotNull(), F.col("at")))
+    summed = records.groupBy(*block).agg(F.count("*").alias("n"), last.alias("sha"), (last_at - F.min("at") + 1).alias("nth"))
+    summed = summed.select(*block, "n", F.when(F.col("sha").isNotNull(), F.struct("sha", "nth")).alias("commit"))
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     ahead = summed.withColumn("ahead", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
     carried = F.when(F.col("commit").isNotNull(), F.struct(F.col("commit.sha").alias("sha"), (F.col("ahead") + F.col("commit.nth")).alias("nth")))
     blocks = settle(ahead.select(*block, "ahead", F.last(carried, ignorenulls=True).over(earlier).alias("open")))
 
-    mine = placed(records).withColumn("inside", F.last(commit, ignorenulls=True).over(before)).join(blocks, block)
+    commit = F.when(F.col("next_sha").isNotNull(), F.struct(F.col("next_sha").alias("sha"), F.col("nth")))
+    mine = records.withColumn("nth", F.count("*").over(so_far)).withColumn("inside", F.last(commit, ignorenulls=True).over(before)).join(blocks, block)
     place = F.col("ahead") + F.col("nth")
     start = F.coalesce(F.col("ahead") + F.col("inside.nth"), F.col("open.nth"))
     first = (F.col("block") == 0) & (F.col("nth") == 1)
-    text = F.regexp_replace("value", _FROM_COMMIT_LINE, "")
+    text = F.when(may_end, F.regexp_replace("value", _FROM_COMMIT_LINE, "")).otherwise(F.col("value"))
     found = mine.select(
         folder_to_slug(F.regexp_replace("file", "/[^/]*$", "")).alias("slug"), F.coalesce("inside.sha", "open.sha").alias("sha"),
         (place - start - 1).cast("int").alias("first_patch"), F.concat(F.lit(_PATCH_HEAD), text, F.lit("\n")).alias("diff"), first.alias("_first"),

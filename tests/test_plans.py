@@ -11,7 +11,7 @@ from changelens.plans import bug_history, people, report
 from changelens.session import CO_PARTITIONED, apply_settings
 from changelens.sources import csv_tables, tables
 from drivercheck.queries import Steps
-from drivercheck.views import WrittenHistory, view
+from drivercheck.views import WrittenHistory, dealt_view, view
 from tests.conftest import rows
 
 GIVEN = "/root/testdata/sf0.001"
@@ -239,6 +239,18 @@ def test_periods_are_merged_where_the_state_lies(spark, small_history):
         assert rows(found) == rows(daily[name]) != []
 
 
+def test_patches_lie_by_commit_before_logs_are_written(spark, small_history):
+    from pyspark.sql import Window, functions as F
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    texts = dealt_view(spark, small_history, "vw_diff_text")
+    first = texts.withColumn("before", F.lag("sha").over(Window.partitionBy("slug", "sha").orderBy("first_patch")))
+    assert _plan(first).count("Exchange") == _plan(texts).count("Exchange") > 0
+    assert rows(texts) == rows(view(spark, small_history, "vw_diff_text")) != []
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    apply_settings(spark)
+
+
 def test_people_of_a_commit_are_read_once(spark, small_history):
     steps, _ = _report_inputs(spark, small_history)
     assert "Union" not in _plan(changes.contributors(steps.commits))
