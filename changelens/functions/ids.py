@@ -24,6 +24,11 @@ def unpacked(id_: Column) -> Column:
     return F.when(F.substring(id_, 1, 1) == F.lit(_DIGITS), F.lower(F.hex(rest))).otherwise(rest.cast("string"))
 
 
+def with_packed_ids(rows: DataFrame, *ids: str) -> DataFrame:
+    """``rows`` with those of the columns ``ids`` that they have packed."""
+    return rows.select(*[packed(F.col(c)).alias(c) if c in ids else c for c in rows.columns])
+
+
 def ids_as_text(rows: DataFrame) -> DataFrame:
     """``rows`` with every packed id as it was; no other column may be binary."""
     return rows.select(*[unpacked(F.col(f.name)).alias(f.name) if isinstance(f.dataType, T.BinaryType) else f.name for f in rows.schema])

@@ -95,12 +95,6 @@ def induced_bugs_per_commit(induced: DataFrame) -> DataFrame:
     )
 
 
-def commits_by_user(facts: DataFrame, aliases: DataFrame, period: str) -> DataFrame:
-    """Commit facts with representative, project and report period."""
-    dated = facts.withColumn(period, activity_period(F.col("ts"), period)).withColumn("project", F.col("slug"))
-    return with_representative(dated, aliases, "author_id")
-
-
 def packed_commits(facts: DataFrame, aliases: DataFrame, period: str, columns: list[str]) -> DataFrame:
     """Commits with ``user_id`` (packed), project, report period and ``columns``, written once and bucketed by commit.
 
@@ -326,7 +320,8 @@ def activity_by_language(
     ``num_distinct_commits`` counts commits.  Deleted lines are negative.
     """
     keys = ["user_id", "language", period]
-    spot = commits_by_user(facts, aliases, period).select(*COMMIT, "user_id", period)
+    dated = facts.select(*COMMIT, "author_id", activity_period(F.col("ts"), period).alias(period))
+    spot = with_packed_representative(dated, aliases, "author_id").drop("author_id")
     rows = guess_language(source_file_rows(changes).join(spot, COMMIT), "file", "language", catalog)
     rows = first_in_commit(rows, keys)
     summed = ["rows", "loc_ins", "loc_del", "first"]
@@ -342,7 +337,7 @@ def activity_by_language(
             F.coalesce(F.sum("loc_del"), F.lit(0)).alias("src_loc_deleted"),
             F.sum("first").alias("num_distinct_commits"),
         )
-        .select(*keys, *LANGUAGE_MEASURES)
+        .select(unpacked(F.col("user_id")).alias("user_id"), *keys[1:], *LANGUAGE_MEASURES)
     )
 
 

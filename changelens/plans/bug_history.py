@@ -7,7 +7,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from changelens.functions.ids import ids_as_text, with_packed_ids
 from changelens.operators import changes as C
 from changelens.operators import links as L
 from changelens.operators import origins as O
@@ -46,8 +48,8 @@ def analyse_history(
     ``issue_order`` names the column by which the last of several rows of one
     issue is known; without it the greatest row stands.  ``file_changes`` are the
     totals of each patch where they are known already.  Every result passes
-    through ``keep`` with its name before later ones are derived from it; as it
-    is, all results stay lazy (see :func:`run_history`).
+    through ``keep`` with its name before later ones are derived from it (from given
+    ``file_changes`` as they are); as it is, all results stay lazy (see :func:`run_history`).
 
     Without ``blame_hunks`` the origin of a line is found by its content.
     ``compat`` gives one blame row per origin commit, as historically written;
@@ -55,7 +57,10 @@ def analyse_history(
     ``diff_lines``: it is read for file totals and for origins.
     """
     issues = L.latest_issues(issues, issue_order)
-    changes = keep(C.file_changes(diff_lines) if file_changes is None else file_changes, "file_changes")
+    changes = C.file_changes(diff_lines) if file_changes is None else file_changes
+    kept_changes = keep(changes, "file_changes")
+    if file_changes is None:
+        changes = kept_changes
     facts = keep(C.commit_facts(commits, changes), "commits")
     linked = keep(L.issue_links(commits, issues), "issue_links")
     removed = O.removed_lines(L.fixing_commits(linked, issues, valid_labels), diff_lines)
@@ -78,7 +83,7 @@ def analyse_history(
     first_lines = blamed.groupBy(*C.COMMIT).agg(F.max("message").alias("first_line"))
     blamed_facts = facts.join(first_lines, ["slug", "sha"]).withColumn("message", F.col("first_line")).drop("first_line")
     files, people = keep(C.commit_files(changes), "commit_files"), keep(C.contributors(commits), "contributors")
-    return History(facts, changes, files, linked, blames, keep(blamed_facts, "blamed_commit"), people)
+    return History(facts, kept_changes, files, linked, blames, keep(blamed_facts, "blamed_commit"), people)
 
 
 def run_history(folder: str, commits: DataFrame, issues: DataFrame, diff_lines: DataFrame, *args, interchange: str | None = None, **settings) -> History:
@@ -90,17 +95,22 @@ def run_history(folder: str, commits: DataFrame, issues: DataFrame, diff_lines:
     draft = Draft(commits.sparkSession, folder)
     history = analyse_history(commits, issues, diff_lines, *args, **settings, keep=keeper(draft))
     draft.publish()
+    history = History(**{name: ids_as_text(table) for name, table in vars(history).items()})
     if interchange:
         write_interchange(history, interchange)
     return history
 
 
 def keeper(draft: Draft, units: DataFrame | None = None) -> Callable[[DataFrame, str], DataFrame]:
-    """Writes each result to ``draft`` (of some ``units`` only, if they are given) and goes on from what is written."""
+    """Writes each result to ``draft`` (of some ``units`` only, if they are given) and goes on from what is written.
+
+    Packed ids (``functions.ids``) are written as text and packed again when they are read.
+    """
 
     def keep(table: DataFrame, name: str) -> DataFrame:
-        draft.write(table, name, units)
-        return draft.written(name).select(*table.columns)
+        draft.write(table, name, units, spelled=ids_as_text)
+        ids = [f.name for f in table.schema if isinstance(f.dataType, T.BinaryType)]
+        return with_packed_ids(draft.written(name).select(*table.columns), *ids)
 
     return keep
 

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from changelens.operators import activity as A
 from changelens.operators import activity_state as S
+from changelens.operators.changes import COMMIT
 from changelens.operators.references import cross_references
-from changelens.scratch import settle
+from changelens.scratch import settle, settle_by
 from changelens.sources.csv_tables import write_report, write_table
-from changelens.functions.ids import ids_as_text
+from changelens.functions.ids import ids_as_text, with_packed_ids
 from changelens.functions.times import PERIODS
 from changelens.sources.tables import Draft, read_native, write_native
 
@@ -17,10 +18,20 @@ PROJECT_REPORT = "user_project_date_totalcommits"
 LANGUAGE_REPORT = "user_language_date_totalcommits"
 
 
+#: Columns with ids of commits, which are shuffled as bytes.
+COMMIT_IDS = ("sha", "commit_sha", "bug_fixing_commit", "blamed_commit")
+
+
+def by_commit(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Commits and file changes of the published history as every report reads them: dealt out by commit once, ids packed."""
+    tables = [with_packed_ids(read_native(spark, folder, t), *COMMIT_IDS) for t in ("commits", "file_changes")]
+    return tuple(spark.table(settle_by(table.drop("message", "committer_id", "old_path"), *COMMIT)) for table in tables)
+
+
 def induced_bugs(spark: SparkSession, folder: str, aliases: DataFrame, units: DataFrame | None = None) -> DataFrame:
     """Who induced which bug, from the published history (of some ``units`` only, if they are given)."""
     tables = ("blames_commit", "blamed_commit", "issue_links", "contributors")
-    return A.induced_bugs(*(read_native(spark, folder, t, units=units) for t in tables), aliases)
+    return A.induced_bugs(*(with_packed_ids(read_native(spark, folder, t, units=units), *COMMIT_IDS) for t in tables), aliases)
 
 
 def write_reports(
@@ -33,7 +44,7 @@ def write_reports(
     project report only.  ``interchange`` names a folder for the CSV form, sorted
     as the report files are.
     """
-    facts, changes, aliases = (read_native(spark, folder, t) for t in ("commits", "file_changes", "alias_map"))
+    (facts, changes), aliases = by_commit(spark, folder), read_native(spark, folder, "alias_map")
     induced = settle(induced_bugs(spark, folder, aliases))
     if compat:
         by_project = A.activity_by_project_compat(facts, changes, induced, aliases)
@@ -59,7 +70,7 @@ def write_every_period(spark: SparkSession, folder: str, catalog: DataFrame | No
 
     Commits and files are read once for each report; every period comes from the written state.
     """
-    facts, changes, aliases = (read_native(spark, folder, t) for t in ("commits", "file_changes", "alias_map"))
+    (facts, changes), aliases = by_commit(spark, folder), read_native(spark, folder, "alias_map")
     induced = settle(induced_bugs(spark, folder, aliases))
     draft = Draft(spark, folder)
     states = {PROJECT_REPORT: S.project_state(facts, changes, induced, aliases), LANGUAGE_REPORT: S.language_state(facts, changes, aliases, catalog)}

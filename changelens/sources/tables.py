@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -21,6 +22,7 @@ from pyspark.sql import types as T
 
 from changelens.functions.text import slug_to_folder
 from changelens.operators.aliases import AliasResolution
+from changelens.scratch import COMPRESSION
 
 PROJECT = "project_folder"
 #: Units that a reader names in a partition filter; more of them are looked up by a join.
@@ -49,11 +51,15 @@ class Draft:
         self.version = max((row.version for row in published(spark, folder)), default=0) + 1
         self.place = f"data/{self.version}-{uuid.uuid4().hex}"
 
-    def write(self, df: DataFrame, table: str, units: DataFrame | None = None, parts: list[str] | None = None) -> None:
+    def write(
+        self, df: DataFrame, table: str, units: DataFrame | None = None, parts: list[str] | None = None,
+        spelled: Callable[[DataFrame], DataFrame] = lambda rows: rows,
+    ) -> None:
         """Write a table, partitioned by ``parts`` (else by project, if it has a ``slug``).
 
         Rows are rebalanced on the partition columns first, so that a task writes few projects and a large project is
         split among tasks by size.  ``units`` lists the units that this replaces, also those without rows now.
+        ``spelled`` gives rows as they are to be written, after they were moved.
         """
         if parts is None:
             parts = [PROJECT] if "slug" in df.columns else []
@@ -61,12 +67,12 @@ class Draft:
             df = df.withColumn(PROJECT, slug_to_folder(F.col("slug" if "slug" in df.columns else "project")))
         path = f"{self.folder}/{self.place}/{table}"
         if parts:
-            df.hint("rebalance", *[F.col(p) for p in parts]).write.partitionBy(*parts).parquet(path)
+            spelled(df.hint("rebalance", *[F.col(p) for p in parts])).write.option("compression", COMPRESSION).partitionBy(*parts).parquet(path)
         else:
-            df.write.parquet(path)
+            spelled(df).write.option("compression", COMPRESSION).parquet(path)
         if units is not None:
             units.select(*parts).distinct().write.parquet(f"{path}.units")
-        self.rows.append((table, self.place, ",".join(parts), units is not None, df.schema.json()))
+        self.rows.append((table, self.place, ",".join(parts), units is not None, spelled(df).schema.json()))
 
     def written(self, table: str) -> DataFrame:
         """What this draft holds of a table."""

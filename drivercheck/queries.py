@@ -692,11 +692,11 @@ def whole_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     from changelens.plans import bug_history, people as people_plan, report
 
     folder = fresh_path(spark, "history")
-    commits = view(spark, sf_dir, "vw_commits").withColumn("committed_at", F.col("ts"))
+    steps = _written(spark, sf_dir)
+    commits = steps.commits.withColumn("committed_at", F.col("ts"))
     issues = view(spark, sf_dir, "vw_issues").withColumn("labels", text.split_list(F.col("labels")))
     bug_history.run_history(
-        folder, commits, issues, view(spark, sf_dir, "vw_diff_lines"), view(spark, sf_dir, "vw_blame_hunks"),
-        issue_order="version", file_changes=view(spark, sf_dir, "vw_file_changes").drop("ts", "l_orderkey", "l_partkey", "qty"),
+        folder, commits, issues, steps.diff_lines, steps.named("vw_blame_hunks"), issue_order="version", file_changes=steps.changes,
     )
     people_plan.resolve_identities(spark, folder)
     report.write_reports(spark, folder)

@@ -251,6 +251,28 @@ def test_patches_lie_by_commit_before_logs_are_written(spark, small_history):
     apply_settings(spark)
 
 
+def test_history_of_packed_ids_is_written_as_text(spark, small_history, tmp_path):
+    issues = view(spark, small_history, "vw_commits").select("slug").distinct().selectExpr(
+        "slug", "explode(sequence(0L, 100L)) as number", "1 as version", "timestamp '1980-01-01' as created_at", "timestamp '2050-01-01' as closed_at",
+        "cast(null as array<string>) as labels", "false as is_pl")
+    written = {}
+    for kind, named in (("plain", lambda name: view(spark, small_history, name)), ("packed", WrittenHistory(spark, small_history, packed=True).view)):
+        steps, folder = Steps(named), str(tmp_path / kind)
+        written[kind] = vars(bug_history.run_history(
+            folder, steps.commits, issues, steps.diff_lines, steps.named("vw_blame_hunks"), issue_order="version", file_changes=steps.changes))
+        for name, found in written[kind].items():
+            assert rows(tables.read_native(spark, folder, name).select(*found.columns)) == rows(found)
+    for name, found in written["plain"].items():
+        assert written["packed"][name].dtypes == found.dtypes and rows(written["packed"][name]) == rows(found), name
+    assert rows(written["packed"]["issue_links"]) != []
+    # Reports read what was written once, where it lies by commit.
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    facts, changes_ = report.by_commit(spark, str(tmp_path / "packed"))
+    assert "Exchange" not in _plan(facts.join(changes_, changes.COMMIT))
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    apply_settings(spark)
+
+
 def test_people_of_a_commit_are_read_once(spark, small_history):
     steps, _ = _report_inputs(spark, small_history)
     assert "Union" not in _plan(changes.contributors(steps.commits))
