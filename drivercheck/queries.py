@@ -14,7 +14,7 @@ from changelens.operators import activity, activity_state, aliases, changes, ing
 from changelens.operators.classify import classify_files, guess_language, label_lines
 from changelens.scratch import fresh_path, settle, settle_by
 from changelens.sources import csv_tables, diff_text, tables
-from drivercheck.views import WrittenHistory, dealt_view, view
+from drivercheck.views import WrittenHistory, view
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -536,18 +536,20 @@ def diff_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _log_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Patches as text, a row each; the rows of a commit follow each other in one file.  Dealt out once, as log files need them."""
+    texts = view(spark, sf_dir, "vw_diff_text").select(text.slug_to_folder(F.col("slug")).alias("folder"), "slug", "sha", "first_patch", "diff")
+    first = F.lag("sha").over(Window.partitionBy("folder", "sha", "slug").orderBy("first_patch")).isNull()
+    head = F.when(first, F.concat(F.lit("commit "), "sha", F.lit("\nAuthor: A <a@x.org>\n\n    commit message\n    diff --git\n\n"))).otherwise("")
+    rows = texts.repartition("folder", "sha").select("folder", "sha", "first_patch", F.concat(head, F.rtrim("diff", F.lit("\n"))).alias("value"))
+    return rows.sortWithinPartitions("folder", "sha", "first_patch").select("folder", "value")
+
+
 @query
 def diff_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Diff lines from log files of many commits and patches."""
     folder = fresh_path(spark, "logs")
-    first = F.lag("sha").over(Window.partitionBy("slug", "sha").orderBy("first_patch")).isNull()
-    head = F.when(first, F.concat(F.lit("commit "), "sha", F.lit("\nAuthor: A <a@x.org>\n\n    commit message\n    diff --git\n\n"))).otherwise("")
-    patches = dealt_view(spark, sf_dir, "vw_diff_text").select(
-        text.slug_to_folder(F.col("slug")).alias("folder"), "sha", "first_patch", F.concat(head, F.rtrim("diff", F.lit("\n"))).alias("value")
-    )
-    # A row is a patch; the rows of a commit lie together as the window left them, and follow each other in one file.
-    rows = patches.sortWithinPartitions("folder", "sha", "first_patch")
-    rows.select("folder", "value").write.partitionBy("folder").text(folder)
+    _log_rows(spark, sf_dir).write.partitionBy("folder").text(folder)
     found = diff_text.diff_lines(diff_text.read_patches(spark, folder, "part-*"))
     named = found.withColumn("slug", F.replace("slug", F.lit("folder="), F.lit("")))
     none = F.lit("(null)")

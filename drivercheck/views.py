@@ -261,12 +261,6 @@ def _view(spark: SparkSession, sf_dir: str, name: str, written: dict[str, str],
     return spark.sql(with_views(f"select * from {name}", views, tables))
 
 
-def dealt_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A view over the Parquet tables of a folder whose rows lie by commit: dealt out while they are narrow."""
-    spark.conf.set(CO_PARTITIONED, "false")
-    return _view(spark, sf_dir, name, {}, DEALT_VIEWS)
-
-
 class WrittenHistory:
     """Views of one query, with commits and file changes written out once, bucketed by commit.
 
