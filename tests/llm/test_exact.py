@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -273,6 +274,22 @@ def test_a_filter_in_sections_scores_like_a_broadcast_one(docs, monkeypatch):
     assert whole == dealt
 
 
+@pytest.mark.parametrize("sections", [8, 9, 68, 820])
+def test_keys_at_the_edge_of_a_section_are_dealt_where_they_are_probed(sections):
+    """Some of them lie between the edge and the next multiple of 2^32: a few dozen of all n-grams of 6 GB of text."""
+    edges = [(k << 64) // sections for k in range(1, sections)]
+    keys = np.unique(np.array([key for e in edges for key in (e - 1, e, e | 0xFFFFFFFF, (e | 0xFFFFFFFF) + 1)], np.uint64))
+    cuts = lm_bloom._bounds(keys, sections)
+    width = 512
+    dealt = np.repeat(np.arange(sections), np.diff(cuts))
+    assert (lm_bloom._spots(keys, 1, 0, sections, width) // np.uint64(width) == dealt).all()
+    for k in (0, sections // 2, sections - 1):
+        own = keys[cuts[k] : cuts[k + 1]]
+        sums = np.arange(1, len(own) + 1, dtype=np.uint64)
+        group = pa.table({"section": [k], "block": [5], "keys": [lm_bloom._packed(own)], "sums": [lm_bloom._packed(sums)]})
+        assert (np.frombuffer(lm_bloom._answer(group, sections, width).column("levels")[0].as_py(), np.uint8) > 0).all()
+
+
 def test_filter_reads_back_quantised_counts(spark):
     text = " ".join(["a b"] * 37 + ["c d"] * 5 + ["e f"])
     code = lm_bloom.coded(spark.createDataFrame([(2, text)], "doc_id long, text string"))
