@@ -9,6 +9,10 @@ of any number of commits and patches, which any number of tasks share.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -118,43 +122,81 @@ def read_patches(spark: SparkSession, folder: str, pattern: str = "*.diff") -> D
 
     A file is a log with patches (``commit <sha>``, author, message, then the commit's patches, and so on) and lies
     in the folder of its project (``owner_____name``).  Files are read as records that end before a line ``diff --git``, so
-    any number of tasks share a file.  The commit line stands at the end of the record before a commit's first patch; from record
-    to record it is carried inside each block that a task reads, and from block to block by a table of one row for each block.
+    any number of tasks share a file; a compressed file that cannot be cut is one block.  The commit line stands at the end of the
+    record before a commit's first patch; from record to record it is carried inside each block as a task reads it, so that texts are
+    not shuffled, and from block to block by a table of one row for each block but the first of a file.
     """
     given = spark.read.option("lineSep", "\n" + _PATCH_HEAD).option("pathGlobFilter", pattern).text(f"{folder}/*")
     block = ["file", "block"]
     # Most records end where the next patch of the same commit begins.
     may_end = F.contains("value", F.lit("commit "))
-    records = given.select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value",
-        F.when(may_end, F.regexp_extract("value", _COMMIT_LINE, 1)).otherwise("").alias("next_sha"),
-    ).withColumn("next_sha", F.nullif("next_sha", F.lit("")))
-    in_block = Window.partitionBy(*block).orderBy("at")
-    so_far, before = in_block.rowsBetween(Window.unboundedPreceding, Window.currentRow), in_block.rowsBetween(Window.unboundedPreceding, -1)
+    next_sha = F.nullif(F.when(may_end, F.regexp_extract("value", _COMMIT_LINE, 1)).otherwise(""), F.lit(""))
+    file, start = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
+    marked = given.withColumns({"file": file, "block": start, "next_sha": next_sha})
 
+    # Only files of several blocks have something to carry over.
+    parted = marked.filter(F.col("_metadata.file_block_length") < F.col("_metadata.file_size"))
     # A task reads a block from end to end, so its records have consecutive numbers and need not be put in order to be counted.
+    parted = parted.select(*block, "next_sha", F.monotonically_increasing_id().alias("at"))
     last = F.max_by("next_sha", F.when(F.col("next_sha").isNotNull(), F.col("at")))
     last_at = F.max(F.when(F.col("next_sha").isNotNull(), F.col("at")))
-    summed = records.groupBy(*block).agg(F.count("*").alias("n"), last.alias("sha"), (last_at - F.min("at") + 1).alias("nth"))
+    summed = parted.groupBy(*block).agg(F.count("*").alias("n"), last.alias("sha"), (last_at - F.min("at") + 1).alias("nth"))
     summed = summed.select(*block, "n", F.when(F.col("sha").isNotNull(), F.struct("sha", "nth")).alias("commit"))
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     ahead = summed.withColumn("ahead", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
     carried = F.when(F.col("commit").isNotNull(), F.struct(F.col("commit.sha").alias("sha"), (F.col("ahead") + F.col("commit.nth")).alias("nth")))
-    blocks = settle(ahead.select(*block, "ahead", F.last(carried, ignorenulls=True).over(earlier).alias("open")))
+    blocks = ahead.select(*block, "ahead", F.last(carried, ignorenulls=True).over(earlier).alias("open"))
+    blocks = settle(blocks.filter("block > 0"))
 
-    commit = F.when(F.col("next_sha").isNotNull(), F.struct(F.col("next_sha").alias("sha"), F.col("nth")))
-    mine = records.withColumn("nth", F.count("*").over(so_far)).withColumn("inside", F.last(commit, ignorenulls=True).over(before)).join(blocks, block)
+    text = F.when(may_end, F.regexp_replace("value", _FROM_COMMIT_LINE, "")).otherwise(F.col("value"))
+    records = marked.select(
+        F.xxhash64("file").alias("file_hash"), F.when(F.col("block") > 0, F.col("file")).alias("file"), "block",
+        folder_to_slug(F.regexp_replace("file", "/[^/]*$", "")).alias("slug"), "next_sha", text.alias("text"),
+    )
+    mine = records.mapInArrow(_carried, "file string, block long, slug string, text string, nth long, sha string, sha_nth long")
+    mine = mine.join(F.broadcast(blocks), block, "left").withColumn("ahead", F.coalesce("ahead", F.lit(0)))
     place = F.col("ahead") + F.col("nth")
-    start = F.coalesce(F.col("ahead") + F.col("inside.nth"), F.col("open.nth"))
+    start = F.coalesce(F.col("ahead") + F.col("sha_nth"), F.col("open.nth"))
     first = (F.col("block") == 0) & (F.col("nth") == 1)
-    text = F.when(may_end, F.regexp_replace("value", _FROM_COMMIT_LINE, "")).otherwise(F.col("value"))
     found = mine.select(
-        folder_to_slug(F.regexp_replace("file", "/[^/]*$", "")).alias("slug"), F.coalesce("inside.sha", "open.sha").alias("sha"),
-        (place - start - 1).cast("int").alias("first_patch"), F.concat(F.lit(_PATCH_HEAD), text, F.lit("\n")).alias("diff"), first.alias("_first"),
+        "slug", F.coalesce("sha", "open.sha").alias("sha"),
+        (place - start - 1).cast("int").alias("first_patch"), F.concat(F.lit(_PATCH_HEAD), "text", F.lit("\n")).alias("diff"), first.alias("_first"),
     )
     return found.filter("NOT _first AND sha IS NOT NULL").drop("_first")
 
 
+def _carried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds ``nth``, a record's place in its block from 1, and the last commit line before it there: ``sha``, and its place ``sha_nth``.
+
+    Records come as they are read, block after block; texts are passed on as they are.
+    """
+    block, n, sha, sha_nth = None, 0, None, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        at, shas = np.arange(batch.num_rows), batch.column("next_sha")
+        names = np.stack([batch.column(c).to_numpy() for c in ("file_hash", "block")])
+        begins = np.concatenate([[block is None or (names[:, 0] != block).any()], (names[:, 1:] != names[:, :-1]).any(axis=0)])
+        begin = np.maximum.accumulate(np.where(begins, at, -1))
+        nth = at - begin + np.where(begin < 0, n, 1)
+        marks = np.maximum.accumulate(np.where(shas.is_valid().to_numpy(zero_copy_only=False), at, -1))
+        before = np.concatenate([[-1], marks[:-1]])
+        # Place 0 of what is looked up is the line carried from the batch before.
+        known = (before >= begin) & ((before >= 0) | (sha is not None))
+        spots = pa.array(before + 1, mask=~known)
+        lines = pa.concat_arrays([pa.array([sha], shas.type), shas])
+        places = pa.array(np.concatenate([[sha_nth], nth]))
+        kept = [batch.column(c) for c in ("file", "block", "slug", "text")]
+        yield pa.RecordBatch.from_arrays(
+            [*kept, pa.array(nth), lines.take(spots), places.take(spots)], ["file", "block", "slug", "text", "nth", "sha", "sha_nth"]
+        )
+        block, n = names[:, -1], int(nth[-1])
+        if marks[-1] >= max(begin[-1], 0):
+            sha, sha_nth = shas[int(marks[-1])].as_py(), int(nth[marks[-1]])
+        elif begin[-1] >= 0:
+            sha, sha_nth = None, 0
+
+
 def _side(hunk: Column, origin: str) -> Column:
     """A hunk's header and its lines on the side of ``origin``: neither empty ones nor those of the other side, nor remarks."""
     other = "+" if origin == "-" else "-"

@@ -549,7 +549,7 @@ def _log_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def diff_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Diff lines from log files of many commits and patches."""
     folder = fresh_path(spark, "logs")
-    _log_rows(spark, sf_dir).write.partitionBy("folder").text(folder)
+    _log_rows(spark, sf_dir).write.partitionBy("folder").option("compression", "gzip").text(folder)
     found = diff_text.diff_lines(diff_text.read_patches(spark, folder, "part-*"))
     named = found.withColumn("slug", F.replace("slug", F.lit("folder="), F.lit("")))
     none = F.lit("(null)")

@@ -317,6 +317,34 @@ def test_log_files_are_read_in_splits(spark, tmp_path, split):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+def test_texts_of_log_files_are_not_shuffled(spark, tmp_path):
+    """Commit lines are carried from batch to batch, also over a compressed file, an empty one and one that has no commit line."""
+    import gzip
+
+    expected = []
+    for project, last in (("o_____p", 9), ("o_____q", 4)):
+        (tmp_path / project).mkdir()
+        text = ""
+        for c in range(last):
+            sha = f"{c:040x}"
+            text += f"commit {sha}\nAuthor: A\n\n    message\n\n"
+            for n in range(c % 5):
+                text += f"diff --git a/f{n} b/f{n}\n+{c}\n"
+                expected.append((project.replace("_____", "/"), sha, n, f"diff --git a/f{n} b/f{n}\n+{c}"))
+        with gzip.open(tmp_path / project / "b.diff.gz", "wt") as file:
+            file.write(text)
+        (tmp_path / project / "c.diff.gz").write_bytes(gzip.compress(b""))
+        (tmp_path / project / "d.diff.gz").write_bytes(gzip.compress(b"diff --git a/lost b/lost\n+lost\n" * 3))
+        (tmp_path / project / "e.diff").write_text(text.replace("commit 000", "commit eee"))
+    expected += [(slug, sha.replace("000", "eee", 1), n, patch) for slug, sha, n, patch in expected]
+    for records in (1, 3, 10_000):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(records))
+        found = diff_text.read_patches(spark, str(tmp_path), "*.diff*")
+        assert "Exchange hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+        assert sorted((s, c, n, d.rstrip("\n")) for s, c, n, d in found.collect()) == sorted(expected)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_payloads_are_parsed_once(table):
     given = table(
         [(1, '{"id":1,"state":"closed","more":{"x":[1]},"created_at":"2020-99-01T00:00:00Z"}'), (2, "[1]"), (3, '{"id":'), (4, None), (5, '{"id":null}'),

@@ -247,6 +247,20 @@ def test_patches_are_dealt_out_once_for_log_files(spark, small_history):
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_log_files_are_compressed(spark, small_history):
+    import glob
+
+    from changelens.scratch import shared_folder
+    from drivercheck.queries import QUERIES
+
+    pattern = f"{shared_folder(spark)}/logs-*/folder=*/part-*"
+    before = set(glob.glob(pattern))
+    lines = QUERIES["diff_files"](spark, small_history)
+    files = set(glob.glob(pattern)) - before
+    assert files and all(file.endswith(".gz") for file in files)
+    assert lines.filter("origin = '+'").count() > 0
+
+
 def test_history_of_packed_ids_is_written_as_text(spark, small_history, tmp_path):
     issues = view(spark, small_history, "vw_commits").select("slug").distinct().selectExpr(
         "slug", "explode(sequence(0L, 100L)) as number", "1 as version", "timestamp '1980-01-01' as created_at", "timestamp '2050-01-01' as closed_at",
