@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from changelens.at_once import at_once
 from changelens.functions.ids import ids_as_text, with_packed_ids
 from changelens.operators import changes as C
 from changelens.operators import links as L
@@ -49,7 +50,8 @@ def analyse_history(
     issue is known; without it the greatest row stands.  ``file_changes`` are the
     totals of each patch where they are known already.  Every result passes
     through ``keep`` with its name before later ones are derived from it (from given
-    ``file_changes`` as they are); as it is, all results stay lazy (see :func:`run_history`).
+    ``file_changes`` as they are); as it is, all results stay lazy (see :func:`run_history`).  Results that need not wait
+    for each other are kept at once.
 
     Without ``blame_hunks`` the origin of a line is found by its content.
     ``compat`` gives one blame row per origin commit, as historically written;
@@ -57,33 +59,37 @@ def analyse_history(
     ``diff_lines``: it is read for file totals and for origins.
     """
     issues = L.latest_issues(issues, issue_order)
-    changes = C.file_changes(diff_lines) if file_changes is None else file_changes
-    kept_changes = keep(changes, "file_changes")
-    if file_changes is None:
-        changes = kept_changes
-    facts = keep(C.commit_facts(commits, changes), "commits")
-    linked = keep(L.issue_links(commits, issues), "issue_links")
-    removed = O.removed_lines(L.fixing_commits(linked, issues, valid_labels), diff_lines)
-    if blame_hunks is not None:
-        lines = O.lines_with_origin(removed, blame_hunks)
-    else:
-        times = commits.select("slug", "sha", "ts")
-        added = diff_lines.filter("origin = '+'").select("slug", "sha", F.col("new_path").alias("path"), "content")
-        lines = O.lines_with_latest_addition(removed, times, added.join(times, ["slug", "sha"]))
-    plausible = O.plausible_origins(facts, max_files, max_new_lines)
-    if compat:
-        blames = O.bug_origins_compat(lines, plausible, commits.select("slug", "sha", "committed_at"))
-    else:
-        blames = O.bug_origins(lines, plausible)
-    blames = keep(blames, "blames_commit")
-    blamed = C.with_first_line_messages(commits).join(
-        blames.select("slug", F.col("blamed_commit").alias("sha")).distinct(), ["slug", "sha"], "left_semi"
-    )
-    # Facts hold stripped messages; origin commits keep their first line as it is.
-    first_lines = blamed.groupBy(*C.COMMIT).agg(F.max("message").alias("first_line"))
-    blamed_facts = facts.join(first_lines, ["slug", "sha"]).withColumn("message", F.col("first_line")).drop("first_line")
-    files, people = keep(C.commit_files(changes), "commit_files"), keep(C.contributors(commits), "contributors")
-    return History(facts, kept_changes, files, linked, blames, keep(blamed_facts, "blamed_commit"), people)
+    with at_once(commits.sparkSession) as begin:
+        people = begin(keep, C.contributors(commits), "contributors")
+        linked = begin(keep, L.issue_links(commits, issues), "issue_links")
+        changes = C.file_changes(diff_lines) if file_changes is None else file_changes
+        kept_changes = begin(keep, changes, "file_changes")
+        if file_changes is None:
+            changes = kept_changes.result()
+        facts = begin(keep, C.commit_facts(commits, changes), "commits")
+        files = begin(keep, C.commit_files(changes), "commit_files")
+        linked, facts = linked.result(), facts.result()
+        removed = O.removed_lines(L.fixing_commits(linked, issues, valid_labels), diff_lines)
+        if blame_hunks is not None:
+            lines = O.lines_with_origin(removed, blame_hunks)
+        else:
+            times = commits.select("slug", "sha", "ts")
+            added = diff_lines.filter("origin = '+'").select("slug", "sha", F.col("new_path").alias("path"), "content")
+            lines = O.lines_with_latest_addition(removed, times, added.join(times, ["slug", "sha"]))
+        plausible = O.plausible_origins(facts, max_files, max_new_lines)
+        if compat:
+            blames = O.bug_origins_compat(lines, plausible, commits.select("slug", "sha", "committed_at"))
+        else:
+            blames = O.bug_origins(lines, plausible)
+        blames = keep(blames, "blames_commit")
+        blamed = C.with_first_line_messages(commits).join(
+            blames.select("slug", F.col("blamed_commit").alias("sha")).distinct(), ["slug", "sha"], "left_semi"
+        )
+        # Facts hold stripped messages; origin commits keep their first line as it is.
+        first_lines = blamed.groupBy(*C.COMMIT).agg(F.max("message").alias("first_line"))
+        blamed_facts = facts.join(first_lines, ["slug", "sha"]).withColumn("message", F.col("first_line")).drop("first_line")
+        blamed_facts = keep(blamed_facts, "blamed_commit")
+        return History(facts, kept_changes.result(), files.result(), linked, blames, blamed_facts, people.result())
 
 
 def run_history(folder: str, commits: DataFrame, issues: DataFrame, diff_lines: DataFrame, *args, interchange: str | None = None, **settings) -> History:

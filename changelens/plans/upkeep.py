@@ -13,10 +13,13 @@ written.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from changelens.at_once import at_once
 from changelens.functions.text import slug_to_folder
 from changelens.operators import activity as A
 from changelens.operators import links as L
@@ -29,6 +32,7 @@ from changelens.sources.tables import PROJECT, Draft, published, read_native, wr
 
 #: What a change set may hold, and the columns by which a later record replaces an earlier one.
 INPUTS = {"commits": COMMIT, "issues": ["slug", "number"], "diff_lines": COMMIT, "blame_hunks": ["slug", "fix_sha"], "file_changes": COMMIT}
+_SMALL_FIRST = ("issues", "commits", "file_changes", "blame_hunks", "diff_lines")
 _UNIT = [PROJECT, "year"]
 
 
@@ -85,41 +89,46 @@ def update(
         inputs["issues"] = L.latest_issues(inputs["issues"], issue_order)
     first = _input("commits") not in known
     draft = Draft(spark, folder)
-    merged = {}
-    if first:
-        # All is new: what the draft holds of an input is what it is read from.
-        inputs = merged = {name: keeper(draft)(inputs[name], _input(name)) for name in INPUTS if name in inputs}
-    else:
-        inputs = {name: settle(df) for name, df in inputs.items()}
-    projects = None
-    for name, df in inputs.items():
-        found = df.select("slug").distinct()
-        if not first:
-            mine = found.select(slug_to_folder(F.col("slug")).alias(PROJECT))
-            old = read_native(spark, folder, _input(name), units=mine).select(*df.columns)
-            found = differing(df, old, INPUTS[name], only_new=True).select("slug").distinct()
-        projects = found if projects is None else projects.unionByName(found)
+    with at_once(spark) as begin:
+        # If all is new, what the draft holds of an input is what it is read from.
+        begun = {name: begin(keeper(draft), inputs[name], _input(name)) if first else begin(settle, inputs[name]) for name in INPUTS if name in inputs}
+        inputs = {name: step.result() for name, step in begun.items()}
+    merged = dict(inputs) if first else {}
+    projects = _in_any(inputs) if first else _differing_projects(spark, folder, inputs)
     touched = settle(projects.select("slug", slug_to_folder(F.col("slug")).alias(PROJECT)).distinct())
     units = None if first else touched.select(PROJECT)
     if touched.isEmpty():
         return touched.select(PROJECT)
 
     keep = keeper(draft, units)
-    for name in INPUTS:
-        if not first and _input(name) in known:
-            old = read_native(spark, folder, _input(name), units=units)
-            new = inputs.get(name)
-            if new is not None and name == "issues":
-                # A record that came late may be older than the one that is known.
-                rows = L.latest_issues(old.unionByName(new, allowMissingColumns=True), issue_order).join(touched.select("slug"), "slug", "left_semi")
-            elif new is not None:
-                rows = _put_over(old, new.join(touched.select("slug"), "slug", "left_semi"), INPUTS[name])
-            else:
-                rows = old
-            merged[name] = keep(rows, _input(name))
+
+    def merge(name: str) -> DataFrame:
+        old = read_native(spark, folder, _input(name), units=units)
+        new = inputs.get(name)
+        if new is not None and name == "issues":
+            # A record that came late may be older than the one that is known.
+            rows = L.latest_issues(old.unionByName(new, allowMissingColumns=True), issue_order).join(touched.select("slug"), "slug", "left_semi")
+        elif new is not None:
+            rows = _put_over(old, new.join(touched.select("slug"), "slug", "left_semi"), INPUTS[name])
+        else:
+            rows = old
+        return keep(rows, _input(name))
+
+    if not first:
+        with at_once(spark) as begin:
+            begun = {name: begin(merge, name) for name in INPUTS if _input(name) in known}
+            merged = {name: step.result() for name, step in begun.items()}
+
+    def keep_and_resolve(table: DataFrame, name: str) -> DataFrame:
+        """Identities are resolved over all contributors as soon as these are known."""
+        kept = keep(table, name)
+        if name == "contributors":
+            write_aliases(AliasResolution(draft.read("contributors")), draft)
+        return kept
+
     analyse_history(
         merged["commits"], merged["issues"], merged["diff_lines"], merged.get("blame_hunks"),
-        issue_order=issue_order, file_changes=merged.get("file_changes"), keep=keep, **settings,
+        issue_order=issue_order, file_changes=merged.get("file_changes"), keep=keep_and_resolve, **settings,
     )
     reported = _with_renamed(spark, folder, draft, touched.select(PROJECT), first)
     _report(spark, folder, draft, reported, first)
@@ -127,9 +136,25 @@ def update(
     return touched.select(PROJECT)
 
 
+def _in_any(inputs: dict[str, DataFrame]) -> DataFrame:
+    """Projects that any of the inputs has."""
+    return reduce(DataFrame.unionByName, [df.select("slug").distinct() for df in inputs.values()])
+
+
+def _differing_projects(spark: SparkSession, folder: str, inputs: dict[str, DataFrame]) -> DataFrame:
+    """Projects of which any of the inputs has what is not known yet; small inputs decide first, larger ones about the projects left."""
+    found = None
+    for name in (name for name in _SMALL_FIRST if name in inputs):
+        df = inputs[name] if found is None else inputs[name].join(found, "slug", "left_anti")
+        mine = df.select(slug_to_folder(F.col("slug")).alias(PROJECT)).distinct()
+        old = read_native(spark, folder, _input(name), units=mine).select(*df.columns)
+        new = differing(df, old, INPUTS[name], only_new=True).select("slug").distinct()
+        found = settle(new if found is None else found.unionByName(new).distinct())
+    return found
+
+
 def _with_renamed(spark: SparkSession, folder: str, draft: Draft, touched: DataFrame, first: bool) -> DataFrame:
-    """Resolve identities over all contributors; the touched projects and those where a representative changed."""
-    write_aliases(AliasResolution(draft.read("contributors")), draft)
+    """The touched projects and those where a representative changed."""
     if first:
         return touched
     before = read_native(spark, folder, "alias_map").select("uid", F.col("rep").alias("old_rep"))

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from changelens.at_once import at_once
 from changelens.functions.text import slug_to_folder
 from changelens.operators.aliases import AliasResolution
 from changelens.scratch import COMPRESSION
@@ -148,8 +149,10 @@ def read_native(spark: SparkSession, folder: str, table: str, slugs: list[str] |
 
 
 def write_aliases(resolution: AliasResolution, draft: Draft) -> None:
-    """Alias map and its audit tables: groups with rule counts, members, shared-address groups."""
-    draft.write(resolution.map(), "alias_map")
+    """Alias map and its audit tables: groups with rule counts, members, shared-address groups; the others go on from the written groups."""
     draft.write(resolution.groups, "alias_groups")
-    draft.write(resolution.members(), "alias_members")
-    draft.write(resolution.shared_emails(), "alias_shared_emails")
+    resolution.groups = draft.written("alias_groups")
+    with at_once(draft.spark) as begin:
+        begin(draft.write, resolution.map(), "alias_map")
+        begin(draft.write, resolution.members(), "alias_members")
+        begin(draft.write, resolution.shared_emails(), "alias_shared_emails")

@@ -16,6 +16,7 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
+from changelens.at_once import at_once
 from changelens.operators.changes import COMMIT
 from changelens.scratch import settle_at, settle_by
 from changelens.session import CO_PARTITIONED
@@ -287,7 +288,9 @@ class WrittenHistory:
 
         Lines and hunks are derived from a part's file changes, so only commits and file changes are dealt out.
         """
-        dealt = {name: settle_at(self.view(name).join(of, ["slug", "sha"])) for name in self.written}
+        with at_once(self.spark) as begin:
+            begun = {name: begin(settle_at, self.view(name).join(of, ["slug", "sha"])) for name in self.written}
+            dealt = {name: step.result() for name, step in begun.items()}
 
         def views(which: bool) -> Callable[[str], DataFrame]:
             written = {n: f"(select * except ({part}) from parquet.`{at}` where {part} = {which})" for n, at in dealt.items()}

@@ -116,6 +116,61 @@ def test_upkeep_touches_only_what_changes(spark, table, tmp_path):
     assert published_report() == after
 
 
+def test_lines_of_projects_that_commits_tell_apart_are_not_compared(spark, table, tmp_path, monkeypatch):
+    from changelens.plans import upkeep
+
+    folder = str(tmp_path / "kept")
+    known = {"commits": table([("o/p", "a", "x"), ("o/q", "b", "x")], "slug string, sha string, message string"),
+             "diff_lines": table([("o/p", "a", 1), ("o/q", "b", 1), ("o/r", "c", 1)], "slug string, sha string, patch_pos int")}
+    draft = tables.Draft(spark, folder)
+    for name, given in known.items():
+        draft.write(given, f"given_{name}")
+    draft.publish()
+    compared, plain = [], upkeep.differing
+
+    def watched(new, old, keys, only_new):
+        compared.append((rows(new.select("slug").distinct()), rows(old.select("slug").distinct())))
+        return plain(new, old, keys, only_new)
+
+    monkeypatch.setattr(upkeep, "differing", watched)
+    later = {"commits": table([("o/p", "a", "y"), ("o/q", "b", "x"), (None, "n", "x")], known["commits"].schema),
+             "diff_lines": table([("o/p", "a", 2), ("o/q", "b", 1), ("o/r", "c", 3), ("o/s", "d", 1), (None, "n", 1)], known["diff_lines"].schema)}
+    found = upkeep._differing_projects(spark, folder, later)
+    assert rows(found) == sorted([(None,), ("o/p",), ("o/r",), ("o/s",)], key=repr)
+    assert compared[1] == (sorted([("o/q",), ("o/r",), ("o/s",), (None,)], key=repr), [("o/q",), ("o/r",)])
+
+
+def test_independent_steps_run_at_once(spark):
+    import threading
+
+    from changelens.at_once import at_once
+
+    both = threading.Barrier(2)
+
+    def step(n):
+        both.wait(60)
+        return spark.range(n).count()
+
+    with at_once(spark) as begin:
+        begun = [begin(step, n) for n in (3, 4)]
+    assert [one.result() for one in begun] == [3, 4]
+    with pytest.raises(ZeroDivisionError):
+        with at_once(spark) as begin:
+            begin(lambda: 1 // 0)
+    # Results of a history that need not wait for each other are kept at once.
+    commits = view(spark, GIVEN, "vw_commits")
+    issues = view(spark, GIVEN, "vw_issues").selectExpr("* except (labels)", "split(labels, ';') as labels")
+    waiting = threading.Barrier(5)
+
+    def keep(made, name):
+        if name in ("contributors", "issue_links", "file_changes", "commits", "commit_files"):
+            waiting.wait(60)
+        return made
+
+    bug_history.analyse_history(commits, issues, view(spark, GIVEN, "vw_diff_lines"), view(spark, GIVEN, "vw_blame_hunks"),
+                                issue_order="version", file_changes=view(spark, GIVEN, "vw_file_changes"), keep=keep)
+
+
 def test_a_cluster_must_name_its_shared_folder():
     from types import SimpleNamespace
 
